@@ -10,7 +10,7 @@ from ..functions.text import BLANK, join_or, let, strip
 
 # Instructions shown in the skeleton, and everything that ends a line in these files.
 SKELETON_INSTRUCTIONS = ["FROM", "CMD", "ENTRYPOINT", "EXPOSE", "ENV", "ARG", "WORKDIR", "USER"]
-_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def _instruction_lines(text: Column, join_continuations: bool) -> Column:

@@ -19,7 +19,7 @@ from ..functions.text import let, normalize_newlines
 
 SYMBOL = (
     "ord int, bfs_ord int, name string, kind string, is_async boolean, parent string, parent_ord int, top_name string,"
-    " depth int, listed boolean, start_line int, end_line int, name_col int, body_off int, body_len int,"
+    " depth int, listed boolean, first_named boolean, start_line int, end_line int, name_col int, body_off int, body_len int,"
     " header string, doc_first string, doc_full string, first_line string, next_line string"
 )
 IMPORT = (
@@ -121,6 +121,10 @@ def _parse_one(source: str, signatures: bool) -> tuple:
         inside = owner is not None and owner["node"] is node
         queue.extend((child, owner, inside) for child in _statements(node))
 
+    seen: set[str] = set()
+    for symbol in found:
+        symbol["first"] = symbol["node"].name not in seen
+        seen.add(symbol["node"].name)
     found.sort(key=lambda s: (s["node"].lineno, s["node"].col_offset))
     for rank, symbol in enumerate(found):
         symbol["ord"] = rank
@@ -133,7 +137,7 @@ def _parse_one(source: str, signatures: bool) -> tuple:
         symbols.append(
             (
                 s["ord"], s["bfs"], node.name, s["kind"], isinstance(node, ast.AsyncFunctionDef),
-                parent and parent["node"].name, parent and parent["ord"], s["top"], s["depth"], s["listed"],
+                parent and parent["node"].name, parent and parent["ord"], s["top"], s["depth"], s["listed"], s["first"],
                 start, end, s["col"], offset, starts[end] - 1 - offset,
                 _plain(_heading(node)) if signatures else None,
                 _plain(doc.split("\n")[0].strip()) if doc is not None else None,

@@ -111,21 +111,7 @@ def imports_block(parsed: Column) -> Column:
 
 def first_named(parsed: Column, name: Column) -> Column:
     """The symbol with that name that comes first breadth-first, or null."""
-    hits = F.filter(parsed["symbols"], lambda s: s["name"] == name)
-    return F.array_min(
-        F.transform(
-            hits,
-            lambda s: F.struct(
-                s["bfs_ord"].alias("bfs_ord"),
-                s["start_line"].alias("start_line"),
-                s["name_col"].alias("name_col"),
-                s["body_off"].alias("body_off"),
-                s["body_len"].alias("body_len"),
-                s["header"].alias("header"),
-                s["doc_full"].alias("doc_full"),
-            ),
-        )
-    )
+    return F.get(F.filter(parsed["symbols"], lambda s: s["first_named"] & (s["name"] == name)), F.lit(0))
 
 
 def symbol_body(parsed: Column, text: Column, name: Column) -> Column:
@@ -133,11 +119,24 @@ def symbol_body(parsed: Column, text: Column, name: Column) -> Column:
     return let(first_named(parsed, name), lambda s: F.substr(text, s["body_off"] + 1, s["body_len"]))
 
 
+def location(parsed: Column, name: Column) -> Column:
+    """struct<line, col>, both from 0, of the name in the first definition of it; null when there is none."""
+    return let(
+        first_named(parsed, name),
+        lambda s: F.when(
+            s.isNotNull(), F.struct((s["start_line"] - 1).alias("line"), s["name_col"].alias("col"))
+        ),
+    )
+
+
 def symbol_card(parsed: Column, name: Column) -> Column:
     """Signature, then the whole docstring if there is one; null when there is no such symbol."""
     return let(
         first_named(parsed, name),
-        lambda s: F.concat_ws("\n", F.regexp_replace(s["header"], r":( \.\.\.)?\z", ""), s["doc_full"]),
+        lambda s: F.when(
+            s.isNotNull(),
+            F.concat_ws("\n", F.regexp_replace(s["header"], r":( \.\.\.)?\z", ""), s["doc_full"]),
+        ),
     )
 
 

@@ -168,10 +168,14 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     # Where the definitions are: only the files that requests name are parsed for it.
     located = stored(
         symbols_table(parse_python(restrict_to_paths(python_files, asked_paths), signatures=False))
-        .groupBy(F.col("path").alias("def_path"), F.col("name").alias("symbol"))
-        .agg(F.min(F.struct("bfs_ord", "start_line", "top_name")).alias("first"))
+        .where("first_named")
+        .select(
+            F.col("path").alias("def_path"),
+            F.col("name").alias("symbol"),
+            F.col("start_line").alias("def_line"),
+            "top_name",
+        )
         .join(asked, ["def_path", "symbol"])
-        .select("def_path", "symbol", F.col("first.start_line").alias("def_line"), "first.top_name")
     )
 
     # Imports that can reach one of those files, then without those that mean a nearer file of the same module name.

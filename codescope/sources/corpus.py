@@ -14,9 +14,9 @@ from ..functions.text import normalize_newlines
 SEARCH_SKIP_DIRS = ("node_modules", "__pycache__", "tests", "notebooks")
 INDEX_SKIP_DIRS = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build")
 
-_REPLACEMENT = "�"
+_REPLACEMENT = chr(0xFFFD)
 # Stands in for replacement characters the file really contains while broken bytes are being removed.
-_KEEP = "﷐﷑﷐"
+_KEEP = chr(0xFDD0) + chr(0xFDD1) + chr(0xFDD0)
 
 
 def classify_files(files: DataFrame) -> DataFrame:
