@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set, as in tests."""
+    """Write ``frame`` once to the shared folder the cluster names in ``spark.checkpoint.dir`` and read it back.
+
+    Only where no folder is named, as in tests, a temporary one is used.
+    """
     spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="codescope-")
-        )
-    return frame.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="codescope-")
+    location = f"{folder.rstrip('/')}/codescope-{uuid.uuid4().hex}"
+    frame.write.parquet(location)
+    return spark.read.schema(frame.schema).parquet(location)

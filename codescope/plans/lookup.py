@@ -11,7 +11,8 @@ from ..functions import messages
 from ..operators import config_files, dockerfile, python_views, script_symbols
 from ..operators.references import find_references_bulk
 from . import views
-from .joins import attach_requests, fits_broadcast, restrict_to_paths
+from .joins import attach_requests, fits_broadcast, list_join, restrict_to_paths
+from .lineage import stored
 
 
 def _answers(requests: DataFrame, found: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def _per_symbol(
     Only the named files are parsed. The requests come to the files, not the other way round, while they are few.
     """
     small = fits_broadcast(requests)
-    parsed = views.with_parsed(restrict_to_paths(files, requests), **parse)
+    needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
+    parsed = views.with_parsed(restrict_to_paths(needed, requests), **parse)
     met = attach_requests(parsed, requests.select("req_id", "path", "name"), small)
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
@@ -90,14 +92,11 @@ def find_references(files: DataFrame, requests: DataFrame) -> DataFrame:
 
     One row per hit; a request with none keeps one row that says so.
     """
-    hits = find_references_bulk(files, requests.select(F.col("name").alias("symbol"))).withColumnRenamed(
-        "symbol", "name"
+    hits = stored(
+        find_references_bulk(files, requests.select(F.col("name").alias("symbol"))).withColumnRenamed("symbol", "name")
     )
     asked = requests.select("req_id", "name")
-    if fits_broadcast(asked):
-        found = hits.join(F.broadcast(asked), "name")
-    else:
-        found = hits.join(asked, "name")
+    found = list_join(hits, asked, ["name"])
     silent = asked.join(hits.select("name").distinct(), "name", "left_anti")
     return found.select(
         "req_id", "name", "path", "line_no", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message")
