@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_WORD, WORD, word_pattern, word_pattern_column
-from ..plans.joins import fits_broadcast, list_join, restrict_to_paths
+from ..plans.joins import fits_broadcast, is_small, list_join, restrict_to_paths, row_bytes
 from ..plans.lineage import stored
 from .lines import file_lines
 from .python_symbols import imports_table, parse_python, symbols_table
@@ -57,14 +57,16 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     wanted = symbols.select("symbol").where(F.col("symbol").isNotNull()).distinct()
     plain = F.col("symbol").rlike(rf"^{WORD}+\z")
     shape = wanted.agg(
+        F.count("*").alias("n"),
+        F.sum(row_bytes(wanted)).alias("size"),
         F.bool_or(plain).alias("words"),
         F.bool_or(~plain & F.col("symbol").rlike(WORD)).alias("phrases"),
         F.bool_or(~F.col("symbol").rlike(WORD) & (F.col("symbol") != "")).alias("signs"),
         F.bool_or(F.col("symbol") == "").alias("blank"),
     ).first()
-    if not any(shape):
+    if shape.n == 0:
         return files.sparkSession.createDataFrame([], "symbol string, path string, line_no int")
-    small = fits_broadcast(wanted)
+    small = is_small(shape.n, shape.size)
     lines = file_lines(files)
     found = []
 
@@ -161,6 +163,8 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     whose imports bring it (or its module, or the class around it) in: method ``resolved``. Any other request is a
     word search over the whole corpus: method ``text``.
     """
+    # Everything listed below is at most one row per request, so one measure of the requests holds for all of it.
+    small = fits_broadcast(requests.select("req_id", "symbol", "path"))
     asked = requests.select("symbol", F.col("path").alias("def_path")).distinct()
     asked_paths = requests.select("path").distinct()
     python_files = files.where(F.col("kind") == "python")
@@ -182,7 +186,7 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     targets = located.select(F.col("def_path").alias("target"), "symbol", "top_name").distinct()
     edges = import_edges(imports_table(parse_python(python_files, signatures=False)))
     reaching = stored(
-        list_join(edges, targets, ["target"])
+        list_join(edges, targets, ["target"], small)
         .where((F.col("name") == "*") | (F.col("name") == F.col("top_name")))
         .select("path", "edge", "module", "rank", "target", "symbol")
         .distinct()
@@ -209,13 +213,12 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     resolved = used.unionByName(declared).distinct()
 
     asked_by = requests.select("req_id", "symbol", F.col("path").alias("def_path"))
-    few_requests = fits_broadcast(asked_by)
-    by_import = list_join(resolved, asked_by, ["symbol", "def_path"], few_requests).withColumn(
+    by_import = list_join(resolved, asked_by, ["symbol", "def_path"], small).withColumn(
         "method", F.lit("resolved")
     )
     unlocated = asked_by.join(located.select("symbol", "def_path"), ["symbol", "def_path"], "left_anti")
     by_text = list_join(
-        find_references_bulk(files, unlocated.select("symbol")), unlocated, ["symbol"], few_requests
+        find_references_bulk(files, unlocated.select("symbol")), unlocated, ["symbol"], small
     ).withColumn("method", F.lit("text"))
     columns = ["req_id", "symbol", "path", "line_no", "method"]
     return by_import.select(columns).unionByName(by_text.select(columns))

@@ -14,7 +14,11 @@ INLINE_PATHS = 200
 SALTS = 32
 
 
-def _row_bytes(frame: DataFrame) -> Column:
+def is_small(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def row_bytes(frame: DataFrame) -> Column:
     def width(field: T.StructField) -> Column:
         if isinstance(field.dataType, T.StringType | T.BinaryType):
             return F.coalesce(F.octet_length(field.name), F.lit(0)).cast("long")
@@ -25,11 +29,10 @@ def _row_bytes(frame: DataFrame) -> Column:
     return sum((width(f) for f in frame.schema.fields), F.lit(16).cast("long"))
 
 
-def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure ``frame``, reading at most ``max_rows + 1`` rows of it."""
-    seen = frame.select(_row_bytes(frame).alias("b")).limit(max_rows + 1)
-    rows, size = seen.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+def fits_broadcast(frame: DataFrame) -> bool:
+    """Measure ``frame``, reading at most one row more than may be broadcast."""
+    seen = frame.select(row_bytes(frame).alias("b")).limit(BROADCAST_ROWS + 1)
+    return is_small(*seen.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first())
 
 
 def list_join(rows: DataFrame, listed: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:

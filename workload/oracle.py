@@ -481,7 +481,7 @@ ORACLE = {
         SELECT path, 0 AS ord, 2 AS line_no, 'ARG' AS inst, 'V=' || c AS args, NULL AS stage_no FROM d
         UNION ALL SELECT path, 5 * i - 4, 6 * i - 2, 'FROM', 'base:' || tag || {_AS}, i - 1 FROM st
         UNION ALL SELECT path, 5 * i - 3, 6 * i - 1, 'ENV', 'K' || i || '=' || k, i - 1 FROM st
-        UNION ALL SELECT path, 5 * i - 2, 6 * i, 'RUN', 'make \'', i - 1 FROM st
+        UNION ALL SELECT path, 5 * i - 2, 6 * i, 'RUN', 'make ' || chr(92), i - 1 FROM st
         UNION ALL SELECT path, 5 * i - 1, 6 * i + 1, 'ALL', '', i - 1 FROM st
         UNION ALL SELECT path, 5 * i, 6 * i + 2, 'EXPOSE', '80' || i, i - 1 FROM st
         UNION ALL SELECT path, 5 * n + 1, 6 * n + 4, 'CMD', '["' || pri || '"]', n - 1 FROM d)
