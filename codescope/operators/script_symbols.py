@@ -229,9 +229,10 @@ def _member_kind(m: Column) -> Column:
 
 
 def _member_name(m: Column) -> Column:
-    return F.when(_is(m, _CONSTRUCTOR), "constructor").otherwise(
-        F.coalesce(*[F.nullif(_name(m, p), F.lit("")) for p in (_METHOD, _PROPERTY)])
-    )
+    name = F.coalesce(*[F.nullif(_name(m, p), F.lit("")) for p in (_METHOD, _PROPERTY)])
+    # The insides of strings are blank in ``code``.
+    quoted = F.regexp_extract(m["head"], rf"{_MODIFIERS}({_NAME})", 1)
+    return F.when(_is(m, _CONSTRUCTOR), "constructor").when(name.rlike("^[\"']"), quoted).otherwise(name)
 
 
 def _of_kind(members: Column, kind: str) -> Column:
