@@ -37,13 +37,18 @@ def split_lines(text: Column) -> Column:
     )
 
 
-# White space as trimmed from the ends of a string: Java's Unicode white space plus the four ASCII separators.
-BLANK = r"[\s\x1c-\x1f]"
+# The characters that Python's ``str.strip`` and ``str.split`` take as white space.
+SPACES = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000]
+)
+NOT_SPACE_RUN = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def join_or(lines: Column, empty: str) -> Column:

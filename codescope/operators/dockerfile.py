@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.text import BLANK, join_or, let, strip
+from ..functions.text import NOT_SPACE_RUN, SPACES, join_or, let, strip
 
 # Instructions shown in the skeleton, and everything that ends a line in these files.
 SKELETON_INSTRUCTIONS = ["FROM", "CMD", "ENTRYPOINT", "EXPOSE", "ENV", "ARG", "WORKDIR", "USER"]
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+_LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def _instruction_lines(text: Column, join_continuations: bool) -> Column:
@@ -23,42 +23,44 @@ def _instruction_lines(text: Column, join_continuations: bool) -> Column:
 
 
 def instructions(text: Column, join_continuations: bool = False) -> Column:
-    """array<struct<line_no, inst, args, stage_no>>; ``stage_no`` counts FROM from 0, null before the first.
-
-    Continued lines count as lines of their own unless ``join_continuations``.
-    """
-    words = F.transform(
+    """array<struct<line_no, inst, args>>. Continued lines count as lines of their own unless joined."""
+    return F.transform(
         _instruction_lines(text, join_continuations),
-        lambda x: F.struct(
-            x["line_no"].alias("line_no"),
-            F.upper(F.regexp_extract(x["line"], rf"(?U)^([^\s\x1c-\x1f]+)", 1)).alias("inst"),
-            F.regexp_replace(x["line"], rf"(?U)^[^\s\x1c-\x1f]+{BLANK}*", "").alias("args"),
+        lambda x: let(
+            F.regexp_extract(x["line"], NOT_SPACE_RUN, 0),
+            lambda first: F.struct(
+                x["line_no"].alias("line_no"),
+                F.upper(first).alias("inst"),
+                F.ltrim(F.substr(x["line"], F.length(first) + 1), F.lit(SPACES)).alias("args"),
+            ),
         ),
     )
 
-    def staged(rows: Column, froms: Column) -> Column:
-        def numbered(part: Column, stage: Column) -> Column:
-            return F.transform(
-                part,
-                lambda x: F.struct(
-                    x["line_no"].alias("line_no"), x["inst"].alias("inst"), x["args"].alias("args"),
-                    stage.alias("stage_no"),
-                ),
-            )
 
+def with_stage_numbers(instr: Column) -> Column:
+    """Add ``stage_no`` to each instruction: the FROM it belongs to, counted from 0; null before the first."""
+    def numbered(part: Column, stage: Column) -> Column:
+        return F.transform(
+            part,
+            lambda x: F.struct(
+                x["line_no"].alias("line_no"), x["inst"].alias("inst"), x["args"].alias("args"), stage.alias("stage_no")
+            ),
+        )
+
+    def cut(rows: Column, froms: Column) -> Column:
+        # Slices between one FROM and the next: linear in the file, with no running count.
         end = F.size(rows) + 1
         before = F.slice(rows, F.lit(1), F.coalesce(F.get(froms, F.lit(0)), end) - 1)
-        stages = F.transform(
-            froms,
-            lambda at, k: numbered(F.slice(rows, at, F.coalesce(F.get(froms, k + 1), end) - at), k),
+        stages_ = F.transform(
+            froms, lambda at, k: numbered(F.slice(rows, at, F.coalesce(F.get(froms, k + 1), end) - at), k)
         )
-        return F.concat(numbered(before, F.lit(None).cast("int")), F.flatten(stages))
+        return F.concat(numbered(before, F.lit(None).cast("int")), F.flatten(stages_))
 
     return let(
-        words,
+        instr,
         lambda rows: let(
             F.array_compact(F.transform(rows, lambda x, i: F.when(x["inst"] == "FROM", i + 1))),
-            lambda froms: staged(rows, froms),
+            lambda froms: cut(rows, froms),
         ),
     )
 
@@ -70,18 +72,18 @@ def with_instructions(files: DataFrame, join_continuations: bool = False) -> Dat
 
 def docker_instructions(files: DataFrame, join_continuations: bool = False) -> DataFrame:
     """(path, ord, line_no, inst, args, stage_no): one row per instruction."""
-    rows = instructions(F.col("text"), join_continuations)
+    rows = with_stage_numbers(instructions(F.col("text"), join_continuations))
     return files.select("path", F.posexplode(rows).alias("ord", "x")).select("path", "ord", "x.*")
 
 
 def stages(instr: Column) -> Column:
     """array<struct<stage_no, stage_name, base>>: the name after AS in any case, else ``stage<n>``."""
-    def one(x: Column) -> Column:
+    def one(x: Column, stage: Column) -> Column:
         named = F.regexp_extract(x["args"], r"(?iU)(?:^|\s)AS\s+(\S+)", 1)
         base = F.regexp_extract(x["args"], r"(?U)^(\S+)", 1)
         return F.struct(
-            x["stage_no"].alias("stage_no"),
-            F.when(named != "", named).otherwise(F.concat(F.lit("stage"), x["stage_no"])).alias("stage_name"),
+            stage.alias("stage_no"),
+            F.when(named != "", named).otherwise(F.concat(F.lit("stage"), stage)).alias("stage_name"),
             F.when(base != "", base).alias("base"),
         )
 
@@ -124,9 +126,11 @@ def body(instr: Column, name: Column) -> Column:
     """All instructions of that type, else the first stage of that name, else null."""
     of_type = F.filter(instr, lambda x: x["inst"] == F.upper(name))
     stage = F.get(F.filter(stages(instr), lambda s: s["stage_name"] == name), F.lit(0))["stage_no"]
-    of_stage = let(stage, lambda k: F.filter(instr, lambda x: x["stage_no"] == k))
-    chosen = let(of_type, lambda rows: F.when(F.size(rows) > 0, rows).otherwise(of_stage))
-    return let(chosen, lambda rows: F.when(F.size(rows) > 0, F.array_join(F.transform(rows, _written), "\n")))
+    of_stage = let(stage, lambda k: F.filter(with_stage_numbers(instr), lambda x: x["stage_no"] == k))
+    def text(rows: Column) -> Column:
+        return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, _written), "\n"))
+
+    return let(text(of_type), lambda found: F.when(found.isNotNull(), found).otherwise(text(of_stage)))
 
 
 def missing(instr: Column, name: Column) -> Column:

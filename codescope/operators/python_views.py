@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.text import join_or, let, strip
+from ..functions.text import SPACES, join_or, let, strip
 
 # Labels of symbol kinds. Kinds without a label print without one.
 KIND_LABELS = {
@@ -66,7 +66,7 @@ def skeleton(parsed: Column) -> Column:
 def _quoted_doc(line: Column) -> Column:
     """The doc line to print when ``line`` opens a triple-quoted string with text in it, else null."""
     text = strip(line)
-    indent = F.repeat(F.lit(" "), F.length(line) - F.length(F.regexp_replace(line, r"(?U)^\s+", "")))
+    indent = F.repeat(F.lit(" "), F.length(line) - F.length(F.ltrim(line, F.lit(SPACES))))
 
     def shown(quote: str) -> Column:
         rest = F.substr(text, F.lit(4))
@@ -94,7 +94,7 @@ def line_skeleton(parsed: Column) -> Column:
 
     text = F.array_join(let(_listed(parsed), lines), "\n")
     return F.when(F.size(parsed["symbols"]) == 0, messages.NO_SYMBOLS).otherwise(
-        F.regexp_replace(text, r"(?U)\s+\z", "")
+        F.rtrim(text, F.lit(SPACES))
     )
 
 

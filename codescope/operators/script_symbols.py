@@ -47,18 +47,19 @@ _DECORATORS = re.compile(r"\s*(?:@[\w$.]+\s*(?:\(\s*\))?\s*)+\Z")
 _DOC = re.compile(r"/\*\*(?!/)([\s\S]*?)\*/")
 
 
-def _blanked(text: str, comments_only: bool) -> str:
-    """The text with comments, and the insides of strings and patterns, turned to spaces; offsets stay the same."""
-    def blank(match: re.Match) -> str:
-        found = match.group()
-        if match["comment"] is not None:
-            return re.sub(r"[^\n]", " ", found)
-        if comments_only:
-            return found
-        keep = len(match["before"] or "") + 1
-        return found[:keep] + " " * (len(found) - keep - 1) + found[-1]
+def _blank(match: re.Match) -> str:
+    found = match.group()
+    if match["comment"] is not None:
+        return _blank_comment(match)
+    keep = len(match["before"] or "") + 1
+    return found[:keep] + " " * (len(found) - keep - 1) + found[-1]
 
-    return _INERT.sub(blank, text)
+
+def _blank_comment(match: re.Match) -> str:
+    found = match.group()
+    if match["comment"] is None:
+        return found
+    return "\n".join(" " * len(line) for line in found.split("\n"))
 
 
 def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int, int, str, int | None]]:
@@ -104,7 +105,7 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
                 not so_far.strip()
                 or _GOES_ON.search(so_far.rstrip())
                 or (following and continues.match(code, following.start()))
-                or _DECORATORS.match(so_far)
+                or ("@" in so_far and _DECORATORS.match(so_far))
             ):
                 continue
         yield from cut(at + 1, body)
@@ -126,22 +127,25 @@ def _first_doc(gap: str) -> str | None:
 
 
 def _squash(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+    return " ".join(text.split())
 
 
 def _scan_one(text: str) -> list[tuple]:
-    code, bare = _blanked(text, False), _blanked(text, True)
-
+    # Comments, and the insides of strings and patterns, turned to spaces; offsets stay the same.
+    code = _INERT.sub(_blank, text)
     line_ends = [m.start() for m in re.finditer("\n", text)]
 
     def line_of(at: int) -> int:
         return bisect_left(line_ends, at) + 1
 
     def described(start: int, end: int, outline: str, body: int | None, previous: int) -> tuple:
-        head = bare[start : end if body is None else body]
+        head = text[start : end if body is None else body]
+        if "//" in head or "/*" in head:
+            head = _INERT.sub(_blank_comment, head)
+        gap = text[previous:start]
         return (
             line_of(start), line_of(end - 1), _squash(outline), _squash(head).rstrip(" ;,"),
-            _first_doc(text[previous:start]),
+            _first_doc(gap) if "/**" in gap else None,
         )
 
     rows, previous = [], 0
