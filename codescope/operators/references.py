@@ -58,7 +58,7 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     plain = F.col("symbol").rlike(rf"^{WORD}+\z")
     shape = wanted.agg(
         F.count("*").alias("n"),
-        F.sum(row_bytes(wanted)).alias("size"),
+        F.coalesce(F.sum(row_bytes(wanted)), F.lit(0)).alias("size"),
         F.bool_or(plain).alias("words"),
         F.bool_or(~plain & F.col("symbol").rlike(WORD)).alias("phrases"),
         F.bool_or(~F.col("symbol").rlike(WORD) & (F.col("symbol") != "")).alias("signs"),

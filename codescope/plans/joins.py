@@ -30,9 +30,8 @@ def row_bytes(frame: DataFrame) -> Column:
 
 
 def fits_broadcast(frame: DataFrame) -> bool:
-    """Measure ``frame``, reading at most one row more than may be broadcast."""
-    seen = frame.select(row_bytes(frame).alias("b")).limit(BROADCAST_ROWS + 1)
-    return is_small(*seen.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first())
+    """Measure ``frame`` with one aggregate that is combined before its shuffle."""
+    return is_small(*frame.agg(F.count("*"), F.coalesce(F.sum(row_bytes(frame)), F.lit(0))).first())
 
 
 def list_join(rows: DataFrame, listed: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:

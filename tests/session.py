@@ -6,6 +6,7 @@ def make_session(cores: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("codescope-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
