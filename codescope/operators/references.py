@@ -156,6 +156,32 @@ def import_edges(imports: DataFrame) -> DataFrame:
     )
 
 
+def _nearest_only(files: DataFrame, reaching: DataFrame) -> DataFrame:
+    """``reaching`` without the imports for which a place of a lower rank exists in the corpus."""
+    each = F.octet_length("path") + F.octet_length("module") + 32
+    total, size = reaching.agg(
+        F.coalesce(F.sum("rank"), F.lit(0)), F.coalesce(F.sum(F.col("rank") * each), F.lit(0))
+    ).first()
+    if total == 0:
+        return reaching
+    nearer = reaching.select(
+        "path", "edge", "rank", F.explode(_module_targets(F.col("path"), F.col("module"))).alias("t")
+    ).where(F.col("t.rank") < F.col("rank"))
+    existing = (
+        nearer.select(F.col("t.target").alias("path"))
+        .distinct()
+        .join(files.select("path"), "path")
+        .select(F.col("path").alias("target"))
+        .distinct()
+    )
+    # There are at most ``total`` nearer places, of at most ``size`` bytes.
+    shadowed = list_join(
+        nearer.select("path", "edge", "rank", "t.target"), existing, ["target"], is_small(total, size)
+    )
+    shadowed_edges = shadowed.select("path", "edge", "rank").distinct()
+    return reaching.join(shadowed_edges, ["path", "edge", "rank"], "left_anti")
+
+
 def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     """(req_id, symbol, path, line_no, method) for ``requests(req_id, symbol, path)``.
 
@@ -171,7 +197,7 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
 
     # Where the definitions are: only the files that requests name are parsed for it.
     located = stored(
-        symbols_table(parse_python(restrict_to_paths(python_files, asked_paths), signatures=False))
+        symbols_table(parse_python(restrict_to_paths(python_files, asked_paths, small), signatures=False))
         .where("first_named")
         .select(
             F.col("path").alias("def_path"),
@@ -191,20 +217,7 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
         .select("path", "edge", "module", "rank", "target", "symbol")
         .distinct()
     )
-    nearer = reaching.select(
-        "path", "edge", "rank", F.explode(_module_targets(F.col("path"), F.col("module"))).alias("t")
-    ).where(F.col("t.rank") < F.col("rank"))
-    existing = (
-        nearer.select(F.col("t.target").alias("path"))
-        .distinct()
-        .join(files.select("path"), "path")
-        .select(F.col("path").alias("target"))
-        .distinct()
-    )
-    shadowed = list_join(nearer.select("path", "edge", "rank", "t.target"), existing, ["target"])
-    importing = reaching.join(
-        shadowed.select("path", "edge", "rank").distinct(), ["path", "edge", "rank"], "left_anti"
-    ).select("symbol", F.col("target").alias("def_path"), "path")
+    importing = _nearest_only(files, reaching).select("symbol", F.col("target").alias("def_path"), "path")
     scope = importing.unionByName(located.select("symbol", "def_path", F.col("def_path").alias("path"))).distinct()
 
     hits = find_references_bulk(python_files, located.select("symbol"))

@@ -51,23 +51,22 @@ def list_join(rows: DataFrame, listed: DataFrame, keys: list[str], small: bool |
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def restrict_to_paths(files: DataFrame, wanted: DataFrame) -> DataFrame:
+def restrict_to_paths(files: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """Files whose ``path`` occurs in ``wanted``: a pushed-down literal filter for few paths, else a semi-join."""
     paths = wanted.select("path").where(F.col("path").isNotNull()).distinct()
     few = [r.path for r in paths.limit(INLINE_PATHS + 1).collect()]
     if len(few) <= INLINE_PATHS:
         return files.where(F.col("path").isin(few))
-    return files.join(F.broadcast(paths) if fits_broadcast(paths) else paths, "path", "left_semi")
+    return files.join(F.broadcast(paths) if small else paths, "path", "left_semi")
 
 
-def attach_requests(parsed: DataFrame, requests: DataFrame, small: bool | None = None) -> DataFrame:
+def attach_requests(parsed: DataFrame, requests: DataFrame, small: bool) -> DataFrame:
     """One row per (request, file) for requests that name a path, with the columns of ``parsed``.
 
     ``parsed`` has one row per file. Requests measured as small are broadcast. Otherwise a path that very many
     requests name must not meet its file in one task: requests are salted by ``req_id``, and a file is repeated only
     for the salts that requests to it really use, at most ``SALTS`` of them.
     """
-    small = fits_broadcast(requests) if small is None else small
     if small:
         return parsed.join(F.broadcast(requests), "path")
     salted = requests.withColumn("_salt", F.pmod(F.xxhash64("req_id"), F.lit(SALTS)).cast("int"))

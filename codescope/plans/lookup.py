@@ -36,7 +36,7 @@ def _per_symbol(
     """
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
-    parsed = views.with_parsed(restrict_to_paths(needed, requests), **parse)
+    parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
     met = attach_requests(parsed, requests.select("req_id", "path", "name"), small)
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
@@ -120,8 +120,9 @@ def batch_lookup(files: DataFrame, requests: DataFrame, view: str) -> DataFrame:
     """Any view for ``requests(req_id, path[, name])`` with ``status`` and ``message``."""
     if view in _SYMBOL_VIEWS:
         return _SYMBOL_VIEWS[view](files, requests)
-    shown = _FILE_VIEWS[view](restrict_to_paths(files, requests))
-    met = attach_requests(shown, requests.select("req_id", "path"))
+    small = fits_broadcast(requests)
+    shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small))
+    met = attach_requests(shown, requests.select("req_id", "path"), small)
     ok = F.col("status") == "ok"
     found = met.select(
         "req_id", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result")
