@@ -21,10 +21,6 @@ def file_not_found(path: Column) -> Column:
     return F.concat(F.lit("File not found: "), path)
 
 
-def directory_not_found(path: Column) -> Column:
-    return F.concat(F.lit("Directory not found: "), path)
-
-
 def symbol_not_found(name: Column, path: Column) -> Column:
     return F.concat(F.lit("Symbol '"), name, F.lit("' not found in "), path)
 

@@ -40,7 +40,10 @@ _ARROW = pa.struct(
         ),
     ]
 )
-# Lengths of previews, in characters.
+# What is looked for in raw text, and lengths of previews in characters.
+REF_TARGET = r'(?U)"\$ref"\s*:\s*"([^"]+)"'
+ANCHOR = f"&({WORD}+)"
+INCLUDE = r"(?U)!include\s+(\S+)"
 VALUE_PREVIEW = 80
 ROOT_PREVIEW = 200
 
@@ -179,15 +182,15 @@ def parse_failure(path: Column, kind: Column, config: Column) -> Column:
 
 
 def _ref_targets(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r'(?U)"\$ref"\s*:\s*"([^"]+)"'), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(REF_TARGET), F.lit(1))
 
 
 def _anchors(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"&({WORD}+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(1))
 
 
 def _includes(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)!include\s+(\S+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(INCLUDE), F.lit(1))
 
 
 def json_ref_targets(files: DataFrame) -> DataFrame:

@@ -30,6 +30,9 @@ _ARROW = pa.list_(
     )
 )
 
+# Fixed value: the first script element of a page or component.
+SCRIPT_ELEMENT = r"<script(?:\s[^>]*)?>(\s*[\s\S]*?)</script>"
+
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _QUOTED = r'"(?:\\[\s\S]|[^"\\\n])*"' r"|'(?:\\[\s\S]|[^'\\\n])*'" r"|`(?:\\[\s\S]|[^`\\])*`"
 _PATTERN = r"(?P<before>[(,=:\[!&|?{;]\s*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
@@ -170,7 +173,7 @@ _scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
 
 def script_block(text: Column) -> Column:
     """Content of the first ``<script>`` element, empty when there is none."""
-    return F.regexp_extract(text, r"<script(?:\s[^>]*)?>(\s*[\s\S]*?)</script>", 1)
+    return F.regexp_extract(text, SCRIPT_ELEMENT, 1)
 
 
 def script_blocks(files: DataFrame) -> DataFrame:

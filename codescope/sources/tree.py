@@ -116,6 +116,9 @@ def scan_source_tree(
 ) -> DataFrame:
     """All files below ``root`` as a corpus table; a missing root raises ``FileNotFoundError``.
 
+    ``mode`` is that of ``decode_text``: ``ignore`` for word search, ``strict`` for the views, where undecodable files
+    then answer with a status.
+
     Listing and reading are separate: listing yields paths only, those are spread evenly by hash (a shuffle of paths,
     not of contents), and then the bytes are read where they will be parsed. A flat or lopsided tree therefore still
     reads in parallel.
