@@ -108,3 +108,21 @@ def test_stored_corpus_prunes_kinds_and_pushes_paths(spark, files_of, tmp_path):
     plan = spark.read.parquet(location).where((F.col("kind") == "python") & F.col("path").isin("a.py"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in text and "PushedFilters: [In(path" in text or "EqualTo(path" in text
+
+
+def test_undecodable_file_is_a_status_in_views(spark):
+    from codescope.plans import lookup, views
+
+    frame = spark.createDataFrame(
+        [("bad.py", b"x = '\xff'\n"), ("good.py", b"def f(): pass\r\n"), ("gone.py", None)], "path string, content binary"
+    )
+    files = corpus.classify_files(corpus.decode_text(frame, "strict"))
+    got = {r.path: (r.status, r.view) for r in views.structure(files).collect()}
+    assert got == {
+        "bad.py": ("parse_error", "Parse error in bad.py: not valid UTF-8"),
+        "good.py": ("ok", "f"),
+        "gone.py": ("not_found", "File not found: gone.py"),
+    }
+    requests = spark.createDataFrame([(1, "bad.py", "f"), (2, "good.py", "f")], "req_id long, path string, name string")
+    answers = {r.req_id: (r.status, r.result) for r in lookup.symbol_body(files, requests).collect()}
+    assert answers == {1: ("parse_error", None), 2: ("ok", "def f(): pass")}
