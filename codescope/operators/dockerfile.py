@@ -128,7 +128,7 @@ def body(instr: Column, name: Column) -> Column:
     stage = F.get(F.filter(stages(instr), lambda s: s["stage_name"] == name), F.lit(0))["stage_no"]
     of_stage = let(stage, lambda k: F.filter(with_stage_numbers(instr), lambda x: x["stage_no"] == k))
     def text(rows: Column) -> Column:
-        return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, _written), "\n"))
+        return let(rows, lambda r: F.when(F.size(r) > 0, F.array_join(F.transform(r, _written), "\n")))
 
     return let(text(of_type), lambda found: F.when(found.isNotNull(), found).otherwise(text(of_stage)))
 
