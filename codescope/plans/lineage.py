@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once to the shared folder the cluster names in ``spark.checkpoint.dir`` and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. In local mode, where one machine runs everything, it may be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.local.dir', '/tmp').split(',')[0].rstrip('/')}/codescope-{spark.conf.get('spark.app.id')}"
+
+
+def new_location(spark: SparkSession) -> str:
+    """A new path below the shared folder; what is written there is removed when the session ends."""
+    location = f"{shared_folder(spark)}/codescope-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return location
 
-    Only where no folder is named, as in tests, a temporary one is used.
-    """
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="codescope-")
-    location = f"{folder.rstrip('/')}/codescope-{uuid.uuid4().hex}"
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` once to the shared folder and read it back, so that losing executors never repeats its work."""
+    location = new_location(frame.sparkSession)
     frame.write.parquet(location)
-    return spark.read.schema(frame.schema).parquet(location)
+    return frame.sparkSession.read.schema(frame.schema).parquet(location)
