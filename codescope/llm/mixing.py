@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codescope.plans.joins import fits_broadcast
 from codescope.plans.lineage import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,6 +67,20 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` (as ``a``) with one row per source (as ``b``).
+
+    That is broadcast when measured as small; else both are shuffled by source and the first digit of the document's
+    hash, so a source that holds a third of all rows is spread.
+    """
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    if fits_broadcast(per_source):
+        return rows.alias("a").join(F.broadcast(per_source).alias("b"), same)
+    digits = F.array(*[F.lit(f"{i:x}") for i in range(16)])
+    copies = per_source.withColumn("_digit", F.explode(digits))
+    return rows.alias("a").join(copies.alias("b"), same & (F.substring("a._order", 1, 1) == F.col("b._digit")))
+
+
 def mixed(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -107,9 +122,8 @@ def mixed(
         "a.source", F.col("_slice").alias("_end"), (F.col("_rest") - F.col("_upto") + F.col("sum")).alias("_left")
     )
     inner = Window.partitionBy("source").orderBy("_order", "size")  # repeated rows are taken together
-    last = brief.alias("a").join(ends.alias("b"), same & (F.col("_slice") == F.col("_end"))).select(
-        "a.source", "_order", "size", "_end", "_left"
-    )
+    ends = stored(ends)
+    last = _with_source(brief, ends).where("_slice = _end").select("a.source", "_order", "size", "_end", "_left")
     taken = last.withColumn("_to", F.sum("size").over(inner)).where("_to - size / 2 <= _left").groupBy("source", "_end").agg(
         F.max(F.struct("_order", "size")).alias("_last")
     )
@@ -119,7 +133,7 @@ def mixed(
     ).select("a.source", "source_size", "target", "_whole", "_end", "_last")
     before = F.col("_slice") < F.col("_end")
     at = (F.col("_slice") == F.col("_end")) & (F.struct("_order", "size") <= F.col("_last"))
-    joined = sized.alias("a").join(cuts.alias("b"), same)
+    joined = _with_source(sized, stored(cuts))
     kept = [F.col(f"a.`{c}`") for c in [*columns, "size"]]
     return joined.select(
         *kept, "b.source_size", "b.target", (F.col("_whole") + F.coalesce(before | at, F.lit(False)).cast("int")).alias("repeats")
