@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codescope.plans.lineage import stored
 
@@ -90,30 +92,31 @@ def _counted(turns: DataFrame, template: Template, tokenizer: Tokenizer) -> Data
     return turns.mapInArrow(run, f"{kinds}, tokens long")
 
 
-def _placed(turns: DataFrame) -> DataFrame:
-    """Counted turns with ``position`` and ``offset``, the number of turns and of tokens before, system turn apart.
-
-    Sums are formed by blocks of turn numbers, then over the blocks of a conversation, so that a conversation that
-    holds a third of all turns is spread over as many tasks as it has blocks.
-    """
+def _blocks(turns: DataFrame) -> DataFrame:
+    """Counted turns with ``block``, a range of turn numbers, and ``local`` and ``upto``, the turns and tokens before in it."""
     turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 40))))
-    order = ["turn", "role", "text"]
-    inside = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    here = stored(
-        turns.withColumn("position", F.count("tokens").over(inside)).withColumn(
-            "offset", F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-        )
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("local", F.count("tokens").over(before)).withColumn(
+        "upto", F.coalesce(F.sum("tokens").over(before), F.lit(0))
     )
-    sums = here.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+
+
+def _placed(blocks: DataFrame) -> DataFrame:
+    """The numbers of all turns with ``position`` and ``offset``, the turns and tokens before in the conversation.
+
+    The sums of blocks are summed over the blocks of a conversation, so that a conversation that holds a third of all
+    turns is spread over as many tasks as it has blocks.
+    """
+    sums = blocks.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         F.col("conv_id").alias("_conv"), F.col("block").alias("_block"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("_sum"),
     )
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))
-    return here.join(starts, same).select(
-        "conv_id", "turn", "role", "text", "tokens", (F.col("position") + F.col("_n")).alias("position"),
-        (F.col("offset") + F.col("_sum")).alias("offset"),
+    return blocks.select("conv_id", "block", "local", "upto", "role", "tokens").join(starts, same).select(
+        "conv_id", "block", "local", "role", "tokens", (F.col("local") + F.col("_n")).alias("position"),
+        (F.col("upto") + F.col("_sum")).alias("offset"),
     )
 
 
@@ -137,7 +140,8 @@ def chat_windows(
     of ``formatted``, of the texts of ``target_role`` in the span; repeated turns are never in it, so every target
     counts once.
 
-    Only numbers are summed by conversation; texts are grouped by window, so that no task holds more than one window.
+    Only numbers are summed by conversation; texts join them last and are grouped by window, so that no task holds more
+    than one window.
     Null roles and texts count as empty; a null ``conv_id`` is one conversation; repeated rows are turns like others.
     An empty table gives an empty result; further columns are ignored.
     """
@@ -145,17 +149,17 @@ def chat_windows(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    placed = _placed(_counted(turns, template, tokenizer))
-    placed = stored(placed)
-    systems = placed.where((F.col("position") == 0) & (F.col("role") == system_role)).select(
-        F.col("conv_id").alias("_conv"), F.col("text").alias("system_text"), F.col("tokens").alias("system_tokens")
-    )
-    systems = stored(systems)
+    blocks = stored(_blocks(_counted(turns, template, tokenizer)))
+    is_system = (F.col("position") == 0) & (F.col("role") == system_role)
+    placed = stored(_placed(blocks).withColumn("is_system", is_system).drop("role"))
+    is_system = F.col("is_system")
+    systems = stored(placed.where(is_system).select(
+        F.col("conv_id").alias("_conv"), F.col("tokens").alias("system_tokens"), "position", "block", "local"
+    ))
     own = F.col("conv_id").eqNullSafe(F.col("_conv"))
     sized = placed.join(systems.select("_conv", "system_tokens"), own, "left").drop("_conv")
     sized = sized.withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
     half = F.greatest(F.floor((F.lit(budget) - F.col("system_tokens")) / 2), F.lit(1))
-    is_system = (F.col("position") == 0) & (F.col("role") == system_role)
     sized = sized.withColumn("half", half).withColumn(
         "offset", F.when(is_system, F.lit(0)).otherwise(F.col("offset") - F.col("system_tokens"))
     )
@@ -164,19 +168,18 @@ def chat_windows(
     )
     # inside a bucket every long turn ends a span and is one itself
     before = Window.partitionBy("conv_id", "bucket").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sized.withColumn("span", F.coalesce(F.sum("big").over(before), F.lit(0)) * 2 + F.col("big"))
+    spans = stored(sized.withColumn("span", F.coalesce(F.sum("big").over(before), F.lit(0)) * 2 + F.col("big")))
     key = ["conv_id", "bucket", "span"]
-    new_tokens = F.sum(F.when(is_system, F.lit(0)).otherwise(F.col("tokens")))
-    spans = stored(spans)
     windows = stored(
         spans.groupBy(*key).agg(
-            F.min("position").alias("first"), F.min("offset").alias("start"), new_tokens.alias("new_tokens"),
+            F.min("position").alias("first"), F.min("offset").alias("start"),
+            F.sum(F.when(is_system, F.lit(0)).otherwise(F.col("tokens"))).alias("new_tokens"),
             F.max("system_tokens").alias("system_tokens"), F.max("half").alias("half"),
         )
     )
     named = windows.select(*[F.col(c).alias(f"w_{c}") for c in key], "first")
     match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in key])
-    parts = spans.join(named, match).select("conv_id", "first", F.lit(2).alias("kind"), "position", "role", "text", "tokens")
+    chosen = spans.join(named, match).select("conv_id", "first", F.lit(2).alias("kind"), "position", "block", "local")
     # history: turns that start within the allowance before the span; they lie in its bucket or in one of those before
     room = F.least(F.lit(history), F.lit(budget) - F.col("system_tokens") - F.col("new_tokens"))
     reach = windows.where("first > 0").select(
@@ -187,14 +190,19 @@ def chat_windows(
     earlier = own & (F.col("bucket") == F.col("_bucket")) & (F.col("position") < F.col("first")) & ~is_system & (
         F.col("offset") >= F.col("start") - F.col("room")
     )
-    parts = parts.union(
+    chosen = chosen.union(
         spans.join(reach.select("_conv", "first", "start", "room", "_bucket"), earlier).select(
-            "conv_id", "first", F.lit(1), "position", "role", "text", "tokens")
+            "conv_id", "first", F.lit(1), "position", "block", "local")
     )
-    parts = parts.union(
+    chosen = chosen.union(
         windows.where("first > 0").select("conv_id", "first").join(systems, own).select(
-            "conv_id", "first", F.lit(0), F.lit(0).cast("long"), F.lit(system_role), "system_text", "system_tokens")
+            "conv_id", "first", F.lit(0), "position", "block", "local")
     )
+    # only now the texts
+    texts = blocks.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.col("local").alias("_local"),
+                          "role", "text", "tokens")
+    same = own & (F.col("block") == F.col("_block")) & (F.col("local") == F.col("_local"))
+    parts = chosen.join(texts, same).select("conv_id", "first", "kind", "position", "role", "text", "tokens")
     parts = parts.repartition("conv_id", "first").sortWithinPartitions("conv_id", "first", "kind", "position")
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
@@ -215,8 +223,6 @@ def chat_windows(
         if held:
             yield pa.RecordBatch.from_pylist([_window(held, template, budget, target_role)], schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     schema = pa.schema([
         ("conv_id", to_arrow_type(conversations.schema["conv_id"].dataType)), ("first", pa.int64()), ("n_new", pa.int64()),
         ("n_context", pa.int64()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()), ("formatted", pa.string()),
@@ -248,10 +254,6 @@ def read_back(windows: DataFrame, template: Template = Template()) -> DataFrame:
     The digests run over the turns, and over the texts in the loss ranges, of each conversation in order, so its
     windows stream through one task, one window at a time.
     """
-    import hashlib
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
     ordered = windows.select("conv_id", "first", "n_context", "formatted", "loss").repartition("conv_id")
     ordered = ordered.sortWithinPartitions("conv_id", "first")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
