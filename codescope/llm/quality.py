@@ -198,8 +198,8 @@ def _sampled(docs: DataFrame, ids: DataFrame, limit: int) -> tuple[list[np.ndarr
     rows = rows.join(F.broadcast(ids), "doc_id").select(place.alias("place"), "label", "text", "source", "lang", "n_chars")
     found = rows.mapInArrow(run, "place long, label int, x array<float>").limit(limit).collect()
     found.sort(key=lambda r: (r.place, r.x))
-    x = np.array([r.x for r in found], np.float32).reshape(len(found), -1)
     width = len(TEXT_FEATURES)
+    x = np.array([r.x for r in found], np.float32).reshape(len(found), width + HASHED + 2)
     return [x[:, :width], x[:, width:]], np.array([r.label for r in found], float)
 
 

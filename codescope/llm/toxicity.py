@@ -28,8 +28,8 @@ SYMBOLS = 64
 TRAIN_DOCUMENTS = 6_000
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 12_000, 5_000
 LANDMARKS = 64
-#: Standard deviations by which a word must be more frequent in toxic sentences, and the words taken at least.
-MARKED, LEAST_MARKED = 4.0, 20
+#: Standard deviations by which a word must be more frequent in toxic sentences; the second where the first gives few.
+MARKED, WEAKLY_MARKED, FEW = 4.0, 3.0, 20
 ROUNDS = 3
 COST = 1e4
 THRESHOLD = 0.3
@@ -305,7 +305,10 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
     ratio = kinds[1] / kinds[0]
     excess = (F.col("t") - F.col("c") * ratio) / F.sqrt(F.col("t") + F.col("c") * ratio * ratio + 1)
     marked = counts.select("word", "t", excess.alias("z")).where("z > 0").orderBy(F.desc("z"), "word").limit(POSITIVE_WORDS).collect()
-    marked = [r for i, r in enumerate(marked) if r.z >= MARKED or i < LEAST_MARKED]
+    strong = [r for r in marked if r.z >= MARKED]
+    if len(strong) < FEW:
+        strong = [r for r in marked if r.z >= WEAKLY_MARKED] or marked[:FEW]
+    marked = strong
     positive, texts = [bytes(r.word) for r in marked], [r.t for r in marked]
     clean = counts.where("c > 0").select("word").orderBy(F.xxhash64("word")).limit(NEGATIVE_WORDS).collect()
     known = set(positive)
