@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.plans.lineage import new_location
+from codescope.plans.lineage import new_location, stored
 
 #: Texts are encoded in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
@@ -161,4 +161,5 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache: CountCache) -> Da
     misses = rows.groupBy("digest").agg(F.first("content").alias("content")).join(known, "digest", "left_anti")
     cache.append(_encoded(misses, tokenizer), tokenizer.version)
     brief = rows.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
-    return brief.join(cache.counts(tokenizer.version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(cache.counts(tokenizer.version))  # so that the join may split hot digests on both sides
+    return brief.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
