@@ -58,7 +58,7 @@ def _load_yaml(text: str) -> object:
     try:
         return yaml.load(text, Loader=_FAST_YAML)
     except yaml.YAMLError:
-        return yaml.safe_load(text)  # the same failure, worded by the reference loader
+        return yaml.safe_load(text)  # the same failure, worded by the loader in Python
 
 
 _LOADERS = {"json": json.loads, "yaml": _load_yaml}
@@ -68,28 +68,65 @@ _DUMPERS = {
 }
 
 
+def _shares_nodes(value: object) -> bool:
+    """Whether a container occurs twice in ``value``, as YAML aliases make it; written out it could grow without bound."""
+    seen, waiting = set(), [value]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict | list):
+            if id(node) in seen:
+                return True
+            seen.add(id(node))
+            waiting.extend(node.values() if isinstance(node, dict) else node)
+    return False
+
+
+def _json_keys(value: object) -> object:
+    """``value`` with the keys of all objects as text."""
+    if isinstance(value, dict):
+        return {str(k): _json_keys(v) for k, v in value.items()}
+    return [_json_keys(v) for v in value] if isinstance(value, list) else value
+
+
+def _compact(value: object, kind: str) -> str | None:
+    if kind == "yaml":
+        if _shares_nodes(value):
+            return None
+        value = _json_keys(value)
+    return json.dumps(value, default=str, separators=(",", ":"))
+
+
+def _rendered(render, *value: object) -> str | None:
+    """What ``render`` gives, or null for a value that cannot be written; the file's other entries are not touched."""
+    try:
+        text = render(*value)
+        return None if text is None else _plain(text)
+    except Exception:  # noqa: BLE001 - whatever a value does to its renderer, it must not end the job
+        return None
+
+
 def _parse_one(text: str, kind: str, bodies: bool) -> tuple:
     try:
         root = _LOADERS[kind](text)
-    except (ValueError, yaml.YAMLError, RecursionError) as problem:
-        return _plain(str(problem)), None, None, None, []
+    except Exception as problem:  # noqa: BLE001 - constructors of tagged values raise errors of all kinds
+        return _plain(str(problem) or type(problem).__name__), None, None, None, []
     kind_name = type(root).__name__
     if isinstance(root, list):
         return None, kind_name, len(root), None, []
     if not isinstance(root, dict):
-        return None, kind_name, None, _plain(repr(root)), []
+        return None, kind_name, None, _rendered(repr, root), []
     entries = []
     for position, (key, value) in enumerate(root.items()):
         nested = isinstance(value, dict | list)
         entries.append(
             (
                 position,
-                _plain(str(key)),
+                _rendered(str, key),
                 type(value).__name__,
                 len(value) if nested else None,
-                None if nested else _plain(repr(value)),
-                json.dumps(value, default=str, skipkeys=True, separators=(",", ":")) if bodies else None,
-                _plain(_DUMPERS[kind](value)) if bodies else None,
+                None if nested else _rendered(repr, value),
+                _rendered(_compact, value, kind) if bodies else None,
+                _rendered(_DUMPERS[kind], value) if bodies else None,
             )
         )
     return None, kind_name, len(root), None, entries
@@ -122,7 +159,11 @@ def preview(entry: Column) -> Column:
 
 
 def config_entries(parsed: DataFrame) -> DataFrame:
-    """(path, ord, key, value_type, value_json, n_children, preview, body): one row per top-level key."""
+    """(path, ord, key, value_type, value_json, n_children, preview, body): one row per top-level key.
+
+    ``value_json`` is null for a value with aliases, which JSON cannot hold; ``body`` has them as the dumper writes them.
+    Either is null for a value that is nested too deep to be written.
+    """
     rows = parsed.select("path", F.explode("config.entries").alias("e"))
     return rows.select(
         "path", "e.ord", "e.key", "e.value_type", "e.value_json", "e.n_children",
@@ -170,7 +211,10 @@ def missing(config: Column, kind: Column, name: Column) -> Column:
     keys = F.array_join(F.transform(config["entries"], lambda e: e["key"]), ", ")
     root = F.when(kind == "json", "object").otherwise("mapping")
     article = F.when(kind == "json", "an ").otherwise("a ")
+    there = F.exists(config["entries"], lambda e: e["key"] == name)
     return F.when(
+        (config["root_type"] == "dict") & there, F.concat(F.lit("Value of key '"), name, F.lit("' cannot be written out"))
+    ).when(
         config["root_type"] == "dict",
         F.concat(F.lit("Key '"), name, F.lit("' not found. Top-level keys: "), keys),
     ).otherwise(F.concat(F.lit("Cannot look up key '"), name, F.lit("': root is not "), article, root))

@@ -20,7 +20,7 @@ from ..functions.text import let, normalize_newlines
 SYMBOL = (
     "ord int, bfs_ord int, name string, kind string, is_async boolean, parent string, parent_ord int, top_name string,"
     " depth int, listed boolean, first_named boolean, start_line int, end_line int, name_col int, body_off int, body_len int,"
-    " header string, doc_first string, doc_full string, first_line string, next_line string"
+    " arguments string, returns string, bases array<string>, doc_full string, first_line string, next_line string"
 )
 IMPORT = (
     "ord int, start_line int, end_line int, text string, module string, names array<string>, top_level boolean"
@@ -61,20 +61,16 @@ def _statements(node: ast.AST):
                     yield child
 
 
-def _heading(node: ast.stmt) -> str:
-    if isinstance(node, ast.ClassDef):
-        bases = ", ".join(map(ast.unparse, node.bases))
-        return f"class {node.name}({bases}):" if bases else f"class {node.name}:"
-    returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-    word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-    return f"{word} {node.name}({ast.unparse(node.args)}){returns}: ..."
-
-
-def _docstring(node: ast.stmt) -> str | None:
-    first = node.body[0]
-    if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-        return first.value.value
-    return None
+def _signature(node: ast.stmt) -> tuple[str | None, str | None, list[str] | None, str | None]:
+    """Source of a definition's arguments, returned annotation and bases, and its docstring; all null if too deep."""
+    try:
+        doc = ast.get_docstring(node, clean=False)
+        if isinstance(node, ast.ClassDef):
+            return None, None, [_plain(ast.unparse(base)) for base in node.bases], _plain(doc)
+        returns = node.returns and _plain(ast.unparse(node.returns))
+        return _plain(ast.unparse(node.args)), returns, None, _plain(doc)
+    except Exception:  # noqa: BLE001 - an expression nested too deep must not end the job
+        return None, None, None, None
 
 
 def _parse_one(source: str, signatures: bool) -> tuple:
@@ -83,7 +79,7 @@ def _parse_one(source: str, signatures: bool) -> tuple:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
+    except Exception as problem:  # noqa: BLE001 - no file may end the job
         return _plain(str(problem) or type(problem).__name__), [], []
 
     lines = source.split("\n")
@@ -132,16 +128,13 @@ def _parse_one(source: str, signatures: bool) -> tuple:
     for s in found:
         node, parent = s["node"], s["owner"]
         start, end = node.lineno, node.end_lineno
-        doc = _docstring(node) if signatures else None
         offset = starts[start - 1]
         symbols.append(
             (
                 s["ord"], s["bfs"], node.name, s["kind"], isinstance(node, ast.AsyncFunctionDef),
                 parent and parent["node"].name, parent and parent["ord"], s["top"], s["depth"], s["listed"], s["first"],
                 start, end, s["col"], offset, starts[end] - 1 - offset,
-                _plain(_heading(node)) if signatures else None,
-                _plain(doc.split("\n")[0].strip()) if doc is not None else None,
-                _plain(doc),
+                *(_signature(node) if signatures else (None, None, None, None)),
                 lines[start - 1] if signatures else None,
                 lines[start] if signatures and start < len(lines) else None,
             )
@@ -173,7 +166,23 @@ def parse_python(files: DataFrame, signatures: bool = True) -> DataFrame:
 
 def symbols_table(parsed: DataFrame) -> DataFrame:
     """One row per class or function at any depth."""
-    return parsed.select("path", F.inline("parsed.symbols"))
+    rows = parsed.select("path", F.explode("parsed.symbols").alias("s"))
+    return rows.select("path", "s.*", header(F.col("s")).alias("header"), doc_first(F.col("s")).alias("doc_first"))
+
+
+def header(symbol: Column) -> Column:
+    """``class Name(Bases):`` or ``def name(arguments) -> returned: ...``; null without a signature."""
+    bases = F.when(F.size(symbol["bases"]) > 0, F.concat(F.lit("("), F.array_join(symbol["bases"], ", "), F.lit(")")))
+    opening = F.when(symbol["is_async"], F.lit("async def ")).otherwise(F.lit("def "))
+    returned = F.coalesce(F.concat(F.lit(" -> "), symbol["returns"]), F.lit(""))
+    return F.when(
+        symbol["bases"].isNotNull(), F.concat(F.lit("class "), symbol["name"], F.coalesce(bases, F.lit("")), F.lit(":"))
+    ).otherwise(F.concat(opening, symbol["name"], F.lit("("), symbol["arguments"], F.lit(")"), returned, F.lit(": ...")))
+
+
+def doc_first(symbol: Column) -> Column:
+    """The first line of the docstring without the white space around it."""
+    return F.regexp_replace(F.substring_index(symbol["doc_full"], "\n", 1), r"(?U)\A\s+|\s+\z", "")
 
 
 def imports_table(parsed: DataFrame) -> DataFrame:

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import messages
 from ..functions.text import SPACES, join_or, let, strip
+from .python_symbols import doc_first, header
 
 # Labels of symbol kinds. Kinds without a label print without one.
 KIND_LABELS = {
     "class": "Class",
     "method": "Method",
-    "constructor": "Constructor",
-    "enum": "Enum",
-    "interface": "Interface",
     "function": "Function",
-    "constant": "Constant",
-    "struct": "Struct",
-    "type_parameter": "TypeParameter",
 }
 TRIPLE_QUOTES = ('"""', "'''")
 
@@ -53,10 +48,10 @@ def skeleton(parsed: Column) -> Column:
     def lines(symbols: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
             indent = F.when(s["depth"] > 0, "    ").otherwise("")
-            header = F.concat(indent, s["header"])
-            doc = F.when(s["doc_first"] != "", F.concat(indent, F.lit('    """'), s["doc_first"], F.lit('"""')))
+            head = F.concat(indent, header(s))
+            doc = let(doc_first(s), lambda d: F.when(d != "", F.concat(indent, F.lit('    """'), d, F.lit('"""'))))
             blank = F.when(((s["kind"] == "class") | (s["depth"] > 0)) & _ends_group(symbols, i), F.lit(""))
-            return F.array_compact(F.array(header, doc, blank))
+            return F.array_compact(F.array(head, doc, blank))
 
         return F.flatten(F.transform(symbols, one))
 
@@ -135,7 +130,7 @@ def symbol_card(parsed: Column, name: Column) -> Column:
         first_named(parsed, name),
         lambda s: F.when(
             s.isNotNull(),
-            F.concat_ws("\n", F.regexp_replace(s["header"], r":( \.\.\.)?\z", ""), s["doc_full"]),
+            F.concat_ws("\n", F.regexp_replace(header(s), r":( \.\.\.)?\z", ""), s["doc_full"]),
         ),
     )
 

@@ -47,6 +47,8 @@ _GOES_ON = re.compile(r"(?:[=,+\-*/%&|^?:.(\[{!~]|=>|\b(?:extends|implements|ret
 _CONTINUES = re.compile(r"[.,?:=+\-*/%&|^<>)\]}(\[`{]|(?:instanceof|in|as|satisfies|extends|implements|from)\b")
 _MEMBER_CONTINUES = re.compile(r"[.,?:=+/%&|^>)\]}{]|(?:extends|is)\b")
 _DECORATORS = re.compile(r"\s*(?:@[\w$.]+\s*(?:\(\s*\))?\s*)+\Z")
+_DECORATED = re.compile(r"\s*@")
+_TAIL = 16  # characters that decide whether a line goes on: more than the longest word in _GOES_ON
 _DOC = re.compile(r"/\*\*(?!/)([\s\S]*?)\*/")
 
 
@@ -73,6 +75,7 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
     """
     continues = _MEMBER_CONTINUES if inside else _CONTINUES
     depth, start, kept, outline, opened = 0, lo, lo, "", None
+    looked, last = lo, lo  # up to where the code was looked at, and the end of the last visible character before that
 
     def cut(end: int, body: int | None):
         text = code[start:end]
@@ -102,17 +105,22 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
         elif depth:
             continue
         elif sign == "\n":
-            so_far = outline + code[kept:at]
+            seen = code[looked:at].rstrip()
+            if seen:
+                last = looked + len(seen)
+            looked = at
+            tail = code[max(kept, last - _TAIL) : last] if last > kept else outline[-_TAIL:].rstrip()
             following = _VISIBLE.search(code, at, hi)
             if (
-                not so_far.strip()
-                or _GOES_ON.search(so_far.rstrip())
+                not tail.strip()
+                or _GOES_ON.search(tail)
                 or (following and continues.match(code, following.start()))
-                or ("@" in so_far and _DECORATORS.match(so_far))
+                or (_DECORATED.match(code, start) and _DECORATORS.match(outline + code[kept:at]))
             ):
                 continue
         yield from cut(at + 1, body)
         start, kept, outline, opened = at + 1, at + 1, "", None
+        looked = last = at + 1
     yield from cut(hi, None)
 
 

@@ -19,12 +19,11 @@ _REPLACEMENT = chr(0xFFFD)
 _KEEP = chr(0xFDD0) + chr(0xFDD1) + chr(0xFDD0)
 
 
-def classify_files(files: DataFrame) -> DataFrame:
+def classify_files(files: DataFrame, kind: Column | None = None) -> DataFrame:
     """Add ``name``, ``ext``, ``kind`` (null when unsupported) and ``language`` from ``path``; a pure projection."""
     path = F.col("path")
-    return files.withColumns(
-        {"name": file_name(path), "ext": suffix(path), "kind": file_kind(path), "language": language_id(path)}
-    )
+    kind = file_kind(path) if kind is None else kind
+    return files.withColumns({"name": file_name(path), "ext": suffix(path), "kind": kind, "language": language_id(path)})
 
 
 def decode_text(files: DataFrame, mode: str = "strict") -> DataFrame:
@@ -68,22 +67,33 @@ def prune_files(
 
 
 def read_corpus(spark: SparkSession, location: str, root: str = "", **prune) -> DataFrame:
-    """A corpus table from parquet, pruned and classified."""
-    return classify_files(prune_files(spark.read.parquet(location), root, **prune))
+    """A corpus table from parquet, pruned and classified.
+
+    A stored ``kind`` is kept, so that a filter on it skips the other partitions; else it is found from ``path``.
+    """
+    files = prune_files(spark.read.parquet(location), root, **prune)
+    if "kind" not in files.columns:
+        return classify_files(files)
+    kind = F.col("kind")
+    return classify_files(files, F.when(kind != "other", kind))
 
 
-def write_corpus(files: DataFrame, location: str) -> None:
+def write_corpus(
+    files: DataFrame, location: str, partitions: int | None = None, max_records_per_file: int = 0
+) -> None:
     """Store a corpus so that later work reads little of it.
 
     Partitioned by ``kind`` (views of one kind skip the others) and range-clustered by path, so that the min/max of
-    ``path`` in each row group lets a lookup of a few files skip nearly all text.
+    ``path`` in each row group lets a lookup of a few files skip nearly all text. ``partitions`` is the number of sort
+    tasks: the size of the corpus divided by what one task should sort (else ``spark.sql.shuffle.partitions``).
     """
-    kinds = F.coalesce("kind", F.lit("other"))
+    order = [F.col("kind"), F.col("path")]
+    kinds = files.withColumn("kind", F.coalesce("kind", F.lit("other")))
+    ranged = kinds.repartitionByRange(partitions, *order) if partitions else kinds.repartitionByRange(*order)
     (
-        files.withColumn("kind", kinds)
-        .repartitionByRange("kind", "path")
-        .sortWithinPartitions("kind", "path")
+        ranged.sortWithinPartitions("kind", "path")
         .write.mode("errorifexists")
+        .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("kind")
         .parquet(location)
     )

@@ -32,11 +32,8 @@ class _TreeReader(DataSourceReader):
         return name not in self.skip and not (self.skip_hidden and name.startswith("."))
 
     def _subdirs(self, directory: str) -> list[str]:
-        try:
-            with os.scandir(directory) as entries:
-                return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and self._keep(e.name))
-        except OSError:
-            return []
+        with os.scandir(directory) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and self._keep(e.name))
 
     def partitions(self) -> list[InputPartition]:
         # Only directory names of the upper levels are listed here, never files.
@@ -49,7 +46,10 @@ class _TreeReader(DataSourceReader):
         return opened + [_Subtree(d, True) for d in frontier]
 
     def read(self, partition: _Subtree) -> Iterator[tuple[str]]:
-        for directory, dirs, names in os.walk(partition.directory):
+        def failed(problem: OSError) -> None:
+            raise problem  # a directory that cannot be listed must not vanish with all below it
+
+        for directory, dirs, names in os.walk(partition.directory, onerror=failed):
             dirs[:] = [d for d in dirs if self._keep(d)] if partition.recurse else []
             for name in names:
                 yield (os.path.join(directory, name),)
@@ -79,9 +79,9 @@ class SourceTree(DataSource):
 
 
 def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read the named files, a bounded number of bytes per Arrow batch; files that cannot be opened are left out."""
+    """Read the named files, a bounded number of bytes per Arrow batch; the content of a file that cannot be read is null."""
     paths: list[str] = []
-    contents: list[bytes] = []
+    contents: list[bytes | None] = []
     held = 0
 
     def batch() -> pa.RecordBatch:
@@ -95,10 +95,10 @@ def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 with open(path, "rb") as handle:
                     data = handle.read()
             except OSError:
-                continue
+                data = None
             paths.append(path)
             contents.append(data)
-            held += len(data)
+            held += len(data or b"")
             if held >= _READ_BATCH_BYTES:
                 yield batch()
                 paths, contents, held = [], [], 0
@@ -111,13 +111,14 @@ def scan_source_tree(
     root: str,
     skip_dirs: Iterable[str] = SEARCH_SKIP_DIRS,
     skip_hidden_dirs: bool = True,
-    mode: str = "ignore",
+    mode: str = "strict",
     num_partitions: int | None = None,
 ) -> DataFrame:
     """All files below ``root`` as a corpus table; a missing root raises ``FileNotFoundError``.
 
-    ``mode`` is that of ``decode_text``: ``ignore`` for word search, ``strict`` for the views, where undecodable files
-    then answer with a status.
+    ``mode`` is that of ``decode_text``: with ``strict`` undecodable files have null text and say so in ``status``; give
+    ``ignore`` to search such files as well. A file that cannot be read is a row with status ``unreadable``; a directory
+    that cannot be listed raises.
 
     Listing and reading are separate: listing yields paths only, those are spread evenly by hash (a shuffle of paths,
     not of contents), and then the bytes are read where they will be parsed. A flat or lopsided tree therefore still

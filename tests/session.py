@@ -1,3 +1,5 @@
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +13,7 @@ def make_session(cores: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codescope-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

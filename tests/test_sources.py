@@ -1,5 +1,4 @@
 import os
-import stat
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,20 +65,17 @@ def test_missing_root(spark):
 
 
 def test_search_in_a_tree(spark, root):
-    hits = references.find_references(tree.scan_source_tree(spark, root), "MyClass").collect()
+    hits = references.find_references(tree.scan_source_tree(spark, root, mode="ignore"), "MyClass").collect()
     assert {(os.path.relpath(r.path, root), r.line_no) for r in hits} == {
         ("a.py", 1), ("pkg/.hidden.py", 1), ("pkg/_x/deep/er/m.py", 1), ("pkg/_x/deep/er/m.py", 2),
         ("pkg/_x/deep/er/m.py", 3), ("dist/d.js", 1), ("broken.txt", 1),
     }
 
 
-def test_unreadable_file_is_left_out(spark, root):
-    if os.geteuid() == 0:
-        os.symlink(os.path.join(root, "nowhere"), os.path.join(root, "dangling.py"))
-    else:
-        os.chmod(os.path.join(root, "a.py"), stat.S_IWUSR)
-    found = relative(root, tree.scan_source_tree(spark, root))
-    assert "dangling.py" not in found
+def test_unreadable_and_undecodable_files_are_rows(spark, root):
+    os.symlink(os.path.join(root, "nowhere"), os.path.join(root, "dangling.py"))
+    status = {os.path.relpath(r.path, root): r.status for r in tree.scan_source_tree(spark, root).collect()}
+    assert status == {**dict.fromkeys(SEARCHED, "ok"), "broken.txt": "decode_error", "dangling.py": "unreadable"}
 
 
 BYTES = [b"", b"ok\xc3\xa9", b"\xff", b"a\xc3", b"\xe2\x28\xa1", b"\xf0\x9f\x98x", b"\xed\xa0\x80y", b"\xef\xbf\xbd\xff", b"\xc0\xaf", b"\r\n\r"]
@@ -102,12 +98,12 @@ def test_decoding_agrees_with_bytes_decode(spark):
 def test_stored_corpus_prunes_kinds_and_pushes_paths(spark, files_of, tmp_path):
     files = files_of({"a.py": "x", "b/Dockerfile": "FROM x", "c.rb": "y"}).select("path", "name", "ext", "kind", "text")
     location = str(tmp_path / "corpus")
-    corpus.write_corpus(files, location)
+    corpus.write_corpus(files, location, partitions=2, max_records_per_file=1)
     back = corpus.read_corpus(spark, location)
     assert {(r.path, r.kind) for r in back.collect()} == {("a.py", "python"), ("b/Dockerfile", "dockerfile"), ("c.rb", None)}
-    plan = spark.read.parquet(location).where((F.col("kind") == "python") & F.col("path").isin("a.py"))
+    plan = back.where((F.col("kind") == "python") & F.col("path").isin("a.py"))
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(kind" in text and "PushedFilters: [In(path" in text or "EqualTo(path" in text
+    assert "PartitionFilters: []" not in text and "PartitionFilters: [" in text and "PushedFilters: [In(path" in text or "EqualTo(path" in text
 
 
 def test_undecodable_file_is_a_status_in_views(spark):

@@ -304,8 +304,6 @@ names(name, ext, kind, language, family) AS (VALUES
 TOKENS = f"""
 lines AS ({DOC_LINES}),
 tokens AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '{WORD}+')) AS word FROM lines)"""
-FIRST_WORD = f"regexp_extract(text, '({WORD}+)', 1)"
-PHRASE = f"regexp_extract(text, '({WORD}+[^\\p{{L}}\\p{{N}}_\\n]+{WORD}+)', 1)"
 PIECES = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
 
 USERS = """
@@ -357,18 +355,23 @@ ORACLE = {
       SELECT 'track(0);</script' AS symbol, path, line_no FROM lines
       WHERE regexp_matches(line, '(^|{NOT_WORD})track\\(0\\);</script($|{NOT_WORD})')""",
     "find_references_bulk": f"""WITH {TOKENS},
-      wanted AS (SELECT DISTINCT {FIRST_WORD} AS word FROM benchmark)
+      wanted AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}+')) AS word FROM benchmark)
       SELECT word AS symbol, path, line_no FROM tokens JOIN wanted USING (word)""",
     "find_references_phrases": f"""WITH lines AS ({DOC_LINES}),
-      wanted AS (SELECT DISTINCT {PHRASE} AS symbol FROM benchmark)
-      SELECT symbol, path, line_no FROM lines JOIN wanted ON symbol <> '' AND contains(line, symbol)
+      parts AS (SELECT regexp_extract_all(text, '{WORD}+') AS w, regexp_extract_all(text, '{NOT_WORD}+') AS g,
+                       CASE WHEN regexp_matches(text, '^{NOT_WORD}') THEN 1 ELSE 0 END AS shift FROM benchmark),
+      pairs AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || g[i + shift] || w[i + 1])) AS symbol FROM parts),
+      wanted AS (SELECT DISTINCT symbol FROM pairs WHERE NOT contains(symbol, chr(10)))
+      SELECT symbol, path, line_no FROM lines JOIN wanted ON contains(line, symbol)
       WHERE regexp_matches(line, '(^|{NOT_WORD})' || regexp_escape(symbol) || '($|{NOT_WORD})')""",
     "reference_requests": f"""WITH {TOKENS},
-      r AS (SELECT item_id AS req_id, CASE WHEN item_id % 5 = 0 THEN 'nowhere_' || item_id ELSE {FIRST_WORD} END AS name
-            FROM benchmark)
+      w AS (SELECT item_id, unnest(l) AS name, generate_subscripts(l, 1) - 1 AS pos
+            FROM (SELECT item_id, regexp_extract_all(text, '{WORD}+') AS l FROM benchmark)),
+      r AS (SELECT min(item_id * 100000 + pos) AS req_id, name FROM w GROUP BY name
+            UNION ALL SELECT -1 - item_id, 'nowhere_' || item_id FROM benchmark)
       SELECT req_id, name, path, line_no, CASE WHEN path IS NULL THEN 'no_references' ELSE 'ok' END AS status,
              CASE WHEN path IS NULL THEN '(no references found)' END AS message
-      FROM r LEFT JOIN tokens ON word = name WHERE name <> ''""",
+      FROM r LEFT JOIN tokens ON word = name""",
     "resolved_references": f"""WITH {USERS}
       SELECT CAST(n AS BIGINT) AS req_id, 'Nation' || n AS symbol, path, CAST(line_no AS INTEGER) AS line_no,
              CASE WHEN n % 5 = 0 THEN 'text' ELSE 'resolved' END AS method

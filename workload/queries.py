@@ -75,10 +75,13 @@ def find_references_phrase(spark, sf_dir):
     return references.find_references(corpora.page_files(spark, sf_dir), "track(0);</script")
 
 
+_WORD, _GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+
+
 def benchmark_symbols(spark, sf_dir):
-    """The first word of each benchmark item."""
-    words = F.regexp_extract("text", r"([\p{L}\p{N}_]+)", 1)
-    return table(spark, sf_dir, "benchmark").select(words.alias("symbol")).where("symbol != ''").distinct()
+    """Every word of every benchmark item."""
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select(F.explode(words).alias("symbol")).distinct()
 
 
 def find_references_bulk(spark, sf_dir):
@@ -88,20 +91,28 @@ def find_references_bulk(spark, sf_dir):
 
 
 def find_references_phrases(spark, sf_dir):
-    """Names that are not plain words: the first two words of each benchmark item, as they are written."""
-    phrase = F.regexp_extract("text", r"([\p{L}\p{N}_]+[^\p{L}\p{N}_\n]+[\p{L}\p{N}_]+)", 1)
-    symbols = table(spark, sf_dir, "benchmark").select(phrase.alias("symbol")).where("symbol != ''")
+    """Names that are not plain words: all neighbouring words of one line of each benchmark item, as they are written."""
+    parts = table(spark, sf_dir, "benchmark").select(
+        F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"),
+        F.regexp_extract_all("text", F.lit(_GAP), F.lit(0)).alias("gaps"),
+        F.col("text").rlike(r"\A" + _GAP).cast("int").alias("shift"),
+    ).where("size(words) > 1")
+    pair = F.transform(
+        F.sequence(F.lit(0), F.size("words") - 2),
+        lambda i: F.concat(F.get("words", i), F.get("gaps", i + F.col("shift")), F.get("words", i + 1)),
+    )
+    symbols = parts.select(F.explode(pair).alias("symbol")).where(~F.contains("symbol", F.lit("\n"))).distinct()
     return references.find_references_bulk(corpora.document_files(spark, sf_dir), symbols)
 
 
 def reference_requests(spark, sf_dir):
-    """One request per benchmark word, and one for a word that is nowhere."""
+    """One request for each word of the benchmark, and one per item for a word that is nowhere."""
     benchmark = table(spark, sf_dir, "benchmark")
-    name = F.when(F.col("item_id") % 5 == 0, F.format_string("nowhere_%d", "item_id")).otherwise(
-        F.regexp_extract("text", r"([\p{L}\p{N}_]+)", 1)
-    )
-    requests = benchmark.select(F.col("item_id").alias("req_id"), name.alias("name")).where("name != ''")
-    return lookup.find_references(corpora.document_files(spark, sf_dir), requests)
+    words = benchmark.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("at", "name"))
+    first = F.min(F.col("item_id") * 100_000 + F.col("at")).alias("req_id")
+    asked = words.groupBy("name").agg(first).select("req_id", "name")
+    nowhere = benchmark.select((-1 - F.col("item_id")).alias("req_id"), F.format_string("nowhere_%d", "item_id").alias("name"))
+    return lookup.find_references(corpora.document_files(spark, sf_dir), asked.union(nowhere))
 
 
 def resolved_references(spark, sf_dir):
