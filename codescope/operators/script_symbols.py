@@ -35,7 +35,8 @@ SCRIPT_ELEMENT = r"<script(?:\s[^>]*)?>(\s*[\s\S]*?)</script>"
 
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _QUOTED = r'"(?:\\[\s\S]|[^"\\\n])*"' r"|'(?:\\[\s\S]|[^'\\\n])*'" r"|`(?:\\[\s\S]|[^`\\])*`"
-_PATTERN = r"(?P<before>[(,=:\[!&|?{;]\s*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+_BEFORE = r"(?:[(,=:\[!&|?{;]|\b(?:return|typeof|case|in|of|delete|void|throw|new)\b)\s*"
+_PATTERN = rf"(?P<before>{_BEFORE})" r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
 _INERT = re.compile(f"(?P<comment>{_COMMENT})|{_QUOTED}|{_PATTERN}")
 _MARK = re.compile(r"[{}()\[\];\n]")
 _VISIBLE = re.compile(r"\S")

@@ -64,3 +64,9 @@ def test_continued_lines_take_linear_time():
     rows = script_symbols._scan_one(text)
     assert time.perf_counter() - began < 2
     assert len(rows) == 2
+
+
+@pytest.mark.parametrize("line", ["return /[{`]/.test(y)", "throw /[`]/", "const q = typeof /{/", "return a / b / c"])
+def test_patterns_after_keywords_hide_nothing(line):
+    rows = script_symbols._scan_one("function a(y) {\n  " + line + "\n}\nfunction b() {}\n")
+    assert [r[0] for r in rows] == [0, len("function a(y) {\n  " + line + "\n}\n")]
