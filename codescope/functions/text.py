@@ -56,6 +56,22 @@ def join_or(lines: Column, empty: str) -> Column:
     return let(lines, lambda x: F.when(F.size(x) == 0, F.lit(empty)).otherwise(F.array_join(x, "\n")))
 
 
+# Labels of symbol kinds. Kinds without a label print without one.
+KIND_LABELS = {
+    "class": "Class",
+    "method": "Method",
+    "constructor": "Constructor",
+    "interface": "Interface",
+    "function": "Function",
+}
+
+
+def label(kind: Column) -> Column:
+    """``[Class] `` and so on in front of a name, empty for other kinds."""
+    named = F.coalesce(*[F.when(kind == k, F.lit(f"[{text}] ")) for k, text in KIND_LABELS.items()])
+    return F.coalesce(named, F.lit(""))
+
+
 def quote_regex(symbol: str) -> str:
     return r"\Q" + symbol.replace(r"\E", r"\E\\E\Q") + r"\E"
 

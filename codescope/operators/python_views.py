@@ -6,24 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.text import SPACES, join_or, let, strip
+from ..functions.text import SPACES, join_or, label, let, strip
 from .python_symbols import doc_first, header
 
-# Labels of symbol kinds. Kinds without a label print without one.
-KIND_LABELS = {
-    "class": "Class",
-    "method": "Method",
-    "function": "Function",
-}
 TRIPLE_QUOTES = ('"""', "'''")
 
 
-def label(kind: Column) -> Column:
-    """``[Class] `` and so on in front of a name, empty for other kinds."""
-    named = F.coalesce(*[F.when(kind == k, F.lit(f"[{text}] ")) for k, text in KIND_LABELS.items()])
-    return F.coalesce(named, F.lit(""))
-
-
 def _listed(parsed: Column) -> Column:
     return F.filter(parsed["symbols"], lambda s: s["listed"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.text import join_or, let, normalize_newlines
+from ..functions.text import SPACES, join_or, label, let, normalize_newlines
 
 _MEMBER_FIELDS = "start_line int, end_line int, code string, head string, doc string"
 STATEMENT = f"off int, len int, {_MEMBER_FIELDS}, members array<struct<{_MEMBER_FIELDS}>>"
@@ -33,11 +33,15 @@ _ARROW = pa.list_(
 # Fixed value: the first script element of a page or component.
 SCRIPT_ELEMENT = r"<script(?:\s[^>]*)?>(\s*[\s\S]*?)</script>"
 
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-_QUOTED = r'"(?:\\[\s\S]|[^"\\\n])*"' r"|'(?:\\[\s\S]|[^'\\\n])*'" r"|`(?:\\[\s\S]|[^`\\])*`"
-_BEFORE = r"(?:[(,=:\[!&|?{;]|\b(?:return|typeof|case|in|of|delete|void|throw|new)\b)\s*"
-_PATTERN = rf"(?P<before>{_BEFORE})" r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
-_INERT = re.compile(f"(?P<comment>{_COMMENT})|{_QUOTED}|{_PATTERN}")
+_QUOTED = r'"(?:\\[\s\S]|[^"\\\n])*"' r"|'(?:\\[\s\S]|[^'\\\n])*'"
+_EVENT = re.compile(rf"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<quoted>{_QUOTED})|[`/(){{}}]")
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]+|\\[\s\S]|\$(?!\{)|\\\Z)*")
+_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/")
+_LAST_WORD = re.compile(r"(?<![\w$.])[\w$]+\Z")
+_CONDITION = frozenset(("if", "while", "for", "with"))
+# After these, and after nothing at all, comes a value: a slash opens a pattern and a brace an object.
+_OPENS_VALUE = frozenset("( , = : [ ! & | ? return typeof case in of delete void throw new".split())
+_BEFORE_PATTERN = _OPENS_VALUE | frozenset(("{", ";", "=>", "condition)", "block}", "else", "do"))
 _MARK = re.compile(r"[{}()\[\];\n]")
 _VISIBLE = re.compile(r"\S")
 _BLOCK = re.compile(
@@ -53,19 +57,89 @@ _TAIL = 16  # characters that decide whether a line goes on: more than the longe
 _DOC = re.compile(r"/\*\*(?!/)([\s\S]*?)\*/")
 
 
-def _blank(match: re.Match) -> str:
-    found = match.group()
-    if match["comment"] is not None:
-        return _blank_comment(match)
-    keep = len(match["before"] or "") + 1
-    return found[:keep] + " " * (len(found) - keep - 1) + found[-1]
+def _last_token(text: str, lo: int, at: int, before: str) -> str:
+    """The last word, arrow or sign of ``text[lo:at]``, else ``before``, which stands ahead of it."""
+    piece = text[lo:at].rstrip()
+    if not piece:
+        return before
+    word = _LAST_WORD.search(piece[-_TAIL:])
+    return word.group() if word else "=>" if piece.endswith("=>") else piece[-1]
 
 
-def _blank_comment(match: re.Match) -> str:
-    found = match.group()
-    if match["comment"] is None:
-        return found
-    return "\n".join(" " * len(line) for line in found.split("\n"))
+def _replaced(text: str, spans: list[tuple[int, int, bool]], comments_only: bool) -> str:
+    pieces, at = [], 0
+    for start, end, is_comment in spans:
+        if is_comment or not comments_only:
+            lines = text[start:end].split("\n") if is_comment else [text[start:end]]
+            pieces += [text[at:start], "\n".join(" " * len(line) for line in lines)]
+            at = end
+    return "".join([*pieces, text[at:]])
+
+
+def _quieted(text: str) -> tuple[str, str]:
+    """``text`` without comments, and also without the insides of strings, templates and patterns; offsets stay.
+
+    One pass. What is open is kept on a stack, so that templates inside templates end where they should. Whether a slash
+    divides or opens a pattern is told by the token before it.
+    """
+    spans: list[tuple[int, int, bool]] = []
+    opened: list[str] = []  # "(", "condition(", "object{", "block{", and "${" in templates
+    templates = braces = 0
+    outermost = 0  # where the outermost open template begins
+    at, lo, token = 0, 0, ";"
+    while found := _EVENT.search(text, at):
+        sign, start, at = found.group(), found.start(), found.end()
+        before, token = _last_token(text, lo, start, token), sign
+        in_template = False
+        if found["comment"] is not None:
+            token = before
+            if not templates:
+                spans.append((start, at, True))
+        elif found["quoted"] is not None:
+            token = '"'
+            if not templates:
+                spans.append((start + 1, at - 1, False))
+        elif sign == "`":
+            outermost = outermost if templates else start
+            in_template = True
+        elif sign == "/":
+            # ``/>`` after a brace closes an element.
+            whole = before in _BEFORE_PATTERN and not (before == "block}" and text.startswith("/>", start))
+            pattern = _PATTERN.match(text, start) if whole else None
+            if pattern:
+                at, token = pattern.end(), '"'
+                if not templates:
+                    spans.append((start + 1, at - 1, False))
+        elif sign == "(":
+            opened.append("condition(" if before in _CONDITION else "(")
+        elif sign == ")":
+            if opened and opened[-1].endswith("("):
+                token = opened.pop().replace("(", ")")
+        elif sign == "{":
+            opened.append("object{" if before in _OPENS_VALUE else "block{")
+            braces += 1
+        elif braces or templates:
+            while opened[-1].endswith("("):
+                opened.pop()
+            last = opened.pop()
+            in_template = last == "${"
+            braces -= not in_template
+            templates -= in_template
+            token = "block}" if last == "block{" else "}"
+        if in_template:
+            at = _TEMPLATE_TEXT.match(text, at).end()
+            if text.startswith("${", at):
+                opened.append("${")
+                templates += 1
+                at, token = at + 2, "("
+            else:
+                if not templates:
+                    spans.append((outermost + 1, min(at, len(text)), False))
+                at, token = at + 1, '"'
+        lo = at
+    if templates:
+        spans.append((outermost + 1, len(text), False))
+    return _replaced(text, spans, True), _replaced(text, spans, False)
 
 
 def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int, int, str, int | None]]:
@@ -143,17 +217,14 @@ def _squash(text: str) -> str:
 
 
 def _scan_one(text: str) -> list[tuple]:
-    # Comments, and the insides of strings and patterns, turned to spaces; offsets stay the same.
-    code = _INERT.sub(_blank, text)
+    bare, code = _quieted(text)
     line_ends = [m.start() for m in re.finditer("\n", text)]
 
     def line_of(at: int) -> int:
         return bisect_left(line_ends, at) + 1
 
     def described(start: int, end: int, outline: str, body: int | None, previous: int) -> tuple:
-        head = text[start : end if body is None else body]
-        if "//" in head or "/*" in head:
-            head = _INERT.sub(_blank_comment, head)
+        head = bare[start : end if body is None else body]
         gap = text[previous:start]
         return (
             line_of(start), line_of(end - 1), _squash(outline), _squash(head).rstrip(" ;,"),
@@ -316,11 +387,39 @@ def script_declarations(scanned: DataFrame) -> DataFrame:
     return rows.select("path", "ord", "d.*")
 
 
-def structure(statements: Column) -> Column:
-    lines = F.transform(
-        declarations(statements), lambda d: F.concat(F.when(d["parent"].isNotNull(), "  ").otherwise(""), d["name"])
-    )
-    return join_or(lines, messages.NO_SYMBOLS)
+def structure(statements: Column, labels: bool = False) -> Column:
+    """Names of declarations and, indented, of class members. With ``labels`` each has its kind in front, kinds without
+    a label have none, and properties are left out."""
+    def line(d: Column) -> Column:
+        indent = F.when(d["parent"].isNotNull(), "  ").otherwise("")
+        return F.concat(indent, label(d["kind"]) if labels else F.lit(""), d["name"])
+
+    listed = declarations(statements)
+    if labels:
+        listed = F.filter(listed, lambda d: d["kind"] != "property")
+    return join_or(F.transform(listed, line), messages.NO_SYMBOLS)
+
+
+def line_skeleton(statements: Column, script: Column) -> Column:
+    """First source line of each declaration and class member as written, a blank line between groups; no variables."""
+    def lines(source: Column) -> Column:
+        def shown(kept: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    kept,
+                    lambda d, i: F.array_compact(
+                        F.array(
+                            F.get(source, d["start_line"] - 1),
+                            F.when(F.get(kept, i + 1)["parent"].isNull(), F.lit("")),
+                        )
+                    ),
+                )
+            )
+
+        return let(F.filter(declarations(statements), lambda d: d["kind"] != "variable"), shown)
+
+    text = F.array_join(let(F.split(script, "\n"), lines), "\n")
+    return let(text, lambda t: F.when(t == "", F.lit(messages.NO_SYMBOLS)).otherwise(F.rtrim(t, F.lit(SPACES))))
 
 
 def _doc_line(doc: Column, indent: str) -> Column:

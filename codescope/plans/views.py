@@ -6,6 +6,8 @@ null), all of them in one Python stage, and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def _by_kind(python: Column, script: Column, config: dict[str, Column], docker:
     return chosen
 
 
+def _of_kinds(files: DataFrame, kinds: Collection[str] | None) -> DataFrame:
+    """Files of the named kinds; the filter stands below the parsers, so the scan reads and they parse no others."""
+    return files if kinds is None else files.where(F.col("kind").isin(*kinds))
+
+
 def _view(parsed: DataFrame, view: Column) -> DataFrame:
     failed = parsed.withColumn("_problem", problem(parsed))
     return failed.select(
@@ -85,39 +92,43 @@ def _view(parsed: DataFrame, view: Column) -> DataFrame:
     )
 
 
-def structure(files: DataFrame, labels: bool = False) -> DataFrame:
-    """(path, kind, status, view): names only. ``labels`` prefixes Python symbols with their kind."""
+def structure(files: DataFrame, labels: bool = False, kinds: Collection[str] | None = None) -> DataFrame:
+    """(path, kind, status, view): names only. ``labels`` puts the kind in front of Python and script symbols."""
     config = config_files.structure(F.col("config"))
     return _view(
-        with_parsed(files),
+        with_parsed(_of_kinds(files, kinds)),
         _by_kind(
             python_views.structure(F.col("parsed"), labels),
-            script_symbols.structure(F.col("statements")),
+            script_symbols.structure(F.col("statements"), labels),
             dict.fromkeys(_CONFIG, config),
             dockerfile.structure(F.col("instr")),
         ),
     )
 
 
-def skeleton(files: DataFrame, as_written: bool = False) -> DataFrame:
-    """(path, kind, status, view): signatures and first doc lines. ``as_written`` shows raw lines of Python files."""
+def skeleton(files: DataFrame, as_written: bool = False, kinds: Collection[str] | None = None) -> DataFrame:
+    """(path, kind, status, view): signatures and first doc lines. ``as_written`` shows raw lines of Python and scripts."""
     config = config_files.skeleton(F.col("config"))
-    python = python_views.line_skeleton if as_written else python_views.skeleton
+    if as_written:
+        python = python_views.line_skeleton(F.col("parsed"))
+        script = script_symbols.line_skeleton(F.col("statements"), F.col("script"))
+    else:
+        python, script = python_views.skeleton(F.col("parsed")), script_symbols.skeleton(F.col("statements"))
     return _view(
-        with_parsed(files, signatures=True),
+        with_parsed(_of_kinds(files, kinds), signatures=True),
         _by_kind(
-            python(F.col("parsed")),
-            script_symbols.skeleton(F.col("statements")),
+            python,
+            script,
             dict.fromkeys(_CONFIG, config),
             dockerfile.skeleton(F.col("instr")),
         ),
     )
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
     """(path, kind, status, view): import blocks, ``$ref`` strings, anchors and includes, or base images."""
     return _view(
-        with_parsed(files, config=False),
+        with_parsed(_of_kinds(files, kinds), config=False),
         _by_kind(
             python_views.imports_block(F.col("parsed")),
             script_symbols.imports_block(F.col("statements"), F.col("script")),

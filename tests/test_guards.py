@@ -58,6 +58,20 @@ def test_signature_that_is_too_deep(mixed):
     assert got["good.py", "f"] == "def f(): ..."
 
 
+@pytest.mark.parametrize("text", ["", "}", ")", "`", "`${", "`${}", "/*", "/", "({`${)", "'", "\\", "`\\", "/[", "`${`${}"])
+def test_cut_off_scripts(text):
+    bare, code = script_symbols._quieted(text)
+    assert len(bare) == len(code) == len(text)
+    script_symbols._scan_one(text)
+
+
+@pytest.mark.parametrize("text", ["`${" * 20_000, "/* " * 50_000, "(a/b)/" * 20_000, "'{" * 50_000, "}`}`)" * 20_000])
+def test_odd_scripts_take_linear_time(text):
+    began = time.perf_counter()
+    script_symbols._scan_one(text)
+    assert time.perf_counter() - began < 2
+
+
 def test_continued_lines_take_linear_time():
     text = "const a = 1\n" + "".join(f"  + value{i}\n" for i in range(20_000)) + "function last() {}\n"
     began = time.perf_counter()
@@ -66,7 +80,15 @@ def test_continued_lines_take_linear_time():
     assert len(rows) == 2
 
 
-@pytest.mark.parametrize("line", ["return /[{`]/.test(y)", "throw /[`]/", "const q = typeof /{/", "return a / b / c"])
-def test_patterns_after_keywords_hide_nothing(line):
+@pytest.mark.parametrize(
+    "line",
+    [
+        "return /[{`]/.test(y)", "throw /[`]/", "const q = typeof /{/", "return a / b / c", "if (y) /[{]/.test(y);",
+        "while (y) /}/.exec(y)", "const v = (a) / 2 + '/{'", "y.map((q) => /[{]/)", "const o = {a: 1} / 2; const q = '/{'",
+        'const a = `x ${y ? `inner {` : ""} y`;', 'const t = `a ${ {x: "}"}.x } { ${`${`{`}`}`', "const e = <Foo {...y} />",
+        "/* `{ */", "a = `\\``",
+    ],
+)
+def test_patterns_and_templates_hide_nothing(line):
     rows = script_symbols._scan_one("function a(y) {\n  " + line + "\n}\nfunction b() {}\n")
     assert [r[0] for r in rows] == [0, len("function a(y) {\n  " + line + "\n}\n")]

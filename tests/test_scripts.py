@@ -97,6 +97,30 @@ def test_skeleton(files):
     )
 
 
+def test_labelled_structure(files):
+    got = shown(lambda f: views.structure(f, labels=True), files)
+    assert got["a.ts"].split("\n") == [
+        "[Interface] Shape", "Alias", "Fn", "[Class] Foo", "  [Constructor] constructor", "  [Method] doIt", "  [Method] foo",
+        "  [Method] gen", "[Class] (anonymous)", "[Function] go", "[Function] noTypes", "lazy", "arrow", "second", "typed", "one",
+    ]
+    assert got["c.js"] == "(no symbols found)"
+
+
+def test_lines_of_declarations(files):
+    got = shown(lambda f: views.skeleton(f, as_written=True), files)
+    assert got["a.ts"].startswith("export interface Shape<T> extends Base {\n\ntype Alias = string | { a: number };\n\n")
+    assert got["a.ts"].endswith(
+        "class {\n\nexport async function go(a: string, b?: number): Promise<void> {\n\nfunction noTypes(a, b) { return a + b }")
+    assert got["e.tsx"] == got["a.ts"]
+    assert got["c.js"] == "(no symbols found)"
+
+
+def test_only_some_kinds(files_of):
+    files = files_of({"a.ts": "function f() {}", "b.py": "def g(): pass", "c.json": "{}", "d.rb": "x"})
+    for view in (views.structure, views.skeleton, views.imports):
+        assert {r.path for r in view(files, kinds=["python", "script"]).collect()} == {"a.ts", "b.py"}
+
+
 def test_imports(files):
     got = shown(views.imports, files)
     assert got["a.ts"].split("\n") == [

@@ -199,7 +199,7 @@ export class Customer%d extends Base<{ x: 1 }> {
 SCRIPT_METHOD = '''  /** Step %d. */
   async step%d(n: number = %d): Promise<Row[]> {
     // not a brace: }
-    return [`{${n}`];
+    if (n) /[{`]/.exec(`${n ? `{${n}` : "`"}`);
   }
 '''
 SCRIPT_TAIL = '''}

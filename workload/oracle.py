@@ -59,7 +59,7 @@ s AS (
 sv AS (
   SELECT *,
     'export class Customer' || k || E' extends Base<{{ x: 1 }}> {{\n  private kind = "}}";\n  /** Makes it. */\n  constructor(private id: number) {{\n    super(id);\n  }}\n' ||
-    {_joined("n", "'  /** Step ' || i || E'. */\n  async step' || i || '(n: number = ' || nat || E'): Promise<Row[]> {\n    // not a brace: }\n    return [`{${n}`];\n  }'")} || E'\n}}' AS class_body,
+    {_joined("n", "'  /** Step ' || i || E'. */\n  async step' || i || '(n: number = ' || nat || E'): Promise<Row[]> {\n    // not a brace: }\n    if (n) /[{`]/.exec(`${n ? `{${n}` : \"`\"}`);\n  }'")} || E'\n}}' AS class_body,
     'export async function load' || k || E'(id: string): Promise<void> {{\n  if (id) {{ return; }}\n}}' AS load_body,
     'export const run' || k || E' = async (x: number) => {{\n  await load' || k || E'(`${{x}}`);\n}}' AS run_body,
     E'import {{ Base }} from "./base";\nimport type {{ Row }} from ''./rows''\nconst fs = require("fs");' AS imports
@@ -71,6 +71,12 @@ script_ok AS (
       E'\n\n' || run_body || E'\nlet plain' || k || ' = ' || nat || chr(10) AS text,
     'Shape' || k || E'\nAlias' || k || E'\nCustomer' || k || E'\n  constructor\n' || {_joined("n", "'  step' || i")} ||
       E'\n  kind\nload' || k || E'\nrun' || k AS structure,
+    '[Interface] Shape' || k || E'\nAlias' || k || E'\n[Class] Customer' || k || E'\n  [Constructor] constructor\n' ||
+      {_joined("n", "'  [Method] step' || i")} || E'\n[Function] load' || k || E'\nrun' || k AS labelled,
+    'export interface Shape' || k || E' {{\n\nexport type Alias' || k || E' = string | {{ a: number }};\n\nexport class Customer' ||
+      k || E' extends Base<{{ x: 1 }}> {{\n  constructor(private id: number) {{\n' ||
+      {_joined("n", "'  async step' || i || '(n: number = ' || nat || '): Promise<Row[]> {'")} ||
+      E'\n  private kind = "}}";\n\nexport async function load' || k || '(id: string): Promise<void> {{' AS line_skeleton,
     'interface Shape' || k || E' {{\n  size: number\n  name: string\n}}\n\nclass Customer' || k || E' {{\n  /** ' || nm ||
       E' */\n  constructor(private id: number)\n' ||
       {_joined("n", "'  async step' || i || '(n: number = ' || nat || E'): Promise<Row[]>\n    /** Step ' || i || '. */'")} ||
@@ -422,6 +428,8 @@ ORACLE = {
       SELECT path, kind, name, parent, {_ints("ord", "start_line", "end_line")} FROM decl""",
     "script_structure": f"WITH {SCRIPT} SELECT path, structure AS view FROM script_ok",
     "script_skeleton": f"WITH {SCRIPT} SELECT path, skeleton AS view FROM script_ok",
+    "script_structure_labels": f"WITH {SCRIPT} SELECT path, labelled AS view FROM script_ok",
+    "script_line_skeleton": f"WITH {SCRIPT} SELECT path, line_skeleton AS view FROM script_ok",
     "script_imports": f"WITH {SCRIPT} SELECT path, imports AS view FROM script_ok",
     "script_symbol_body": f"WITH {SCRIPT} {SCRIPT_BODY}",
     "event_json_entries": """

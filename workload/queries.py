@@ -230,6 +230,16 @@ def script_skeleton(spark, sf_dir):
     return _scripts(spark, sf_dir).select("path", script_symbols.skeleton(F.col("statements")).alias("view"))
 
 
+def script_structure_labels(spark, sf_dir):
+    return _scripts(spark, sf_dir).select("path", script_symbols.structure(F.col("statements"), labels=True).alias("view"))
+
+
+def script_line_skeleton(spark, sf_dir):
+    return _scripts(spark, sf_dir).select(
+        "path", script_symbols.line_skeleton(F.col("statements"), F.col("script")).alias("view")
+    )
+
+
 def script_imports(spark, sf_dir):
     return _scripts(spark, sf_dir).select("path", script_symbols.imports_block(F.col("statements"), F.col("script")).alias("view"))
 
@@ -417,7 +427,8 @@ QUERIES = {
         python_symbols_table, python_imports_table, python_parse_status, python_symbol_tree, python_structure,
         python_structure_labels, python_skeleton, python_line_skeleton, python_imports_block, python_symbol_body,
         python_symbol_card, python_locate_definition,
-        page_script_blocks, page_script_bodies, script_declarations, script_structure, script_skeleton,
+        page_script_blocks, page_script_bodies, script_declarations, script_structure, script_structure_labels,
+        script_skeleton, script_line_skeleton,
         script_imports, script_symbol_body,
         event_json_entries, json_entries, json_roots, json_structure, json_skeleton, json_ref_targets, json_key_body,
         yaml_entries, yaml_structure, yaml_skeleton, yaml_key_body, yaml_anchors_includes, page_yaml_imports,
