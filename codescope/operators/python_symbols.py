@@ -23,14 +23,17 @@ SYMBOL = (
     " arguments string, returns string, bases array<string>, doc_full string, first_line string, next_line string"
 )
 IMPORT = (
-    "ord int, start_line int, end_line int, text string, module string, names array<string>, top_level boolean"
+    "ord int, start_line int, end_line int, text string, module string, names array<string>,"
+    " aliases array<string>, name_lines array<int>, top_level boolean"
 )
-PARSED = f"error string, symbols array<struct<{SYMBOL}>>, imports array<struct<{IMPORT}>>"
+USE = "name string, dotted boolean, line_no int"
+PARSED = f"error string, symbols array<struct<{SYMBOL}>>, imports array<struct<{IMPORT}>>, uses array<struct<{USE}>>"
 
 
 def _fields(ddl: str) -> list[tuple[str, pa.DataType]]:
     kinds = {
-        "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())
+        "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+        "array<int>": pa.list_(pa.int32()),
     }
     return [(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(","))]
 
@@ -40,6 +43,7 @@ _ARROW = pa.struct(
         ("error", pa.string()),
         ("symbols", pa.list_(pa.struct(_fields(SYMBOL)))),
         ("imports", pa.list_(pa.struct(_fields(IMPORT)))),
+        ("uses", pa.list_(pa.struct(_fields(USE)))),
     ]
 )
 
@@ -73,14 +77,27 @@ def _signature(node: ast.stmt) -> tuple[str | None, str | None, list[str] | None
         return None, None, None, None
 
 
-def _parse_one(source: str, signatures: bool) -> tuple:
-    """(error, symbols, imports) of one file. Symbols come in source order, with their breadth-first rank."""
+def _uses(tree: ast.AST) -> list[tuple[str, bool, int]]:
+    """(name, dotted, line) of every name, and of every attribute (dotted), once per line."""
+    found = set()
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Name):
+            found.add((node.id, False, node.lineno))
+        elif isinstance(node, ast.Attribute):
+            found.add((node.attr, True, node.end_lineno))
+        elif isinstance(node, ast.Global | ast.Nonlocal):
+            found.update((name, False, node.lineno) for name in node.names)
+    return sorted(found)
+
+
+def _parse_one(source: str, signatures: bool, uses: bool = False) -> tuple:
+    """(error, symbols, imports, uses) of one file. Symbols come in source order, with their breadth-first rank."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
     except Exception as problem:  # noqa: BLE001 - no file may end the job
-        return _plain(str(problem) or type(problem).__name__), [], []
+        return _plain(str(problem) or type(problem).__name__), [], [], []
 
     lines = source.split("\n")
     starts = [0, *accumulate(len(line) + 1 for line in lines)]
@@ -112,8 +129,12 @@ def _parse_one(source: str, signatures: bool) -> tuple:
             if isinstance(node, ast.ImportFrom):
                 from_module = "." * node.level + (node.module or "")
             text = "\n".join(lines[node.lineno - 1 : node.end_lineno])
-            names = [alias.name for alias in node.names]
-            imports.append((node.lineno, node.col_offset, node.end_lineno, text, from_module, names, direct and owner is None))
+            names, aliases = [alias.name for alias in node.names], [alias.asname for alias in node.names]
+            name_lines = [alias.lineno for alias in node.names]
+            imports.append(
+                (node.lineno, node.col_offset, node.end_lineno, text, from_module, names, aliases, name_lines,
+                 direct and owner is None)
+            )
         inside = owner is not None and owner["node"] is node
         queue.extend((child, owner, inside) for child in _statements(node))
 
@@ -140,12 +161,12 @@ def _parse_one(source: str, signatures: bool) -> tuple:
             )
         )
     imports.sort(key=lambda i: i[:2])
-    return None, symbols, [(n, i[0], *i[2:]) for n, i in enumerate(imports)]
+    return None, symbols, [(n, i[0], *i[2:]) for n, i in enumerate(imports)], _uses(tree) if uses else []
 
 
-def _parser(signatures: bool):
+def _parser(signatures: bool, uses: bool):
     def parse(texts: pa.Array) -> pa.Array:
-        rows = [None if text is None else _parse_one(text, signatures) for text in texts.to_pylist()]
+        rows = [None if text is None else _parse_one(text, signatures, uses) for text in texts.to_pylist()]
         return pa.array(rows, _ARROW)
 
     parse.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -154,14 +175,15 @@ def _parser(signatures: bool):
     return F.arrow_udf(parse, PARSED).asNondeterministic()
 
 
-def parsed_python(text: Column, signatures: bool = True) -> Column:
-    """Parse a text column; null text gives null. ``signatures=False`` skips headers, docs and raw lines."""
-    return _parser(signatures)(normalize_newlines(text))
+def parsed_python(text: Column, signatures: bool = True, uses: bool = False) -> Column:
+    """Parse a text column; null text gives null. ``signatures=False`` skips headers, docs and raw lines; ``uses`` adds
+    the lines of all names."""
+    return _parser(signatures, uses)(normalize_newlines(text))
 
 
-def parse_python(files: DataFrame, signatures: bool = True) -> DataFrame:
-    """Files with ``parsed`` (error, symbols, imports). Filter files before this, not after."""
-    return files.withColumn("parsed", parsed_python(F.col("text"), signatures))
+def parse_python(files: DataFrame, signatures: bool = True, uses: bool = False) -> DataFrame:
+    """Files with ``parsed`` (error, symbols, imports, uses). Filter files before this, not after."""
+    return files.withColumn("parsed", parsed_python(F.col("text"), signatures, uses))
 
 
 def symbols_table(parsed: DataFrame) -> DataFrame:

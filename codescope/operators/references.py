@@ -1,4 +1,4 @@
-"""Where a name is used: whole-word line search for one name or a table of names, and import-resolved references."""
+"""Where a name is used: whole-word line search for one name or a table of names."""
 
 from __future__ import annotations
 
@@ -6,13 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_WORD, WORD, word_pattern, word_pattern_column
-from ..plans.joins import fits_broadcast, is_small, list_join, restrict_to_paths, row_bytes
-from ..plans.lineage import stored
+from ..plans.joins import is_small, list_join, row_bytes
 from .lines import file_lines
-from .python_symbols import imports_table, parse_python, symbols_table
-
-# Directories, relative to any ancestor of the importing file, from which absolute imports are looked up.
-SOURCE_ROOTS = ("", "src", "lib")
 
 
 def find_references(files: DataFrame, symbol: str) -> DataFrame:
@@ -33,7 +28,7 @@ def render_hits(refs: DataFrame) -> DataFrame:
     return refs.withColumn("hit", F.concat_ws(":", "path", "line_no"))
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
 
 
@@ -43,7 +38,7 @@ def _anchor(symbol: Column) -> Column:
     Every maximal word run inside a symbol is a whole word of a matching line, so the longest one serves. A symbol
     with no word character must sit between two word characters, so there it is a whole run of the others.
     """
-    longest = F.array_max(F.transform(_words(symbol), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    longest = F.array_max(F.transform(words(symbol), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return F.coalesce(longest, symbol)
 
 
@@ -71,10 +66,10 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     found = []
 
     if shape.words:
-        tokens = lines.select("path", "line_no", F.explode(F.array_distinct(_words(F.col("line")))).alias("symbol"))
+        tokens = lines.select("path", "line_no", F.explode(F.array_distinct(words(F.col("line")))).alias("symbol"))
         found.append(list_join(tokens, wanted.where(plain), ["symbol"], small))
     for present, chosen, runs in (
-        (shape.phrases, ~plain & F.col("symbol").rlike(WORD), _words(F.col("line"))),
+        (shape.phrases, ~plain & F.col("symbol").rlike(WORD), words(F.col("line"))),
         (
             shape.signs,
             ~F.col("symbol").rlike(WORD) & (F.col("symbol") != ""),
@@ -94,144 +89,3 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     for more in hits[1:]:
         result = result.unionByName(more)
     return result
-
-
-def _module_targets(path: Column, module: Column) -> Column:
-    """Paths at which the module of an import in file ``path`` may be defined, as (target, rank), nearest first.
-
-    A relative import names one directory. An absolute one is looked up from each ancestor directory of the
-    importing file and from the usual source roots below it.
-    """
-    parts = F.split(path, "/")
-    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    inner = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
-    up = F.size(dirs) - dots + 1
-    relative = F.when(up >= 0, F.array(F.slice(dirs, F.lit(1), F.greatest(up, F.lit(0))))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
-    ancestors = F.transform(F.sequence(F.size(dirs), F.lit(0), F.lit(-1)), lambda n: F.slice(dirs, F.lit(1), n))
-    absolute = F.flatten(
-        F.transform(ancestors, lambda d: F.array(*[F.concat(d, F.array(F.lit(r))) if r else d for r in SOURCE_ROOTS]))
-    )
-    bases = F.transform(
-        F.when(dots > 0, relative).otherwise(absolute),
-        lambda d: F.array_join(F.filter(F.concat(d, F.array(inner)), lambda p: p != ""), "/"),
-    )
-    absolute_root = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    rooted = F.transform(bases, lambda b: F.concat(absolute_root, b))
-    names = F.flatten(
-        F.transform(rooted, lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py"))))
-    )
-    return F.transform(names, lambda n, i: F.struct(n.alias("target"), i.alias("rank")))
-
-
-def import_edges(imports: DataFrame) -> DataFrame:
-    """(path, edge, module, name, target, rank): what each import may bring in, from where.
-
-    ``name`` is the imported name, ``*`` for all names and for the module itself. ``edge`` identifies one imported
-    name in one file; its ``target`` rows are alternatives, the lowest existing ``rank`` being meant.
-    """
-    each = imports.select("path", "ord", "module", F.posexplode("names").alias("n", "name"))
-    dotted = F.when(F.col("module").endswith("."), F.concat("module", "name")).otherwise(
-        F.concat_ws(".", "module", "name")
-    )
-    whole = F.struct(F.coalesce("module", "name").alias("module"), F.when(F.col("module").isNull(), "*").otherwise(
-        F.col("name")).alias("name"), F.lit(0).alias("way"))
-    # ``from a import b`` may also mean the module a/b.py.
-    submodule = F.struct(dotted.alias("module"), F.lit("*").alias("name"), F.lit(1).alias("way"))
-    ways = F.when(F.col("module").isNull() | (F.col("name") == "*"), F.array(whole)).otherwise(
-        F.array(whole, submodule)
-    )
-    return (
-        each.select("path", "ord", "n", F.explode(ways).alias("w"))
-        .select(
-            "path",
-            F.struct("ord", "n", "w.way").alias("edge"),
-            "w.module",
-            F.col("w.name").alias("name"),
-            F.explode(_module_targets(F.col("path"), F.col("w.module"))).alias("t"),
-        )
-        .select("path", "edge", "module", "name", "t.target", "t.rank")
-    )
-
-
-def _nearest_only(files: DataFrame, reaching: DataFrame) -> DataFrame:
-    """``reaching`` without the imports for which a place of a lower rank exists in the corpus."""
-    each = F.octet_length("path") + F.octet_length("module") + 32
-    total, size = reaching.agg(
-        F.coalesce(F.sum("rank"), F.lit(0)), F.coalesce(F.sum(F.col("rank") * each), F.lit(0))
-    ).first()
-    if total == 0:
-        return reaching
-    nearer = reaching.select(
-        "path", "edge", "rank", F.explode(_module_targets(F.col("path"), F.col("module"))).alias("t")
-    ).where(F.col("t.rank") < F.col("rank"))
-    existing = (
-        nearer.select(F.col("t.target").alias("path"))
-        .distinct()
-        .join(files.select("path"), "path")
-        .select(F.col("path").alias("target"))
-        .distinct()
-    )
-    # There are at most ``total`` nearer places, of at most ``size`` bytes.
-    shadowed = list_join(
-        nearer.select("path", "edge", "rank", "t.target"), existing, ["target"], is_small(total, size)
-    )
-    shadowed_edges = shadowed.select("path", "edge", "rank").distinct()
-    return reaching.join(shadowed_edges, ["path", "edge", "rank"], "left_anti")
-
-
-def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """(req_id, symbol, path, line_no, method) for ``requests(req_id, symbol, path)``.
-
-    A symbol defined in the given ``.py`` file is looked for, as a whole word, in that file and in the Python files
-    whose imports bring it (or its module, or the class around it) in: method ``resolved``. Any other request is a
-    word search over the whole corpus: method ``text``.
-    """
-    # Everything listed below is at most one row per request, so one measure of the requests holds for all of it.
-    small = fits_broadcast(requests.select("req_id", "symbol", "path"))
-    asked = requests.select("symbol", F.col("path").alias("def_path")).distinct()
-    asked_paths = requests.select("path").distinct()
-    python_files = files.where(F.col("kind") == "python")
-
-    # Where the definitions are: only the files that requests name are parsed for it.
-    located = stored(
-        symbols_table(parse_python(restrict_to_paths(python_files, asked_paths, small), signatures=False))
-        .where("first_named")
-        .select(
-            F.col("path").alias("def_path"),
-            F.col("name").alias("symbol"),
-            F.col("start_line").alias("def_line"),
-            "top_name",
-        )
-        .join(asked, ["def_path", "symbol"])
-    )
-
-    # Imports that can reach one of those files, then without those that mean a nearer file of the same module name.
-    targets = located.select(F.col("def_path").alias("target"), "symbol", "top_name").distinct()
-    edges = import_edges(imports_table(parse_python(python_files, signatures=False)))
-    reaching = stored(
-        list_join(edges, targets, ["target"], small)
-        .where((F.col("name") == "*") | (F.col("name") == F.col("top_name")))
-        .select("path", "edge", "module", "rank", "target", "symbol")
-        .distinct()
-    )
-    importing = _nearest_only(files, reaching).select("symbol", F.col("target").alias("def_path"), "path")
-    scope = importing.unionByName(located.select("symbol", "def_path", F.col("def_path").alias("path"))).distinct()
-
-    hits = find_references_bulk(python_files, located.select("symbol"))
-    used = hits.join(scope, ["path", "symbol"]).select("symbol", "def_path", "path", "line_no")
-    declared = located.select("symbol", "def_path", F.col("def_path").alias("path"), F.col("def_line").alias("line_no"))
-    resolved = used.unionByName(declared).distinct()
-
-    asked_by = requests.select("req_id", "symbol", F.col("path").alias("def_path"))
-    by_import = list_join(resolved, asked_by, ["symbol", "def_path"], small).withColumn(
-        "method", F.lit("resolved")
-    )
-    unlocated = asked_by.join(located.select("symbol", "def_path"), ["symbol", "def_path"], "left_anti")
-    by_text = list_join(
-        find_references_bulk(files, unlocated.select("symbol")), unlocated, ["symbol"], small
-    ).withColumn("method", F.lit("text"))
-    columns = ["req_id", "symbol", "path", "line_no", "method"]
-    return by_import.select(columns).unionByName(by_text.select(columns))

@@ -11,6 +11,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 # Path lists up to this length are also given to the scan as a literal filter.
 INLINE_PATHS = 200
+# Name lists up to this length are looked for in each text by a literal filter before files are parsed.
+INLINE_NAMES = 1_000
 SALTS = 32
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import messages
 from ..operators import config_files, dockerfile, python_views, script_symbols
 from ..operators.references import find_references_bulk
+from ..operators.resolved import resolved_references
 from . import views
 from .joins import attach_requests, fits_broadcast, list_join, restrict_to_paths
 from .lineage import stored
@@ -116,12 +117,36 @@ _FILE_VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
 _SYMBOL_VIEWS = {"symbol_body": symbol_body, "symbol_card": symbol_card, "locate": locate_definition}
 
 
-def batch_lookup(files: DataFrame, requests: DataFrame, view: str) -> DataFrame:
-    """Any view for ``requests(req_id, path[, name])`` with ``status`` and ``message``."""
-    if view in _SYMBOL_VIEWS:
-        return _SYMBOL_VIEWS[view](files, requests)
+def _reference_rows(hits: DataFrame, requests: DataFrame) -> DataFrame:
+    shown = F.when(F.col("hit_path").isNotNull(), F.concat_ws(":", "hit_path", "line_no"))
+    return hits.join(requests, "req_id").select(*requests.columns, "status", "message", shown.alias("result"))
+
+
+def references(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per hit of ``requests(req_id, path, name)`` over the whole corpus, ``result`` being ``path:line``."""
+    return _reference_rows(find_references(files, requests).withColumnRenamed("path", "hit_path").drop("name"), requests)
+
+
+def resolved(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """As ``references``, for the symbol that ``path`` defines under that name."""
+    asked = requests.select("req_id", F.col("name").alias("symbol"), "path")
+    hits = resolved_references(files, asked).withColumnRenamed("path", "hit_path").drop("symbol")
+    return _reference_rows(hits, requests)
+
+
+_REFERENCE_VIEWS = {"references": references, "resolved_references": resolved}
+
+
+def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bool) -> DataFrame:
+    """Any view for ``requests(req_id, path[, name])`` with ``status``, ``message`` and ``result``.
+
+    One row per request; reference views have one per hit. ``options`` go to the view: ``labels`` to ``structure``,
+    ``as_written`` to ``skeleton``.
+    """
+    if view in _SYMBOL_VIEWS or view in _REFERENCE_VIEWS:
+        return (_SYMBOL_VIEWS | _REFERENCE_VIEWS)[view](files, requests, **options)
     small = fits_broadcast(requests)
-    shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small))
+    shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small), **options)
     met = attach_requests(shown, requests.select("req_id", "path"), small)
     ok = F.col("status") == "ok"
     found = met.select(

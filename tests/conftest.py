@@ -27,4 +27,5 @@ def join_way(request, monkeypatch):
 
         monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
         monkeypatch.setattr(joins, "INLINE_PATHS", 0)
+        monkeypatch.setattr(joins, "INLINE_NAMES", 0)
     return request.param

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from codescope.operators import references
+from codescope.operators import references, resolved
 from codescope.operators.lines import file_lines
 from codescope.plans import lookup
 
@@ -81,6 +81,15 @@ CORPUS = {
     "near/user.py": "from pkg.core import K\nK\n",
     "notes.txt": "K\n",
     "broken.py": "from pkg.core import K\ndef (\n",
+    "app/alias.py": "from pkg.core import (\n    f,\n    K as R,\n)\nR().go()  # K\nx = 'K'\n",
+    "app/through.py": "from pkg import K as W\n\n\nclass Sub(W):\n    pass\n",
+    "src/pkg/outer.py": "from .sub.user import Q\nfrom .relay import *\n",
+    "src/pkg/relay.py": "from .core import *\n",
+    "app/far.py": "from pkg.outer import K, Q as Z\nZ; K\n",
+    "app/attr.py": "import pkg\npkg.K.go\nimport pkg.core as c\nc.K; c.f; other.K\n",
+    "app/last.py": "from app import far\nfrom app.far import Z\nfar.Z\nZ\n",
+    "app/cycle_a.py": "from app.cycle_b import *\nfrom pkg.core import K\n",
+    "app/cycle_b.py": "from app.cycle_a import *\nK\n",
 }
 
 
@@ -90,20 +99,32 @@ def test_resolved_references(spark, files_of, join_way):
          (5, "K", "src/pkg/core.py")],
         "req_id long, symbol string, path string",
     )
-    rows = references.resolved_references(files_of(CORPUS), requests).collect()
+    rows = resolved.resolved_references(files_of(CORPUS), requests).collect()
     assert len(rows) == len(set(rows))
-    by_request = {i: {(r.path, r.line_no) for r in rows if r.req_id == i} for i in range(1, 6)}
+    by_request = {i: {(r.path, r.line_no) for r in rows if r.req_id == i and r.status == "ok"} for i in range(1, 6)}
     assert by_request[1] == {
         ("src/pkg/core.py", 1), ("src/pkg/core.py", 4), ("src/pkg/__init__.py", 1), ("src/pkg/sub/user.py", 1),
-        ("app/main.py", 1), ("app/main.py", 2), ("app/star.py", 2), ("app/module.py", 2), ("app/from_package.py", 2),
+        ("src/pkg/sub/user.py", 2), ("app/main.py", 1), ("app/main.py", 2), ("app/star.py", 2), ("app/module.py", 2),
+        ("app/from_package.py", 2), ("app/alias.py", 3), ("app/alias.py", 5), ("app/through.py", 1), ("app/through.py", 4),
+        ("src/pkg/outer.py", 1), ("app/far.py", 1), ("app/far.py", 2), ("app/attr.py", 2), ("app/attr.py", 4),
+        ("app/last.py", 2), ("app/last.py", 3), ("app/last.py", 4), ("app/cycle_a.py", 2), ("app/cycle_b.py", 2),
     }
     assert by_request[5] == by_request[1]
     # ``go`` belongs to class K, so files that bring in K can use it.
-    assert by_request[2] == {("src/pkg/core.py", 2), ("app/main.py", 2)}
+    assert by_request[2] == {("src/pkg/core.py", 2), ("app/main.py", 2), ("app/alias.py", 5), ("app/attr.py", 2)}
     assert by_request[3] == {(p, n) for p, n in brute_force(CORPUS, "K")}
     assert by_request[4] == set()
     assert {r.method for r in rows if r.req_id in (1, 2, 5)} == {"resolved"}
     assert {r.method for r in rows if r.req_id == 3} == {"text"}
+    assert [(r.path, r.status, r.message) for r in rows if r.req_id == 4] == [(None, "no_references", "(no references found)")]
+
+
+def test_resolved_references_of_nothing(spark, files_of):
+    none = spark.createDataFrame([], "req_id long, symbol string, path string")
+    assert resolved.resolved_references(files_of(CORPUS), none).count() == 0
+    odd = spark.createDataFrame([(1, None, "app/main.py"), (2, "K", None), (3, None, None)], none.schema)
+    rows = resolved.resolved_references(files_of({"m.py": "K\n"}), odd).collect()
+    assert {(r.req_id, r.path, r.status) for r in rows} == {(1, None, "no_references"), (2, "m.py", "ok"), (3, None, "no_references")}
 
 
 def test_search_runs_on_a_stream(spark, tmp_path):

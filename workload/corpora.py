@@ -229,23 +229,33 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A library module per nation, and a module per customer that uses its nation's class in one of four ways."""
+    """A library module and a package that renames its class per nation, and per customer a module with one of eight ways
+    to use or merely mention the class."""
     nation = table(spark, sf_dir, "nation")
     customer = spread(table(spark, sf_dir, "customer"))
+    key = F.col("n_nationkey")
     library = nation.select(
-        F.format_string("lib/nation_%d.py", "n_nationkey").alias("path"),
-        F.format_string("class Nation%d:\n    pass\n\nother = 1\n", "n_nationkey").alias("text"),
+        F.format_string("lib/nation_%d.py", key).alias("path"),
+        F.format_string("class Nation%d:\n    pass\n\nother = 1\n", key).alias("text"),
     )
-    n, way = F.col("c_nationkey"), F.col("c_custkey") % 4
+    packages = nation.select(
+        F.format_string("lib/pack_%d/__init__.py", key).alias("path"),
+        F.format_string("from ..nation_%d import Nation%d as Home%d\n", key, key, key).alias("text"),
+    )
+    n, way = F.col("c_nationkey"), F.col("c_custkey") % 8
     users = customer.select(
         F.format_string("app/c%d.py", "c_custkey").alias("path"),
         F.when(way == 0, F.format_string("from nation_%d import Nation%d\n\nx = Nation%d()\n", n, n, n))
         .when(way == 1, F.format_string("import nation_%d\n\ny = nation_%d.Nation%d\n", n, n, n))
         .when(way == 2, F.format_string("# Nation%d is not imported\n", n))
-        .otherwise(F.format_string("from nation_%d import other\n# Nation%d\n", n, n))
+        .when(way == 3, F.format_string("from nation_%d import other\n# Nation%d\n", n, n))
+        .when(way == 4, F.format_string("from nation_%d import Nation%d as N\n\nx = N()\n", n, n))
+        .when(way == 5, F.format_string("from pack_%d import Home%d\n\nx = Home%d()\n", n, n, n))
+        .when(way == 6, F.format_string("from pack_%d import *\n\nx = Home%d()\n", n, n))
+        .otherwise(F.format_string("from nation_%d import Nation%d as N\nx = 'Nation%d'\n", n, n, n))
         .alias("text"),
     )
-    return classify_files(library.unionByName(users))
+    return classify_files(library.unionByName(packages).unionByName(users))
 
 
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:

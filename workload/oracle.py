@@ -313,13 +313,27 @@ tokens AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '{WORD
 PIECES = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
 
 USERS = """
-u AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 4 AS way, 'app/c' || c_custkey || '.py' AS path FROM customer),
+u AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 8 AS way, 'app/c' || c_custkey || '.py' AS path FROM customer),
+lines(way, line_no, imported, written) AS (VALUES
+  (0, 1, true, true), (0, 3, true, true), (1, 3, true, true), (2, 1, false, true), (3, 2, false, true),
+  (4, 1, true, true), (4, 3, true, false), (5, 1, true, false), (5, 3, true, false), (6, 3, true, false),
+  (7, 1, true, true), (7, 2, false, true)),
 uses AS (
-  SELECT n, path, unnest([1, 3]) AS line_no, true AS imported FROM u WHERE way = 0
-  UNION ALL SELECT n, path, 3, true FROM u WHERE way = 1
-  UNION ALL SELECT n, path, 1, false FROM u WHERE way = 2
-  UNION ALL SELECT n, path, 2, false FROM u WHERE way = 3
-  UNION ALL SELECT n_nationkey, 'lib/nation_' || n_nationkey || '.py', 1, true FROM nation)"""
+  SELECT n, path, line_no, imported, written FROM u JOIN lines USING (way)
+  UNION ALL SELECT n_nationkey, 'lib/nation_' || n_nationkey || '.py', 1, true, true FROM nation
+  UNION ALL SELECT n_nationkey, 'lib/pack_' || n_nationkey || '/__init__.py', 1, true, true FROM nation)"""
+
+
+def _reference_answers(kept: str) -> str:
+    return f"""WITH {USERS}
+      SELECT CAST(n AS BIGINT) AS req_id, 'Nation' || n AS name,
+             CASE WHEN n % 5 = 0 THEN 'lib/nowhere.py' ELSE 'lib/nation_' || n || '.py' END AS path,
+             'ok' AS status, CAST(NULL AS VARCHAR) AS message, path || ':' || line_no AS result
+      FROM uses WHERE {kept}
+      UNION ALL
+      SELECT CAST(-1 - n_nationkey AS BIGINT), 'Nowhere' || n_nationkey, 'lib/nation_' || n_nationkey || '.py',
+             'no_references', '(no references found)', NULL FROM nation"""
+
 
 REPORT_ROWS = f"""
 bodies AS (
@@ -380,16 +394,19 @@ ORACLE = {
       FROM r LEFT JOIN tokens ON word = name""",
     "resolved_references": f"""WITH {USERS}
       SELECT CAST(n AS BIGINT) AS req_id, 'Nation' || n AS symbol, path, CAST(line_no AS INTEGER) AS line_no,
-             CASE WHEN n % 5 = 0 THEN 'text' ELSE 'resolved' END AS method
-      FROM uses WHERE imported OR n % 5 = 0""",
+             CASE WHEN n % 5 = 0 THEN 'text' ELSE 'resolved' END AS method, 'ok' AS status, CAST(NULL AS VARCHAR) AS message
+      FROM uses WHERE CASE WHEN n % 5 = 0 THEN written ELSE imported END
+      UNION ALL
+      SELECT CAST(-1 - n_nationkey AS BIGINT), 'Nowhere' || n_nationkey, NULL, NULL, 'text', 'no_references',
+             '(no references found)' FROM nation""",
     "python_symbols_table": f"""WITH {PYTHON_SYMBOLS}
       SELECT path, name, kind, is_async, parent, top_name, listed, header, doc_first,
              {_ints("ord", "bfs_ord", "parent_ord", "depth", "start_line", "end_line", "name_col")} FROM symbols""",
     "python_imports_table": f"""WITH {PYTHON}
       SELECT path, CAST(0 AS INTEGER) AS ord, CAST(1 AS INTEGER) AS start_line, CAST(1 AS INTEGER) AS end_line,
-             'import os' AS text, CAST(NULL AS VARCHAR) AS module, 'os' AS names, true AS top_level FROM python_ok
+             'import os' AS text, CAST(NULL AS VARCHAR) AS module, 'os' AS names, '' AS aliases, '1' AS name_lines, true AS top_level FROM python_ok
       UNION ALL
-      SELECT path, 1, 2, 4, E'from pathlib import (\n    Path,\n)', 'pathlib', 'Path', true FROM python_ok""",
+      SELECT path, 1, 2, 4, E'from pathlib import (\n    Path,\n)', 'pathlib', 'Path', '', '3', true FROM python_ok""",
     "python_parse_status": f"""WITH {PYTHON}
       SELECT path, CASE WHEN bad THEN 'parse_error' ELSE 'ok' END AS status,
              CASE WHEN bad THEN 'invalid syntax (<unknown>, line 1)' END AS error FROM p""",
@@ -510,6 +527,8 @@ ORACLE = {
     "batch_lookup_bodies": f"""WITH {ALL_KINDS}
       {PYTHON_BODY} UNION ALL {SCRIPT_BODY} UNION ALL {JSON_BODY} UNION ALL {YAML_BODY} UNION ALL {DOCKER_BODY}""",
     "batch_lookup_structure": f"WITH {PYTHON} {PYTHON_LISTING}",
+    "batch_lookup_references": _reference_answers("written"),
+    "batch_lookup_resolved": _reference_answers("CASE WHEN n % 5 = 0 THEN written ELSE imported END"),
     "view_cost_report": f"""WITH {ALL_KINDS}, {REPORT_ROWS}
       SELECT kind, view, n_views, chars, pieces, file_chars, round(1 - chars / file_chars, 6) AS saved
       FROM sums WHERE view IS NOT NULL""",

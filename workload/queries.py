@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.functions.routing import language_family
-from codescope.operators import config_files, dockerfile, python_symbols, python_views, references, script_symbols
+from codescope.operators import config_files, dockerfile, python_symbols, python_views, references, resolved, script_symbols
 from codescope.operators.lines import file_lines
 from codescope.plans import lookup, report, views
 from codescope.sources.corpus import classify_files, decode_text, prune_files
@@ -115,15 +115,21 @@ def reference_requests(spark, sf_dir):
     return lookup.find_references(corpora.document_files(spark, sf_dir), asked.union(nowhere))
 
 
-def resolved_references(spark, sf_dir):
+def resolved_requests(spark, sf_dir):
+    """The class of each nation, every fifth with a path that is not there, and as many names that are nowhere."""
     nation = table(spark, sf_dir, "nation")
     key = F.col("n_nationkey")
-    requests = nation.select(
-        key.cast("long").alias("req_id"),
-        F.format_string("Nation%d", key).alias("symbol"),
-        F.when(key % 5 == 0, F.lit("lib/nowhere.py")).otherwise(F.format_string("lib/nation_%d.py", key)).alias("path"),
+    home = F.format_string("lib/nation_%d.py", key)
+    classes = nation.select(
+        key.cast("long").alias("req_id"), F.format_string("Nation%d", key).alias("symbol"),
+        F.when(key % 5 == 0, F.lit("lib/nowhere.py")).otherwise(home).alias("path"),
     )
-    return references.resolved_references(corpora.user_files(spark, sf_dir), requests)
+    nowhere = nation.select((-1 - key).cast("long"), F.format_string("Nowhere%d", key), home)
+    return classes.union(nowhere)
+
+
+def resolved_references(spark, sf_dir):
+    return resolved.resolved_references(corpora.user_files(spark, sf_dir), resolved_requests(spark, sf_dir))
 
 
 # ---- Python ----------------------------------------------------------------------------------------------------
@@ -140,7 +146,8 @@ def python_symbols_table(spark, sf_dir):
 
 
 def python_imports_table(spark, sf_dir):
-    return python_symbols.imports_table(_python(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
+    lists = {c: F.array_join(c, ",") for c in ("names", "aliases", "name_lines")}
+    return python_symbols.imports_table(_python(spark, sf_dir)).withColumns(lists)
 
 
 def python_parse_status(spark, sf_dir):
@@ -414,6 +421,16 @@ def batch_lookup_structure(spark, sf_dir):
     return lookup.batch_lookup(corpora.mixed_files(spark, sf_dir), requests, "structure")
 
 
+def batch_lookup_references(spark, sf_dir):
+    requests = resolved_requests(spark, sf_dir).withColumnRenamed("symbol", "name")
+    return lookup.batch_lookup(corpora.user_files(spark, sf_dir), requests, "references")
+
+
+def batch_lookup_resolved(spark, sf_dir):
+    requests = resolved_requests(spark, sf_dir).withColumnRenamed("symbol", "name")
+    return lookup.batch_lookup(corpora.user_files(spark, sf_dir), requests, "resolved_references")
+
+
 def view_cost_report(spark, sf_dir):
     return report.view_cost_report(corpora.mixed_files(spark, sf_dir))
 
@@ -434,6 +451,6 @@ QUERIES = {
         yaml_entries, yaml_structure, yaml_skeleton, yaml_key_body, yaml_anchors_includes, page_yaml_imports,
         docker_instructions, docker_stages, docker_structure, docker_skeleton, docker_base_images, docker_body,
         mixed_structure, mixed_skeleton, mixed_imports, batch_lookup_bodies, batch_lookup_structure,
-        view_cost_report,
+        batch_lookup_references, batch_lookup_resolved, view_cost_report,
     )
 }
