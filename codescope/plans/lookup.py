@@ -16,15 +16,25 @@ from .joins import attach_requests, fits_broadcast, list_join, restrict_to_paths
 from .lineage import stored
 
 
-def _answers(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """Requests with ``status``, ``message`` and ``result``; those that met no file are ``not_found``."""
-    return requests.join(found, "req_id", "left").select(
-        *requests.columns,
-        F.coalesce("status", F.lit("not_found")).alias("status"),
-        F.when(F.col("status").isNull(), messages.file_not_found(F.col("path"))).otherwise(F.col("message")).alias(
-            "message"
-        ),
-        "result",
+def _asked(requests: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the requests, and ``_request`` with all of them, whatever their names."""
+    return requests.select("req_id", "path", *columns, F.struct(*requests.columns).alias("_request"))
+
+
+def _answers(files: DataFrame, requests: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """``found(_request, status, message, result)`` spread out, and the requests whose file is not there.
+
+    What is missing is told by paths alone, so no answer is shuffled for it.
+    """
+    existing = restrict_to_paths(files.select("path"), requests, small).distinct()
+    missing = requests.join(F.broadcast(existing) if small else existing, "path", "left_anti")
+    answered = found.select("_request.*", "status", "message", "result")
+    path = F.coalesce("path", F.lit(""))
+    return answered.unionByName(
+        missing.select(
+            *requests.columns, F.lit("not_found").alias("status"), messages.file_not_found(path).alias("message"),
+            F.lit(None).cast(found.schema["result"].dataType).alias("result"),
+        )
     )
 
 
@@ -38,12 +48,12 @@ def _per_symbol(
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
     parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
-    met = attach_requests(parsed, requests.select("req_id", "path", "name"), small)
+    met = attach_requests(parsed, _asked(requests, "name"), small)
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
     )
     found = failed.select(
-        "req_id",
+        "_request",
         F.when(F.col("_problem").isNotNull(), F.col("_problem.status"))
         .when(F.col("result").isNull(), "symbol_not_found")
         .otherwise("ok")
@@ -53,7 +63,7 @@ def _per_symbol(
         .alias("message"),
         "result",
     )
-    return _answers(requests, found)
+    return _answers(files, requests, found, small)
 
 
 def symbol_body(files: DataFrame, requests: DataFrame) -> DataFrame:
@@ -147,9 +157,9 @@ def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bo
         return (_SYMBOL_VIEWS | _REFERENCE_VIEWS)[view](files, requests, **options)
     small = fits_broadcast(requests)
     shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small), **options)
-    met = attach_requests(shown, requests.select("req_id", "path"), small)
+    met = attach_requests(shown, _asked(requests), small)
     ok = F.col("status") == "ok"
     found = met.select(
-        "req_id", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result")
+        "_request", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result")
     )
-    return _answers(requests, found)
+    return _answers(files, requests, found, small)
