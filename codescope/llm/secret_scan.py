@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,11 @@ def _outside(alphabet: bytes) -> np.ndarray:
 
 
 _NOT_HEX = _outside(ENCODINGS["hex_lower"])
-_NOT_TOKEN = _outside(_DIGITS + _LOWER + _UPPER + b"+/-_=")
+_NOT_TOKEN = _outside(_DIGITS + _LOWER + _UPPER + b"+/-_")
+#: One or two characters that fill up the end of a token; any other '=' stands between a name and a value.
+_PADDING = re.compile(rb"={1,2}(?![A-Za-z0-9+/_=-])")
+#: Parts of a run in the order in which they are preferred: up to '/' and '+', up to '-' and '_', up to all four.
+_PARTS = [re.compile(rb"[A-Za-z0-9%s]{%d,}" % (more, MIN_CHARS)) for more in (b"_-", b"+/", b"")]
 _PLACE = {name: {byte: i for i, byte in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
 
 
@@ -126,16 +132,30 @@ def length_class(size: int) -> int:
     return int(2 * math.log2(size))
 
 
+def _parts(text: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The run itself, then its parts; each may overlap earlier ones."""
+    yield start, end
+    for pattern in _PARTS:
+        for m in pattern.finditer(text, start, end):
+            yield m.span()
+
+
 def _candidates(text: bytes, runs: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple]:
+    """Strings to be tested outside ``taken``: each run that fits an alphabet, and the parts of each run."""
     found = []
-    for start, end in runs:
-        if any(start < e and s < end for _, s, e in taken):
-            continue
-        token = text[start:end]
-        encoding = encoding_of(token)
-        size = len(token.rstrip(b"="))
-        if encoding and size >= MIN_CHARS and size * math.log2(len(ENCODINGS[encoding])) >= MIN_BITS:
-            found.append((start, end, encoding, length_class(size), battery(token, encoding)))
+    taken = sorted((s, e) for _, s, e in taken)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for run in runs:
+        for start, end in dict.fromkeys(_parts(text, *run)):
+            size, padding = end - start, _PADDING.match(text, end)
+            end = padding.end() if padding else end
+            before = bisect_left(starts, end)
+            if before and reach[before - 1] > start:
+                continue
+            token = text[start:end]
+            encoding = encoding_of(token)
+            if encoding and size * math.log2(len(ENCODINGS[encoding])) >= MIN_BITS:
+                found.append((start, end, encoding, length_class(size), battery(token, encoding)))
     return found
 
 
@@ -170,6 +190,7 @@ def _scan(ids: pa.Array, texts: pa.Array) -> tuple[list, list]:
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _STRINGS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("length", pa.int32()),
                                ("p", pa.float64())]))
+_NAMED = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -217,24 +238,38 @@ def dismissal_bounds(strings: DataFrame, share: float = FALSE_DISMISSALS) -> dic
     return bounds
 
 
+def _disjoint(strings: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``strings`` that overlap no earlier one that is kept."""
+    kept: list[tuple[int, int]] = []
+    for start, end in strings:
+        at = bisect_right(kept, (start, end))
+        if (not at or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            insort(kept, (start, end))
+    return kept
+
+
 def find_secrets(docs: DataFrame, share: float = FALSE_DISMISSALS) -> DataFrame:
     """``(doc_id, spans)``, one row for each row of ``docs``; ``spans`` holds kind, start and end in code points.
 
-    Patterned spans are always kept. A string of ``MIN_CHARS`` or more token characters outside them, whose alphabet
-    gives it ``MIN_BITS`` bits, is added as ``random`` unless the battery dismisses it. Spans are sorted by start,
-    then by kind as listed in ``KINDS``. Texts are read once, where they lie; the only shuffle is that of a small
-    histogram. Null and empty texts have no spans. Repeated rows and null ids are returned as they come; an empty table
-    gives an empty result; further columns are ignored.
+    Patterned spans are always kept. A run of ``MIN_CHARS`` or more token characters outside them, whose alphabet
+    gives it ``MIN_BITS`` bits, is added as ``random`` unless the battery dismisses it; runs end at '=', which belongs
+    to them only as padding. Where a run fits no alphabet, is dismissed or meets a patterned span, its parts between
+    '/' and '+', between '-' and '_', and between all four count instead, the earlier named first. Spans are sorted by
+    start, then by kind as listed in ``KINDS``. Texts are read once, where they lie; the only shuffle is that of a
+    small histogram. Null and empty texts have no spans. Repeated rows and null ids are returned as they come; an empty
+    table gives an empty result; further columns are ignored.
     """
     found = stored(scanned(docs))
     bounds = dismissal_bounds(found, share)
-    entries = [(f"{encoding}:{length}", bound) for (encoding, length), bound in sorted(bounds.items())] or [("", 1.0)]
-    flat = F.create_map(*[F.lit(x) for entry in entries for x in entry])
-    random = F.filter("strings", lambda s: s["p"] > F.element_at(flat, F.concat_ws(":", s["encoding"], s["length"])))
-    added = F.transform(random, lambda s: F.struct(
-        s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
-    base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    names = F.array(*map(F.lit, KINDS))
-    ordered = F.transform(F.array_sort(F.concat(base, added)), lambda s: F.struct(
-        F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", ordered.alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for base, strings in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept = _disjoint([(s["start"], s["end"]) for s in strings if s["p"] > bounds[s["encoding"], s["length"]]])
+                ordered = sorted([(b["start"], b["kind"], b["end"]) for b in base] + [(start, 3, end) for start, end in kept])
+                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in ordered])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _NAMED)], ["doc_id", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")

@@ -75,6 +75,21 @@ def test_base_spans_and_random_strings(spark, documents_of, awkward, no_document
     assert secret_scan.find_secrets(no_documents).count() == 0
 
 
+def test_random_strings_beside_equals_signs_and_in_paths(documents_of):
+    base62, base64 = "q7Xv2LmZ9aRt4KpW8sYc3NbE6uHdTf5GjQ0iVo1B", "wJ9r+XUtnF7M2/K7MD8pG1bPxRf5CYzQhTkLe3Vy"
+    texts = [
+        f"AWS_SECRET_ACCESS_KEY={base64} x", f"private_key={base62}", f"foo[1]={base62}==", f"https://a.b/c?sig={base62}&x=1",
+        f"dir_name/{base62}", f"some-dir/{base62}_old/name", f"={base62}=", f"name=={base62}===", f"a_b/{'0f' * 12}c1/{base62}",
+        f"a-b/c_d={base62}", f"usr/share/documents/internationalization/configuration/{base62}",
+    ]
+    wanted = [base64, base62, base62 + "==", base62, base62, base62 + "_old", base62 + "=", base62, base62, base62, base62]
+    plain = ["src/main_module/internationalization/configuration-manager", "donaudampfschifffahrtsgesellschaft=no"] * 20
+    rows = secret_scan.find_secrets(documents_of(list(enumerate(texts + plain)))).collect()
+    added = {r.doc_id: [(texts + plain)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "random"] for r in rows}
+    assert [added[i] for i in range(len(texts))] == [[w] for w in wanted]
+    assert not any(added[len(texts) + i] for i in range(len(plain)))
+
+
 def test_battery_is_calibrated():
     import random
 
