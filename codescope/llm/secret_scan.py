@@ -23,8 +23,6 @@ MIN_CHARS = 20
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Share of random strings among those that are dismissed as ordinary text, at most.
 FALSE_DISMISSALS = 0.01
-#: A random string must hold so many bits in its alphabet for the tests to mean anything.
-MIN_BITS = 110.0
 
 # The patterns of the three base kinds.
 _ASSIGN = re.compile(
@@ -154,7 +152,7 @@ def _candidates(text: bytes, runs: list[tuple[int, int]], taken: list[tuple[int,
                 continue
             token = text[start:end]
             encoding = encoding_of(token)
-            if encoding and size * math.log2(len(ENCODINGS[encoding])) >= MIN_BITS:
+            if encoding and size >= (MIN_HEX if encoding.startswith("hex") else MIN_CHARS):
                 found.append((start, end, encoding, length_class(size), battery(token, encoding)))
     return found
 
@@ -251,9 +249,9 @@ def _disjoint(strings: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_secrets(docs: DataFrame, share: float = FALSE_DISMISSALS) -> DataFrame:
     """``(doc_id, spans)``, one row for each row of ``docs``; ``spans`` holds kind, start and end in code points.
 
-    Patterned spans are always kept. A run of ``MIN_CHARS`` or more token characters outside them, whose alphabet
-    gives it ``MIN_BITS`` bits, is added as ``random`` unless the battery dismisses it; runs end at '=', which belongs
-    to them only as padding. Where a run fits no alphabet, is dismissed or meets a patterned span, its parts between
+    Patterned spans are always kept. A run of ``MIN_CHARS`` or more token characters outside them is added as
+    ``random`` unless the battery dismisses it, hexadecimal ones from ``MIN_HEX``, as the patterned kind; runs end at
+    '=', which belongs to them only as padding. Where a run fits no alphabet, is dismissed or meets a patterned span, its parts between
     '/' and '+', between '-' and '_', and between all four count instead, the earlier named first. Spans are sorted by
     start, then by kind as listed in ``KINDS``. Texts are read once, where they lie; the only shuffle is that of a
     small histogram. Null and empty texts have no spans. Repeated rows and null ids are returned as they come; an empty

@@ -90,6 +90,13 @@ def test_random_strings_beside_equals_signs_and_in_paths(documents_of):
     assert not any(added[len(texts) + i] for i in range(len(plain)))
 
 
+def test_short_keys_of_narrow_alphabets_are_judged_among_their_like(documents_of):
+    keys = ["7A1C9E04B3F8D2650EC7A94B", "2QXNKJ2VMZ5RTAWO4PDU", "k3x9qzov7mt2wr8rj5bp", "KX9QZ0V7MTG2WRJ65YBP1"]
+    rows = secret_scan.find_secrets(documents_of([(i, f"words before {k} and after") for i, k in enumerate(keys)])).collect()
+    assert sorted((r.doc_id, [(s.kind, s.end - s.start) for s in r.spans]) for r in rows) == [
+        (i, [("random", len(k))]) for i, k in enumerate(keys)]
+
+
 def test_battery_is_calibrated():
     import random
 
