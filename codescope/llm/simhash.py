@@ -63,17 +63,28 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
     return bits.reshape(-1, BITS).sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> DataFrame:
-    """``(doc_id, fingerprint)``: the fingerprint as a signed long. One narrow Arrow stage; other columns are not read."""
+def fingerprints(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = HASH_SEED, with_digest: bool = False
+) -> DataFrame:
+    """``(doc_id, fingerprint)``: the fingerprint as a signed long; on request also ``digest``, the text's SHA-256.
+
+    One narrow Arrow stage; other columns are not read.
+    """
+    names = ["doc_id", "fingerprint", *["digest"] * with_digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(text.as_py(), shingle_words, seed) for text in batch.column(1)]
             column = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, *batch.columns[2:]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    read = docs.select("doc_id", "text", *[digest_of_text().alias("digest")] * with_digest)
+    return read.mapInArrow(run, f"doc_id {kind}, fingerprint long" + ", digest string" * with_digest)
+
+
+def digest_of_text() -> Column:
+    return F.sha2("text", 256)
 
 
 def segment_balls(max_distance: int, segments: int) -> list[tuple[int, int, list[int]]]:
@@ -133,6 +144,17 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, seg
     return met.select("a", "b").distinct()
 
 
+def smallest_of_components(prints: DataFrame, value: Column, max_distance: int, segments: int) -> DataFrame:
+    """``(fingerprint, smallest)``: the smallest ``value`` of the rows of ``prints`` in the component of each fingerprint."""
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min(value).alias("first")))
+    roots = components(fingerprint_links(distinct, max_distance, segments), "a", "b")
+    rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
+    return stored(rooted.join(smallest, "root").select("fingerprint", "smallest"))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -149,23 +171,34 @@ def near_duplicates(
     An empty table gives an empty result; further columns are ignored.
     """
     prints = stored(fingerprints(docs, shingle_words, seed))
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = components(fingerprint_links(distinct, max_distance, segments), "a", "b")
-    rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(rooted.join(smallest, "root").select("fingerprint", "component_id"))
+    named = smallest_of_components(prints, F.col("doc_id"), max_distance, segments)
     return prints.join(named, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("smallest").alias("component_id")
     )
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose ``doc_id`` is the smallest of their component.
+def first_of_each(
+    docs: DataFrame,
+    shingle_words: int = SHINGLE_WORDS,
+    max_distance: int = MAX_DISTANCE,
+    segments: int = SEGMENTS,
+    seed: int = HASH_SEED,
+) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that with the smallest ``doc_id``, null last.
 
-    Rows with a null id stay only in components without another id; repeated ids stay together.
+    Of rows that share the id the one whose text has the smallest SHA-256 stays, a null text first; of rows that
+    repeat both, which are looked for first, one is taken.
     """
-    found = near_duplicates(docs, **options)
-    dropped = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    prints = stored(fingerprints(docs, shingle_words, seed, with_digest=True))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    named = smallest_of_components(prints, row, max_distance, segments)
+    is_first = F.col("doc_id").eqNullSafe(F.col("smallest.doc_id")) & F.col("digest").eqNullSafe(F.col("smallest.digest"))
+    dropped = stored(
+        prints.join(named, "fingerprint").where(~is_first)
+        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha")).distinct()
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & digest_of_text().eqNullSafe(F.col("_sha"))
+    rows = docs.join(dropped, same, "left_anti")
+    if prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        return rows
+    return rows.withColumn("_sha", digest_of_text()).dropDuplicates(["doc_id", "_sha"]).drop("_sha")

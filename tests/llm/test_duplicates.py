@@ -90,6 +90,32 @@ def test_fingerprints_and_components(documents_of, no_documents):
     assert simhash.first_of_each(no_documents).count() == 0
 
 
+def test_one_row_of_each_component_stays(documents_of, awkward):
+    random.seed(6)
+    words = [f"w{i}" for i in range(300)]
+    bases = [" ".join(random.choices(words, k=40)) for _ in range(12)]
+    copies = [" ".join(f"{b}  {w}".upper().split(" ")) for b, w in zip(bases, ["", " "] * 6)]
+    near = list(zip(bases, copies))
+    rows = [(1, near[0][0]), (None, near[0][1]), (None, bases[1]), (None, bases[2])]  # a nameless copy, nameless others
+    rows += [(2, near[3][0]), (7, near[3][1]), (7, bases[4])]  # an id with two texts, one near a smaller id
+    rows += [(9, near[5][0]), (9, near[5][1]), (None, near[6][0]), (None, near[6][1])]  # near copies under one id
+    rows += [(11, bases[7])] * 3 + [(None, bases[8])] * 3 + [(12, None), (12, ""), (None, " "), (13, bases[9])]
+    for table, given in ((documents_of(rows), rows), (awkward, AWKWARD)):
+        prints = [_brute_print(t) for _, t in given]
+        label = list(range(len(given)))
+        for a in range(len(given)):
+            for b in range(a):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    label = [label[b] if x == label[a] else x for x in label]
+        best = {}
+        for (i, t), x in zip(given, label):
+            rank = (i is None, i or 0, t is not None, hashlib.sha256((t or "").encode()).hexdigest())
+            best[x] = min(best.get(x, (rank, i, t)), (rank, i, t), key=lambda r: r[0])
+        got = simhash.first_of_each(table)
+        assert got.columns == table.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((i, t) for _, i, t in best.values()), key=str)
+
+
 def test_a_long_text_in_pieces_has_the_same_fingerprint(monkeypatch):
     text = " ".join(f"w{i % 700}" for i in range(5000))
     whole = simhash.fingerprint(text)
