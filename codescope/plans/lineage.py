@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,20 @@ def new_location(spark: SparkSession) -> str:
     return location
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once to the shared folder and read it back, so that losing executors never repeats its work."""
+def stored(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``frame`` once to the shared folder and read it back, so that losing executors never repeats its work.
+
+    With ``by`` there is a directory for each value of these columns, so a filter on them reads only its own files.
+    """
     location = new_location(frame.sparkSession)
-    frame.write.parquet(location)
-    return frame.sparkSession.read.schema(frame.schema).parquet(location)
+    frame.write.partitionBy(*by).parquet(location) if by else frame.write.parquet(location)
+    back = frame.sparkSession.read.schema(frame.schema).parquet(location).select(frame.columns)
+    back.stored_at = location
+    return back
+
+
+def discard(frame: DataFrame) -> None:
+    """Remove what ``stored`` has written for ``frame``, once nothing will read it again."""
+    session = frame.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
