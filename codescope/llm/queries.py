@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codescope.plans.lineage import stored
 
 from . import (
-    chat_windows, decontamination, exact_dedup, mixing, quality, secret_scan, simhash, token_counts, toxicity, url_filter,
+    chat_windows, decontamination, exact_dedup, mixing, phrases, quality, secret_scan, simhash, token_counts, toxicity,
+    url_filter,
 )
 from .tables import table
 
@@ -100,6 +101,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _WORDS = r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+"
@@ -168,4 +174,33 @@ SELECT doc_id, keep_id, group_size,
     doc_id IS NOT DISTINCT FROM keep_id AND row_number() OVER (PARTITION BY d.t, doc_id) = 1 AS kept,
     sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)""",
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents WHERE text IS NOT NULL),
+grams AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (
+    SELECT lang, m, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+    FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+scored AS (
+    SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+held AS (
+    SELECT lang, a AS longer, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS size) WHERE size < m AND i + size - 1 <= m),
+absorbed AS (SELECT lang, phrase, max(longer) AS longer FROM held GROUP BY ALL),
+kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN absorbed USING (lang, phrase)
+    WHERE nth = 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
 }
