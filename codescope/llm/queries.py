@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from codescope.plans.lineage import stored
 
 from . import (
-    chat_windows, decontamination, exact_dedup, mixing, phrases, quality, secret_scan, simhash, token_counts, toxicity,
-    url_filter,
+    chat_windows, cover_tree, decontamination, exact_dedup, mixing, phrases, posting_lists, quality, secret_scan, simhash,
+    token_counts, toxicity, url_filter,
 )
 from .tables import table
 
@@ -101,6 +101,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 256 - F.pmod(x * 256, F.lit(1.0)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("vector"))
+    return cover_tree.hard_negatives(rows)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -116,6 +127,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
@@ -174,6 +187,24 @@ SELECT doc_id, keep_id, group_size,
     doc_id IS NOT DISTINCT FROM keep_id AND row_number() OVER (PARTITION BY d.t, doc_id) = 1 AS kept,
     sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)""",
+    "op11_hard_negatives": r"""
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
     "op13_phrase_collocations": r"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
