@@ -82,7 +82,7 @@ class Tree:
         tops, node = [centre], 0
         while node < len(bounds):
             low, high = bounds[node][:2]
-            at = order[low:high]
+            at = order[low:high].copy()
             if high - low > LEAF_ROWS and radii[node] > 0:
                 chosen, nearest, distance = spread(points[at], tops[node], radii[node] / BASE, MAX_CHILDREN)
                 if chosen:
@@ -378,7 +378,7 @@ def _both_rounds(forest: Forest, anchors: DataFrame, count: int, percents: tuple
     ends = full.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("end.no", "end"))).alias("ends"))
 
     def with_floor(window: Column, no: Column) -> Column:
-        end = F.col("ends").getItem(no)
+        end = F.col("ends")[no]
         return F.struct(window["score"].alias("score"), end["score"].alias("floor_score"), end["vec_id"].alias("floor_id"))
 
     known = anchors.join(ends, "uid", "left").select(

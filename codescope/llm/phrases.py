@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,13 +19,13 @@ from . import words
 
 MIN_COUNT = 30
 MAX_WORDS = 4
-SHARDS = 4
+SHARDS = 3
 TOP = 2000
 NO_LANGUAGE = "und"
 #: A candidate goes where a longer one that holds it has at least this percentage of its count.
 ABSORBED_PERCENT = 80
 SCORE_SCALE = 2_000_000
-#: Bound of the slots in which activations are kept, one byte for each and phrase length: 24 MB that tasks receive.
+#: Bound of the slots in which activations are kept, one byte for each and phrase length: 32 MB that tasks receive.
 MAX_SLOTS = 1 << 23
 
 _BLOCK = 8 << 20
@@ -73,11 +72,12 @@ def _slices(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 class Scan:
-    """Counts, in the texts of one shard, the phrases that are active at ``step``.
+    """What one scan of a shard counts at ``step``.
 
-    ``reached[m]`` holds for every slot the first step after which a phrase of ``m`` words in that slot had reached the
-    threshold. A longer phrase is active from the step after both its subphrases' slots have one, for one cycle.
-    Slots are shared by hash, so some phrases are counted that need not be, but each of them for one cycle exactly.
+    Every phrase has a slot by hash among the phrases of its length, and ``reached[m][slot]`` is the first step after
+    which the slot had counted the threshold. Once the slots of both its subphrases have, a phrase is counted in its
+    slot; once its own has, it is counted by itself, for one cycle. All this follows from the arrays alone, so each
+    phrase sees every shard exactly once, and a slot has never counted less than any of its phrases.
     """
 
     def __init__(self, step: int, shards: int, reached: dict[int, np.ndarray]):
@@ -107,7 +107,7 @@ class Scan:
         starts = np.flatnonzero(begin)
         if not len(starts):
             return
-        piece = np.cumsum(kinds == _STOP, dtype=np.int64)[starts]
+        piece = np.cumsum(kinds == _STOP, dtype=np.int32)[starts]
         plain = _LOWER[data]
         plain[behind] = 0x20
         plain = plain[inside | behind]
@@ -119,56 +119,61 @@ class Scan:
         encoded = spelled.dictionary_encode()
         hashes = np.concatenate([h for _, _, h in self.hasher.rows(encoded.dictionary)])
         word = encoded.indices.to_numpy().astype(np.int64)
+        if self.step < self.shards:
+            sizes = np.bincount(language[:own], minlength=len(names))
+            seen = np.flatnonzero(sizes)
+            yield _rows(names[seen].tolist(), pa.array([""] * len(seen), pa.string()), 0, np.zeros(len(seen)), sizes[seen])
         language_hash = words.mixed(pd.util.hash_array(names.astype(object), categorize=False).astype(np.uint64)) * _LANGUAGE_STEP
-        #: of each word: id of the phrase that begins here, and the step from which longer ones may build on it
-        ids, distinct = word * len(names) + language, len(hashes) * len(names)
-        value = words.mixed(hashes[word] + language_hash[language])
-        active = np.arange(len(starts))
-        since = np.zeros(len(starts), np.int64)
+        by_word = hashes[word]
+        value = words.mixed(by_word + language_hash[language])
+        at_words, since = np.arange(len(starts)), np.zeros(len(starts), np.int16)  # where phrases begin; from which step on
         for m in range(1, MAX_WORDS + 1):
-            counted = active[(since[active] <= self.step) & (self.step < since[active] + self.shards) & (active < own)]
-            if len(counted):
-                yield self._rows(m, counted, ids, value, since, at, plain, language, names)
+            slot = (value & np.uint64(len(self.reached[m]) - 1)).astype(np.int32)
+            reach = self.reached[m][slot].astype(np.int16)
+            mine = at_words < own
+            hashed = mine & (reach >= self.step) & (self.step < since + self.shards)
+            if hashed.any():
+                codes, slots = pd.factorize(slot[hashed])
+                yield _rows([None] * len(slots), pa.nulls(len(slots), pa.string()), m, slots, np.bincount(codes))
+            began = np.maximum(reach + 1, since)
+            exact = mine & (began <= self.step) & (self.step < began + self.shards)
+            if exact.any():
+                yield self._spelled(m, at_words[exact], slot[exact], word, language, at, plain, names)
             if m == MAX_WORDS:
                 return
-            # phrases of one word more, where both subphrases have reached the threshold
-            reach = np.full(len(starts) + 1, _NEVER, np.int64)
-            reach[active] = self.reached[m][(value[active] % np.uint64(len(self.reached[m]))).astype(np.int64)]
-            both = np.maximum(reach[:-1], reach[1:])
+            # phrases of one word more, the slots of both of whose parts have reached the threshold
+            whole = np.full(len(starts) + 1, _NEVER, np.int16)
+            whole[at_words] = reach
+            both = np.maximum(whole[:-1], whole[1:])
             both[:-1][piece[1:] != piece[:-1]] = _NEVER
             both[-1] = _NEVER
             following = np.flatnonzero(both < self.step)
             if not len(following):
                 return
-            since = both + 1
-            packed = ids[following] * (int(word.max()) + 1) + word[following + m]
-            if distinct * (int(word.max()) + 1) >= 1 << 62:  # only ever with many languages in a block
-                packed = pd.factorize(pd.MultiIndex.from_arrays([ids[following], word[following + m]]))[0]
-            codes, uniques = pd.factorize(packed)
-            new_ids, new_value = np.zeros_like(ids), np.zeros_like(value)
-            new_ids[following], distinct = codes, len(uniques)
-            new_value[following] = words.mixed(value[following] * np.uint64(2 * m + 1) + hashes[word[following + m]])
-            ids, value, active = new_ids, new_value, following
-
-    def _rows(self, m, counted, ids, value, since, at, plain, language, names) -> pa.RecordBatch:
-        codes, uniques = pd.factorize(ids[counted])
-        numbers = np.bincount(codes)
+            spread = np.zeros(len(starts), np.uint64)
+            spread[at_words] = value
+            value = words.mixed(spread[following] * np.uint64(2 * m + 1) + by_word[following + m])
+            at_words, since = following, both[following] + 1
+
+    def _spelled(self, m, counted, slot, word, language, at, plain, names) -> pa.RecordBatch:
+        """Counts of the phrases that begin at the words ``counted``, told apart by their words."""
+        codes = language[counted].astype(np.int64)
+        for i in range(m):
+            codes, uniques = pd.factorize(codes * (int(word.max()) + 1) + word[counted + i])
         first = np.empty(len(uniques), np.int64)
-        first[codes[::-1]] = counted[::-1]
-        slots = len(self.reached[m]) if m in self.reached else 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(names[language[first]].tolist(), pa.string()), _slices(at[first], at[first + m] - 1, plain).cast(pa.string()),
-                pa.array(np.full(len(first), m, np.int32)), pa.array((value[first] % np.uint64(slots)).astype(np.int32)),
-                pa.array(since[first].astype(np.int32)), pa.array(numbers.astype(np.int64)),
-            ],
-            _NAMES,
-        )
+        first[codes[::-1]] = np.arange(len(counted) - 1, -1, -1)
+        begin = counted[first]
+        text = _slices(at[begin], at[begin + m] - 1, plain).cast(pa.string())
+        return _rows(names[language[begin]].tolist(), text, m, slot[first], np.bincount(codes))
 
 
-_NAMES = ["lang", "phrase", "m", "slot", "start", "n"]
-_SCHEMA = "lang string, phrase string, m int, slot int, start int, n long"
-_KEY = ["lang", "phrase", "m", "slot", "start"]
+def _rows(languages: list, phrases: pa.Array, m: int, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.array(languages, pa.string()), phrases, pa.array(np.full(len(counts), m, np.int32)),
+             pa.array(np.asarray(slots).astype(np.int32)), pa.array(counts.astype(np.int64)))
+    return pa.RecordBatch.from_arrays(list(kinds), ["lang", "phrase", "m", "slot", "n"])
+
+
+_SCHEMA = "lang string, phrase string, m int, slot int, n long"
 
 
 def _slots(texts: DataFrame, min_count: int) -> int:
@@ -180,13 +185,15 @@ def _slots(texts: DataFrame, min_count: int) -> int:
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, m, f)`` of every phrase of one to ``MAX_WORDS`` words with ``f >= min_count``; ``(lang, n)``.
 
-    Texts are dealt into ``shards`` by hash and scanned shard after shard, round and round. All words are counted from
-    the first scan on. A phrase becomes active in the scan after that in which both subphrases of one word less have
-    reached ``min_count``, whatever its length, and is counted until it has seen every shard once; scans end when no
-    phrase is active. Since a phrase is no more frequent than its parts, none that reaches the threshold is missed.
+    Texts are dealt into ``shards`` by hash and scanned shard after shard, round and round; lengths interleave. All
+    words are counted from the first scan on. A phrase becomes active in the scan after that in which both
+    subphrases of one word less have reached ``min_count``. It is counted in a slot that it shares by hash with few
+    others, until that reaches ``min_count``, and from then on by itself until it has seen every shard once; scans end
+    when no phrase is active. A phrase is no more frequent than its parts or its slot, so none that reaches the
+    threshold is missed, and what is counted by itself is counted exactly.
 
-    A task knows what has reached the threshold by three byte arrays of bounded size. Counts are summed in blocks of
-    text, then in tasks, then by phrase; complete phrases that stayed below the threshold are forgotten.
+    Slots bound what is kept of rare phrases: a row of two numbers each, and four byte arrays that tasks receive.
+    Counts are summed in blocks of text, then in tasks, then by slot or phrase.
     """
     if not 1 <= shards <= 60:
         raise ValueError("shards must be between 1 and 60")
@@ -196,8 +203,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     ).where("text is not null")
     texts = stored(dealt, by=["shard"])
     slots = _slots(texts, min_count)
-    reached = {m: np.full(slots, _NEVER, np.uint8) for m in range(1, MAX_WORDS)}
-    state, sizes, last, step = None, None, -1, 0
+    reached = {m: np.full(slots, _NEVER, np.uint8) for m in range(1, MAX_WORDS + 1)}
+    state, last, step = None, -1, 0
     while step < shards or step <= last + shards:
         scan = Scan(step, shards, reached)
 
@@ -205,28 +212,24 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
             for batch in batches:
                 yield from scan.batch(batch.column(1), batch.column(0).to_pylist())
 
-        shard = texts.where(F.col("shard") == step % shards).select("lang", "text")
-        found = shard.mapInArrow(run, _SCHEMA).withColumn("before", F.lit(0).cast("long"))
-        if state is not None:
-            kept = state.where((F.col("n") >= min_count) | (F.col("start") + shards > step))
-            found = found.unionByName(kept.withColumn("before", F.col("n")))
-        merged = stored(found.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.sum("before").alias("before")))
+        found = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, _SCHEMA)
+        if state is not None:  # slots that have reached the threshold need no more counts
+            found = found.union(state.where((F.col("n") < min_count) | F.col("phrase").isNotNull()))
+        merged = stored(found.groupBy("lang", "phrase", "m", "slot").agg(F.sum("n").alias("n")))
         if state is not None:
             discard(state)
         state = merged
-        new = state.where((F.col("n") >= min_count) & (F.col("before") < min_count) & (F.col("m") < MAX_WORDS))
-        fresh = new.select("m", "slot").distinct().toArrow()
+        fresh = state.where(F.col("phrase").isNull() & (F.col("n") >= min_count)).select("m", "slot").toArrow()
         if fresh.num_rows:
             lengths, places = fresh.column("m").to_numpy(), fresh.column("slot").to_numpy()
             reached = {m: array.copy() for m, array in reached.items()}
             for m, array in reached.items():
-                here = places[lengths == m]
-                array[here] = np.minimum(array[here], step)
+                array[places[lengths == m]] = step
             last = step
-        if step == shards - 1:  # every word is complete, and none has been forgotten yet
-            sizes = stored(state.where("m = 1").groupBy("lang").agg(F.sum("n").alias("n")))
         step += 1
-    frequent = stored(state.where(F.col("n") >= min_count).select("lang", "phrase", "m", F.col("n").alias("f")))
+    counted = state.where("phrase is not null")
+    frequent = stored(counted.where((F.col("m") > 0) & (F.col("n") >= min_count)).select("lang", "phrase", "m", F.col("n").alias("f")))
+    sizes = stored(counted.where("m = 0").select("lang", "n"))
     discard(state)
     discard(texts)
     return frequent, sizes
