@@ -151,6 +151,15 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
     continues = _MEMBER_CONTINUES if inside else _CONTINUES
     depth, start, kept, outline, opened = 0, lo, lo, "", None
     looked, last = lo, lo  # up to where the code was looked at, and the end of the last visible character before that
+    ahead = lo - 1  # the first visible character at or behind the last place asked for
+
+    def visible(at: int) -> int:
+        """The first visible character from ``at`` on, else ``hi``. Places come in order, so blanks are passed once."""
+        nonlocal ahead
+        if ahead < at:
+            found = _VISIBLE.search(code, at, hi)
+            ahead = found.start() if found else hi
+        return ahead
 
     def cut(end: int, body: int | None):
         text = code[start:end]
@@ -172,9 +181,11 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
             if depth:
                 continue
             kept = at
-            following = _VISIBLE.search(code, at + 1, hi)
             is_block = "=" not in outline if inside else _BLOCK.match(outline)
-            if sign != "}" or not is_block or (following and following.group() in "{>,)|&[.=;"):
+            if sign != "}" or not is_block:
+                continue
+            following = visible(at + 1)
+            if following < hi and code[following] in "{>,)|&[.=;":
                 continue
             body = opened
         elif depth:
@@ -185,12 +196,11 @@ def _statements(code: str, lo: int, hi: int, inside: bool) -> Iterator[tuple[int
                 last = looked + len(seen)
             looked = at
             tail = code[max(kept, last - _TAIL) : last] if last > kept else outline[-_TAIL:].rstrip()
-            following = _VISIBLE.search(code, at, hi)
             if (
                 not tail.strip()
                 or _GOES_ON.search(tail)
-                or (following and continues.match(code, following.start()))
-                or (_DECORATED.match(code, start) and _DECORATORS.match(outline + code[kept:at]))
+                or (visible(at) < hi and continues.match(code, ahead))
+                or (_DECORATED.match(code, start) and _DECORATORS.match(outline + code[kept:last]))
             ):
                 continue
         yield from cut(at + 1, body)
@@ -490,6 +500,16 @@ def symbol_body(statements: Column, script: Column, name: Column) -> Column:
     return F.nullif(let(best, lambda b: F.substr(script, b["off"] + 1, b["len"])), F.lit(""))
 
 
+def body_names(statements: Column) -> Column:
+    """Every name that ``symbol_body`` answers: of classes, functions, interfaces and variables."""
+    def named(pattern: str) -> Column:
+        return F.transform(F.filter(statements, lambda x: _is(x, pattern)), lambda x: _name(x, pattern))
+
+    variables = F.flatten(F.transform(F.filter(statements, lambda x: _is(x, _VARIABLE)), _variables))
+    names = F.concat(named(_CLASS), named(_FUNCTION), named(_INTERFACE), variables)
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
+
+
 def imports_block(statements: Column, script: Column) -> Column:
     """ES imports as written, then variable statements that mention ``require(``."""
     def written(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..operators import config_files, dockerfile, python_views, script_symbols
 from ..operators.references import find_references_bulk
 from ..operators.resolved import resolved_references
 from . import views
+from .definitions import KINDS, placed_requests
 from .joins import attach_requests, fits_broadcast, list_join, restrict_to_paths
 from .lineage import stored
 
@@ -39,12 +40,29 @@ def _answers(files: DataFrame, requests: DataFrame, found: DataFrame, small: boo
 
 
 def _per_symbol(
-    files: DataFrame, requests: DataFrame, result: Column, missing: Column, **parse: bool
+    files: DataFrame,
+    requests: DataFrame,
+    result: Column,
+    missing: Column,
+    top: int = 1,
+    kinds: Collection[str] = KINDS,
+    **parse: bool,
 ) -> DataFrame:
     """Answer ``requests(req_id, path, name)`` by a row-local expression on the parsed file they name.
 
-    Only the named files are parsed. The requests come to the files, not the other way round, while they are few.
+    Only the named files are parsed. The requests come to the files, not the other way round, while they are few. A
+    request without a path is answered from the first ``top`` files of the whole corpus that define its name.
     """
+    requests, nowhere = placed_requests(files, requests, top, kinds)
+    if nowhere is not None:
+        found = _per_symbol(files, requests, result, missing, **parse)
+        unknown = messages.symbol_not_found(F.coalesce("name", F.lit("")), F.lit("the corpus"))
+        return found.unionByName(
+            nowhere.select(
+                "*", F.lit("symbol_not_found").alias("status"), unknown.alias("message"),
+                F.lit(None).cast(found.schema["result"].dataType).alias("result"),
+            )
+        )
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
     parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
@@ -66,8 +84,12 @@ def _per_symbol(
     return _answers(files, requests, found, small)
 
 
-def symbol_body(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Source of a class or function, value of a key, or instructions of a type or stage."""
+def symbol_body(files: DataFrame, requests: DataFrame, top: int = 1) -> DataFrame:
+    """Source of a class or function, value of a key, or instructions of a type or stage.
+
+    Here and below a null ``path`` stands for the whole corpus: the answer comes from the file that defines the name,
+    an outer definition before an inner one and then by path, and its path is given; ``top`` asks for more than one.
+    """
     kind, name, path = F.col("kind"), F.col("name"), F.col("path")
     result = (
         F.when(kind == "python", python_views.symbol_body(F.col("parsed"), F.col("text"), name))
@@ -80,21 +102,21 @@ def symbol_body(files: DataFrame, requests: DataFrame) -> DataFrame:
         .when(kind == "dockerfile", dockerfile.missing(F.col("instr"), name))
         .otherwise(config_files.missing(F.col("config"), kind, name))
     )
-    return _per_symbol(files, requests, result, missing, bodies=True)
+    return _per_symbol(files, requests, result, missing, top, bodies=True)
 
 
-def symbol_card(files: DataFrame, requests: DataFrame) -> DataFrame:
+def symbol_card(files: DataFrame, requests: DataFrame, top: int = 1) -> DataFrame:
     """Signature and documentation of a symbol of a Python file; symbols of other files are not found."""
     card = python_views.symbol_card(F.col("parsed"), F.col("name"))
     missing = messages.symbol_not_found(F.col("name"), F.col("path"))
-    return _per_symbol(files, requests, card, missing, signatures=True, config=False)
+    return _per_symbol(files, requests, card, missing, top, ("python",), signatures=True, config=False)
 
 
-def locate_definition(files: DataFrame, requests: DataFrame) -> DataFrame:
+def locate_definition(files: DataFrame, requests: DataFrame, top: int = 1) -> DataFrame:
     """(…, line, col), from 0, of a symbol's name in its Python file; null where there is none."""
     place = python_views.location(F.col("parsed"), F.col("name"))
     missing = messages.symbol_not_found(F.col("name"), F.col("path"))
-    answered = _per_symbol(files, requests, place, missing, config=False)
+    answered = _per_symbol(files, requests, place, missing, top, ("python",), config=False)
     return answered.select("*", "result.line", "result.col").drop("result")
 
 
@@ -138,7 +160,9 @@ def references(files: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def resolved(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """As ``references``, for the symbol that ``path`` defines under that name."""
+    """As ``references``, for the symbol that ``path`` defines under that name, or the corpus where that is null."""
+    requests, nowhere = placed_requests(files, requests, kinds=("python",))
+    requests = requests if nowhere is None else stored(requests.unionByName(nowhere))
     asked = requests.select("req_id", F.col("name").alias("symbol"), "path")
     hits = resolved_references(files, asked).withColumnRenamed("path", "hit_path").drop("symbol")
     return _reference_rows(hits, requests)
@@ -147,11 +171,12 @@ def resolved(files: DataFrame, requests: DataFrame) -> DataFrame:
 _REFERENCE_VIEWS = {"references": references, "resolved_references": resolved}
 
 
-def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bool) -> DataFrame:
+def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bool | int) -> DataFrame:
     """Any view for ``requests(req_id, path[, name])`` with ``status``, ``message`` and ``result``.
 
     One row per request; reference views have one per hit. ``options`` go to the view: ``labels`` to ``structure``,
-    ``as_written`` to ``skeleton``.
+    ``as_written`` to ``skeleton``, ``top`` to those of one symbol. A null path stands for the whole corpus wherever the
+    request has a name; a view of one file needs its path.
     """
     if view in _SYMBOL_VIEWS or view in _REFERENCE_VIEWS:
         return (_SYMBOL_VIEWS | _REFERENCE_VIEWS)[view](files, requests, **options)

@@ -175,3 +175,16 @@ def test_later_kind_and_place_win(spark, files_of):
 )
 def test_small_texts(files_of, text, wanted):
     assert views.structure(files_of({"m.ts": text})).first().view == wanted
+
+
+def test_long_comments_and_blanks_are_passed_once():
+    import time
+
+    from codescope.operators.script_symbols import _scan_one
+
+    line = " * a line of a comment that says something\n"
+    began = time.time()
+    for text in ("/*\n" + line * 20_000 + "*/\nclass A {}\n", "@Dec()\n/*\n" + line * 20_000 + "*/\nclass A {}\n",
+                 "class A {\n" + "// x\n" * 20_000 + "m() {}\n}\n", "let a =\n" + "\n" * 200_000 + "1\n"):
+        assert len(_scan_one(text)) == 1
+    assert time.time() - began < 8

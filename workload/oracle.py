@@ -283,6 +283,41 @@ DOCKER_BODY = f"""
           WHEN 2 THEN CASE WHEN n > 1 THEN {_STAGE.format(" as second", 2)} END END AS result
       FROM docker_files"""
 
+# Requests without a path: what the corpus has first under each name that is asked for.
+_METHODS = "(SELECT *, unnest(range(1, n + 1)) AS i FROM python_ok)"
+
+
+def _anywhere(python: dict[str, list[str]], others: list[str], *columns: str) -> str:
+    """Answers from the first file under each name; ``python`` has the SQL of each column for each kind of name."""
+    def part(name: str, kind: str, source: str = "python_ok", more: str = "") -> str:
+        results = ", ".join(f"{sql} AS {c}" for c, sql in zip(columns, python[kind]))
+        return f"SELECT {name} AS name, path, {results} FROM {source} {more}"
+
+    rows = " UNION ALL ".join([
+        part("'Part' || k", "class"), part("'build_' || k", "build"), part("'inner_' || k", "inner"),
+        part("'m_' || i", "method", _METHODS, "QUALIFY row_number() OVER (PARTITION BY i ORDER BY path) = 1"), *others,
+    ])
+    shown = ", ".join(f"CASE WHEN bad.path IS NULL THEN answers.{c} END AS {c}" for c in columns)
+    return f"""WITH {ALL_KINDS},
+asked AS (
+  SELECT k * 3 AS req_id, CASE WHEN k % 6 = 5 THEN path END AS path,
+    CASE k % 6 WHEN 1 THEN 'm_' || (k % 8 + 1) WHEN 2 THEN 'build_' || k WHEN 3 THEN 'inner_' || k WHEN 4 THEN 'nowhere_' || k
+      ELSE 'Part' || k END AS name FROM p
+  UNION ALL SELECT k * 3 + 1, NULL, ['load' || k, 'Customer' || k, 'run' || k, 'nested'][k % 4 + 1] FROM s
+  UNION ALL SELECT k * 3 + 2, NULL, ['list', 'map', 'env', 'first'][k % 4 + 1] FROM y),
+answers AS ({rows})
+SELECT CAST(req_id AS BIGINT) AS req_id, coalesce(asked.path, answers.path) AS path, asked.name AS name,
+  CASE WHEN bad.path IS NOT NULL THEN 'parse_error' WHEN answers.name IS NOT NULL THEN 'ok' ELSE 'symbol_not_found' END AS status,
+  CASE WHEN bad.path IS NOT NULL THEN bad.message
+    WHEN answers.name IS NULL THEN 'Symbol ''' || asked.name || ''' not found in the corpus' END AS message, {shown}
+FROM asked LEFT JOIN answers ON asked.name = answers.name LEFT JOIN python_bad bad ON asked.path = bad.path"""
+
+
+def _first_of(files: str, name: str, result: str, where: str = "true") -> str:
+    return f"(SELECT '{name}', path, {result} FROM {files} WHERE {where} ORDER BY path LIMIT 1)"
+
+
+
 # ---- paths ----------------------------------------------------------------------------------------------------------------
 
 PATHS = """
@@ -529,6 +564,40 @@ ORACLE = {
     "batch_lookup_structure": f"WITH {PYTHON} {PYTHON_LISTING}",
     "batch_lookup_references": _reference_answers("written"),
     "batch_lookup_resolved": _reference_answers("CASE WHEN n % 5 = 0 THEN written ELSE imported END"),
+    "batch_lookup_bodies_anywhere": _anywhere(
+        {
+            "class": ["class_body"], "build": ["build_body"], "inner": ["'    def inner_' || k || '(): pass'"],
+            "method": ["'    def m_' || i || '(self, size: int = ' || sz || E') -> float:\n        \"\"\"' || ty || ' ' || i ||"
+                       " E'\"\"\"\n        return size * ' || i"],
+        },
+        [
+            *[f"SELECT '{name}' || k, path, {body} FROM script_ok"
+              for name, body in (("load", "load_body"), ("Customer", "class_body"), ("run", "run_body"))],
+            _first_of("json_files", "nested", "E'{\n  \"z\": {\n    \"$ref\": \"#/defs/' || nat || E'\"\n  },\n  \"a\": [\n    1,\n    {\n"
+                      "      \"b\": \"\\\\u00e9\"\n    }\n  ]\n}'", "NOT bad AND NOT list"),
+            _first_of("json_files", "list", "E'[\n  ' || replace(items, ', ', E',\n  ') || E'\n]'", "NOT bad AND NOT list"),
+            _first_of("yaml_files", "map", "E'a: text\nb: ' || k", "NOT list"),
+            _first_of("docker_files", "env", _joined("n", "'ENV K' || i || '=' || k")),
+            _first_of("docker_files", "first", _STAGE.format(" AS first", 1)),
+        ],
+        "result",
+    ),
+    "batch_lookup_cards_anywhere": _anywhere(
+        {
+            "class": ["'class Part' || k || E'(Base, Sized)\n' || nm"],
+            "build": ["'async def build_' || k || '(n: int=' || sz || E')\nBuild ' || nm || E'\n\n    At length.\n    '"],
+            "inner": ["'def inner_' || k || '()'"],
+            "method": ["'def m_' || i || '(self, size: int=' || sz || E') -> float\n' || ty || ' ' || i"],
+        },
+        [],
+        "result",
+    ),
+    "batch_lookup_locations_anywhere": _anywhere(
+        {kind: [f"CAST({line} AS INTEGER)", f"CAST({col} AS INTEGER)"] for kind, line, col in (
+            ("class", "6", "6"), ("method", "5 + 4 * i", "8"), ("build", "10 + 4 * n", "10"), ("inner", "15 + 4 * n", "8"))},
+        [],
+        "line", "col",
+    ),
     "view_cost_report": f"""WITH {ALL_KINDS}, {REPORT_ROWS}
       SELECT kind, view, n_views, chars, pieces, file_chars, round(1 - chars / file_chars, 6) AS saved
       FROM sums WHERE view IS NOT NULL""",

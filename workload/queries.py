@@ -431,6 +431,44 @@ def batch_lookup_resolved(spark, sf_dir):
     return lookup.batch_lookup(corpora.user_files(spark, sf_dir), requests, "resolved_references")
 
 
+def anywhere_requests(spark, sf_dir):
+    """Names of all kinds whose file is not known, one per part, customer and supplier; every sixth part names its file."""
+    k = F.col("p_partkey").cast("long")
+    way, home = k % 6, F.format_string("src/%s/part_%d.py", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), k)
+    parts = table(spark, sf_dir, "part").select(
+        (k * 3).alias("req_id"), F.when(way == 5, home).alias("path"),
+        F.when(way.isin(0, 5), F.format_string("Part%d", k))
+        .when(way == 1, F.format_string("m_%d", k % 8 + 1))
+        .when(way == 2, F.format_string("build_%d", k))
+        .when(way == 3, F.format_string("inner_%d", k))
+        .otherwise(F.format_string("nowhere_%d", k)).alias("name"),
+    )
+
+    def others(name, key, rest, names):
+        k = F.col(key).cast("long")
+        chosen = F.element_at(F.array(*names), (k % len(names) + 1).cast("int"))
+        return table(spark, sf_dir, name).select(
+            (k * 3 + rest).alias("req_id"), F.lit(None).cast("string").alias("path"), chosen.alias("name"))
+
+    scripts = [*(F.format_string(f"{word}%d", "c_custkey") for word in ("load", "Customer", "run")), F.lit("nested")]
+    customers = others("customer", "c_custkey", 1, scripts)
+    suppliers = others("supplier", "s_suppkey", 2, [F.lit(n) for n in ("list", "map", "env", "first")])
+    return parts.unionByName(customers).unionByName(suppliers)
+
+
+def batch_lookup_bodies_anywhere(spark, sf_dir):
+    return lookup.batch_lookup(corpora.mixed_files(spark, sf_dir), anywhere_requests(spark, sf_dir), "symbol_body")
+
+
+def batch_lookup_cards_anywhere(spark, sf_dir):
+    return lookup.batch_lookup(corpora.mixed_files(spark, sf_dir), anywhere_requests(spark, sf_dir), "symbol_card")
+
+
+def batch_lookup_locations_anywhere(spark, sf_dir):
+    return lookup.batch_lookup(corpora.mixed_files(spark, sf_dir), anywhere_requests(spark, sf_dir), "locate")
+
+
+
 def view_cost_report(spark, sf_dir):
     return report.view_cost_report(corpora.mixed_files(spark, sf_dir))
 
@@ -451,6 +489,7 @@ QUERIES = {
         yaml_entries, yaml_structure, yaml_skeleton, yaml_key_body, yaml_anchors_includes, page_yaml_imports,
         docker_instructions, docker_stages, docker_structure, docker_skeleton, docker_base_images, docker_body,
         mixed_structure, mixed_skeleton, mixed_imports, batch_lookup_bodies, batch_lookup_structure,
-        batch_lookup_references, batch_lookup_resolved, view_cost_report,
+        batch_lookup_references, batch_lookup_resolved, batch_lookup_bodies_anywhere, batch_lookup_cards_anywhere,
+        batch_lookup_locations_anywhere, view_cost_report,
     )
 }
