@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, normalize_newlines
+from .python_scopes import Scopes
 
 SYMBOL = (
     "ord int, bfs_ord int, name string, kind string, is_async boolean, parent string, parent_ord int, top_name string,"
     " depth int, listed boolean, first_named boolean, start_line int, end_line int, name_col int, body_off int, body_len int,"
-    " arguments string, returns string, bases array<string>, doc_full string, first_line string, next_line string"
+    " arguments string, returns string, bases array<string>, doc_full string, first_line string, next_line string,"
+    " scope int"
 )
 IMPORT = (
     "ord int, start_line int, end_line int, text string, module string, names array<string>,"
-    " aliases array<string>, name_lines array<int>, top_level boolean"
+    " aliases array<string>, name_lines array<int>, top_level boolean, scope int"
 )
-USE = "name string, dotted boolean, line_no int"
+USE = "name string, dotted boolean, line_no int, base string, scope int"
 PARSED = f"error string, symbols array<struct<{SYMBOL}>>, imports array<struct<{IMPORT}>>, uses array<struct<{USE}>>"
 
 
@@ -77,21 +79,11 @@ def _signature(node: ast.stmt) -> tuple[str | None, str | None, list[str] | None
         return None, None, None, None
 
 
-def _uses(tree: ast.AST) -> list[tuple[str, bool, int]]:
-    """(name, dotted, line) of every name, and of every attribute (dotted), once per line."""
-    found = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Name):
-            found.add((node.id, False, node.lineno))
-        elif isinstance(node, ast.Attribute):
-            found.add((node.attr, True, node.end_lineno))
-        elif isinstance(node, ast.Global | ast.Nonlocal):
-            found.update((name, False, node.lineno) for name in node.names)
-    return sorted(found)
-
-
 def _parse_one(source: str, signatures: bool, uses: bool = False) -> tuple:
-    """(error, symbols, imports, uses) of one file. Symbols come in source order, with their breadth-first rank."""
+    """(error, symbols, imports, uses) of one file. Symbols come in source order, with their breadth-first rank.
+
+    With ``uses``, symbols and imports also tell the scope that they bind a name in.
+    """
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -99,6 +91,8 @@ def _parse_one(source: str, signatures: bool, uses: bool = False) -> tuple:
     except Exception as problem:  # noqa: BLE001 - no file may end the job
         return _plain(str(problem) or type(problem).__name__), [], [], []
 
+    scopes = Scopes(tree) if uses else None
+    home = scopes.home if scopes else {}
     lines = source.split("\n")
     starts = [0, *accumulate(len(line) + 1 for line in lines)]
     found: list[dict] = []
@@ -133,7 +127,7 @@ def _parse_one(source: str, signatures: bool, uses: bool = False) -> tuple:
             name_lines = [alias.lineno for alias in node.names]
             imports.append(
                 (node.lineno, node.col_offset, node.end_lineno, text, from_module, names, aliases, name_lines,
-                 direct and owner is None)
+                 direct and owner is None, home.get(node))
             )
         inside = owner is not None and owner["node"] is node
         queue.extend((child, owner, inside) for child in _statements(node))
@@ -158,10 +152,11 @@ def _parse_one(source: str, signatures: bool, uses: bool = False) -> tuple:
                 *(_signature(node) if signatures else (None, None, None, None)),
                 lines[start - 1] if signatures else None,
                 lines[start] if signatures and start < len(lines) else None,
+                home.get(node),
             )
         )
     imports.sort(key=lambda i: i[:2])
-    return None, symbols, [(n, i[0], *i[2:]) for n, i in enumerate(imports)], _uses(tree) if uses else []
+    return None, symbols, [(n, i[0], *i[2:]) for n, i in enumerate(imports)], scopes.uses() if scopes else []
 
 
 def _parser(signatures: bool, uses: bool):
@@ -177,7 +172,7 @@ def _parser(signatures: bool, uses: bool):
 
 def parsed_python(text: Column, signatures: bool = True, uses: bool = False) -> Column:
     """Parse a text column; null text gives null. ``signatures=False`` skips headers, docs and raw lines; ``uses`` adds
-    the lines of all names."""
+    the lines of all names and the scopes that they are bound in."""
     return _parser(signatures, uses)(normalize_newlines(text))
 
 
@@ -209,7 +204,7 @@ def doc_first(symbol: Column) -> Column:
 
 def imports_table(parsed: DataFrame) -> DataFrame:
     """One row per import statement at any depth."""
-    return parsed.select("path", F.inline("parsed.imports"))
+    return parsed.select("path", F.inline("parsed.imports")).drop("scope")
 
 
 def parse_status(parsed: DataFrame) -> DataFrame:

@@ -1,36 +1,37 @@
-"""Where a definition is used: followed through imports, aliases and re-exports of Python files.
+"""Where a definition is used: followed through imports, aliases, re-exports and scopes of Python files.
 
 A *holder* is a file that can use the symbol: it says under which name importers of that file get at it, and which name
-stands for the symbol inside the file. The defining file is the first; imports of a holder make new ones, round by round,
-until no new one appears.
+stands for the symbol inside the file, in which scope. The defining file is the first; imports of a holder make new ones,
+round by round, until no new one appears.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages
 from ..plans import joins
-from ..plans.joins import fits_broadcast, is_small, list_join, restrict_to_paths
+from ..plans.joins import fits_broadcast, list_join, restrict_to_paths
 from ..plans.lineage import stored
+from .python_scopes import MODULE
 from .python_symbols import parse_python, symbols_table
 from .references import find_references_bulk, words
 
 # Directories, relative to any ancestor of the importing file, from which absolute imports are looked up.
 SOURCE_ROOTS = ("", "src", "lib")
-_HOLDER = ["symbol", "def_path", "path", "exported", "used", "plain", "dotted"]
+_HOLDER = ["symbol", "def_path", "path", "exported", "used", "plain", "dotted", "base", "scope"]
 
 
-def _module_targets(path: Column, module: Column) -> Column:
-    """Paths at which the module of an import in file ``path`` may be defined, as (target, rank), nearest first.
+def _places(directory: Column, module: Column) -> Column:
+    """Where the module of an import in a file of ``directory`` may be: paths without suffix, nearest first.
 
     A relative import names one directory. An absolute one is looked up from each ancestor directory of the
     importing file and from the usual source roots below it.
     """
-    parts = F.split(path, "/")
+    parts = F.split(directory, "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     inner = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
@@ -46,24 +47,50 @@ def _module_targets(path: Column, module: Column) -> Column:
         F.when(dots > 0, relative).otherwise(absolute),
         lambda d: F.array_join(F.filter(F.concat(d, F.array(inner)), lambda p: p != ""), "/"),
     )
-    absolute_root = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    rooted = F.transform(bases, lambda b: F.concat(absolute_root, b))
-    names = F.flatten(
-        F.transform(rooted, lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py"))))
-    )
-    return F.transform(names, lambda n, i: F.struct(n.alias("target"), i.alias("rank")))
+    absolute_root = F.when(directory.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    return F.transform(bases, lambda b: F.concat(absolute_root, b))
+
+
+def module_places(python_files: DataFrame) -> DataFrame:
+    """(target, place, package): the place at which imports find each file; a package stands behind a module there."""
+    path = F.col("path")
+    place = F.regexp_replace(path, r"(?:/__init__)?\.py$", "")
+    return python_files.select(path.alias("target"), place.alias("place"), path.endswith("/__init__.py").alias("package"))
 
 
-def import_edges(imports: DataFrame) -> DataFrame:
-    """(path, edge, module, kind, name, local, line_no, target, rank): what each import may bring in, from where.
+def _last(name: Column, sign: str) -> Column:
+    return F.substring_index(name, sign, -1)
+
+
+def resolve_modules(wanted: DataFrame, places: DataFrame) -> DataFrame:
+    """(dir, module, target) for each of ``wanted(dir, module)`` that names a file of the corpus: the nearest one.
+
+    Files of one directory share the answer, so a pair is looked up once however often it is imported. Where the pairs
+    are too many to be broadcast, those whose last component no file of the corpus has (the standard library, say) are
+    dropped by a semi-join on it before places are tried, and the rest meet the files in a salted join.
+    """
+    small = fits_broadcast(wanted)
+    if not small:
+        stems = places.select(_last(F.col("place"), "/").alias("last")).distinct()
+        named = wanted.withColumn("last", _last(F.col("module"), "."))
+        wanted = list_join(named.where("last != ''"), stems, ["last"]).select("dir", "module").unionByName(
+            named.where("last = ''").select("dir", "module")
+        )
+    tried = wanted.select("dir", "module", F.posexplode(_places(F.col("dir"), F.col("module"))).alias("rank", "place"))
+    met = list_join(places, tried, ["place"], small)
+    order = Window.partitionBy("dir", "module").orderBy("rank", "package", "target")
+    return met.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("dir", "module", "target")
+
+
+def import_ways(imports: DataFrame) -> DataFrame:
+    """(path, dir, module, kind, name, local, line_no, scope): what each import may bring in, and from which module.
 
     ``kind`` is ``name`` (one name of the module), ``star`` (all of them) or ``module`` (the module itself); ``local`` is
-    what the importing file calls it. ``edge`` identifies one imported name in one file; its ``target`` rows are
-    alternatives, the lowest existing ``rank`` being meant.
+    what the importing file calls it, bound in ``scope``.
     """
     each = imports.select(
-        "path", "ord", "module", F.inline(F.arrays_zip("names", "aliases", "name_lines"))
-    ).select("path", "ord", "module", F.col("names").alias("name"), F.col("aliases").alias("alias"), "name_lines")
+        "path", "module", "scope", F.inline(F.arrays_zip("names", "aliases", "name_lines"))
+    ).withColumnsRenamed({"names": "name", "aliases": "alias", "name_lines": "line_no"})
 
     def way(kind: str, module: Column, local: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), module.alias("module"), local.alias("local"))
@@ -82,51 +109,47 @@ def import_edges(imports: DataFrame) -> DataFrame:
         .when(name == "*", F.array(way("star", module, name)))
         .otherwise(F.array(way("name", module, called), way("module", dotted, called)))
     )
-    return (
-        each.select("path", "ord", "name", F.col("name_lines").alias("line_no"), F.posexplode(ways).alias("way", "w"))
-        .select(
-            "path", F.struct("ord", "name", "line_no", "way").alias("edge"), "w.module", "w.kind", "name", "w.local", "line_no",
-            F.explode(_module_targets(F.col("path"), F.col("w.module"))).alias("t"),
-        )
-        .select("path", "edge", "module", "kind", "name", "local", "line_no", "t.target", "t.rank")
+    directory = F.regexp_replace("path", "[^/]*$", "")
+    return each.select("path", directory.alias("dir"), "name", "line_no", "scope", F.inline(ways)).select(
+        "path", "dir", "module", "kind", "name", "local", "line_no", "scope"
     )
 
 
-def _nearest_only(files: DataFrame, reaching: DataFrame) -> DataFrame:
-    """``reaching`` without the imports for which a place of a lower rank exists in the corpus."""
-    each = F.octet_length("path") + F.octet_length("module") + 32
-    total, size = reaching.agg(
-        F.coalesce(F.sum("rank"), F.lit(0)), F.coalesce(F.sum(F.col("rank") * each), F.lit(0))
-    ).first()
-    if total == 0:
-        return reaching
-    nearer = (
-        reaching.select("path", "edge", "rank", F.explode(_module_targets(F.col("path"), F.col("module"))).alias("t"))
-        .where(F.col("t.rank") < F.col("rank"))
-        .select("path", "edge", "rank", "t.target")
+def import_edges(imports: DataFrame, places: DataFrame) -> DataFrame:
+    """(path, target, kind, name, local, line_no, scope): ``import_ways`` with the file of the corpus that each leads to."""
+    ways = import_ways(imports)
+    targets = stored(resolve_modules(stored(ways.select("dir", "module").distinct()), places))
+    return list_join(ways, targets, ["dir", "module"]).select(
+        "path", "target", "kind", "name", "local", "line_no", "scope"
     )
-    # There are at most ``total`` nearer places, of at most ``size`` bytes.
-    small = is_small(total, size)
-    places = nearer.select(F.col("target").alias("path")).distinct()
-    existing = files.select("path").join(F.broadcast(places) if small else places, "path", "left_semi").distinct()
-    shadowed = list_join(nearer, existing.withColumnRenamed("path", "target"), ["target"], small)
-    edges = shadowed.select("path", "edge", "rank").distinct()
-    return reaching.join(edges, ["path", "edge", "rank"], "left_anti")
 
 
-def _following(holders: DataFrame, reaching: DataFrame) -> DataFrame:
-    """Holders that come from imports of ``holders``, with ``line_no`` where the import itself names the symbol."""
+def _following(holders: DataFrame, edges: DataFrame) -> DataFrame:
+    """Holders that come from imports of ``holders``, with ``line_no`` where the import itself names the symbol.
+
+    Only what a module binds itself can be imported from it. An import of one name meets the symbols under that name,
+    other imports those of the whole module.
+    """
+    given = holders.where(F.col("scope") == MODULE).withColumnsRenamed({"path": "target", "scope": "_", "base": "__"}).drop("_", "__")
+    small = fits_broadcast(given)
+    by_name = list_join(
+        edges.where(F.col("kind") == "name"), given.withColumn("name", F.col("exported")), ["target", "name"], small
+    )
+    by_module = list_join(edges.where(F.col("kind") != "name"), given, ["target"], small).where(
+        (F.col("kind") == "module") | ~F.col("exported").startswith("_")
+    )
     plain, kind = F.col("plain"), F.col("kind")
-    met = reaching.join(holders.withColumnRenamed("path", "target"), ["target", "symbol", "def_path", "exported"])
-    return met.select(
+    return by_name.unionByName(by_module).select(
         "symbol", "def_path", "path",
         F.when(kind == "star", F.col("exported")).otherwise(F.col("local")).alias("exported"),
         F.when(plain & (kind == "name"), F.col("local")).when(plain & (kind == "module"), F.col("exported")).otherwise(
             F.col("used")).alias("used"),
         (plain & (kind != "module")).alias("plain"),
         (~plain | (kind == "module")).alias("dotted"),
+        F.when(plain & (kind == "module"), F.col("local")).otherwise("").alias("base"),
+        F.when(kind == "star", F.lit(MODULE)).otherwise(F.col("scope")).alias("scope"),
         F.when(plain & (kind == "name"), F.col("line_no")).alias("line_no"),
-    ).distinct()
+    )
 
 
 class _Facts:
@@ -134,9 +157,11 @@ class _Facts:
 
     def __init__(self, python_files: DataFrame):
         self.files = python_files.select("path", "text")
+        self.places = module_places(python_files)
         self.seen: Column | None = None  # tells which files are parsed already
         self.everything = False
-        self.parts: list[DataFrame] = []
+        self.uses: list[DataFrame] = []
+        self.edges: list[DataFrame] = []
 
     def look_for(self, names: DataFrame) -> bool:
         """Parse files that hold one of ``names``, all names of a module, or a package, so far as that is not done. False
@@ -152,37 +177,28 @@ class _Facts:
                 matching |= F.col("text").rlike(r"import\s*\(?\s*\*") | F.col("path").endswith("__init__.py")
         chosen = self.files.where(matching if self.seen is None else matching & ~F.coalesce(self.seen, F.lit(False)))
         self.seen = matching if self.seen is None else self.seen | matching
-        parsed = parse_python(chosen, signatures=False, uses=True)
-        self.parts.append(stored(parsed.select("path", "parsed.imports", "parsed.uses")))
+        part = stored(parse_python(chosen, signatures=False, uses=True).select("path", "parsed.imports", "parsed.uses"))
+        self.uses.append(part.select("path", F.inline("uses")))
+        self.edges.append(stored(import_edges(part.select("path", F.inline("imports")), self.places)))
         return True
 
-    def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.parts)
 
+def _holders(facts: _Facts, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All holders, and those import lines that name the symbol.
 
-def _holders(files: DataFrame, facts: _Facts, first: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All holders, and those import lines that name the symbol."""
-    known, frontier, lines = [first], first, []
+    Imports are led to their files once, when their file is parsed. A round then meets the newest holders with the
+    imports that were known before, and all holders with those of files that have only now been parsed.
+    """
+    known, frontier, lines, old = first, first, [], 0
     while facts.look_for(frontier.select(F.explode(F.array("exported", "used")))):
-        # A file that is parsed only now may import a holder of an earlier round.
-        holders = reduce(DataFrame.unionByName, known)
-        targets = holders.select(F.col("path").alias("target"), "symbol", "def_path", "exported").distinct()
-        edges = import_edges(facts.all().select("path", F.inline("imports")))
-        reaching = stored(
-            list_join(edges, targets, ["target"], fits_broadcast(targets))
-            .where(
-                (F.col("kind") == "module")
-                | ((F.col("kind") == "name") & (F.col("name") == F.col("exported")))
-                | ((F.col("kind") == "star") & ~F.col("exported").startswith("_"))
-            )
-        )
-        marked = holders.distinct().withColumn("old", F.lit(True))
-        found = stored(_following(holders, _nearest_only(files, reaching)).join(marked, _HOLDER, "left"))
+        met = [_following(known, part) for part in facts.edges[old:]] + [_following(frontier, part) for part in facts.edges[:old]]
+        old = len(facts.edges)
+        found = stored(reduce(DataFrame.unionByName, met).distinct())
         lines.append(found.where("line_no IS NOT NULL").select("symbol", "def_path", "path", "line_no"))
-        frontier = found.where("old IS NULL").select(_HOLDER).distinct()
-        known.append(frontier)
+        frontier = stored(found.select(_HOLDER).distinct().join(known, _HOLDER, "left_anti"))
+        known = known.unionByName(frontier)
     named = reduce(DataFrame.unionByName, lines) if lines else None
-    return reduce(DataFrame.unionByName, known), named
+    return known, named
 
 
 def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
@@ -190,8 +206,10 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
 
     A symbol defined in the given ``.py`` file is followed through the imports of Python files, under the names they give
     it: method ``resolved``. Lines are those of names, attributes and imports in the syntax tree, so comments and strings
-    do not count; a method or nested symbol counts wherever an attribute of its name stands in a file that has the class
-    around it. Any other request is a word search over the whole corpus: method ``text``. A request without a hit is one
+    do not count. A name counts where it means that binding: parameters, locals, loop variables of comprehensions and
+    class attributes of the same name do not, and an import inside a function counts in there alone. An attribute of a
+    module counts unless the name in front of it is shadowed; a method or nested symbol counts wherever an attribute of
+    its name stands in a file that has the class around it. Any other request is a word search over the whole corpus: method ``text``. A request without a hit is one
     row with status ``no_references``.
 
     Files are searched for the names first, and only those that hold one are parsed, along with packages and files that
@@ -205,30 +223,40 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
     # Where the definitions are: only the files that requests name are parsed for it.
     located = stored(
         symbols_table(
-            parse_python(restrict_to_paths(python_files, requests.select("path").distinct(), small), signatures=False)
+            parse_python(
+                restrict_to_paths(python_files, requests.select("path").distinct(), small), signatures=False, uses=True
+            )
         )
         .where("first_named")
         .select(
-            F.col("path").alias("def_path"), F.col("name").alias("symbol"), F.col("start_line").alias("line_no"), "top_name"
+            F.col("path").alias("def_path"), F.col("name").alias("symbol"), F.col("start_line").alias("line_no"), "top_name",
+            "scope",
         )
         .join(asked, ["def_path", "symbol"])
     )
     top = F.col("symbol") == F.col("top_name")
     first = located.select(
         "symbol", "def_path", F.col("def_path").alias("path"), F.col("top_name").alias("exported"),
-        F.col("symbol").alias("used"), top.alias("plain"), (~top).alias("dotted"),
+        F.col("symbol").alias("used"), top.alias("plain"), (~top).alias("dotted"), F.lit("").alias("base"),
+        F.lit(MODULE).alias("scope"),
     )
     facts = _Facts(python_files)
-    holders, named = _holders(files, facts, first)
+    holders, named = _holders(facts, first)
 
     hits = located.select("symbol", "def_path", F.col("def_path").alias("path"), "line_no")
     if named is not None:
-        uses = facts.all().select("path", F.inline("uses"))
-        ways = holders.select("symbol", "def_path", "path", F.col("used").alias("name"), "dotted").unionByName(
-            # In its own file a symbol goes by its bare name and as an attribute alike.
-            first.select("symbol", "def_path", "path", F.col("used").alias("name"), (~F.col("dotted")).alias("dotted"))
-        ).distinct()
-        used = list_join(uses, ways, ["path", "name", "dotted"], fits_broadcast(ways))
+        ways = holders.select("symbol", "def_path", "path", F.col("used").alias("name"), "dotted", "base", "scope").unionByName(
+            # In its own file a symbol goes by its bare name, where it is bound, and as an attribute alike.
+            located.select(
+                "symbol", "def_path", F.col("def_path").alias("path"), F.col("symbol").alias("name"), top.alias("dotted"),
+                F.lit("").alias("base"), F.when(top, F.lit(MODULE)).otherwise(F.col("scope")).alias("scope"),
+            )
+        ).distinct().withColumnsRenamed({"base": "way_base", "scope": "way_scope"})
+        uses = reduce(DataFrame.unionByName, facts.uses)
+        met = list_join(uses, ways, ["path", "name", "dotted"], fits_broadcast(ways))
+        same = F.col("scope") == F.col("way_scope")
+        shadowed = (F.col("way_base") != "") & F.col("base").eqNullSafe(F.col("way_base")) & ~same
+        used = met.where(F.when(F.col("dotted"), ~shadowed).otherwise(same))
         columns = ["symbol", "def_path", "path", "line_no"]
         hits = hits.unionByName(named).unionByName(used.select(columns)).distinct()
 

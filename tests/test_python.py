@@ -141,7 +141,7 @@ def test_card_and_location(spark, files_of):
     assert places == {1: (7, 6), 2: (25, 12), 3: (None, None), 4: (None, None), 5: (None, None)}
 
 
-@pytest.mark.parametrize("text", ["def (broken:\n", "x = '\0'\n", "(" * 5000])
+@pytest.mark.parametrize("text", ["class (nothing:\n", "x = '\0'\n", "(" * 5000])
 def test_unparseable_text_is_a_status(spark, files_of, text):
     files = files_of({"bad.py": text, "good.py": "def f(): pass\n"})
     status = {r.path: r.status for r in python_symbols.parse_status(python_symbols.parse_python(files)).collect()}

@@ -85,7 +85,7 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.format_string("src/%s/part_%d.py", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), key).alias(
                 "path"
             ),
-            F.when(key % 50 == 7, F.lit("def (broken:\n")).otherwise(text).alias("text"),
+            F.when(key % 50 == 7, F.lit("class (nothing:\n")).otherwise(text).alias("text"),
         )
     )
 
@@ -258,6 +258,34 @@ def user_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_files(library.unionByName(packages).unionByName(users))
 
 
+SHADOWED = (
+    "from nation_{n} import Nation{n}\n\ndef f(Nation{n}):\n    return Nation{n}\n\nx = Nation{n}()\n",
+    "def g():\n    from nation_{n} import Nation{n}\n    return Nation{n}()\n\ny = Nation{n}\n",
+    "from nation_{n} import Nation{n}\n\ndef h():\n    global Nation{n}\n    return [Nation{n} for i in range(3)]\n",
+    "from nation_{n} import Nation{n}\nz = [Nation{n} for Nation{n} in range(3)]\n",
+    "from nation_{n} import Nation{n}\n\nclass C:\n    Nation{n} = 1\n    def m(self): return Nation{n}\n",
+    "import nation_{n} as m\n\ndef f(m):\n    return m.Nation{n}\n\nw = m.Nation{n}\n",
+    "from nation_{n} import Nation{n} as N\n\ndef f():\n    N = 1\n    def g():\n        return N\n    return lambda N: N\n\nv = lambda: N\n",
+)
+
+
+def shadowing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library module per nation, and per customer a module in which its class and something else have one name."""
+    nation = table(spark, sf_dir, "nation")
+    customer = spread(table(spark, sf_dir, "customer"))
+    key, n = F.col("n_nationkey"), F.col("c_nationkey")
+    library = nation.select(
+        F.format_string("lib/nation_%d.py", key).alias("path"),
+        F.format_string("class Nation%d:\n    pass\n\ndef own(Nation%d): return Nation%d\n", key, key, key).alias("text"),
+    )
+    forms = F.array(*[F.replace(F.lit(form), F.lit("{n}"), n.cast("string")) for form in SHADOWED])
+    users = customer.select(
+        F.format_string("app/c%d.py", "c_custkey").alias("path"),
+        F.element_at(forms, (F.col("c_custkey") % len(SHADOWED) + 1).cast("int")).alias("text"),
+    )
+    return classify_files(library.unionByName(users))
+
+
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds together, with a file of no supported kind per nation."""
     nation = table(spark, sf_dir, "nation")

@@ -434,6 +434,13 @@ ORACLE = {
       UNION ALL
       SELECT CAST(-1 - n_nationkey AS BIGINT), 'Nowhere' || n_nationkey, NULL, NULL, 'text', 'no_references',
              '(no references found)' FROM nation""",
+    "scoped_references": """
+      SELECT CAST(c_nationkey AS BIGINT) AS req_id, 'Nation' || c_nationkey AS symbol, 'app/c' || c_custkey || '.py' AS path,
+        line_no, 'resolved' AS method, 'ok' AS status, CAST(NULL AS VARCHAR) AS message
+      FROM customer JOIN (VALUES (0, 1), (0, 6), (1, 2), (1, 3), (2, 1), (2, 4), (2, 5), (3, 1), (4, 1), (4, 5), (5, 6),
+        (6, 1), (6, 9)) hit(form, line_no) ON c_custkey % 7 = form
+      UNION ALL SELECT n_nationkey, 'Nation' || n_nationkey, 'lib/nation_' || n_nationkey || '.py', 1, 'resolved', 'ok', NULL
+      FROM nation""",
     "python_symbols_table": f"""WITH {PYTHON_SYMBOLS}
       SELECT path, name, kind, is_async, parent, top_name, listed, header, doc_first,
              {_ints("ord", "bfs_ord", "parent_ord", "depth", "start_line", "end_line", "name_col")} FROM symbols""",

@@ -132,6 +132,15 @@ def resolved_references(spark, sf_dir):
     return resolved.resolved_references(corpora.user_files(spark, sf_dir), resolved_requests(spark, sf_dir))
 
 
+def scoped_references(spark, sf_dir):
+    """Uses of the class of each nation where parameters, locals, loop variables and attributes share its name."""
+    key = F.col("n_nationkey")
+    requests = table(spark, sf_dir, "nation").select(
+        key.cast("long").alias("req_id"), F.format_string("Nation%d", key).alias("symbol"),
+        F.format_string("lib/nation_%d.py", key).alias("path"))
+    return resolved.resolved_references(corpora.shadowing_files(spark, sf_dir), requests)
+
+
 # ---- Python ----------------------------------------------------------------------------------------------------
 
 
@@ -478,7 +487,7 @@ QUERIES = {
     for query in (
         classified_paths, pruned_paths, decoded_documents, document_lines,
         find_references_the, find_references_phrase, find_references_bulk, find_references_phrases,
-        reference_requests, resolved_references,
+        reference_requests, resolved_references, scoped_references,
         python_symbols_table, python_imports_table, python_parse_status, python_symbol_tree, python_structure,
         python_structure_labels, python_skeleton, python_line_skeleton, python_imports_block, python_symbol_body,
         python_symbol_card, python_locate_definition,
