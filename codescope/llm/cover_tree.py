@@ -6,7 +6,7 @@ import heapq
 import io
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,9 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these percentages of the positive's.
 LOWEST_PERCENT, HIGHEST_PERCENT = 50, 95
 #: Radii shrink by this factor from level to level; a node has at most so many children, a leaf so many rows.
-BASE, MAX_CHILDREN, LEAF_ROWS = 1.3, 16, 192
+BASE, MAX_CHILDREN, LEAF_ROWS = 1.3, 16, 512
 #: Rows of one tree, the most roots, the rows of the sample that roots are chosen from, and anchors for one copy of a tree.
-CELL_ROWS, MAX_ROOTS, SAMPLE_ROWS, CELL_ANCHORS = 2048, 1024, 8192, 1 << 15
+CELL_ROWS, MAX_ROOTS, SAMPLE_ROWS, CELL_ANCHORS = 4096, 1024, 8192, 1 << 15
 
 _BATCH = 256
 _EXACT = float(1 << 53)
@@ -137,37 +137,34 @@ def dots(rows: np.ndarray, query: np.ndarray, longest: float) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in rows], dtype=object) @ np.array([int(x) for x in query], dtype=object)
 
 
-@dataclass
 class Window_:
-    """The ``count`` best rows with scores from ``low`` to ``high`` so far, as sorted pairs of minus the score and id."""
+    """The ``count`` best rows with scores from ``low`` to ``high`` so far, as sorted pairs of minus the score and id.
 
-    low: float
-    high: float
-    count: int
-    floor: tuple | None = None  # a result that is known to stand at the end of ``count`` others or behind them
-    best: list = field(default_factory=list)
+    ``floor`` is a result that is known to stand at the end of ``count`` others or behind them; ``last`` and ``need`` are
+    the pair and the score that a row must reach to be among the results.
+    """
 
-    def last(self):
-        own = self.best[-1] if len(self.best) == self.count else None
-        return min(own, self.floor) if own and self.floor else own or self.floor
+    __slots__ = ("low", "high", "count", "best", "last", "need")
 
-    def least_score(self):
-        last = self.last()
-        return self.low if last is None else max(self.low, -last[0])
+    def __init__(self, low: float, high: float, count: int, floor: tuple | None = None):
+        self.low, self.high, self.count, self.last = low, high, count, floor
+        self.best: list[tuple] = []
+        self.need = low if floor is None else max(low, -floor[0])
 
     def admits(self, low: float, high: float, least_id: int) -> bool:
         """Whether a row with a score between ``low`` and ``high`` and an id from ``least_id`` on may be a result."""
-        top = min(high, self.high)
-        if top < self.low or low > self.high:
-            return False
-        last = self.last()
-        return last is None or (-top, least_id) <= last
+        top = high if high < self.high else self.high
+        return top >= self.need and low <= self.high and (self.last is None or (-top, least_id) <= self.last)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        fits = (scores <= self.high) & (scores >= self.least_score())
-        if fits.any():
-            found = zip((-scores[fits]).tolist(), ids[fits].tolist())
-            self.best = heapq.nsmallest(self.count, [*self.best, *found])
+    def add(self, found: list[tuple]) -> None:
+        """Take in pairs of minus the score and id."""
+        low, high = -self.high, -self.need
+        fits = [pair for pair in found if low <= pair[0] <= high]
+        if fits:
+            self.best = heapq.nsmallest(self.count, self.best + fits)
+            if len(self.best) == self.count and (self.last is None or self.best[-1] < self.last):
+                self.last = self.best[-1]
+                self.need = max(self.low, -self.last[0])
 
 
 def descend(tree: Tree, query: np.ndarray, own_id: int, label: int, same: bool, windows: list[Window_], low, high) -> int:
@@ -179,26 +176,30 @@ def descend(tree: Tree, query: np.ndarray, own_id: int, label: int, same: bool,
     most = max(w.high for w in windows)
     while heap:
         _, node = heapq.heappop(heap)
-        if tree.uniform[node] and (tree.labels[tree.bounds[node, 0]] == label) != same:
+        start, end, child, last = tree.bounds[node].tolist()
+        if tree.uniform[node] and (tree.labels[start] == label) != same:
             continue
-        if not any(w.admits(low[node], high[node], int(tree.least[node])) for w in windows):
+        least_id = int(tree.least[node])
+        if not any(w.admits(low[node], high[node], least_id) for w in windows):
             continue
-        start, end, child, last = tree.bounds[node].tolist()
         if last:
             for c in range(child, last):
                 heapq.heappush(heap, (-min(high[c], most), c))
             continue
         scores = dots(tree.rows[start:end], query, tree.longest)
         verified += end - start
-        if scores.max() < min(w.least_score() for w in windows):
+        near = np.flatnonzero((scores >= min(w.need for w in windows)) & (scores <= most))
+        near = near[(tree.labels[start:end][near] == label) == same]
+        if not len(near):
             continue
-        right = (tree.labels[start:end] == label) == same
         if same:
-            for i in np.flatnonzero((tree.ids[start:end] == own_id) & tree.first[start:end]):
-                right[i] &= not np.array_equal(tree.rows[start + i], query)
-        scores, ids = scores[right], tree.ids[start:end][right]
+            own = (tree.ids[start:end][near] == own_id) & tree.first[start:end][near]
+            for i in np.flatnonzero(own):
+                own[i] = np.array_equal(tree.rows[start + near[i]], query)
+            near = near[~own]
+        found = list(zip((-scores[near]).tolist(), tree.ids[start:end][near].tolist()))
         for w in windows:
-            w.add(scores, ids)
+            w.add(found)
     return verified
 
 

@@ -89,6 +89,7 @@ def test_anchors_of_a_hot_cell_are_dealt_over_copies(spark, small_cells, monkeyp
 
 
 def test_tree_bounds_hold_and_skip(monkeypatch):
+    monkeypatch.setattr(cover_tree, "LEAF_ROWS", 64)
     rng = np.random.default_rng(8)
     centres = rng.integers(-300, 300, (30, 8)).astype(float)
     rows = np.floor(np.repeat(centres, 60, axis=0) + rng.normal(0, 6, (1800, 8)))
