@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -150,11 +150,12 @@ def fit_ratio(points: np.ndarray, queries: np.ndarray, own: np.ndarray, graph: G
 class Index:
     """``rows(bin, vec_id, first, vector, list, earlier)`` by bins, and what finds the bins of a query."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     graph: Graph | None
     ratio: float
     first_bin: np.ndarray
     bins: np.ndarray
+    own_rows: np.ndarray  # rows of each list for which it is the nearest
     size: int
     longest: float
     top: int
@@ -194,7 +195,7 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
     distinct = stored(vectors.distinct_rows(rows, top + 1))
     size, count = vectors.dimension(distinct), distinct.count()
     if not count:
-        return Index(distinct, None, 1.0, np.zeros(0), np.zeros(0), size, 1.0, top)
+        return Index(distinct, None, 1.0, np.zeros(0), np.zeros(0), np.zeros(0), size, 1.0, top)
 
     def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +221,10 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
 
     assigned = stored(distinct.select("vec_id", "vector", "first").mapInArrow(
         assign, "vec_id long, vector array<double>, first boolean, lists array<int>"))
-    sizes = np.zeros(len(graph.centroids), np.int64)
-    for row in assigned.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
-        sizes[row.list] = row["count"]
+    sizes, own_rows = np.zeros((2, len(graph.centroids)), np.int64)
+    each = assigned.select(F.posexplode("lists").alias("place", "list"))
+    for row in each.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("own")).collect():
+        sizes[row.list], own_rows[row.list] = row.n, row.own
     bins = np.maximum(1, -(-sizes // BIN_ROWS))
     first_bin, at, room = np.zeros(len(sizes), np.int64), 0, BIN_ROWS
     for i, n in enumerate(sizes.tolist()):
@@ -237,7 +239,7 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
         (F.get(starts, F.col("list")) + salt).cast("long").alias("bin"), "vec_id", "first", "vector", "list",
         F.slice("lists", 1, F.col("place")).alias("earlier"),
     )
-    return Index(placed, graph, ratio, first_bin, bins, size, most, top)
+    return Index(placed, graph, ratio, first_bin, bins, own_rows, size, most, top)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -300,25 +302,41 @@ class Bin:
         return who[best], self.ids[row[best]], scores[best]
 
 
+def lists_to_read(points: np.ndarray, index: Index) -> np.ndarray:
+    """Which lists each query reads: those within the ratio, and the nearest ones until they hold ``top`` other rows."""
+    distances = index.graph.near(points, index.ratio, 2 * REPLICAS)
+    while True:
+        within = distances <= distances.min(1, keepdims=True) * index.ratio
+        order = np.argsort(distances, axis=1, kind="stable")
+        met = np.isfinite(np.take_along_axis(distances, order, 1))
+        held = np.cumsum(index.own_rows[order] * met, axis=1)
+        needed = (held - index.own_rows[order] * met <= index.top) & met
+        np.put_along_axis(needed, order, needed.copy(), 1)
+        lacking = (held[:, -1] <= index.top) & ~met.all(1)
+        if not lacking.any():
+            return within | needed
+        distances[lacking] = np.sqrt(_squared(points[lacking], index.graph.centroids))  # the graph has shown too few
+
+
 def search(index: Index, queries: DataFrame) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest rows found for each of the ``prepared`` ``queries``.
 
     Of the rows with the query's own id and vector one is its own and is left out. Every query goes to the bins of
-    the lists within the fitted ratio, and a bin that very many queries ask is repeated, so that no task serves more
+    the lists within the fitted ratio, and of more until these hold ``top`` rows; a bin that very many queries ask is repeated, so that no task serves more
     than ``BIN_QUERIES`` of them.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     if index.graph is None:
         return queries.sparkSession.createDataFrame([], schema)
-    graph, ratio, size, top, longest = index.graph, index.ratio, index.size, index.top, index.longest
+    graph, size, top, longest = index.graph, index.size, index.top, index.longest
     first_bin, bins = index.first_bin, index.bins
+    plan = replace(index, rows=None)  # what tasks need of it
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(low, _BATCH)
-                distances = graph.near(_as_queries(vectors.matrix(part.column(2), size)), ratio, 2 * REPLICAS)
-                within = distances <= distances.min(1, keepdims=True) * ratio
+                within = lists_to_read(_as_queries(vectors.matrix(part.column(2), size)), plan)
                 who, where, chosen = [], [], []
                 for i, row in enumerate(within):
                     lists = np.flatnonzero(row)
