@@ -28,7 +28,7 @@ SCORE_SCALE = 2_000_000
 #: Bound of the slots in which activations are kept, one byte for each and phrase length: 32 MB that tasks receive.
 MAX_SLOTS = 1 << 23
 
-_BLOCK = 8 << 20
+_BLOCK = 2 << 20
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
@@ -84,6 +84,14 @@ class Scan:
         self.step, self.shards, self.reached = step, shards, reached
         self.hasher = words.WordHasher()
 
+    def __reduce__(self):
+        """Tasks receive the slots that have reached the threshold, not the arrays, which are nearly empty."""
+        sparse = {}
+        for m, array in self.reached.items():
+            places = np.flatnonzero(array != _NEVER)
+            sparse[m] = (len(array), places.astype(np.int32), array[places])
+        return _unpacked, (self.step, self.shards, sparse)
+
     def batch(self, column: pa.Array, languages: list[str]) -> Iterator[pa.RecordBatch]:
         text = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()),
                                            pa.scalar("\n", pa.large_string()))
@@ -167,6 +175,14 @@ class Scan:
         return _rows(names[language[begin]].tolist(), text, m, slot[first], np.bincount(codes))
 
 
+def _unpacked(step: int, shards: int, sparse: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Scan:
+    reached = {}
+    for m, (slots, places, steps) in sparse.items():
+        reached[m] = np.full(slots, _NEVER, np.uint8)
+        reached[m][places] = steps
+    return Scan(step, shards, reached)
+
+
 def _rows(languages: list, phrases: pa.Array, m: int, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     kinds = (pa.array(languages, pa.string()), phrases, pa.array(np.full(len(counts), m, np.int32)),
              pa.array(np.asarray(slots).astype(np.int32)), pa.array(counts.astype(np.int64)))
@@ -192,7 +208,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     when no phrase is active. A phrase is no more frequent than its parts or its slot, so none that reaches the
     threshold is missed, and what is counted by itself is counted exactly.
 
-    Slots bound what is kept of rare phrases: a row of two numbers each, and four byte arrays that tasks receive.
+    Slots bound what is kept of rare phrases, a row of two numbers each, and what tasks receive: four byte arrays.
     Counts are summed in blocks of text, then in tasks, then by slot or phrase.
     """
     if not 1 <= shards <= 60:
