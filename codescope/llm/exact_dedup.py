@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codescope.plans.joins import fits_broadcast
 from codescope.plans.lineage import stored
 
 from . import fuse_filter
+from .tables import aside
 
 #: Keys that one filter should hold; a snapshot has as many shards as this needs.
 KEYS_PER_FILTER = 50_000
@@ -44,6 +46,11 @@ class Snapshot:
     shards: int
 
 
+def _key() -> Column:
+    """What the filters hold of a digest. Digests may share a key; nothing but the screening goes by it."""
+    return F.xxhash64("digest")
+
+
 def _shard(shards: int) -> Column:
     return F.pmod(F.hash("key"), F.lit(shards))
 
@@ -93,16 +100,18 @@ def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
 
 
 def _batches(digests: DataFrame, count: int) -> list[DataFrame]:
-    """Successive ranges of ``doc_id`` with about as many rows each; null comes last."""
-    cuts = digests.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)])).first()[0] if count > 1 else []
+    """Successive ranges of ``doc_id``, or of its hash if it is no number, with about as many rows each; null comes last."""
+    number_like = isinstance(digests.schema["doc_id"].dataType, T.NumericType)
+    place = F.col("doc_id") if number_like else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    cuts = digests.agg(F.percentile_approx(place, [i / count for i in range(1, count)])).first()[0] if count > 1 else []
     cuts = sorted(set(cuts or []))
-    number = reduce(lambda a, b: a + b, [F.coalesce(F.col("doc_id") > c, F.lit(True)).cast("int") for c in cuts], F.lit(0))
+    number = reduce(lambda a, b: a + b, [F.coalesce(place > c, F.lit(True)).cast("int") for c in cuts], F.lit(0))
     return [digests.where(number == i) for i in range(len(cuts) + 1)]
 
 
-def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is in ``keys``; these are broadcast when measured as few, else both sides are shuffled."""
-    return rows.join(F.broadcast(keys) if fits_broadcast(keys) else keys, "key", "left_semi")
+def _among(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose ``digest`` is in ``digests``; these are broadcast when measured as few, else both sides are shuffled."""
+    return rows.join(F.broadcast(digests) if fits_broadcast(digests) else digests, "digest", "left_semi")
 
 
 def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest_bits: int = DIGEST_BITS) -> DataFrame:
@@ -122,7 +131,7 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest_bits: int =
     texts = docs.select("doc_id", normalised("text").alias("_text")).select(
         "doc_id", "_text", text_digest(F.col("_text"), digest_bits).alias("digest"), F.sha2("_text", 256).alias("text_sha256")
     )
-    digests = stored(texts.select("doc_id", "digest", "text_sha256", F.xxhash64("digest").alias("key")))
+    digests = stored(texts.select("doc_id", "digest", "text_sha256", _key().alias("key")))
     snapshots: list[Snapshot] = []
     matches: list[DataFrame] = []
     for batch in _batches(digests, batches):
@@ -149,9 +158,8 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest_bits: int =
     classes = stored(classes)
 
     # bytes: the rows of every class with several rows, grouped by their whole text
-    several = classes.where("n > 1").select("key")
-    keyed = texts.withColumn("key", F.xxhash64("digest"))
-    checked = _among(keyed, several).groupBy("digest", "_text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    several = classes.where("n > 1").select("digest")
+    checked = _among(texts, several).groupBy("digest", "_text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     checked = stored(checked.select("digest", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "n"))
     whole = classes.where("n = 1").select("digest", "keep_id", "n")
     repeats = Window.partitionBy("text_sha256", "doc_id").orderBy("digest")
@@ -172,10 +180,11 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Kept ids meet the rows by id and digest; of rows that repeat both, which are looked for first, one is taken.
     """
+    docs, given_back = aside(docs, ["_id", "_sha"])
     kept = stored(exact_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(normalised("text"), 256) == F.col("_sha"))
     rows = docs.join(kept, same, "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
+        return given_back(rows)
     keyed = rows.withColumn("_sha", F.sha2(normalised("text"), 256))
-    return keyed.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return given_back(keyed.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
