@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +19,31 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codescope.plans.joins import fits_broadcast
 from codescope.plans.lineage import stored
 
 from .words import ASCII_PUNCTUATION, SPACES, blocks, text_buffers
 
 DECAY, SPAN = 0.5, 8
 SYMBOLS = 64
-#: Documents of each label that are sampled for training, at most; a quarter of them calibrates.
-TRAIN_DOCUMENTS = 6_000
+#: Documents of each label that calibrate, at most.
+TRAIN_DOCUMENTS = 2_000
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 12_000, 5_000
-LANDMARKS = 64
-#: Standard deviations by which a word must be more frequent in toxic sentences; the second where the first gives few.
-MARKED, WEAKLY_MARKED, FEW = 4.0, 3.0, 20
+LANDMARKS, CLEAN_LANDMARKS = 64, 192
+#: Share of the words learned as toxic that may be as frequent in clean texts.
+FALSE_MARKS = 0.01
 ROUNDS = 3
 COST = 1e4
 THRESHOLD = 0.3
 #: Folds by remainder of CRC-32 of the id; one is held out.
 FOLDS, HELD_OUT = 4, 2
 _BLOCK = 1 << 18
-_LONGEST_WORD = 64
+#: Bytes that successive pieces of one long text share, so that an insult that is spelled out is whole in one of them.
+_OVERLAP = 512
+#: Words are learned in parts of at most this many symbols, each beginning in the middle of the one before.
+_PART = 64
+#: Bins in which the evidence of words is counted, ten for each unit of natural logarithm.
+_BINS = 5_000
 
 
 def _codes() -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +170,7 @@ class Model:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Byte ranges with the offsets of their rows; one row that is longer than a block comes in pieces of whole words."""
+    """Byte ranges with the offsets of their rows; one row that is longer than a block comes in overlapping pieces of whole words."""
     low, high = int(offsets[first]), int(offsets[last])
     if last > first + 1 or high - low <= _BLOCK:
         yield low, high, offsets[first : last + 1] - low
@@ -177,12 +184,54 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Ite
                 break
             end = min(end + _BLOCK, high)
         yield low, end, np.array([0, end - low])
-        low = end
+        if end == high:
+            return
+        gaps = np.flatnonzero(SPACES[data[max(low, end - _OVERLAP) : end]])
+        again = max(low, end - _OVERLAP) + int(gaps[0]) + 1 if len(gaps) else end
+        low = again if again > low else end
 
 
 # ---- training --------------------------------------------------------------------------------------------------
 
 
+def _parts(word: bytes) -> list[bytes]:
+    """``word``, or if it is longer than ``_PART`` overlapping parts of it."""
+    if len(word) <= _PART:
+        return [word]
+    return [word[at : at + _PART] for at in range(0, len(word) - _PART // 2, _PART // 2)]
+
+
+def marked_words(counts: DataFrame, toxic_share: float, false_share: float = FALSE_MARKS) -> DataFrame:
+    """``(word, t, evidence)`` of the words of ``counts(word, t, c)`` that mark toxic texts.
+
+    A word in ``t`` toxic and ``c`` clean texts has as evidence the exponent of Chernoff's bound on the chance of that
+    many toxic ones, were it as frequent in both. Benjamini and Hochberg's procedure bounds the share of false marks;
+    words too rare to reach the bound even if all their texts were toxic (Tarone) are not counted as tested. The same
+    rule at any size: more marks never make it stricter. Only a histogram of fixed size comes to the driver.
+    """
+    n, x, p = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), toxic_share
+
+    def part(share: Column, null: float) -> Column:
+        return F.when(share > 0, share * F.log(share / null)).otherwise(0.0)
+
+    evidence = F.when(x > p, n * (part(x, p) + part(1 - x, 1 - p))).otherwise(0.0)
+    most = -math.log(p)
+    weighed = counts.where("t + c > 0").select("word", "t", evidence.alias("evidence"), (n * most).alias("possible"))
+
+    def binned(name: str) -> Column:
+        return F.least(F.floor(F.col(name) * 10), F.lit(_BINS)).cast("int")
+
+    histogram = np.zeros((2, _BINS + 1))
+    for kind, name in enumerate(("evidence", "possible")):
+        for row in weighed.groupBy(binned(name).alias("bin")).count().collect():
+            histogram[kind, row.bin] = row["count"]
+    upto, testable = histogram[:, ::-1].cumsum(axis=1)[:, ::-1]
+    levels = np.arange(_BINS + 1) / 10
+    tested = np.maximum(1, testable[np.searchsorted(levels, -math.log(false_share))])
+    fits = np.flatnonzero((upto > 0) & (levels >= np.log(tested / (false_share * np.maximum(upto, 1)))))
+    return weighed.where(binned("evidence") >= int(fits[0]) if len(fits) else F.lit(False)).drop("possible")
+
+
 def _training_words(docs: DataFrame) -> DataFrame:
     """``(toxic, word)``: the distinct words of each labelled text, as hex of their symbols."""
 
@@ -194,7 +243,7 @@ def _training_words(docs: DataFrame) -> DataFrame:
                 piece = data[offsets[row] : offsets[row + 1]]
                 codes, ends = symbols(piece, np.array([0, len(piece)]))
                 raw = codes.tobytes()
-                own = {w for w in raw.split(b"\0") if 3 <= len(w) <= _LONGEST_WORD}
+                own = {part for w in raw.split(b"\0") if len(w) >= 3 for part in _parts(w)}
                 toxic += [label] * len(own)
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.binary())], ["toxic", "word"])
@@ -240,13 +289,15 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     return w
 
 
-def _fit(positive: list[bytes], texts: list[int], negative: list[bytes]) -> Model:
+def _fit(positive: list[bytes], texts: list[int], negative: list[bytes], like: list[bytes]) -> Model:
     """Nystroem features against landmarks, the machine on them, and its folding into triple weights.
 
-    Landmarks are marked words that differ from each other; clean words as further landmarks made held-out results
-    worse. A positive counts by the number of ``texts`` it stands for; both kinds weigh the same together.
+    Landmarks are marked words that differ from each other, and of ``like``, the clean words that an earlier machine
+    took for toxic, some that do: against these alone can it tell a mark from a clean word of nearly the same
+    triples. A positive counts by the number of ``texts`` it stands for; both kinds weigh the same together.
     """
     marks = _landmarks(positive, LANDMARKS)
+    marks += [w for w in _landmarks(like, CLEAN_LANDMARKS) if w not in marks]
     vectors = np.stack([triples_of(np.frombuffer(w, np.uint8)) for w in marks]).astype(np.float32)
     flat = _flat(positive + negative)
     against = np.stack([triple_sums(*flat, v) for v in vectors], axis=1)
@@ -283,17 +334,24 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model | None:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` outside the held-out fold; None without both kinds.
 
-    At most ``documents`` rows of each label, the first by a hash of the id, are used. Words that mark toxic texts
-    stand for their sentences as positives; words of clean texts are negatives, to which each round adds those that
-    the last machine found most toxic. Words are counted by Spark; bounded lists of them come to the driver.
+    Words are counted by Spark over all labelled texts. Those that mark toxic ones (``marked_words``) stand for their
+    sentences as positives, at most ``POSITIVE_WORDS`` of the most evident; words of clean texts are negatives, to
+    which each round adds those that the last machine found most toxic. At most ``documents`` rows of each label, the
+    first by a hash of the id, calibrate the decisions, and their words are left out of the counts. Only bounded lists
+    of words and decisions come to the driver. Of several labels of one document the largest counts.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != HELD_OUT))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = [usable.where(F.col("toxic") == label).orderBy(*order).limit(documents) for label in (1, 0)]
     share = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    picked = stored(sample[0].union(sample[1]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))))
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null"))
+    if len(share) < 2:
+        return None
+    # a quarter of the ids, as far as the bound goes, calibrates; all others are counted
+    spare = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    held = reduce(DataFrame.union, [spare.where(F.col("toxic") == k).orderBy(*order).limit(documents) for k in (1, 0)])
+    parted = stored(usable.join(held.select("doc_id", F.lit(0).alias("part")), "doc_id", "left").fillna(1, ["part"]))
+    labelled = F.broadcast(parted) if fits_broadcast(parted) else parted
+    rows = docs.select("doc_id", "text").where("text is not null").join(labelled, "doc_id")
     counts = stored(
         _training_words(rows.where("part > 0")).groupBy("word").agg(
             F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")
@@ -302,24 +360,20 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
     kinds = {r.toxic: r["count"] for r in rows.where("part > 0").groupBy("toxic").count().collect()}
     if len(kinds) < 2:
         return None
-    ratio = kinds[1] / kinds[0]
-    excess = (F.col("t") - F.col("c") * ratio) / F.sqrt(F.col("t") + F.col("c") * ratio * ratio + 1)
-    marked = counts.select("word", "t", excess.alias("z")).where("z > 0").orderBy(F.desc("z"), "word").limit(POSITIVE_WORDS).collect()
-    strong = [r for r in marked if r.z >= MARKED]
-    if len(strong) < FEW:
-        strong = [r for r in marked if r.z >= WEAKLY_MARKED] or marked[:FEW]
-    marked = strong
+    marked = marked_words(counts, kinds[1] / (kinds[0] + kinds[1])).orderBy(F.desc("evidence"), "word").limit(POSITIVE_WORDS).collect()
     positive, texts = [bytes(r.word) for r in marked], [r.t for r in marked]
     clean = counts.where("c > 0").select("word").orderBy(F.xxhash64("word")).limit(NEGATIVE_WORDS).collect()
     known = set(positive)
     negative = [w for r in clean if (w := bytes(r.word)) not in known]
     if not positive or not negative:
         return None
-    model = _fit(positive, texts, negative)
+    model = _fit(positive, texts, negative, [])
+    like: list[bytes] = []
     for _ in range(ROUNDS):
-        hard = _hardest(counts.where("c > 0").select("word"), model, HARD_WORDS)
-        negative = list(dict.fromkeys([w for w in hard if w not in known] + negative))
-        model = _fit(positive, texts, negative)
+        hard = [w for w in _hardest(counts.where("c > 0").select("word"), model, HARD_WORDS) if w not in known]
+        negative = list(dict.fromkeys(hard + negative))
+        like = list(dict.fromkeys(like + hard[:HARD_WORDS // 5]))
+        model = _fit(positive, texts, negative, like)
     held = decisions(rows.where("part = 0").select("toxic", "text"), model, "toxic").toPandas()
     if held.toxic.nunique() == 2:
         seen = held.toxic.map(held.toxic.value_counts()).to_numpy(float)

@@ -192,6 +192,70 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     assert model.largest(texts) == pytest.approx(whole)
 
 
+def _brute_kernel(a, b):
+    """Common triples of two words of symbols, each weighted by decay to the spans in both."""
+    def triples(w):
+        found = {}
+        for i in range(len(w)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(w))):
+                for j in range(i + 1, k):
+                    found[w[i], w[j], w[k]] = found.get((w[i], w[j], w[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        return found
+
+    left, right = triples(a), triples(b)
+    return sum(v * right.get(t, 0) for t, v in left.items())
+
+
+def _brute_norm(size):
+    """The norm of a word of that length whose triples all differ."""
+    return max(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i in range(size) for k in range(i + 2, min(i + toxicity.SPAN, size))
+                   for _ in range(i + 1, k)), toxicity.DECAY**6) ** 0.5
+
+
+def test_the_kernel_counts_common_subsequences():
+    rng = random.Random(2)
+    words = [bytes(rng.choices(range(1, 9), k=n)) for n in (3, 4, 5, 8, 12, 20)]
+    for a in words:
+        for b in words:
+            mine = toxicity.triples_of(np.frombuffer(a, np.uint8)) @ toxicity.triples_of(np.frombuffer(b, np.uint8))
+            assert mine == pytest.approx(_brute_kernel(a, b) / _brute_norm(len(a)) / _brute_norm(len(b)), rel=1e-6)
+        against = toxicity.triple_sums(*toxicity._flat(words), toxicity.triples_of(np.frombuffer(a, np.uint8)).astype(np.float32))
+        assert against == pytest.approx(
+            [_brute_kernel(a, b) / _brute_norm(len(a)) / _brute_norm(len(b)) for b in words], rel=1e-3)
+
+
+def test_marks_follow_one_rule_at_all_sizes(spark):
+    """More strong words never make a weaker one unmarked, and words that are as frequent in clean texts are not marked."""
+    import math
+
+    rng = random.Random(9)
+    plain = [(b"w%d" % i, *sorted((rng.randint(0, 2), rng.randint(5, 40)))) for i in range(400)]
+    weak = [(b"weak", 9, 0)]
+    for strong in (0, 1, 19, 20, 200):
+        counts = spark.createDataFrame(plain + weak + [(b"strong%d" % i, 60, 0) for i in range(strong)], "word binary, t long, c long")
+        marked = {bytes(r.word): r.evidence for r in toxicity.marked_words(counts, 0.1).collect()}
+        assert b"weak" in marked and sum(w.startswith(b"strong") for w in marked) == strong
+        assert not any(w.startswith(b"w") and w != b"weak" for w in marked)
+    assert marked[b"weak"] == pytest.approx(9 * -math.log(0.1))
+    assert toxicity.marked_words(counts.limit(0), 0.1).count() == 0
+
+
+def test_spelled_insults_are_whole_in_one_piece(monkeypatch):
+    word = np.array([toxicity._CODES[c] for c in b"idiot"], np.uint8)
+    vector = toxicity.triples_of(word)
+    model = toxicity.Model(vector.astype(np.float32), 0.0)
+    monkeypatch.setattr(toxicity, "_BLOCK", 2000)
+    for shift in range(0, 24):
+        text = "a" * (1960 + shift) + " plain i d i o t plain " + "word " * 900
+        assert model.largest(pa.array([text]))[0] == pytest.approx(vector @ vector, rel=1e-3)
+
+
+def test_long_words_are_learned_in_parts():
+    word = bytes(range(1, 61)) * 4
+    parts = toxicity._parts(word)
+    assert all(len(p) <= toxicity._PART for p in parts) and all(any(word[i : i + 8] in p for p in parts) for i in range(len(word) - 8))
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------
 
 
