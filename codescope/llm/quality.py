@@ -184,20 +184,22 @@ def _features(batch: pa.RecordBatch, at: dict[str, int]) -> list[np.ndarray]:
     return [text_features(text), page_features(source, lang, n_chars)]
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both views and the labels (-1: none) of the documents in ``ids(doc_id, label)``, in order of the id's hash."""
+def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both views and the labels (-1: none) of the documents in ``ids(doc_id, label)``, in order of the id's hash.
+
+    Of the rows that share an id the one with the smallest features is taken, so reruns agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             views = np.hstack(_features(batch, {"text": 2, "source": 3, "lang": 4, "n_chars": 5})).astype(np.float32)
             rows = pa.array(list(views), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["place", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["doc_id", "label", "x"])
 
-    place = F.xxhash64("doc_id")
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    rows = rows.join(F.broadcast(ids), "doc_id").select(place.alias("place"), "label", "text", "source", "lang", "n_chars")
-    found = rows.mapInArrow(run, "place long, label int, x array<float>").limit(limit).collect()
-    found.sort(key=lambda r: (r.place, r.x))
+    rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "source", "lang", "n_chars")
+    views = rows.mapInArrow(run, "doc_id {kind}, label int, x array<float>".format(kind=docs.schema["doc_id"].dataType.simpleString()))
+    single = views.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row"))  # one row of a repeated id
+    found = single.select(F.xxhash64("doc_id").alias("place"), "row.*").orderBy("place", "label", "x").collect()
     width = len(TEXT_FEATURES)
     x = np.array([r.x for r in found], np.float32).reshape(len(found), width + HASHED + 2)
     return [x[:, :width], x[:, width:]], np.array([r.label for r in found], float)
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     known = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     spare = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
     ids = spare.distinct().select("doc_id", F.lit(-1).alias("label")).union(known).groupBy("doc_id").agg(F.max("label").alias("label"))
-    views, y = _sampled(docs, ids, 2 * (labelled + unlabelled))
+    views, y = _sampled(docs, ids)
     return co_train([v[y >= 0] for v in views], y[y >= 0], [v[y < 0] for v in views]) if len(y) else None
 
 
