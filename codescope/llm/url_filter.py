@@ -13,6 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codescope.functions.text import let
+
+from .tables import aside
+
 NGRAMS = (3, 4)
 FEATURES = 1 << 14
 BLOCK_FROM = 0.5
@@ -81,12 +85,17 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def _grams(kind: str, text: Column) -> Column:
-    def of(size: int) -> Column:
-        marked = F.concat(F.lit("^"), text, F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.concat(F.lit(kind), F.substring(marked, i, F.lit(size))))
+    """All runs of ``NGRAMS`` characters of ``text`` between its marks. The characters are parted once and then met by
+    place, so work is in proportion to the length."""
+    def of(characters: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(characters) - size, F.lit(0)))
+        return F.transform(
+            starts, lambda i: F.concat_ws("", F.lit(kind), *[F.get(characters, i + k) for k in range(size)])
+        )
 
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(*map(of, NGRAMS)))
+    marked = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+    grams = let(marked, lambda characters: F.concat(*[of(characters, n) for n in NGRAMS]))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(grams)
 
 
 def _features(frame: DataFrame) -> DataFrame:
@@ -123,6 +132,7 @@ def judged(
     result; columns of these names are replaced.
     """
     new = ["host", "path", "rule", "verdict", "p_block"]
+    pages, given_back = aside(pages, ["_host", "_path", "_grams", "_features", "_probability", "_rule", "rawPrediction", "prediction"])
     kept = [c for c in pages.columns if c not in new]
     parted = pages.withColumn("_host", host_of("url")).withColumn("_path", path_of("url"))
     scored = model.setProbabilityCol("_probability").transform(_features(parted))
@@ -130,7 +140,7 @@ def judged(
     rule = matched_rule(F.col("_host"), F.col("_path"), rules)
     scored = scored.select(*kept, "_host", "_path", p.alias("p_block"), rule.alias("_rule"))
     chosen = F.when(F.col("p_block") >= block_from, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(
+    return given_back(scored.select(
         *kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", chosen).alias("verdict"), "p_block",
-    )
+    ))
