@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from codescope.plans.joins import fits_broadcast
 from codescope.plans.lineage import stored
 
+from .tables import aside
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 7
@@ -104,8 +106,9 @@ def mixed(
     """
     new = ["size", "source_size", "target", "repeats"]
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs, given_back = aside(docs, ["_order", "_slice", "_whole", "_end", "_last"])
+    columns = [c for c in docs.columns if c not in new]
     sized = docs.withColumn("size", words("text") if size is None else size).withColumn("_order", order)
-    columns = [c for c in docs.columns if c not in (*new, "_order", "_slice")]
     sized = sized.withColumn("_slice", F.substring("_order", 1, SLICE_DIGITS))
     brief = stored(sized.select("source", "_slice", "_order", "size"))
     slices = stored(brief.groupBy("source", "_slice").agg(F.sum("size").alias("sum")))
@@ -135,6 +138,6 @@ def mixed(
     at = (F.col("_slice") == F.col("_end")) & (F.struct("_order", "size") <= F.col("_last"))
     joined = _with_source(sized, stored(cuts))
     kept = [F.col(f"a.`{c}`") for c in [*columns, "size"]]
-    return joined.select(
+    return given_back(joined.select(
         *kept, "b.source_size", "b.target", (F.col("_whole") + F.coalesce(before | at, F.lit(False)).cast("int")).alias("repeats")
-    )
+    ))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codescope.plans.lineage import stored
 
 from .components import components
+from .tables import aside
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -189,6 +190,7 @@ def first_of_each(
     Of rows that share the id the one whose text has the smallest SHA-256 stays, a null text first; of rows that
     repeat both, which are looked for first, one is taken.
     """
+    docs, given_back = aside(docs, ["_id", "_sha"])
     prints = stored(fingerprints(docs, shingle_words, seed, with_digest=True))
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
     named = smallest_of_components(prints, row, max_distance, segments)
@@ -200,5 +202,5 @@ def first_of_each(
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & digest_of_text().eqNullSafe(F.col("_sha"))
     rows = docs.join(dropped, same, "left_anti")
     if prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        return rows
-    return rows.withColumn("_sha", digest_of_text()).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+        return given_back(rows)
+    return given_back(rows.withColumn("_sha", digest_of_text()).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
