@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.llm import decontamination, exact_dedup, mixing, quality, simhash
-from codescope.llm.tables import table
+from codescope.llm.tables import aside, table
 from codescope.plans.lineage import stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("p_quality") >= quality.KEEP).select(docs.columns)
+    columns, (docs, given_back) = docs.columns, aside(docs, ["p_text", "p_page", "p_quality"])
+    kept = quality.scored(docs, model).where(F.col("p_quality") >= quality.KEEP)
+    return given_back(kept.drop("p_text", "p_page", "p_quality")).select(columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,17 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, numbered by ``copy`` from one; those it takes never are left out."""
+    """Documents as often as the mix takes them, numbered from one; those it takes never are left out.
+
+    The number is called ``copy``, with as many underscores behind as make it differ from the columns of ``docs``.
+    """
+    number = "copy"
+    while number in (c.lower() for c in docs.columns):
+        number += "_"
+    columns, (docs, given_back) = docs.columns, aside(docs, ["size", "source_size", "target", "repeats"])
     mix = mixing.mixed(docs).where("repeats > 0")
-    return mix.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"))
+    numbered = mix.withColumn(number, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return given_back(numbered.drop("size", "source_size", "target", "repeats")).select(*columns, number)
 
 
 STAGES = [
