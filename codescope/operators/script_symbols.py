@@ -299,6 +299,7 @@ _INTERFACE = rf"{_LEAD}interface ({_ID})"
 _ALIAS = rf"{_LEAD}type ({_ID})[^=]*="
 _CLASS = rf"{_LEAD}class\b(?: (?!extends\b|implements\b)({_ID}))?"
 _FUNCTION = rf"{_LEAD}function\b ?\*? ?({_ID})?"
+_ENUM = rf"{_LEAD}(?:const )?enum ({_ID})"
 _VARIABLE = rf"{_LEAD}(?:const|let|var) (?!enum\b)"
 _IMPORT = rf"^import\b(?! ?[(.])(?! (?:type )?{_ID} ?=)"
 _CONSTRUCTOR = rf"{_MODIFIERS}constructor ?\("
@@ -500,14 +501,17 @@ def symbol_body(statements: Column, script: Column, name: Column) -> Column:
     return F.nullif(let(best, lambda b: F.substr(script, b["off"] + 1, b["len"])), F.lit(""))
 
 
+def statement_names(x: Column) -> Column:
+    """The names that a statement declares: of a class, function, interface, type or enumeration, or of variables."""
+    named = F.array(*[_name(x, p) for p in (_CLASS, _FUNCTION, _INTERFACE, _ALIAS, _ENUM)])
+    variables = F.when(_is(x, _VARIABLE), _variables(x)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(named, variables), lambda n: n != ""))
+
+
 def body_names(statements: Column) -> Column:
     """Every name that ``symbol_body`` answers: of classes, functions, interfaces and variables."""
-    def named(pattern: str) -> Column:
-        return F.transform(F.filter(statements, lambda x: _is(x, pattern)), lambda x: _name(x, pattern))
-
-    variables = F.flatten(F.transform(F.filter(statements, lambda x: _is(x, _VARIABLE)), _variables))
-    names = F.concat(named(_CLASS), named(_FUNCTION), named(_INTERFACE), variables)
-    return F.array_distinct(F.filter(names, lambda n: n != ""))
+    kept = F.filter(statements, lambda x: ~_is(x, _ALIAS) & ~_is(x, _ENUM))
+    return F.array_distinct(F.flatten(F.transform(kept, statement_names)))
 
 
 def imports_block(statements: Column, script: Column) -> Column:

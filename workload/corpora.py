@@ -286,6 +286,41 @@ def shadowing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_files(library.unionByName(users))
 
 
+IMPORTING = (
+    'import { Nation{n} } from "../lib/n{n}";\nconst a = new Nation{n}(); // Nation{n}\n',
+    "import { Nation{n} as N } from '../lib/n{n}';\n\nlet b = N.x;\n",
+    'import * as lib from "../lib/n{n}";\nlib.Nation{n};\nlet s = "Nation{n}";\n',
+    'import { Home{n} } from "../pack/p{n}";\nHome{n};\n',
+    "// Nation{n}\nconst Nation{n} = 1;\n",
+    'import {\n  Nation{n},\n} from "../pack/p{n}/index";\nfoo(Nation{n},\n  Nation{n});\n',
+    'const { Nation{n}: Q } = require("../lib/n{n}");\nQ();\n',
+    'import make, { Nation{n} } from "../far";\nmake(Nation{n});\n',
+)
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation a module with a class and a package that re-exports it, per customer a module that imports the class
+    in one of eight ways, one of which leads nowhere."""
+    nation = table(spark, sf_dir, "nation")
+    customer = spread(table(spark, sf_dir, "customer"))
+    key, n = F.col("n_nationkey"), F.col("c_nationkey")
+    library = nation.select(
+        F.format_string("lib/n%d.ts", key).alias("path"),
+        F.format_string("export class Nation%d {}\nexport default function make() { return new Nation%d(); }\n", key, key).alias("text"),
+    )
+    packages = nation.select(
+        F.format_string("pack/p%d/index.ts", key).alias("path"),
+        F.format_string('export * from "../../lib/n%d";\nexport { Nation%d as Home%d } from "../../lib/n%d.js";\n', key, key, key, key)
+        .alias("text"),
+    )
+    forms = F.array(*[F.replace(F.lit(form), F.lit("{n}"), n.cast("string")) for form in IMPORTING])
+    users = customer.select(
+        F.format_string("app/c%d.ts", "c_custkey").alias("path"),
+        F.element_at(forms, (F.col("c_custkey") % len(IMPORTING) + 1).cast("int")).alias("text"),
+    )
+    return classify_files(library.unionByName(packages).unionByName(users))
+
+
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds together, with a file of no supported kind per nation."""
     nation = table(spark, sf_dir, "nation")

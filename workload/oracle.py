@@ -490,6 +490,27 @@ ORACLE = {
     "script_structure_labels": f"WITH {SCRIPT} SELECT path, labelled AS view FROM script_ok",
     "script_line_skeleton": f"WITH {SCRIPT} SELECT path, line_skeleton AS view FROM script_ok",
     "script_imports": f"WITH {SCRIPT} SELECT path, imports AS view FROM script_ok",
+    "script_imports_table": """
+      WITH given(form, start_line, end_line, module, name, local, exported) AS (VALUES
+        (0, 1, 1, '../lib/n{n}', 'Nation{n}', 'Nation{n}', NULL), (1, 1, 1, '../lib/n{n}', 'Nation{n}', 'N', NULL),
+        (2, 1, 1, '../lib/n{n}', '*', 'lib', NULL), (3, 1, 1, '../pack/p{n}', 'Home{n}', 'Home{n}', NULL),
+        (5, 1, 3, '../pack/p{n}/index', 'Nation{n}', 'Nation{n}', NULL), (6, 1, 1, '../lib/n{n}', 'Nation{n}', 'Q', NULL),
+        (7, 1, 1, '../far', 'default', 'make', NULL), (7, 1, 1, '../far', 'Nation{n}', 'Nation{n}', NULL),
+        (-1, 1, 1, '../../lib/n{n}', '*', NULL, '*'), (-1, 2, 2, '../../lib/n{n}.js', 'Nation{n}', NULL, 'Home{n}')),
+      files AS (
+        SELECT 'app/c' || c_custkey || '.ts' AS path, c_custkey % 8 AS form, c_nationkey AS n FROM customer
+        UNION ALL SELECT 'pack/p' || n_nationkey || '/index.ts', -1, n_nationkey FROM nation)
+      SELECT path, start_line, end_line, replace(module, '{n}', n::VARCHAR) AS module, replace(name, '{n}', n::VARCHAR) AS name,
+        replace(local, '{n}', n::VARCHAR) AS local, replace(exported, '{n}', n::VARCHAR) AS exported
+      FROM files JOIN given USING (form)""",
+    "script_resolved_references": """
+      SELECT CAST(c_nationkey AS BIGINT) AS req_id, 'Nation' || c_nationkey AS symbol, 'app/c' || c_custkey || '.ts' AS path,
+        line_no, 'ok' AS status, CAST(NULL AS VARCHAR) AS message
+      FROM customer JOIN (VALUES (0, 1), (0, 2), (1, 1), (1, 3), (2, 2), (3, 1), (3, 2), (5, 2), (5, 4), (5, 5), (6, 1), (6, 2))
+        hit(form, line_no) ON c_custkey % 8 = form
+      UNION ALL SELECT n_nationkey, 'Nation' || n_nationkey, 'lib/n' || n_nationkey || '.ts', unnest([1, 2]), 'ok', NULL FROM nation
+      UNION ALL SELECT n_nationkey, 'Nation' || n_nationkey, 'pack/p' || n_nationkey || '/index.ts', 2, 'ok', NULL FROM nation
+      UNION ALL SELECT -1 - n_nationkey, 'Home' || n_nationkey, NULL, NULL, 'no_references', '(no references found)' FROM nation""",
     "script_symbol_body": f"WITH {SCRIPT} {SCRIPT_BODY}",
     "event_json_entries": """
       SELECT 'events/' || event_id || '.json' AS path, CAST(0 AS INTEGER) AS ord, unnest(json_keys(props)) AS key,

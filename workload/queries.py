@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.functions.routing import language_family
-from codescope.operators import config_files, dockerfile, python_symbols, python_views, references, resolved, script_symbols
+from codescope.operators import config_files, dockerfile, python_symbols, python_views, references, resolved, script_modules, script_symbols
 from codescope.operators.lines import file_lines
 from codescope.plans import lookup, report, views
 from codescope.sources.corpus import classify_files, decode_text, prune_files
@@ -260,6 +260,20 @@ def script_imports(spark, sf_dir):
     return _scripts(spark, sf_dir).select("path", script_symbols.imports_block(F.col("statements"), F.col("script")).alias("view"))
 
 
+def script_imports_table(spark, sf_dir):
+    return script_modules.script_imports_table(script_symbols.scan_scripts(corpora.module_files(spark, sf_dir)))
+
+
+def script_resolved_references(spark, sf_dir):
+    """The class of each nation and the name its package gives it, which that package does not declare."""
+    key = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    classes = nation.select(
+        key.cast("long").alias("req_id"), F.format_string("Nation%d", key).alias("symbol"), F.format_string("lib/n%d.ts", key).alias("path"))
+    others = nation.select((-1 - key).cast("long"), F.format_string("Home%d", key), F.format_string("pack/p%d/index.ts", key))
+    return script_modules.script_resolved_references(corpora.module_files(spark, sf_dir), classes.union(others))
+
+
 def script_requests(spark, sf_dir):
     key = F.col("c_custkey")
     name = (
@@ -493,7 +507,7 @@ QUERIES = {
         python_symbol_card, python_locate_definition,
         page_script_blocks, page_script_bodies, script_declarations, script_structure, script_structure_labels,
         script_skeleton, script_line_skeleton,
-        script_imports, script_symbol_body,
+        script_imports, script_imports_table, script_resolved_references, script_symbol_body,
         event_json_entries, json_entries, json_roots, json_structure, json_skeleton, json_ref_targets, json_key_body,
         yaml_entries, yaml_structure, yaml_skeleton, yaml_key_body, yaml_anchors_includes, page_yaml_imports,
         docker_instructions, docker_stages, docker_structure, docker_skeleton, docker_base_images, docker_body,
