@@ -83,7 +83,7 @@ def _clauses(x: Column) -> Column:
         F.array(_clause(F.lit("*"), F.regexp_extract(target, rf"^({_ID})", 1))).cast(kinds)
     )
     own = F.transform(script_symbols.statement_names(x), lambda n: _clause(n, None, n)).cast(kinds)
-    default = F.regexp_extract(head, rf"^export default (?:async )?(?:(?:abstract )?class |function ?\*? ?)?({_ID})", 1)
+    default = F.regexp_extract(head, rf"^export default (?:async )?(?!(?:function|class)\b(?! ?\*? ?{_ID}))(?:(?:abstract )?class |function ?\*? ?)?(?!extends\b)({_ID})", 1)
     declared = (
         F.when(head.rlike(r"^export default\b"), F.when(default != "", F.array(_clause(default, None, F.lit("default"))).cast(kinds)).otherwise(none))
         .when(head.rlike(r"^export (?:type )?\{"), named)
