@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.text import let
 from ..operators import config_files, dockerfile, python_views, script_symbols
 from .views import problem, with_parsed
 
+# Quantiles are told to a rank of one part in this many.
+ACCURACY = 100_000
 # A piece is a run of word characters or one other visible character: a tokenizer-free stand-in for tokens.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -48,14 +52,9 @@ def _bodies(parsed: Column, text: Column) -> Column:
     )
 
 
-def view_sizes(files: DataFrame) -> DataFrame:
-    """(path, kind, view, n_views, chars, pieces, file_chars): size of every view of every parseable file.
-
-    ``file_chars`` is what reading the whole file for each view would cost.
-    """
-    parsed = with_parsed(files, signatures=True)
-    kind, text, instr = F.col("kind"), F.col("text"), F.col("instr")
-    python, config, stmts = F.col("parsed"), F.col("config"), F.col("statements")
+def _views(python: Column, statements: Column, config: Column, instr: Column) -> dict[str, Column]:
+    """Text of every view of a parsed file."""
+    kind, text = F.col("kind"), F.col("text")
 
     def pick(for_python: Column, for_script: Column, for_config: Column, for_docker: Column) -> Column:
         return (
@@ -65,35 +64,76 @@ def view_sizes(files: DataFrame) -> DataFrame:
             .otherwise(for_config)
         )
 
-    structure = pick(
-        python_views.structure(python), script_symbols.structure(stmts), config_files.structure(config),
-        dockerfile.structure(instr),
-    )
-    skeleton = pick(
-        python_views.skeleton(python), script_symbols.skeleton(stmts), config_files.skeleton(config),
-        dockerfile.skeleton(instr),
-    )
-    imports = pick(
-        python_views.imports_block(python), script_symbols.imports_block(stmts, F.col("script")),
-        F.when(kind == "json", config_files.json_imports(text)).otherwise(config_files.yaml_imports(text)),
-        dockerfile.base_images(instr),
-    )
-    sizes = F.array_compact(
-        F.array(
-            _size("file", text), _size("structure", structure), _size("skeleton", skeleton),
-            _size("imports", imports), F.when(kind == "python", _bodies(python, text)),
-        )
-    )
+    return {
+        "file": text,
+        "structure": pick(
+            python_views.structure(python), script_symbols.structure(statements), config_files.structure(config),
+            dockerfile.structure(instr),
+        ),
+        "skeleton": pick(
+            python_views.skeleton(python), script_symbols.skeleton(statements), config_files.skeleton(config),
+            dockerfile.skeleton(instr),
+        ),
+        "imports": pick(
+            python_views.imports_block(python), script_symbols.imports_block(statements, F.col("script")),
+            F.when(kind == "json", config_files.json_imports(text)).otherwise(config_files.yaml_imports(text)),
+            dockerfile.base_images(instr),
+        ),
+    }
+
+
+def _sized(files: DataFrame, sizes) -> DataFrame:
+    """(path, kind, whole, …): the structs that ``sizes(views, parsed column, text)`` makes of each parseable file."""
+    parsed = with_parsed(files, signatures=True)
+    text, python = F.col("text"), F.col("parsed")
+    made = sizes(_views(python, F.col("statements"), F.col("config"), F.col("instr")), python, text)
     return (
         parsed.withColumn("_problem", problem(parsed))
         .where(F.col("_problem").isNull())
-        .select("path", "kind", F.length(text).cast("long").alias("whole"), F.inline(sizes))
-        .select(
-            "path", "kind", "view", "n_views", "chars", "pieces", (F.col("whole") * F.col("n_views")).alias("file_chars")
-        )
+        .select("path", "kind", F.length(text).cast("long").alias("whole"), F.inline(made))
     )
 
 
+def view_sizes(files: DataFrame) -> DataFrame:
+    """(path, kind, view, n_views, chars, pieces, file_chars): size of every view of every parseable file.
+
+    ``file_chars`` is what reading the whole file for each view would cost.
+    """
+    def sizes(views: dict[str, Column], python: Column, text: Column) -> Column:
+        bodies = F.when(F.col("kind") == "python", _bodies(python, text))
+        return F.array_compact(F.array(*[_size(name, view) for name, view in views.items()], bodies))
+
+    return _sized(files, sizes).select(
+        "path", "kind", "view", "n_views", "chars", "pieces", (F.col("whole") * F.col("n_views")).alias("file_chars")
+    )
+
+
+def view_size_distribution(
+    files: DataFrame, shares: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int = ACCURACY
+) -> DataFrame:
+    """(kind, view, n_views, p50, p90, p99, most): quantiles of the characters of single views, bodies one by one.
+
+    Per kind and view, with subtotals per view under a null ``kind``. Quantiles come from sketches that tasks merge, so
+    only these are shuffled; each is a size that occurs, its rank off by at most a part in ``accuracy`` of the views.
+    """
+    def sizes(views: dict[str, Column], python: Column, text: Column) -> Column:
+        def one(view: str, chars: Column) -> Column:
+            return F.struct(F.lit(view).alias("view"), chars.cast("long").alias("chars"))
+
+        bodies = F.transform(python["symbols"], lambda s: one("symbol_body", s["body_len"]))
+        return F.concat(
+            F.array(*[one(name, F.length(view)) for name, view in views.items()]),
+            F.coalesce(bodies, F.array().cast("array<struct<view:string,chars:bigint>>")),
+        )
+
+    cuts = F.percentile_approx("chars", list(shares), accuracy)
+    rolled = _sized(files, sizes).rollup("view", "kind").agg(
+        F.count("*").alias("n_views"), cuts.alias("cuts"), F.max("chars").alias("most")
+    ).where(F.col("view").isNotNull())
+    named = [F.col("cuts")[i].alias(f"p{round(share * 100)}") for i, share in enumerate(shares)]
+    return rolled.select("kind", "view", "n_views", *named, "most")
+
+
 def view_cost_report(files: DataFrame) -> DataFrame:
     """(kind, view, n_views, chars, pieces, file_chars, saved): totals per kind and view, with subtotals per view.
 

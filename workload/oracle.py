@@ -629,4 +629,8 @@ ORACLE = {
     "view_cost_report": f"""WITH {ALL_KINDS}, {REPORT_ROWS}
       SELECT kind, view, n_views, chars, pieces, file_chars, round(1 - chars / file_chars, 6) AS saved
       FROM sums WHERE view IS NOT NULL""",
+    "view_size_distribution": f"""WITH {ALL_KINDS}, {REPORT_ROWS}
+      SELECT kind, view, count(*) AS n_views, quantile_disc(length(t), 0.5) AS p50, quantile_disc(length(t), 0.9) AS p90,
+        quantile_disc(length(t), 0.99) AS p99, max(length(t)) AS most
+      FROM shown GROUP BY ROLLUP (view, kind) HAVING view IS NOT NULL""",
 }

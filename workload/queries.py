@@ -496,6 +496,10 @@ def view_cost_report(spark, sf_dir):
     return report.view_cost_report(corpora.mixed_files(spark, sf_dir))
 
 
+def view_size_distribution(spark, sf_dir):
+    return report.view_size_distribution(corpora.mixed_files(spark, sf_dir))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -513,6 +517,6 @@ QUERIES = {
         docker_instructions, docker_stages, docker_structure, docker_skeleton, docker_base_images, docker_body,
         mixed_structure, mixed_skeleton, mixed_imports, batch_lookup_bodies, batch_lookup_structure,
         batch_lookup_references, batch_lookup_resolved, batch_lookup_bodies_anywhere, batch_lookup_cards_anywhere,
-        batch_lookup_locations_anywhere, view_cost_report,
+        batch_lookup_locations_anywhere, view_cost_report, view_size_distribution,
     )
 }
