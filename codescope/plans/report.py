@@ -30,26 +30,26 @@ def _size(view: str, text: Column) -> Column:
 
 
 def _bodies(parsed: Column, text: Column) -> Column:
-    """Every definition's body taken as a view of its own."""
-    sizes = F.transform(
-        parsed["symbols"],
-        lambda s: let(
-            F.substr(text, s["body_off"] + 1, s["body_len"]),
-            lambda b: F.struct(
-                F.length(b).cast("long").alias("chars"), F.regexp_count(b, F.lit(PIECE)).cast("long").alias("pieces")
-            ),
-        ),
-    )
+    """Every definition's body taken as a view of its own.
+
+    No piece reaches over a line end, so pieces are counted once per line, and a body adds up its own lines.
+    """
     zero = F.lit(0).cast("long")
-    return let(
-        sizes,
-        lambda all_: F.struct(
+    counts = F.transform(F.split(text, "\n"), lambda line: F.regexp_count(line, F.lit(PIECE)).cast("long"))
+
+    def pieces(lines: Column, s: Column) -> Column:
+        own = F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1)
+        return F.aggregate(own, zero, lambda acc, n: acc + n)
+
+    def summed(lines: Column) -> Column:
+        return F.struct(
             F.lit("symbol_body").alias("view"),
-            F.size(all_).cast("long").alias("n_views"),
-            F.aggregate(all_, zero, lambda acc, b: acc + b["chars"]).alias("chars"),
-            F.aggregate(all_, zero, lambda acc, b: acc + b["pieces"]).alias("pieces"),
-        ),
-    )
+            F.size(parsed["symbols"]).cast("long").alias("n_views"),
+            F.aggregate(parsed["symbols"], zero, lambda acc, s: acc + s["body_len"]).alias("chars"),
+            F.aggregate(parsed["symbols"], zero, lambda acc, s: acc + pieces(lines, s)).alias("pieces"),
+        )
+
+    return let(counts, summed)
 
 
 def _views(python: Column, statements: Column, config: Column, instr: Column) -> dict[str, Column]:

@@ -98,3 +98,14 @@ def test_report_shuffles_only_sums(corpus):
     assert text.count("Exchange hashpartitioning") == 1
     assert "partial_sum" in text
     assert text.count("ArrowEvalPython") == 1
+
+
+def test_many_bodies_in_one_file_are_measured_in_proportion(files_of):
+    import time
+
+    files = files_of({"big.py": "".join(f"def f{i}(a, b):\n    return a + b\n" for i in range(24_000))})
+    began = time.time()
+    (row,) = report.view_sizes(files).where("view = 'symbol_body'").collect()
+    assert (row.n_views, row.pieces) == (24_000, 24_000 * 12)
+    assert row.chars == sum(len(f"def f{i}(a, b):\n    return a + b") for i in range(24_000))
+    assert time.time() - began < 30
