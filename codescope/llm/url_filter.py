@@ -19,7 +19,8 @@ from .tables import aside
 
 NGRAMS = (3, 4)
 FEATURES = 1 << 14
-BLOCK_FROM = 0.5
+#: A host of which the labelled table says nothing gets about a half at most; blocking takes evidence beyond that.
+BLOCK_FROM = 0.7
 #: Rules are literals of the plan, so their number is bounded.
 MAX_RULES = 1_000
 
