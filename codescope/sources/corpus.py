@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.routing import file_kind, file_name, language_id, suffix
@@ -14,6 +14,10 @@ from ..functions.text import normalize_newlines
 SEARCH_SKIP_DIRS = ("node_modules", "__pycache__", "tests", "notebooks")
 INDEX_SKIP_DIRS = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build")
 
+# What a task should read and parse at once, and the partitions of one group of paths.
+TASK_BYTES = 32 << 20
+_SLOTS = 16
+
 _REPLACEMENT = chr(0xFFFD)
 # Stands in for replacement characters the file really contains while broken bytes are being removed.
 _KEEP = chr(0xFDD0) + chr(0xFDD1) + chr(0xFDD0)
@@ -99,6 +103,25 @@ def write_corpus(
     )
 
 
+def pack(sized: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``sized(path, size, …)`` dealt into partitions of about ``task_bytes`` each, by the sizes of the files.
+
+    Paths are dealt into groups by hash; in each group a running sum over sizes, largest first, cuts the partitions, so a
+    file that is larger than one stands alone and small ones fill up the rest. Only these rows are shuffled, not contents.
+    The row and byte count that fixes the numbers is one aggregate.
+    """
+    total = sized.agg(F.coalesce(F.sum(F.greatest("size", F.lit(1))), F.lit(0))).first()[0]
+    groups = max(1, -(-total // (task_bytes * _SLOTS // 2)))
+    group = F.pmod(F.xxhash64("path"), F.lit(groups))
+    size = F.greatest("size", F.lit(1))
+    before = F.sum(size).over(
+        Window.partitionBy("_group").orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    slot = F.floor(F.coalesce(before, F.lit(0)) / task_bytes) % _SLOTS
+    placed = sized.withColumn("_group", group).withColumn("_slot", slot)
+    return placed.repartitionById(int(groups * _SLOTS), (F.col("_group") * _SLOTS + F.col("_slot")).cast("int")).drop("_group", "_slot")
+
+
 def spread(files: DataFrame) -> DataFrame:
     """Give a plain scan at least one partition per core.
 

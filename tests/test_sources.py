@@ -122,3 +122,47 @@ def test_undecodable_file_is_a_status_in_views(spark):
     requests = spark.createDataFrame([(1, "bad.py", "f"), (2, "good.py", "f")], "req_id long, path string, name string")
     answers = {r.req_id: (r.status, r.result) for r in lookup.symbol_body(files, requests).collect()}
     assert answers == {1: ("parse_error", None), 2: ("ok", "def f(): pass")}
+
+
+def test_files_are_packed_by_size(spark):
+    rows = [("huge.py", 50 << 20), *[(f"d/{i}.py", 1 << 10) for i in range(20_000)], *[(f"m/{i}.py", 3 << 20) for i in range(20)], ("none", 0)]
+    packed = corpus.pack(spark.createDataFrame(rows, "path string, size long"), 8 << 20)
+    parts = packed.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in parts) == len(rows)
+    assert sorted(r.bytes for r in parts)[-1] < (50 << 20) + (9 << 20) and sorted(r.bytes for r in parts)[-2] < 20 << 20
+    assert corpus.pack(packed.limit(0)).count() == 0
+
+
+def tree_of(tmp_path, names):
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x = 1\n")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("names", [
+    [f"f{i}.py" for i in range(30)], [f"d{i}/f.py" for i in range(60)], ["/".join("abcdefgh"[: i + 1]) + "/f.py" for i in range(8)]],
+    ids=["flat", "wide", "deep"])
+def test_listing_has_a_bounded_number_of_tasks(spark, tmp_path, names):
+    root = tree_of(tmp_path, names)
+    listed = tree.list_source_tree(spark, root, num_partitions=4)
+    assert listed.rdd.getNumPartitions() <= 4
+    assert {os.path.relpath(r.path, root) for r in listed.collect()} == set(names)
+    assert {r.size for r in listed.collect()} == {6}
+
+
+def test_filters_reach_the_listing(spark, tmp_path):
+    names = ["a/x.py", "a/b/y.py", "a/b/z.json", "c/d/w.py", "ab/v.py", "top.py"]
+    root = tree_of(tmp_path, names)
+    os.chmod(os.path.join(root, "c"), 0)  # listing it would raise, for any but the super-user
+    reader = tree._TreeReader(root, set(), True, 2)
+    list(reader.pushFilters([tree.StringStartsWith(("path",), root + "/a/"), tree.EqualTo(("size",), 6)]))
+    assert {os.path.relpath(d, root) for part in reader.partitions() for d, _ in part.parts} <= {".", "a", "a/b"}
+    os.chmod(os.path.join(root, "c"), 0o755)
+    below = tree.list_source_tree(spark, root, below=root + "/a/")
+    assert "PushedFilters: [" in below._jdf.queryExecution().executedPlan().toString() or "StartsWith" in below._jdf.queryExecution().toString()
+    assert {os.path.relpath(r.path, root) for r in below.collect()} == {"a/x.py", "a/b/y.py", "a/b/z.json"}
+    chosen = tree.scan_source_tree(spark, root, below=root + "/a/", kinds=["python"])
+    assert {os.path.relpath(r.path, root) for r in chosen.collect()} == {"a/x.py", "a/b/y.py"}
+    assert {os.path.relpath(r.path, root) for r in tree.scan_source_tree(spark, root).collect()} == set(names)
