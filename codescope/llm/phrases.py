@@ -29,6 +29,8 @@ SCORE_SCALE = 2_000_000
 MAX_SLOTS = 1 << 23
 
 _BLOCK = 2 << 20
+#: Words and phrases whose slots a task gathers before it counts them.
+_PENDING = 6_000_000
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
@@ -83,6 +85,8 @@ class Scan:
     def __init__(self, step: int, shards: int, reached: dict[int, np.ndarray]):
         self.step, self.shards, self.reached = step, shards, reached
         self.hasher = words.WordHasher()
+        self.pending: dict[int, list[np.ndarray]] = {m: [] for m in reached}
+        self.waiting = 0
 
     def __reduce__(self):
         """Tasks receive the slots that have reached the threshold, not the arrays, which are nearly empty."""
@@ -141,8 +145,10 @@ class Scan:
             mine = at_words < own
             hashed = mine & (reach >= self.step) & (self.step < since + self.shards)
             if hashed.any():
-                codes, slots = pd.factorize(slot[hashed])
-                yield _rows([None] * len(slots), pa.nulls(len(slots), pa.string()), m, slots, np.bincount(codes))
+                self.pending[m].append(slot[hashed])
+                self.waiting += len(self.pending[m][-1])
+                if self.waiting > _PENDING:
+                    yield from self.flush()
             began = np.maximum(reach + 1, since)
             exact = mine & (began <= self.step) & (self.step < began + self.shards)
             if exact.any():
@@ -163,6 +169,15 @@ class Scan:
             value = words.mixed(spread[following] * np.uint64(2 * m + 1) + by_word[following + m])
             at_words, since = following, both[following] + 1
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """Counts of the slots met since the last time; a task calls it at its end."""
+        for m, met in self.pending.items():
+            if met:
+                codes, slots = pd.factorize(np.concatenate(met))
+                yield _rows([None] * len(slots), pa.nulls(len(slots), pa.string()), m, slots, np.bincount(codes))
+                met.clear()
+        self.waiting = 0
+
     def _spelled(self, m, counted, slot, word, language, at, plain, names) -> pa.RecordBatch:
         """Counts of the phrases that begin at the words ``counted``, told apart by their words."""
         codes = language[counted].astype(np.int64)
@@ -209,7 +224,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     threshold is missed, and what is counted by itself is counted exactly.
 
     Slots bound what is kept of rare phrases, a row of two numbers each, and what tasks receive: four byte arrays.
-    Counts are summed in blocks of text, then in tasks, then by slot or phrase.
+    Counts are summed in tasks, then by slot or phrase.
     """
     if not 1 <= shards <= 60:
         raise ValueError("shards must be between 1 and 60")
@@ -227,6 +242,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
         def run(batches: Iterator[pa.RecordBatch], scan: Scan = scan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from scan.batch(batch.column(1), batch.column(0).to_pylist())
+            yield from scan.flush()
 
         found = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, _SCHEMA)
         if state is not None:  # slots that have reached the threshold need no more counts
