@@ -30,7 +30,7 @@ MAX_SLOTS = 1 << 23
 
 _BLOCK = 2 << 20
 #: Words and phrases whose slots a task gathers before it counts them.
-_PENDING = 6_000_000
+_PENDING = 1_500_000
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
