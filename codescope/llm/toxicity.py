@@ -29,7 +29,7 @@ SYMBOLS = 64
 #: Documents of each label that calibrate, at most.
 TRAIN_DOCUMENTS = 2_000
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 12_000, 5_000
-LANDMARKS, CLEAN_LANDMARKS = 64, 192
+LANDMARKS, CLEAN_LANDMARKS = 64, 80
 #: Share of the words learned as toxic that may be as frequent in clean texts.
 FALSE_MARKS = 0.01
 ROUNDS = 3
@@ -298,7 +298,9 @@ def _fit(positive: list[bytes], texts: list[int], negative: list[bytes], like: l
     """
     marks = _landmarks(positive, LANDMARKS)
     marks += [w for w in _landmarks(like, CLEAN_LANDMARKS) if w not in marks]
-    vectors = np.stack([triples_of(np.frombuffer(w, np.uint8)) for w in marks]).astype(np.float32)
+    vectors = np.empty((len(marks), SYMBOLS**3), np.float32)
+    for vector, word in zip(vectors, marks):
+        vector[:] = triples_of(np.frombuffer(word, np.uint8))
     flat = _flat(positive + negative)
     against = np.stack([triple_sums(*flat, v) for v in vectors], axis=1)
     values, basis = np.linalg.eigh((vectors @ vectors.T).astype(float))
