@@ -29,7 +29,7 @@ SYMBOLS = 64
 #: Documents of each label that calibrate, at most.
 TRAIN_DOCUMENTS = 2_000
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_WORDS = 1_500, 12_000, 5_000
-LANDMARKS, CLEAN_LANDMARKS = 64, 80
+LANDMARKS, CLEAN_LANDMARKS = 64, 40
 #: Share of the words learned as toxic that may be as frequent in clean texts.
 FALSE_MARKS = 0.01
 ROUNDS = 3
