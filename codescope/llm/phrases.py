@@ -157,7 +157,7 @@ class Scan:
                 return
             # phrases of one word more, the slots of both of whose parts have reached the threshold
             whole = np.full(len(starts) + 1, _NEVER, np.int16)
-            whole[at_words] = reach
+            whole[at_words] = np.maximum(reach, since - 1)  # a part itself is met from ``since`` on, whenever its slot was full
             both = np.maximum(whole[:-1], whole[1:])
             both[:-1][piece[1:] != piece[:-1]] = _NEVER
             both[-1] = _NEVER

@@ -77,6 +77,17 @@ def test_against_brute_force(spark, mixed_rows, monkeypatch, shards, least, slot
     assert wanted
 
 
+def test_slots_filled_by_others_before_a_phrase_is_met(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_slots", lambda *_: 64)
+    rng = random.Random(9)
+    told = [" ".join(f"p{i}w{j}" for j in range(5)) for i in range(40)]
+    rows = [("en", rng.choice(told)) for _ in range(700)]
+    counts, _ = brute_counts(rows)
+    frequent, _ = phrases.phrase_counts(table_of(spark, rows), 12, 3)
+    assert result(frequent.select("lang", "phrase", "f")) == sorted(
+        (lang, " ".join(words), n) for (lang, words), n in counts.items() if n >= 12)
+
+
 def test_long_texts_are_cut_without_losing_phrases(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_BLOCK", 64)
     rows = [("en", "one two three four five " * 60), ("en", "a.b c. " * 80), ("en", "y" * 300 + " " + "z" * 200 + " end " + "one two " * 40)]
