@@ -32,30 +32,48 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
 
 
+# Two neighbouring words with what stands between them; matches overlap in their words.
+_PAIR = rf"(?<!{WORD})(?=({WORD}++{NOT_WORD}++{WORD}++)){WORD}++"
+
+
+def _pairs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1))
+
+
+def _longest(runs: Column) -> Column:
+    return F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def _anchor(symbol: Column) -> Column:
     """The run of characters by which a line holding ``symbol`` can be found with an equi-join.
 
-    Every maximal word run inside a symbol is a whole word of a matching line, so the longest one serves. A symbol
-    with no word character must sit between two word characters, so there it is a whole run of the others.
+    Every maximal word run inside a symbol is a whole word of a matching line, and its neighbours there are those in the
+    line: so the longest two neighbours serve, and a single word if there are none. A symbol with no word character must
+    sit between two word characters, so there it is a whole run of the others.
     """
-    longest = F.array_max(F.transform(words(symbol), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return F.coalesce(longest, symbol)
+    return F.coalesce(_longest(_pairs(symbol)), _longest(words(symbol)), symbol)
 
 
 def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """``find_references`` for every name in ``symbols(symbol)``, in one pass over the text.
 
     Each line gives its distinct words, which meet the names in an equi-join: broadcast when the names are few, else
-    salted, because a common word may be a large part of all words. Names that are not one plain word are found by
-    their longest word and then checked with the full pattern.
+    salted, because a common word may be a large part of all words. Names of two words and what stands between them meet
+    the distinct neighbours of each line in the same way. All others are found by their longest neighbours, or their only
+    word, and then checked: first for the text itself, then with the full pattern.
     """
     wanted = symbols.select("symbol").where(F.col("symbol").isNotNull()).distinct()
     plain = F.col("symbol").rlike(rf"^{WORD}+\z")
+    pair = F.col("symbol").rlike(rf"^{WORD}++{NOT_WORD}++{WORD}++\z")
+    several = F.col("symbol").rlike(f"{WORD}{NOT_WORD}++{WORD}")
+    single = ~plain & ~several & F.col("symbol").rlike(WORD)
     shape = wanted.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(row_bytes(wanted)), F.lit(0)).alias("size"),
         F.bool_or(plain).alias("words"),
-        F.bool_or(~plain & F.col("symbol").rlike(WORD)).alias("phrases"),
+        F.bool_or(pair).alias("pairs"),
+        F.bool_or(~pair & several).alias("phrases"),
+        F.bool_or(single).alias("singles"),
         F.bool_or(~F.col("symbol").rlike(WORD) & (F.col("symbol") != "")).alias("signs"),
         F.bool_or(F.col("symbol") == "").alias("blank"),
     ).first()
@@ -65,11 +83,13 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     lines = file_lines(files)
     found = []
 
-    if shape.words:
-        tokens = lines.select("path", "line_no", F.explode(F.array_distinct(words(F.col("line")))).alias("symbol"))
-        found.append(list_join(tokens, wanted.where(plain), ["symbol"], small))
+    for present, chosen, runs in ((shape.words, plain, words(F.col("line"))), (shape.pairs, pair, _pairs(F.col("line")))):
+        if present:
+            tokens = lines.select("path", "line_no", F.explode(F.array_distinct(runs)).alias("symbol"))
+            found.append(list_join(tokens, wanted.where(chosen), ["symbol"], small))
     for present, chosen, runs in (
-        (shape.phrases, ~plain & F.col("symbol").rlike(WORD), words(F.col("line"))),
+        (shape.phrases, ~pair & several, _pairs(F.col("line"))),
+        (shape.singles, single, words(F.col("line"))),
         (
             shape.signs,
             ~F.col("symbol").rlike(WORD) & (F.col("symbol") != ""),
@@ -80,7 +100,8 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
             tokens = lines.select("path", "line_no", "line", F.explode(F.array_distinct(runs)).alias("anchor"))
             listed = wanted.where(chosen).select("symbol", _anchor(F.col("symbol")).alias("anchor"))
             joined = list_join(tokens, listed, ["anchor"], small)
-            found.append(joined.where(F.regexp_like("line", word_pattern_column(F.col("symbol")))))
+            met = F.when(F.contains("line", "symbol"), F.regexp_like("line", word_pattern_column(F.col("symbol"))))
+            found.append(joined.where(met))
     if shape.blank:
         found.append(find_references(files, ""))
 

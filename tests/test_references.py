@@ -49,6 +49,20 @@ def test_all_symbols_in_one_pass(spark, files_of, random_texts, join_way):
         assert {(r.path, r.line_no) for r in got if r.symbol == symbol} == brute_force(random_texts, symbol)
 
 
+def test_neighbouring_words_meet_by_equality(spark, files_of, random_texts, join_way):
+    """Names of two words are not checked against every line that has one of them."""
+    asked = ["a b", "a.b", "b->a", "é Ж", "1 .a", "ab  b"]
+    longer = [".a b", "a b.", "a.b a", "$b $a", "a b_é", "ab\nb", "a $"]
+    symbols = spark.createDataFrame([(s,) for s in asked], "symbol string")
+    found = references.find_references_bulk(files_of(random_texts), symbols)
+    assert "rlike(line" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    texts = random_texts | {"p.txt": "a b a.b b->a b_é Ж\n1 .a ab  b x.a b.a b a $b $a\n" + "a b " * 2_000}
+    got = references.find_references_bulk(files_of(texts), symbols.union(spark.createDataFrame([(s,) for s in longer], "symbol string"))).collect()
+    assert len(got) == len(set(got))
+    for symbol in asked + longer:
+        assert {(r.path, r.line_no) for r in got if r.symbol == symbol} == brute_force(texts, symbol)
+
+
 def test_no_symbols_asked(spark, files_of):
     none = spark.createDataFrame([], "symbol string")
     assert references.find_references_bulk(files_of({"a.txt": "a"}), none).count() == 0
