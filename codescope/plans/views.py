@@ -35,9 +35,8 @@ def with_parsed(
     }
     if config:
         columns["config"] = config_files.parsed_config(F.when(kind.isin(*_CONFIG), F.col("text")), kind, bodies)
-    return prepared.withColumns(columns).withColumn(
-        "instr", F.when(kind == "dockerfile", dockerfile.instructions(F.col("text")))
-    )
+    columns["instr"] = dockerfile.instructions(F.when(kind == "dockerfile", F.col("text")))
+    return prepared.withColumns(columns)
 
 
 def problem(parsed: DataFrame) -> Column:

@@ -81,3 +81,23 @@ def test_bodies(spark, files, join_way):
     assert rows[5].message == "Stage 'nope' not found. Stages: build, run, stage2, build"
     none = spark.createDataFrame([(1, "a/Dockerfile.dev", "x")], "req_id long, path string, name string")
     assert lookup.symbol_body(files, none).first().message == "Stage 'x' not found. Stages: none"
+
+
+def test_instructions_are_cut_in_batches(spark):
+    """Blanks and line ends of all kinds; texts are not trimmed line by line in row expressions, which is slow."""
+    blanks = " \t\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000\n\r"
+    texts = [f"FROM{a}x{b}y{a}{b}# z{b}#w{a}\u00df\u00e9{b}{a}RUN{b}a{a}b" for a in blanks for b in blanks] + ["", None]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    cut = dockerfile.docker_instructions(files)
+    assert "trim(" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    wanted = []
+    for i, text in enumerate(texts):
+        stage, ord_ = None, 0
+        for n, line in enumerate((text or "").splitlines(), 1):
+            line = line.strip()
+            if line and not line.startswith("#"):
+                first = line.split()[0]
+                stage = stage if first.upper() != "FROM" else 0 if stage is None else stage + 1
+                wanted.append((str(i), ord_, n, first.upper(), line[len(first):].strip(), stage))
+                ord_ += 1
+    assert sorted(map(tuple, cut.collect()), key=lambda r: (int(r[0]), r[1])) == wanted
