@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
+from ..functions.batches import by_slices
 from ..functions.text import WORD, join_or, let, normalize_newlines
 
 ENTRY = (
@@ -134,10 +135,13 @@ def _parse_one(text: str, kind: str, bodies: bool) -> tuple:
 
 def parsed_config(text: Column, kind: Column, bodies: bool = True) -> Column:
     """Parse by kind (``json`` or ``yaml``); null text gives null. ``bodies=False`` skips rendering the values."""
-    def parse(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+    def rows(texts: pa.Array, kinds: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), kinds.to_pylist(), strict=True)
         return pa.array([None if t is None else _parse_one(t, k, bodies) for t, k in pairs], _ARROW)
 
+    def parse(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+        return by_slices(rows, texts, kinds)
+
     parse.__annotations__ = {"texts": pa.Array, "kinds": pa.Array, "return": pa.Array}
     return F.arrow_udf(parse, PARSED).asNondeterministic()(normalize_newlines(text), kind)
 
