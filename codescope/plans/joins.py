@@ -14,6 +14,10 @@ INLINE_PATHS = 200
 # Name lists up to this length are looked for in each text by a literal filter before files are parsed.
 INLINE_NAMES = 1_000
 SALTS = 32
+# Requests to one file that may stand in its row while it is parsed.
+PATH_REQUESTS = 1_000
+# Requests are brought to the texts before these are parsed where they name at least this many files.
+MANY_PATHS = 10_000
 
 
 def is_small(rows: int, size: int) -> bool:
@@ -62,6 +66,19 @@ def restrict_to_paths(files: DataFrame, wanted: DataFrame, small: bool) -> DataF
     return files.join(F.broadcast(paths) if small else paths, "path", "left_semi")
 
 
+def grouped_requests(requests: DataFrame) -> DataFrame | None:
+    """``(path, _asked)`` with all requests to a path in one array.
+
+    None where they must be salted instead: many requests to few files, or more than ``PATH_REQUESTS`` to one.
+    """
+    each = requests.where(F.col("path").isNotNull())
+    paths, most = each.groupBy("path").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+    if paths < MANY_PATHS or most > PATH_REQUESTS:
+        return None
+    others = [c for c in requests.columns if c != "path"]
+    return each.groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_asked"))
+
+
 def attach_requests(parsed: DataFrame, requests: DataFrame, small: bool) -> DataFrame:
     """One row per (request, file) for requests that name a path, with the columns of ``parsed``.
 

@@ -13,7 +13,7 @@ from ..operators.references import find_references_bulk
 from ..operators.resolved import resolved_references
 from . import views
 from .definitions import KINDS, placed_requests
-from .joins import attach_requests, fits_broadcast, list_join, restrict_to_paths
+from .joins import attach_requests, fits_broadcast, grouped_requests, list_join, restrict_to_paths
 from .lineage import stored
 
 
@@ -65,8 +65,14 @@ def _per_symbol(
         )
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
-    parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
-    met = attach_requests(parsed, _asked(requests, "name"), small)
+    asked = _asked(requests, "name").drop("req_id")
+    grouped = None if small else grouped_requests(asked)
+    if grouped is None:
+        parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
+        met = attach_requests(parsed, _asked(requests, "name"), small)
+    else:  # one join brings the requests to the texts, and what is parsed of these is never shuffled
+        parsed = views.with_parsed(needed.join(grouped, "path"), **parse)
+        met = parsed.withColumn("_each", F.explode("_asked")).drop("_asked").select("*", "_each.*").drop("_each")
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
     )

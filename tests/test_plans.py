@@ -109,3 +109,23 @@ def test_many_bodies_in_one_file_are_measured_in_proportion(files_of):
     assert (row.n_views, row.pieces) == (24_000, 24_000 * 12)
     assert row.chars == sum(len(f"def f{i}(a, b):\n    return a + b") for i in range(24_000))
     assert time.time() - began < 30
+
+
+def test_many_requests_meet_the_texts_in_one_join(spark, corpus, requests, monkeypatch):
+    """What is parsed is not shuffled, unless very many requests name one file; answers are the same in both ways."""
+    asked = requests.union(requests.limit(3)).union(spark.createDataFrame(
+        [(90, "gone.py", "K"), (91, "b.json", "a"), (92, "Dockerfile", "from"), (93, "d1/m1.py", None)], requests.schema))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "MANY_PATHS", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookup.symbol_body(corpus, asked)
+        text = plan(found)
+        above = text[: text.index("ArrowEvalPython")]
+        assert "Exchange" not in above and "_salt" not in above
+        rows = sorted(map(str, found.collect()))
+        monkeypatch.setattr(joins, "PATH_REQUESTS", 0)
+        assert rows == sorted(map(str, lookup.symbol_body(corpus, asked).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 17
