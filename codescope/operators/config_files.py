@@ -140,7 +140,7 @@ def parsed_config(text: Column, kind: Column, bodies: bool = True) -> Column:
         return pa.array([None if t is None else _parse_one(t, k, bodies) for t, k in pairs], _ARROW)
 
     def parse(texts: pa.Array, kinds: pa.Array) -> pa.Array:
-        return by_slices(rows, texts, kinds)
+        return pa.nulls(len(texts), _ARROW) if texts.null_count == len(texts) else by_slices(rows, texts, kinds)
 
     parse.__annotations__ = {"texts": pa.Array, "kinds": pa.Array, "return": pa.Array}
     return F.arrow_udf(parse, PARSED).asNondeterministic()(normalize_newlines(text), kind)

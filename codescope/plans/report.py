@@ -15,6 +15,13 @@ from .views import problem, with_parsed
 ACCURACY = 100_000
 # A piece is a run of word characters or one other visible character: a tokenizer-free stand-in for tokens.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# The same where all characters are ASCII, told by tables instead of Unicode properties.
+ASCII_PIECE = r"\w++|[^\w\s]"
+
+
+def _pieces(text: Column) -> Column:
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.regexp_count(text, F.lit(ASCII_PIECE))).otherwise(F.regexp_count(text, F.lit(PIECE))).cast("long")
 
 
 def _size(view: str, text: Column) -> Column:
@@ -24,7 +31,7 @@ def _size(view: str, text: Column) -> Column:
             F.lit(view).alias("view"),
             F.lit(1).cast("long").alias("n_views"),
             F.length(t).cast("long").alias("chars"),
-            F.regexp_count(t, F.lit(PIECE)).cast("long").alias("pieces"),
+            _pieces(t).alias("pieces"),
         ),
     )
 
@@ -35,7 +42,7 @@ def _bodies(parsed: Column, text: Column) -> Column:
     No piece reaches over a line end, so pieces are counted once per line, and a body adds up its own lines.
     """
     zero = F.lit(0).cast("long")
-    counts = F.transform(F.split(text, "\n"), lambda line: F.regexp_count(line, F.lit(PIECE)).cast("long"))
+    counts = F.transform(F.split(text, "\n"), _pieces)
 
     def pieces(lines: Column, s: Column) -> Column:
         own = F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1)

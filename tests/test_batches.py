@@ -1,3 +1,5 @@
+import gc
+
 import pyarrow as pa
 
 from codescope.functions import batches
@@ -39,3 +41,28 @@ def test_parsers_read_slice_by_slice(spark, monkeypatch):
             m.setattr(batches, "SLICE_ROWS", 4)
             assert parse(texts).equals(whole)
         assert calls == [4] * 5
+
+
+def test_files_of_other_kinds_are_not_sliced(monkeypatch):
+    def refuses(*arrays):
+        raise AssertionError("nothing to parse")
+
+    nulls = pa.nulls(5, pa.string())
+    parsers = {script_symbols: script_symbols._scan, dockerfile: dockerfile._instructions,
+               python_symbols: python_symbols._parser(True, False).func}
+    for module, parse in parsers.items():
+        whole = parse(nulls)
+        monkeypatch.setattr(module, "by_slices", refuses)
+        assert parse(nulls).equals(whole) and whole.null_count == 5
+
+
+def test_cycles_are_not_searched_for_while_files_are_parsed():
+    seen = []
+
+    def watched(texts):
+        seen.append(gc.isenabled())
+        return texts
+
+    assert gc.isenabled()
+    batches.by_slices(watched, pa.array(["a"] * 2_500))
+    assert seen == [False] * 3 and gc.isenabled()

@@ -129,3 +129,10 @@ def test_many_requests_meet_the_texts_in_one_join(spark, corpus, requests, monke
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(rows) == 17
+
+
+def test_pieces_of_plain_and_other_texts(spark):
+    texts = ["", "a_1 b.c", "x\x0b\x1c\x7f\x00y", "tab\tnew\n\r\f.", "naïve café—ok", "２ ² 漢字", "\u00a0 a"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = frame.select(report._pieces(F.col("t")).alias("n"), F.regexp_count("t", F.lit(report.PIECE)).alias("m")).collect()
+    assert [r.n for r in both] == [r.m for r in both]

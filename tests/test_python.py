@@ -172,3 +172,22 @@ def test_import_rows(spark, files_of):
 def test_no_symbols(view):
     for expression in (python_views.structure, python_views.skeleton, python_views.line_skeleton):
         assert view(expression, "x = 1\n") == "(no symbols found)"
+
+
+def test_simple_signatures_are_written_as_unparse_writes_them(monkeypatch):
+    written = ["", "self", "a, b=1", "a: int, b: x.Y=None, c='d', e=u'f', g=True", "a: 'T', b=\"it's\"", "a=-1", "a: x.y.z",
+               "a, /, b", "*a", "a, *, b=2", "**k", "a: list[int]=(1, 2)", "a=1.5, b=b'c', d=...", "a=lambda b: b", "a: 1e999"]
+    nodes = [ast.parse(f"def f({text}): pass").body[0].args for text in written]
+    expected = [ast.unparse(node) for node in nodes]
+    assert [python_symbols._arguments(node) for node in nodes] == expected
+    monkeypatch.setattr(ast, "unparse", None)
+    assert [python_symbols._arguments(node) for node in nodes[:3]] == expected[:3]
+
+
+def test_statements_are_found_in_every_block():
+    source = ("if a:\n x\nelse:\n y\ntry:\n x\nexcept E:\n z\nelse:\n w\nfinally:\n v\n"
+              "match a:\n case 1:\n  q\nfor i in a: x\nelse: y\nwith a: x\nclass C: x\nf = lambda: 0\n")
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.stmt | ast.ExceptHandler | ast.match_case):
+            inner = [c for c in ast.iter_child_nodes(node) if isinstance(c, ast.stmt | ast.ExceptHandler | ast.match_case)]
+            assert list(python_symbols._statements(node)) == inner
