@@ -29,7 +29,11 @@ DEGREE, POOL, WIDTH = 16, 48, 4
 BIN_ROWS, BIN_QUERIES = 1 << 14, 1 << 16
 
 _BATCH = 512
+#: Queries whose scores with all rows of a bin stand side by side: 32 MB.
+_ASKING = 256
 _MARGIN = 8
+#: Scores of unit vectors that differ by no more are told apart by exact ones.
+_ALIKE = 1e-11
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,45 +259,56 @@ class Bin:
     """The rows of one bin, by list."""
 
     def __init__(self, index_size: int, longest: float, top: int, table: pa.Table):
-        self.size, self.longest, self.top = index_size, longest, top
+        self.top = top
         ids, lists = table.column("vec_id").to_numpy(), table.column("list").to_numpy()
         order = np.lexsort((ids, lists))
         self.ids, self.lists = ids[order], lists[order]
         self.first = table.column("first").to_numpy(zero_copy_only=False)[order]
         self.rows = vectors.matrix(table.column("vector"), index_size)[order]
+        self.scaled = self.rows / longest
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.sorted_ids = self.ids[self.by_id]
         earlier = table.column("earlier").to_pylist()
         self.earlier = np.full((len(order), max(1, REPLICAS - 1)), -1, np.int64)
         for to, at in enumerate(order.tolist()):
             self.earlier[to, : len(earlier[at])] = earlier[at]
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]], lists: int):
-        """(query position, vec_id, score) of the best rows in the probed lists of this bin.
-
-        ``probed`` names all lists of a query: a vector in several of them is scored in the first alone.
-        """
+    def _candidates(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]], lists: int):
+        """(query position, row): each query's best rows of all its lists here, ``top`` and some more, and all like the last."""
         reads = np.zeros((len(queries), lists + 1), bool)  # the last column stands for no list
         for i, chosen in enumerate(probed):
             reads[i, chosen] = True
         unit = queries / _norms(queries)[:, None]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        scores = np.full((len(queries), len(self.ids)), -np.inf)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(self.lists) != 0, [True]]))
         for low, high in zip(edges[:-1], edges[1:]):
             asking = np.flatnonzero(reads[:, self.lists[low]])
-            if not len(asking):
-                continue
-            scores = np.round(unit[asking] @ (self.rows[low:high] / self.longest).T, 12)
-            scores[reads[asking][:, self.earlier[low:high]].any(2)] = -np.inf
-            same = np.nonzero(query_ids[asking][:, None] == self.ids[None, low:high])
-            for i, j in zip(*same):
-                if self.first[low + j] and np.array_equal(queries[asking[i]], self.rows[low + j]):
-                    scores[i, j] = -np.inf
-            keep = min(self.top + _MARGIN, high - low)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            good = np.isfinite(np.take_along_axis(scores, best, 1))
-            found.append((np.repeat(asking, good.sum(1)), low + best[good]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        who, row = (np.concatenate(x) for x in zip(*found))
+            if len(asking):
+                scores[asking, low:high] = unit[asking] @ self.scaled[low:high].T
+        for earlier in self.earlier.T:
+            again = np.flatnonzero(earlier >= 0)
+            where, which = np.nonzero(reads[:, earlier[again]])
+            scores[where, again[which]] = -np.inf
+        own = np.searchsorted(self.sorted_ids, query_ids, "left"), np.searchsorted(self.sorted_ids, query_ids, "right")
+        for i, (low, high) in enumerate(zip(*own)):
+            for at in self.by_id[low:high]:
+                if self.first[at] and np.array_equal(queries[i], self.rows[at]):
+                    scores[i, at] = -np.inf
+        keep = self.top + _MARGIN
+        least = np.full((len(queries), 1), -np.inf)
+        if keep < scores.shape[1]:
+            least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep:].min(1, keepdims=True) - _ALIKE
+        return np.nonzero((scores >= least) & (scores > -np.inf))
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]], lists: int):
+        """(query position, vec_id, score) of the best rows in the probed lists of this bin.
+
+        ``probed`` names all lists of a query: a vector in several of them is scored in the first alone.
+        """
+        found = [self._candidates(queries[low : low + _ASKING], query_ids[low : low + _ASKING], probed[low : low + _ASKING], lists)
+                 for low in range(0, len(queries), _ASKING)]
+        who = np.concatenate([low * _ASKING + asking for low, (asking, _) in enumerate(found)])
+        row = np.concatenate([at for _, at in found])
         scores = np.empty(len(who))
         for low in range(0, len(who), 1 << 14):
             part = slice(low, low + (1 << 14))

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codescope.llm import cover_tree, posting_lists, vectors
@@ -200,3 +201,26 @@ def test_matrix_pads_short_vectors():
 
     found = vectors.matrix(pa.array([[1.0], [2.0, 3.0], [], [4.0, 5.0, 6.0]]), 3)
     assert found.tolist() == [[1, 0, 0], [2, 3, 0], [0, 0, 0], [4, 5, 6]]
+
+
+def test_a_bin_scores_few_rows_exactly():
+    rng = np.random.default_rng(5)
+    n, size, top, lists = 2_000, 6, 5, 40
+    rows = rng.normal(size=(n, size))
+    rows[1_000:1_100] = rows[:100]
+    own = rng.integers(0, lists, n)
+    other = np.where(rng.random(n) < 0.5, rng.integers(0, lists, n), -1)
+    table = pa.table({"vec_id": np.arange(n), "first": np.ones(n, bool), "vector": rows.tolist(), "list": own,
+                      "earlier": pa.array([[] if o < 0 else [o] for o in other.tolist()], pa.list_(pa.int32()))})
+    held = posting_lists.Bin(size, 3.0, top, table)
+    ids = np.arange(0, n, 4)
+    queries = rows[ids]
+    probed = [np.flatnonzero(rng.random(lists) < 0.6).tolist() for _ in ids]
+    who, _ = held._candidates(queries, ids, probed, lists)
+    assert np.bincount(who).max() <= top + posting_lists._MARGIN + 1
+    who, found, scores = held.search(queries, ids, probed, lists)
+    for i, at in enumerate(ids.tolist()):
+        reads = np.isin(own, probed[i]) & ~np.isin(other, probed[i]) & (np.arange(n) != at)
+        exact = np.add.accumulate(queries[i] * rows, axis=1)[:, -1]
+        best = [j for j in np.lexsort((np.arange(n), -exact)).tolist() if reads[j]][:top]
+        assert found[who == i].tolist() == best and scores[who == i].tolist() == exact[best].tolist()
