@@ -31,6 +31,10 @@ MAX_SLOTS = 1 << 23
 _BLOCK = 2 << 20
 #: Words and phrases whose slots a task gathers before it counts them.
 _PENDING = 1_500_000
+#: Strings cut out of a block at once.
+_STRINGS = 1 << 14
+#: Rows of counts that are handed over at once.
+_ROWS = 1 << 16
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
@@ -66,11 +70,18 @@ def _chunks(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def _slices(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> pa.Array:
-    """The strings ``data[starts[i]:ends[i]]``."""
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[places]))
+    """The strings ``data[starts[i]:ends[i]]``; the places of few strings' bytes stand in memory at a time."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = np.empty(offsets[-1], np.uint8)
+    for low in range(0, len(starts), _STRINGS):
+        part = slice(low, low + _STRINGS)
+        begin = offsets[low]
+        end = offsets[min(low + _STRINGS, len(starts))]
+        shift = (starts[part] - (offsets[low:-1][:_STRINGS] - begin)).astype(np.int32)
+        places = np.repeat(shift, (ends - starts)[part])
+        places += np.arange(end - begin, dtype=np.int32)
+        found[begin:end] = data[places]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(found))
 
 
 class Scan:
@@ -174,8 +185,12 @@ class Scan:
         for m, met in self.pending.items():
             if met:
                 codes, slots = pd.factorize(np.concatenate(met))
-                yield _rows([None] * len(slots), pa.nulls(len(slots), pa.string()), m, slots, np.bincount(codes))
                 met.clear()
+                counts = np.bincount(codes)
+                del codes
+                for low in range(0, len(slots), _ROWS):
+                    some = slots[low : low + _ROWS]
+                    yield _rows([None] * len(some), pa.nulls(len(some), pa.string()), m, some, counts[low : low + _ROWS])
         self.waiting = 0
 
     def _spelled(self, m, counted, slot, word, language, at, plain, names) -> pa.RecordBatch:

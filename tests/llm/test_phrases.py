@@ -1,7 +1,9 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from codescope.llm import phrases
@@ -119,3 +121,28 @@ def test_scores_past_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: (frequent, sizes))
     (row,) = phrases.collocations(None).collect()
     assert row.score == 2_000_000 * (big - 3) // (2 * big + 7)
+
+
+def test_many_phrases_are_cut_out_in_little_memory():
+    data = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz012345" * 64, np.uint8)
+    starts = np.arange(200_000) % 2_000
+    ends = starts + np.arange(200_000) % 48
+    tracemalloc.start()
+    cut = phrases._slices(starts, ends, data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    text = data.tobytes().decode()
+    assert cut.to_pylist()[::997] == [text[a:b] for a, b in zip(starts[::997].tolist(), ends[::997].tolist())]
+    assert len(cut) == 200_000 and most < 20 << 20  # 4.7 MB of text; eight bytes of place for each came to 110 MB
+    assert phrases._slices(starts[:0], ends[:0], data).to_pylist() == []
+
+
+def test_counts_of_slots_are_handed_over_in_parts():
+    scan = phrases.Scan(0, 1, {1: np.full(1 << 18, phrases._NEVER, np.uint8)})
+    met = np.concatenate([np.arange(200_000), np.arange(0, 200_000, 2)]).astype(np.int32)
+    scan.pending[1].append(met)
+    parts = list(scan.flush())
+    assert len(parts) == 4 and max(part.num_rows for part in parts) == phrases._ROWS
+    counts = dict(zip(*[[x for part in parts for x in part.column(c).to_pylist()] for c in (3, 4)]))
+    assert len(counts) == 200_000 and all(n == 2 - slot % 2 for slot, n in counts.items())
+    assert scan.pending[1] == [] and list(scan.flush()) == []
