@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ _PENDING = 1_500_000
 _STRINGS = 1 << 14
 #: Rows of counts that are handed over at once.
 _ROWS = 1 << 16
+#: Slots whose counts stand in one row of the state.
+_SLOT_ROW = 1 << 15
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
@@ -184,10 +187,8 @@ class Scan:
         """Counts of the slots met since the last time; a task calls it at its end."""
         for m, met in self.pending.items():
             if met:
-                codes, slots = pd.factorize(np.concatenate(met))
+                slots, counts = np.unique(np.concatenate(met), return_counts=True)
                 met.clear()
-                counts = np.bincount(codes)
-                del codes
                 for low in range(0, len(slots), _ROWS):
                     some = slots[low : low + _ROWS]
                     yield _rows([None] * len(some), pa.nulls(len(some), pa.string()), m, some, counts[low : low + _ROWS])
@@ -219,7 +220,54 @@ def _rows(languages: list, phrases: pa.Array, m: int, slots: np.ndarray, counts:
     return pa.RecordBatch.from_arrays(list(kinds), ["lang", "phrase", "m", "slot", "n"])
 
 
-_SCHEMA = "lang string, phrase string, m int, slot int, n long"
+def _held(counts: np.ndarray, places: np.ndarray) -> bytes:
+    """Counts and their places in a row of ``_SLOT_ROW`` slots. Counts past 32 bits are cut there: they only meet the threshold."""
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes() + places.astype(np.uint16).tobytes()
+
+
+def _add(sums: np.ndarray, held: pa.BinaryScalar) -> None:
+    """Add what ``_held`` has written; the places in it are distinct."""
+    data = held.as_buffer()
+    n = data.size // 6
+    sums[np.frombuffer(data, np.uint16, n, 4 * n)] += np.frombuffer(data, np.uint32, n)
+
+
+_SCHEMA = "lang string, phrase string, m int, slot int, n long, held binary"
+_STATE = "m int, slot int, held binary, reached binary"
+
+
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``batch`` of ``Scan`` in ``_SCHEMA``: counts of slots, which come in order, as one row for each ``_SLOT_ROW`` slots."""
+    if not batch.num_rows or batch.column(1).null_count < batch.num_rows:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], [*batch.schema.names, "held"])
+    slots, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+    rows, first = np.unique(slots // _SLOT_ROW, return_index=True)
+    held = [_held(counts[a:b], slots[a:b] % _SLOT_ROW) for a, b in zip(first, [*first[1:], len(slots)])]
+    nothing = [pa.nulls(len(rows), pa.string())] * 2
+    return pa.RecordBatch.from_arrays(
+        [*nothing, pa.array(np.full(len(rows), batch.column(2)[0].as_py(), np.int32)), pa.array(rows.astype(np.int32)),
+         pa.nulls(len(rows), pa.int64()), pa.array(held, pa.binary())], [*batch.schema.names, "held"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(m, slot, held)`` in order of the first two, summed: counts below the threshold, and the slots that have reached it."""
+    def row(key: tuple[int, int], sums: np.ndarray) -> pa.RecordBatch:
+        below, reached = np.flatnonzero((sums > 0) & (sums < min_count)), np.flatnonzero((sums > 0) & (sums >= min_count))
+        held = _held(sums[below], below) if len(below) else None
+        full = (reached + key[1] * _SLOT_ROW).astype(np.int32).tobytes() if len(reached) else None
+        values = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([held], pa.binary()), pa.array([full], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, ["m", "slot", "held", "reached"])
+
+    key, sums = None, np.zeros(_SLOT_ROW, np.int64)
+    for batch in batches:
+        for at, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if now != key:
+                if key is not None:
+                    yield row(key, sums)
+                key, sums = now, np.zeros(_SLOT_ROW, np.int64)
+            _add(sums, batch.column(2)[at])
+    if key is not None:
+        yield row(key, sums)
 
 
 def _slots(texts: DataFrame, min_count: int) -> int:
@@ -238,8 +286,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     when no phrase is active. A phrase is no more frequent than its parts or its slot, so none that reaches the
     threshold is missed, and what is counted by itself is counted exactly.
 
-    Slots bound what is kept of rare phrases, a row of two numbers each, and what tasks receive: four byte arrays.
-    Counts are summed in tasks, then by slot or phrase.
+    Slots bound what is kept of rare phrases, six bytes each, and what tasks receive: four byte arrays. Counts are summed
+    in tasks, then by phrase or, many slots in a row, by slot; phrases counted by themselves are added up at the end.
     """
     if not 1 <= shards <= 60:
         raise ValueError("shards must be between 1 and 60")
@@ -250,34 +298,44 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     texts = stored(dealt, by=["shard"])
     slots = _slots(texts, min_count)
     reached = {m: np.full(slots, _NEVER, np.uint8) for m in range(1, MAX_WORDS + 1)}
-    state, last, step = None, -1, 0
+    state, counted, last, step = None, [], -1, 0
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(batches, min_count)
+
     while step < shards or step <= last + shards:
         scan = Scan(step, shards, reached)
 
         def run(batches: Iterator[pa.RecordBatch], scan: Scan = scan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from scan.batch(batch.column(1), batch.column(0).to_pylist())
-            yield from scan.flush()
-
-        found = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, _SCHEMA)
+                for found in scan.batch(batch.column(1), batch.column(0).to_pylist()):
+                    yield _packed(found)
+            for found in scan.flush():
+                yield _packed(found)
+
+        found = stored(texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, _SCHEMA))
+        counted.append(stored(found.where("phrase is not null").groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n"))))
+        held = found.where("phrase is null").select("m", "slot", "held")
         if state is not None:  # slots that have reached the threshold need no more counts
-            found = found.union(state.where((F.col("n") < min_count) | F.col("phrase").isNotNull()))
-        merged = stored(found.groupBy("lang", "phrase", "m", "slot").agg(F.sum("n").alias("n")))
+            held = held.union(state.where("held is not null").select("m", "slot", "held"))
+        merged = stored(held.repartition("m", "slot").sortWithinPartitions("m", "slot").mapInArrow(merge, _STATE))
+        discard(found)
         if state is not None:
             discard(state)
         state = merged
-        fresh = state.where(F.col("phrase").isNull() & (F.col("n") >= min_count)).select("m", "slot").toArrow()
+        fresh = state.where("reached is not null").select("m", "reached").toArrow()
         if fresh.num_rows:
-            lengths, places = fresh.column("m").to_numpy(), fresh.column("slot").to_numpy()
             reached = {m: array.copy() for m, array in reached.items()}
-            for m, array in reached.items():
-                array[places[lengths == m]] = step
+            for m, places in zip(fresh.column("m").to_pylist(), fresh.column("reached").to_pylist()):
+                reached[m][np.frombuffer(places, np.int32)] = step
             last = step
         step += 1
-    counted = state.where("phrase is not null")
-    frequent = stored(counted.where((F.col("m") > 0) & (F.col("n") >= min_count)).select("lang", "phrase", "m", F.col("n").alias("f")))
-    sizes = stored(counted.where("m = 0").select("lang", "n"))
     discard(state)
+    total = reduce(DataFrame.unionByName, counted).groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n"))
+    frequent = stored(total.where((F.col("m") > 0) & (F.col("n") >= min_count)).select("lang", "phrase", "m", F.col("n").alias("f")))
+    sizes = stored(total.where("m = 0").select("lang", "n"))
+    for part in counted:
+        discard(part)
     discard(texts)
     return frequent, sizes
 

@@ -146,3 +146,26 @@ def test_counts_of_slots_are_handed_over_in_parts():
     counts = dict(zip(*[[x for part in parts for x in part.column(c).to_pylist()] for c in (3, 4)]))
     assert len(counts) == 200_000 and all(n == 2 - slot % 2 for slot, n in counts.items())
     assert scan.pending[1] == [] and list(scan.flush()) == []
+
+
+def test_counts_of_slots_are_summed_many_in_a_row():
+    slots = 4 * phrases._SLOT_ROW
+    scan = phrases.Scan(0, 1, {1: np.full(slots, phrases._NEVER, np.uint8)})
+    met = np.concatenate([np.arange(0, slots, 2), np.arange(0, slots, 4), [6, 6, 6, slots - 2]]).astype(np.int32)
+    rows = []
+    for _ in range(2):
+        scan.pending[1].append(met)
+        rows += [phrases._packed(part) for part in scan.flush()]
+    assert sum(part.num_rows for part in rows) <= 16  # 65,536 counts of slots, twice
+    rows = sorted((r for part in rows for r in part.to_pylist()), key=lambda r: (r["m"], r["slot"]))
+    batch = phrases.pa.RecordBatch.from_pylist(rows, phrases.pa.schema(
+        [("m", phrases.pa.int32()), ("slot", phrases.pa.int32()), ("held", phrases.pa.binary())]))
+    sums = np.zeros(slots, np.int64)
+    full = []
+    for row in phrases._summed(iter([batch.slice(0, 3), batch.slice(3)]), 8):
+        (row,) = row.to_pylist()
+        part = sums[row["slot"] * phrases._SLOT_ROW :][: phrases._SLOT_ROW]
+        phrases._add(part, phrases.pa.scalar(row["held"], phrases.pa.binary()))
+        full += np.frombuffer(row["reached"] or b"", np.int32).tolist()
+    counts = 2 * np.bincount(met, minlength=slots)
+    assert full == [6] and np.array_equal(sums, np.where(counts < 8, counts, 0))
