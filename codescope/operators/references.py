@@ -86,7 +86,7 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
     for present, chosen, runs in ((shape.words, plain, words(F.col("line"))), (shape.pairs, pair, _pairs(F.col("line")))):
         if present:
             tokens = lines.select("path", "line_no", F.explode(F.array_distinct(runs)).alias("symbol"))
-            found.append(list_join(tokens, wanted.where(chosen), ["symbol"], small))
+            found.append(list_join(tokens, wanted.where(chosen), ["symbol"], small, read_twice=False))
     for present, chosen, runs in (
         (shape.phrases, ~pair & several, _pairs(F.col("line"))),
         (shape.singles, single, words(F.col("line"))),
@@ -99,7 +99,7 @@ def find_references_bulk(files: DataFrame, symbols: DataFrame) -> DataFrame:
         if present:
             tokens = lines.select("path", "line_no", "line", F.explode(F.array_distinct(runs)).alias("anchor"))
             listed = wanted.where(chosen).select("symbol", _anchor(F.col("symbol")).alias("anchor"))
-            joined = list_join(tokens, listed, ["anchor"], small)
+            joined = list_join(tokens, listed, ["anchor"], small, read_twice=False)
             met = F.when(F.contains("line", "symbol"), F.regexp_like("line", word_pattern_column(F.col("symbol"))))
             found.append(joined.where(met))
     if shape.blank:

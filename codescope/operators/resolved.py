@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages
 from ..plans import joins
-from ..plans.joins import fits_broadcast, list_join, restrict_to_paths
+from ..plans.joins import file_join, fits_broadcast, list_join, restrict_to_paths
 from ..plans.lineage import stored
 from .python_scopes import MODULE
 from .python_symbols import parse_python, symbols_table
@@ -253,7 +253,7 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
             )
         ).distinct().withColumnsRenamed({"base": "way_base", "scope": "way_scope"})
         uses = reduce(DataFrame.unionByName, facts.uses)
-        met = list_join(uses, ways, ["path", "name", "dotted"], fits_broadcast(ways))
+        met = file_join(uses, ways, ["path", "name", "dotted"], fits_broadcast(ways))
         same = F.col("scope") == F.col("way_scope")
         shadowed = (F.col("way_base") != "") & F.col("base").eqNullSafe(F.col("way_base")) & ~same
         used = met.where(F.when(F.col("dotted"), ~shadowed).otherwise(same))
@@ -261,6 +261,7 @@ def resolved_references(files: DataFrame, requests: DataFrame) -> DataFrame:
         hits = hits.unionByName(named).unionByName(used.select(columns)).distinct()
 
     asked_by = requests.select("req_id", "symbol", F.col("path").alias("def_path"))
+    hits = hits if small else stored(hits)
     by_import = list_join(hits, asked_by, ["symbol", "def_path"], small).withColumn("method", F.lit("resolved"))
     unlocated = asked_by.join(located.select("symbol", "def_path"), ["symbol", "def_path"], "left_anti")
     texts = stored(find_references_bulk(files, unlocated.select("symbol")))

@@ -40,23 +40,35 @@ def fits_broadcast(frame: DataFrame) -> bool:
     return is_small(*frame.agg(F.count("*"), F.coalesce(F.sum(row_bytes(frame)), F.lit(0))).first())
 
 
-def list_join(rows: DataFrame, listed: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
+def list_join(
+    rows: DataFrame, listed: DataFrame, keys: list[str], small: bool | None = None, read_twice: bool = True
+) -> DataFrame:
     """Inner equi-join of a large ``rows`` with a ``listed`` table of any size.
 
     A list measured as small is broadcast, so ``rows`` is not shuffled. Otherwise both sides are shuffled on the key
     plus a salt taken from the other columns of ``rows``: one key holding a third of the rows is spread over
-    ``SALTS`` partitions, and the list is repeated once per salt. The salt is a hash, so a recomputed task gives the
-    same rows.
+    ``SALTS`` partitions. The salt is a hash, so a recomputed task gives the same rows. A row of the list is repeated
+    only for the salts that ``rows`` of its key really use, which reads ``rows`` twice; where these are dear
+    (``read_twice=False``) it is repeated for every salt.
     """
     small = fits_broadcast(listed) if small is None else small
     if small:
         return rows.join(F.broadcast(listed), keys)
     others = [c for c in rows.columns if c not in keys] or keys
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if read_twice:
+        copies = listed.join(salted.select(*keys, "_salt").distinct(), keys)
+    else:
+        copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def file_join(rows: DataFrame, listed: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """``list_join`` for ``keys`` with the path of a file in which ``rows`` stand: one file bounds the rows of a key, so
+    nothing is salted or repeated."""
+    return rows.join(F.broadcast(listed) if small else listed, keys)
+
+
 def restrict_to_paths(files: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """Files whose ``path`` occurs in ``wanted``: a pushed-down literal filter for few paths, else a semi-join."""
     paths = wanted.select("path").where(F.col("path").isNotNull()).distinct()

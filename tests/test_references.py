@@ -150,3 +150,20 @@ def test_search_runs_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.path, r.line_no) for r in spark.table("hits").select("path", "line_no").collect()] == [("a.py", 2)]
+
+
+def test_lists_are_repeated_only_for_the_salts_in_use(spark, monkeypatch):
+    from codescope.plans import joins
+
+    rows = spark.range(4000).selectExpr("if(id < 3000, 'hot', concat('k', id)) AS key", "id")
+    listed = spark.range(4000).selectExpr("if(id = 0, 'hot', concat('k', id)) AS key", "id * 2 AS twice")
+    for read_twice, most in ((True, 1000 + joins.SALTS), (False, 4000 * joins.SALTS)):
+        repeated = []
+        with monkeypatch.context() as m:
+            join = type(rows).join
+            m.setattr(type(rows), "join", lambda *a: repeated.append(a[1]) or join(*a))
+            found = joins.list_join(rows, listed, ["key"], False, read_twice)
+        assert repeated[-1].count() <= most and "_salt" in repeated[-1].columns
+        assert sorted((r.id, r.twice) for r in found.collect()) == [(n, 0 if n < 3000 else 2 * n) for n in range(4000)]
+    files = joins.file_join(rows, listed, ["key"], False)
+    assert files.count() == 4000 and "_salt" not in files._jdf.queryExecution().toString()
