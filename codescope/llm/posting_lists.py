@@ -138,15 +138,20 @@ def fit_ratio(points: np.ndarray, queries: np.ndarray, own: np.ndarray, graph: G
 
     ``queries`` are rows ``own`` of ``points`` as queries; their true neighbours in the sample are found by brute force.
     """
-    lists, needed = lists_of(points, graph), []
+    nearest, shares = [], []
     for low in range(0, len(queries), 64):
         part = queries[low : low + 64]
         scores = part @ points.T
         scores[np.arange(len(part)), own[low : low + 64]] = -np.inf
-        best = np.argsort(-scores, axis=1)[:, : min(top, len(points) - 1)]
+        few = min(top, len(points) - 1)
+        nearest.append(np.argpartition(-scores, max(few - 1, 0), axis=1)[:, :few])
         distances = np.sqrt(_squared(part, graph.centroids))
-        distances /= np.maximum(distances.min(1, keepdims=True), 1e-300)
-        needed += [distances[i, lists[j]].min() for i, row in enumerate(best) for j in row]
+        shares.append(distances / np.maximum(distances.min(1, keepdims=True), 1e-300))
+    met = np.unique(np.concatenate([best.ravel() for best in nearest])) if nearest else np.zeros(0, np.int64)
+    lists = dict(zip(met.tolist(), lists_of(points[met], graph)))  # of the neighbours alone, however large the sample is
+    needed = [
+        share[lists[j]].min() for best, part in zip(nearest, shares) for row, share in zip(best.tolist(), part) for j in row
+    ]
     return float(max(1.0, np.quantile(needed, reached))) if needed else 1.0
 
 

@@ -224,3 +224,23 @@ def test_a_bin_scores_few_rows_exactly():
         exact = np.add.accumulate(queries[i] * rows, axis=1)[:, -1]
         best = [j for j in np.lexsort((np.arange(n), -exact)).tolist() if reads[j]][:top]
         assert found[who == i].tolist() == best and scores[who == i].tolist() == exact[best].tolist()
+
+
+def test_the_ratio_is_fitted_from_the_lists_of_neighbours_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3_000, 5))
+    points = posting_lists._as_points(rows, posting_lists._norms(rows).max())
+    graph = posting_lists.fit_graph(points, 40)
+    own = np.arange(0, len(rows), 300)
+    queries = posting_lists._as_queries(rows[own])
+    lists = posting_lists.lists_of(points, graph)
+    needed = []
+    for query, at in zip(queries, own):
+        order = [j for j in np.argsort(-(points @ query)).tolist() if j != at][:7]
+        distances = np.sqrt(posting_lists._squared(query[None], graph.centroids))[0]
+        needed += [distances[lists[j]].min() / distances.min() for j in order]
+    looked = []
+    whole = posting_lists.lists_of
+    monkeypatch.setattr(posting_lists, "lists_of", lambda p, g: looked.append(len(p)) or whole(p, g))
+    assert np.isclose(posting_lists.fit_ratio(points, queries, own, graph, 7, 0.9), max(1, np.quantile(needed, 0.9)), rtol=1e-9)
+    assert sum(looked) <= 7 * len(own)
