@@ -18,6 +18,8 @@ SALTS = 32
 PATH_REQUESTS = 1_000
 # Requests are brought to the texts before these are parsed where they name at least this many files.
 MANY_PATHS = 10_000
+# Files that a task sorts and parses with the requests to them.
+TASK_PATHS = 20_000
 
 
 def is_small(rows: int, size: int) -> bool:
@@ -78,17 +80,26 @@ def restrict_to_paths(files: DataFrame, wanted: DataFrame, small: bool) -> DataF
     return files.join(F.broadcast(paths) if small else paths, "path", "left_semi")
 
 
-def grouped_requests(requests: DataFrame) -> DataFrame | None:
-    """``(path, _asked)`` with all requests to a path in one array.
+def with_requests(files: DataFrame, requests: DataFrame) -> DataFrame | None:
+    """The files that ``requests`` name, with all requests to one in its array ``_asked``.
 
-    None where they must be salted instead: many requests to few files, or more than ``PATH_REQUESTS`` to one.
+    One join, whose tasks are as many as the named files need: left to the shuffled bytes, which are compressed, or to a
+    fixed number, a task's share of the files would grow with them. None where requests must be salted instead: many to
+    few files, or more than ``PATH_REQUESTS`` to one.
     """
     each = requests.where(F.col("path").isNotNull())
     paths, most = each.groupBy("path").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
     if paths < MANY_PATHS or most > PATH_REQUESTS:
         return None
     others = [c for c in requests.columns if c != "path"]
-    return each.groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_asked"))
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-paths // TASK_PATHS))
+    grouped = each.repartition(tasks, "path").groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_asked"))
+    return files.repartition(tasks, "path").join(grouped, "path")
+
+
+def each_request(met: DataFrame) -> DataFrame:
+    """One row for each request in ``_asked``, with its columns in place of the array."""
+    return met.withColumn("_each", F.explode("_asked")).drop("_asked").select("*", "_each.*").drop("_each")
 
 
 def attach_requests(parsed: DataFrame, requests: DataFrame, small: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.references import find_references_bulk
 from ..operators.resolved import resolved_references
 from . import views
 from .definitions import KINDS, placed_requests
-from .joins import attach_requests, fits_broadcast, grouped_requests, list_join, restrict_to_paths
+from .joins import attach_requests, each_request, fits_broadcast, list_join, restrict_to_paths, with_requests
 from .lineage import stored
 
 
@@ -66,13 +66,12 @@ def _per_symbol(
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
     asked = _asked(requests, "name").drop("req_id")
-    grouped = None if small else grouped_requests(asked)
-    if grouped is None:
+    together = None if small else with_requests(needed, asked)
+    if together is None:
         parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
         met = attach_requests(parsed, _asked(requests, "name"), small)
     else:  # one join brings the requests to the texts, and what is parsed of these is never shuffled
-        parsed = views.with_parsed(needed.join(grouped, "path"), **parse)
-        met = parsed.withColumn("_each", F.explode("_asked")).drop("_asked").select("*", "_each.*").drop("_each")
+        met = each_request(views.with_parsed(together, **parse))
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
     )
@@ -187,8 +186,12 @@ def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bo
     if view in _SYMBOL_VIEWS or view in _REFERENCE_VIEWS:
         return (_SYMBOL_VIEWS | _REFERENCE_VIEWS)[view](files, requests, **options)
     small = fits_broadcast(requests)
-    shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small), **options)
-    met = attach_requests(shown, _asked(requests), small)
+    together = None if small else with_requests(files, _asked(requests).drop("req_id"))
+    if together is None:
+        shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small), **options)
+        met = attach_requests(shown, _asked(requests), small)
+    else:
+        met = each_request(_FILE_VIEWS[view](together, **options))
     ok = F.col("status") == "ok"
     found = met.select(
         "_request", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result")

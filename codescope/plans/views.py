@@ -82,12 +82,14 @@ def _of_kinds(files: DataFrame, kinds: Collection[str] | None) -> DataFrame:
 
 
 def _view(parsed: DataFrame, view: Column) -> DataFrame:
+    """The view of each file, with ``_asked``, the requests to it, where they came along."""
     failed = parsed.withColumn("_problem", problem(parsed))
     return failed.select(
         "path",
         "kind",
         F.coalesce("_problem.status", F.lit("ok")).alias("status"),
         F.when(F.col("_problem").isNotNull(), F.col("_problem.message")).otherwise(view).alias("view"),
+        *[c for c in parsed.columns if c == "_asked"],
     )
 
 

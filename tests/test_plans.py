@@ -136,3 +136,21 @@ def test_pieces_of_plain_and_other_texts(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     both = frame.select(report._pieces(F.col("t")).alias("n"), F.regexp_count("t", F.lit(report.PIECE)).alias("m")).collect()
     assert [r.n for r in both] == [r.m for r in both]
+
+
+def test_tasks_of_a_long_request_list_are_as_many_as_its_files_need(spark, files_of, monkeypatch):
+    from codescope.plans import joins, lookup
+
+    files = files_of({f"p/{n}.py": f"def f{n}(): pass\n" for n in range(60)} | {"p/none.py": "def f(:\n"})
+    asked = [(n, f"p/{n % 50}.py", f"f{n % 50}") for n in range(100)] + [(100, "p/gone.py", "f"), (101, None, "f"), (102, "p/none.py", "f")]
+    requests = spark.createDataFrame(asked, "req_id long, path string, name string")
+    views = {"structure": requests.drop("name"), "symbol_body": requests.where("path IS NOT NULL")}
+    wanted = {v: sorted(lookup.batch_lookup(files, r, v).collect(), key=repr) for v, r in views.items()}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "MANY_PATHS", 10)
+    monkeypatch.setattr(joins, "TASK_PATHS", 4)
+    together = joins.with_requests(files, requests.drop("name"))
+    assert together.count() == 51 and together.rdd.getNumPartitions() == 13  # 52 paths are named
+    for view, listed in views.items():
+        assert sorted(lookup.batch_lookup(files, listed, view).collect(), key=repr) == wanted[view]
+    assert [r.result for r in wanted["structure"] if r.req_id == 53] == ["f3"]
