@@ -7,6 +7,7 @@ them: key order, the last of duplicate keys, number and string formatting, YAML
 from __future__ import annotations
 
 import json
+from collections.abc import Container
 
 import pyarrow as pa
 import yaml
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.batches import by_slices
+from ..functions.batches import by_slices, read_back, written
 from ..functions.text import WORD, join_or, let, normalize_newlines
 
 ENTRY = (
@@ -106,7 +107,8 @@ def _rendered(render, *value: object) -> str | None:
         return None
 
 
-def _parse_one(text: str, kind: str, bodies: bool) -> tuple:
+def _parse_one(text: str, kind: str, bodies: bool, names: Container[str | None] | None = None) -> tuple:
+    """(error, root_type, n_items, root_repr, entries); with ``names`` only bodies of these keys are rendered."""
     try:
         root = _LOADERS[kind](text)
     except Exception as problem:  # noqa: BLE001 - constructors of tagged values raise errors of all kinds
@@ -118,11 +120,15 @@ def _parse_one(text: str, kind: str, bodies: bool) -> tuple:
         return None, kind_name, None, _rendered(repr, root), []
     entries = []
     for position, (key, value) in enumerate(root.items()):
-        nested = isinstance(value, dict | list)
+        nested, shown = isinstance(value, dict | list), _rendered(str, key)
+        if names is not None:
+            body = _rendered(_DUMPERS[kind], value) if bodies and shown in names else None
+            entries.append((position, shown, type(value).__name__, None, None, None, body))
+            continue
         entries.append(
             (
                 position,
-                _rendered(str, key),
+                shown,
                 type(value).__name__,
                 len(value) if nested else None,
                 None if nested else _rendered(repr, value),
@@ -133,17 +139,25 @@ def _parse_one(text: str, kind: str, bodies: bool) -> tuple:
     return None, kind_name, len(root), None, entries
 
 
-def parsed_config(text: Column, kind: Column, bodies: bool = True) -> Column:
-    """Parse by kind (``json`` or ``yaml``); null text gives null. ``bodies=False`` skips rendering the values."""
-    def rows(texts: pa.Array, kinds: pa.Array) -> pa.Array:
-        pairs = zip(texts.to_pylist(), kinds.to_pylist(), strict=True)
-        return pa.array([None if t is None else _parse_one(t, k, bodies) for t, k in pairs], _ARROW)
+def parsed_config(text: Column, kind: Column, bodies: bool = True, names: Column | None = None) -> Column:
+    """Parse by kind (``json`` or ``yaml``); null text gives null. ``bodies=False`` skips rendering the values.
+
+    With ``names``, an array in each row, entries have no more than ``key_body`` and ``missing`` read for these keys.
+    """
+    def rows(texts: pa.Array, kinds: pa.Array, *asked: pa.Array) -> pa.Array:
+        each = zip(texts.to_pylist(), kinds.to_pylist(), *map(read_back, asked), strict=True)
+        return pa.array([None if t is None else _parse_one(t, k, bodies, *n) for t, k, *n in each], _ARROW)
 
     def parse(texts: pa.Array, kinds: pa.Array) -> pa.Array:
         return pa.nulls(len(texts), _ARROW) if texts.null_count == len(texts) else by_slices(rows, texts, kinds)
 
+    def parse_asked(texts: pa.Array, kinds: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.nulls(len(texts), _ARROW) if texts.null_count == len(texts) else by_slices(rows, texts, kinds, asked)
+
     parse.__annotations__ = {"texts": pa.Array, "kinds": pa.Array, "return": pa.Array}
-    return F.arrow_udf(parse, PARSED).asNondeterministic()(normalize_newlines(text), kind)
+    parse_asked.__annotations__ = {**parse.__annotations__, "asked": pa.Array}
+    inputs = [normalize_newlines(text), kind, *([] if names is None else [written(names, text.isNotNull())])]
+    return F.arrow_udf(parse if names is None else parse_asked, PARSED).asNondeterministic()(*inputs)
 
 
 def parse_config(files: DataFrame, bodies: bool = True) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-from ..operators import dockerfile, script_symbols
+from ..functions.text import normalize_newlines
+from ..operators import config_files, dockerfile, python_symbols, script_symbols
 from ..operators.references import words
-from . import joins, views
+from . import joins
 from .lineage import stored
 
 KINDS = ("python", "script", "json", "yaml", "dockerfile")
@@ -23,38 +23,54 @@ def _named(names: Column, level: int = 0, any_case: bool = False) -> Column:
     )
 
 
-def defined_names(config: bool = True) -> Column:
-    """array<struct<name, any_case, level>> of a parsed file: each name that ``symbol_body`` would answer.
+def _declared(files: DataFrame, kinds: Collection[str]) -> DataFrame:
+    """``files`` with what ``defined_names`` reads. Each parser stops at names; those of kinds not asked for do not run."""
+    kind, path, text = F.col("kind"), F.col("path"), normalize_newlines(F.col("text"))
+
+    def of(*named: str) -> Column:
+        return F.when(kind.isin(*named), text)
+
+    config = [k for k in ("json", "yaml") if k in kinds]
+    columns = {}
+    if "python" in kinds:
+        columns["symbols"] = python_symbols.defined_python(of("python"))
+    if "script" in kinds:
+        columns["statements"] = script_symbols.scanned_script(script_symbols.script_text(path, of("script")), outlines=True)
+    if config:
+        columns["config"] = config_files.parsed_config(of(*config), kind, False, F.array().cast("array<string>"))
+    if "dockerfile" in kinds:
+        columns["instr"] = dockerfile.instructions(of("dockerfile"))
+    return files.withColumns(columns)
+
+
+def defined_names(kinds: Collection[str] = KINDS) -> Column:
+    """array<struct<name, any_case, level>> of a file read by ``_declared``: each name that ``symbol_body`` would answer.
 
     Python symbols have their nesting depth as level, build stages stand behind instruction types, which are met in any
     case and kept in lower case; all else is level 0.
     """
-    kind = F.col("kind")
-    python = F.transform(
-        F.filter(F.col("parsed")["symbols"], lambda s: s["first_named"]),
-        lambda s: F.struct(s["name"].alias("name"), F.lit(False).alias("any_case"), s["depth"].alias("level")),
-    )
-    found = F.when(kind == "python", python.cast(_DEFINED)).when(
-        kind == "script", _named(script_symbols.body_names(F.col("statements"))).cast(_DEFINED)
-    )
-    if config:
-        instr = F.col("instr")
-        types = _named(F.array_distinct(F.transform(instr, lambda x: F.lower(x["inst"]))), 0, True)
-        stages = _named(F.array_distinct(F.transform(dockerfile.stages(instr), lambda s: s["stage_name"])), 1)
-        found = found.when(kind == "dockerfile", F.concat(types, stages).cast(_DEFINED)).when(
-            kind.isin("json", "yaml"), _named(F.transform(F.col("config")["entries"], lambda e: e["key"])).cast(_DEFINED)
-        )
-    return found
+    def found() -> Iterator[tuple[Column, Column]]:
+        kind, instr = F.col("kind"), F.col("instr")
+        if "python" in kinds:
+            yield kind == "python", F.transform(
+                "symbols", lambda s: F.struct(s["name"].alias("name"), F.lit(False).alias("any_case"), s["depth"].alias("level"))
+            )
+        if "script" in kinds:
+            yield kind == "script", _named(script_symbols.body_names(F.col("statements")))
+        if "json" in kinds or "yaml" in kinds:
+            yield kind.isin("json", "yaml"), _named(F.transform(F.col("config")["entries"], lambda e: e["key"]))
+        if "dockerfile" in kinds:
+            types = _named(F.array_distinct(F.transform(instr, lambda x: F.lower(x["inst"]))), 0, True)
+            stages = _named(F.array_distinct(F.transform(dockerfile.stages(instr), lambda s: s["stage_name"])), 1)
+            yield kind == "dockerfile", F.concat(types, stages)
+
+    return F.coalesce(*[F.when(there, names.cast(_DEFINED)) for there, names in found()])
 
 
 def definitions(files: DataFrame, kinds: Collection[str] = KINDS) -> DataFrame:
     """(name, any_case, level, path): one row for each name that a file of the chosen ``kinds`` defines."""
-    parsed = views.with_parsed(
-        files.where(F.col("kind").isin(*kinds)).select("path", "kind", "text"), config="json" in kinds or "yaml" in kinds
-    )
-    return parsed.select("path", F.inline(defined_names("json" in kinds or "dockerfile" in kinds))).select(
-        "name", "any_case", "level", "path"
-    )
+    chosen = files.where(F.col("kind").isin(*kinds)).select("path", "kind", "text")
+    return _declared(chosen, kinds).select("path", F.inline(defined_names(kinds))).select("name", "any_case", "level", "path")
 
 
 def _may_define(names: DataFrame) -> Column | None:

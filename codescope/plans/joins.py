@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import stored
+
 # A list is broadcast only when a count has shown it to be below both limits.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -14,8 +16,9 @@ INLINE_PATHS = 200
 # Name lists up to this length are looked for in each text by a literal filter before files are parsed.
 INLINE_NAMES = 1_000
 SALTS = 32
-# Requests to one file that may stand in its row while it is parsed.
+# Requests to one file that may stand in its row while it is parsed, and by how much a part of more may pass that.
 PATH_REQUESTS = 1_000
+_PART_REQUESTS = 4
 # Requests are brought to the texts before these are parsed where they name at least this many files.
 MANY_PATHS = 10_000
 # Files that a task sorts and parses with the requests to them.
@@ -80,21 +83,46 @@ def restrict_to_paths(files: DataFrame, wanted: DataFrame, small: bool) -> DataF
     return files.join(F.broadcast(paths) if small else paths, "path", "left_semi")
 
 
-def with_requests(files: DataFrame, requests: DataFrame) -> DataFrame | None:
-    """The files that ``requests`` name, with all requests to one in its array ``_asked``.
+def with_requests(files: DataFrame, requests: DataFrame, how: str = "inner") -> DataFrame | None:
+    """The files that ``requests`` name, with requests to one in its array ``_asked``; ``how="left"`` keeps those to files
+    that are not there, whose ``_there`` is null.
 
     One join, whose tasks are as many as the named files need: left to the shuffled bytes, which are compressed, or to a
-    fixed number, a task's share of the files would grow with them. None where requests must be salted instead: many to
-    few files, or more than ``PATH_REQUESTS`` to one.
+    fixed number, a task's share of the files would grow with them. A file that more than ``PATH_REQUESTS`` name stands
+    in a row for each part of about that many, and its rows in up to ``SALTS`` tasks. None where requests must be salted
+    instead: to few files, or very many that even their ``req_id`` does not tell apart.
     """
     each = requests.where(F.col("path").isNotNull())
-    paths, most = each.groupBy("path").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
-    if paths < MANY_PATHS or most > PATH_REQUESTS:
+    key, parts_of = F.xxhash64("path"), max(PATH_REQUESTS, 1)
+    counts = each.groupBy(key.alias("_key")).count()
+    paths, most = counts.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+    if paths < MANY_PATHS:
         return None
     others = [c for c in requests.columns if c != "path"]
     tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-paths // TASK_PATHS))
-    grouped = each.repartition(tasks, "path").groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_asked"))
-    return files.repartition(tasks, "path").join(grouped, "path")
+    there, spots = files.withColumn("_there", F.lit(True)), ["path"]
+    if most <= PATH_REQUESTS:
+        grouped = each.repartition(tasks, "path").groupBy("path")
+    else:
+        hot = stored(
+            counts.where(F.col("count") > PATH_REQUESTS).select("_key", F.ceil(F.col("count") / parts_of).alias("_parts"))
+        )
+        hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+        told = F.col("_request.req_id") if "_request" in others else F.col("req_id")
+        part = F.pmod(F.xxhash64(told), F.coalesce("_parts", F.lit(1)))
+        dealt = each.withColumn("_key", key)
+        fullest = dealt.join(hot, "_key").groupBy("_key", part.alias("_part")).count().agg(F.max("count")).first()[0]
+        if fullest > _PART_REQUESTS * parts_of:
+            return None
+        spots, salts = ["path", "_spot"], F.least(F.coalesce("_parts", F.lit(1)), F.lit(SALTS))
+        dealt = dealt.join(hot, "_key", "left").withColumn("_part", part).withColumn("_spot", F.pmod("_part", F.lit(SALTS)).cast("int"))
+        grouped = dealt.repartition(tasks, *spots).groupBy(*spots, "_part")
+        there = there.withColumn("_key", key).join(hot, "_key", "left").withColumn(
+            "_spot", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1))
+        ).drop("_key", "_parts")
+    asked = grouped.agg(F.collect_list(F.struct(*others)).alias("_asked"))
+    met = asked.join(there.repartition(tasks, *spots), spots, how).drop("_spot", "_part")
+    return met if how == "left" else met.drop("_there")
 
 
 def each_request(met: DataFrame) -> DataFrame:

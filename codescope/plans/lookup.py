@@ -6,6 +6,7 @@ from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import messages
 from ..operators import config_files, dockerfile, python_views, script_symbols
@@ -22,6 +23,14 @@ def _asked(requests: DataFrame, *columns: str) -> DataFrame:
     return requests.select("req_id", "path", *columns, F.struct(*requests.columns).alias("_request"))
 
 
+def _missing(requests: DataFrame, kind: T.DataType) -> DataFrame:
+    """The answers to ``requests`` whose file is not there."""
+    return requests.select(
+        *requests.columns, F.lit("not_found").alias("status"),
+        messages.file_not_found(F.coalesce("path", F.lit(""))).alias("message"), F.lit(None).cast(kind).alias("result"),
+    )
+
+
 def _answers(files: DataFrame, requests: DataFrame, found: DataFrame, small: bool) -> DataFrame:
     """``found(_request, status, message, result)`` spread out, and the requests whose file is not there.
 
@@ -30,13 +39,19 @@ def _answers(files: DataFrame, requests: DataFrame, found: DataFrame, small: boo
     existing = restrict_to_paths(files.select("path"), requests, small).distinct()
     missing = requests.join(F.broadcast(existing) if small else existing, "path", "left_anti")
     answered = found.select("_request.*", "status", "message", "result")
-    path = F.coalesce("path", F.lit(""))
-    return answered.unionByName(
-        missing.select(
-            *requests.columns, F.lit("not_found").alias("status"), messages.file_not_found(path).alias("message"),
-            F.lit(None).cast(found.schema["result"].dataType).alias("result"),
-        )
+    return answered.unionByName(_missing(missing, found.schema["result"].dataType))
+
+
+def _answers_met(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``_answers`` where ``found`` has every request with a path, its ``_there`` null without a file: the join that
+    brought the requests to the texts has told them, so the corpus is not read again."""
+    there = F.col("_there").isNotNull()
+    answered = found.select(
+        "_request.*", F.when(there, F.col("status")).otherwise("not_found").alias("status"),
+        F.when(there, F.col("message")).otherwise(messages.file_not_found(F.col("_request.path"))).alias("message"),
+        F.when(there, F.col("result")).alias("result"),
     )
+    return answered.unionByName(_missing(requests.where("path IS NULL"), found.schema["result"].dataType))
 
 
 def _per_symbol(
@@ -66,12 +81,12 @@ def _per_symbol(
     small = fits_broadcast(requests)
     needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
     asked = _asked(requests, "name").drop("req_id")
-    together = None if small else with_requests(needed, asked)
+    together = None if small else with_requests(needed, asked, "left")
     if together is None:
         parsed = views.with_parsed(restrict_to_paths(needed, requests, small), **parse)
         met = attach_requests(parsed, _asked(requests, "name"), small)
     else:  # one join brings the requests to the texts, and what is parsed of these is never shuffled
-        met = each_request(views.with_parsed(together, **parse))
+        met = each_request(views.with_parsed(together, names=F.col("_asked.name"), **parse))
     failed = met.withColumn("_problem", views.problem(met)).withColumn(
         "result", F.when(F.col("_problem").isNull(), result)
     )
@@ -85,8 +100,9 @@ def _per_symbol(
         .when(F.col("result").isNull(), missing)
         .alias("message"),
         "result",
+        *[c for c in met.columns if c == "_there"],
     )
-    return _answers(files, requests, found, small)
+    return _answers(files, requests, found, small) if together is None else _answers_met(requests, found)
 
 
 def symbol_body(files: DataFrame, requests: DataFrame, top: int = 1) -> DataFrame:
@@ -186,7 +202,8 @@ def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bo
     if view in _SYMBOL_VIEWS or view in _REFERENCE_VIEWS:
         return (_SYMBOL_VIEWS | _REFERENCE_VIEWS)[view](files, requests, **options)
     small = fits_broadcast(requests)
-    together = None if small else with_requests(files, _asked(requests).drop("req_id"))
+    needed = files.select("path", "kind", "text", *[c for c in files.columns if c == "status"])
+    together = None if small else with_requests(needed, _asked(requests).drop("req_id"), "left")
     if together is None:
         shown = _FILE_VIEWS[view](restrict_to_paths(files, requests, small), **options)
         met = attach_requests(shown, _asked(requests), small)
@@ -194,6 +211,7 @@ def batch_lookup(files: DataFrame, requests: DataFrame, view: str, **options: bo
         met = each_request(_FILE_VIEWS[view](together, **options))
     ok = F.col("status") == "ok"
     found = met.select(
-        "_request", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result")
+        "_request", "status", F.when(~ok, F.col("view")).alias("message"), F.when(ok, F.col("view")).alias("result"),
+        *[c for c in met.columns if c == "_there"],
     )
-    return _answers(files, requests, found, small)
+    return _answers(files, requests, found, small) if together is None else _answers_met(requests, found)

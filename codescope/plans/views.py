@@ -19,22 +19,23 @@ _CONFIG = ("json", "yaml")
 
 
 def with_parsed(
-    files: DataFrame, signatures: bool = False, bodies: bool = False, config: bool = True
+    files: DataFrame, signatures: bool = False, bodies: bool = False, config: bool = True, names: Column | None = None
 ) -> DataFrame:
     """Add ``parsed`` (Python), ``script`` and ``statements`` (scripts), ``config`` (JSON, YAML), ``instr`` (Docker).
 
-    ``text`` comes out with ``\\n`` line ends. Each column is null in rows of other kinds.
+    ``text`` comes out with ``\\n`` line ends. Each column is null in rows of other kinds. With ``names``, an array in each
+    row, only what lookups of these names read is worked out; Dockerfiles are cut as ever.
     """
     kind, path = F.col("kind"), F.col("path")
     prepared = files.withColumn("text", normalize_newlines(F.col("text"))).withColumn(
         "script", F.when(kind == "script", script_symbols.script_text(path, F.col("text")))
     )
     columns = {
-        "parsed": python_symbols.parsed_python(F.when(kind == "python", F.col("text")), signatures),
-        "statements": script_symbols.scanned_script(F.col("script")),
+        "parsed": python_symbols.parsed_python(F.when(kind == "python", F.col("text")), signatures, names=names),
+        "statements": script_symbols.scanned_script(F.col("script"), names),
     }
     if config:
-        columns["config"] = config_files.parsed_config(F.when(kind.isin(*_CONFIG), F.col("text")), kind, bodies)
+        columns["config"] = config_files.parsed_config(F.when(kind.isin(*_CONFIG), F.col("text")), kind, bodies, names)
     columns["instr"] = dockerfile.instructions(F.when(kind == "dockerfile", F.col("text")))
     return prepared.withColumns(columns)
 
@@ -82,14 +83,14 @@ def _of_kinds(files: DataFrame, kinds: Collection[str] | None) -> DataFrame:
 
 
 def _view(parsed: DataFrame, view: Column) -> DataFrame:
-    """The view of each file, with ``_asked``, the requests to it, where they came along."""
+    """The view of each file, with ``_asked`` and ``_there``, the requests to it, where they came along."""
     failed = parsed.withColumn("_problem", problem(parsed))
     return failed.select(
         "path",
         "kind",
         F.coalesce("_problem.status", F.lit("ok")).alias("status"),
         F.when(F.col("_problem").isNotNull(), F.col("_problem.message")).otherwise(view).alias("view"),
-        *[c for c in parsed.columns if c == "_asked"],
+        *[c for c in parsed.columns if c in ("_asked", "_there")],
     )
 
 
