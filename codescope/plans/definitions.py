@@ -61,7 +61,7 @@ def defined_names(kinds: Collection[str] = KINDS) -> Column:
             yield kind.isin("json", "yaml"), _named(F.transform(F.col("config")["entries"], lambda e: e["key"]))
         if "dockerfile" in kinds:
             types = _named(F.array_distinct(F.transform(instr, lambda x: F.lower(x["inst"]))), 0, True)
-            stages = _named(F.array_distinct(F.transform(dockerfile.stages(instr), lambda s: s["stage_name"])), 1)
+            stages = _named(F.array_distinct(dockerfile.stage_names(instr)), 1)
             yield kind == "dockerfile", F.concat(types, stages)
 
     return F.coalesce(*[F.when(there, names.cast(_DEFINED)) for there, names in found()])

@@ -410,7 +410,7 @@ def docker_requests(spark, sf_dir):
     key = F.col("o_orderkey")
     name = F.when(key % 4 == 0, "env").when(key % 4 == 1, "first").when(key % 4 == 2, "second").otherwise("nope")
     return table(spark, sf_dir, "orders").select(
-        (key * 5 + 4).alias("req_id"), F.format_string("img/%d/Dockerfile", key).alias("path"), name.alias("name")
+        (key * 5 + 4).alias("req_id"), corpora.docker_path(key).alias("path"), name.alias("name")
     )
 
 
