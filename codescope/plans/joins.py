@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import stored
-
 # A list is broadcast only when a count has shown it to be below both limits.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -95,19 +93,18 @@ def with_requests(files: DataFrame, requests: DataFrame, how: str = "inner") ->
     each = requests.where(F.col("path").isNotNull())
     key, parts_of = F.xxhash64("path"), max(PATH_REQUESTS, 1)
     counts = each.groupBy(key.alias("_key")).count()
-    paths, most = counts.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+    is_hot = F.col("count") > PATH_REQUESTS
+    paths, n_hot = counts.agg(F.count("*"), F.count_if(is_hot)).first()
     if paths < MANY_PATHS:
         return None
     others = [c for c in requests.columns if c != "path"]
     tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-paths // TASK_PATHS))
     there, spots = files.withColumn("_there", F.lit(True)), ["path"]
-    if most <= PATH_REQUESTS:
+    if not n_hot:
         grouped = each.repartition(tasks, "path").groupBy("path")
     else:
-        hot = stored(
-            counts.where(F.col("count") > PATH_REQUESTS).select("_key", F.ceil(F.col("count") / parts_of).alias("_parts"))
-        )
-        hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+        hot = counts.where(is_hot).select("_key", F.ceil(F.col("count") / parts_of).alias("_parts"))
+        hot = F.broadcast(hot) if is_small(n_hot, n_hot * 32) else hot
         told = F.col("_request.req_id") if "_request" in others else F.col("req_id")
         part = F.pmod(F.xxhash64(told), F.coalesce("_parts", F.lit(1)))
         dealt = each.withColumn("_key", key)
