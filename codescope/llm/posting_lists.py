@@ -25,10 +25,16 @@ REPLICAS, BOUNDARY = 4, 1.06
 #: Share of the sample's true neighbours whose list the ratio must reach.
 REACHED = 0.97
 DEGREE, POOL, WIDTH = 16, 48, 4
-#: Rows of one bin, and queries that one copy of a bin serves.
-BIN_ROWS, BIN_QUERIES = 1 << 14, 1 << 16
+#: Rows of one bin, and queries that one copy of its rows serves; of either, components that a task holds at a time.
+BIN_ROWS, BIN_QUERIES, BIN_VALUES = 1 << 14, 1 << 14, 1 << 20
+#: Bins that follow each other are read by one task, if there are more than this.
+MAX_GROUPS = 32
 
 _BATCH = 512
+#: Distances from points to all centroids that stand side by side: 8 MB.
+_DISTANCES = 1 << 20
+#: Nodes of the graph whose links are followed at once.
+_LEAVING = 1 << 16
 #: Queries whose scores with all rows of a bin stand side by side: 32 MB.
 _ASKING = 256
 _MARGIN = 8
@@ -62,39 +68,48 @@ class Graph:
     entries: np.ndarray
 
     def near(self, points: np.ndarray, ratio: float, least: int) -> np.ndarray:
-        """Distances from ``points`` to the centroids that a best-first search meets, infinite for others.
+        """Distances from ``points`` to the centroids that a search through the graph meets, infinite for others.
 
-        The search goes on from the nearest centroids not yet left, until these are farther than ``ratio`` times the
-        nearest one and ``least`` have been left.
+        The search leaves the nearest centroids not yet left, ``WIDTH`` at a time, until ``least`` have been left, and
+        then all that it meets within ``ratio`` times the distance of the nearest one.
         """
-        rows, n = np.arange(len(points))[:, None], len(self.centroids)
-        own = (points * points).sum(1)[:, None]
-        sizes = (self.centroids * self.centroids).sum(1)
-        found = np.full((len(points), n), np.inf)
-        found[:, self.entries] = np.sqrt(_squared(points, self.centroids[self.entries]))
-        waiting = found.copy()
-        width, left = min(WIDTH, n), 0
-        active = np.arange(len(points))
-        while len(active):
-            here = waiting[active]
-            best = np.argpartition(here, width - 1, axis=1)[:, :width]
-            ahead = np.take_along_axis(here, best, 1)
-            bound = found[active].min(1, keepdims=True) * ratio if left >= least else np.inf
-            go = (ahead <= bound) & np.isfinite(ahead)
-            rows_, columns = np.nonzero(go)
-            if not len(rows_):
-                break
-            at, node = active[rows_], best[rows_, columns]
-            waiting[at, node] = np.inf
-            targets = self.links[node]
-            new = np.isinf(found[at[:, None], targets])
-            where, which = np.nonzero(new)
-            who, to = at[where], targets[where, which]
-            squared = own[who, 0] + sizes[to] - 2 * np.einsum("ij,ij->i", points[who], self.centroids[to])
-            found[who, to] = waiting[who, to] = np.sqrt(np.maximum(0, squared))
-            active = active[go.any(1)]
-            left += width
-        return found
+        n = len(self.centroids)
+        distances = np.sqrt(_squared(points, self.centroids))
+        met, waiting = np.zeros(distances.shape, bool), np.full(distances.shape, np.inf)
+        met[:, self.entries] = True
+        waiting[:, self.entries] = distances[:, self.entries]
+        nearest, every = np.full(len(points), np.inf), np.arange(len(points))
+
+        def leave(rows: np.ndarray, nodes: np.ndarray) -> None:
+            waiting[rows, nodes] = np.inf
+            for low in range(0, len(rows), _LEAVING):
+                at = (rows[low : low + _LEAVING, None] * n + self.links[nodes[low : low + _LEAVING]]).ravel()
+                at = at[~met.ravel()[at]]
+                met.ravel()[at] = True
+                waiting.ravel()[at] = distances.ravel()[at]
+
+        for _ in range(-(-least // WIDTH)):
+            nearest = np.minimum(nearest, waiting.min(1))
+            rows, nodes = [], []
+            for _ in range(min(WIDTH, n)):
+                best = waiting.argmin(1)
+                some = every[np.isfinite(waiting[every, best])]
+                rows.append(some)
+                nodes.append(best[some])
+                waiting[some, best[some]] = np.inf
+            leave(np.concatenate(rows), np.concatenate(nodes))
+        while True:
+            nearest = np.minimum(nearest, waiting.min(1))
+            bound = np.where(met.all(1), -np.inf, nearest * ratio)  # once all are met there is nothing to look for
+            rows, nodes = np.nonzero((waiting <= bound[:, None]) & np.isfinite(waiting))
+            if not len(rows):
+                return np.where(met, distances, np.inf)
+            leave(rows, nodes)
+
+
+def _together(values: int) -> int:
+    """Points whose distances to ``values`` centroids stand side by side."""
+    return max(1, min(_BATCH, _DISTANCES // max(1, values)))
 
 
 def fit_graph(points: np.ndarray, lists: int, seed: int = 11) -> Graph:
@@ -104,8 +119,8 @@ def fit_graph(points: np.ndarray, lists: int, seed: int = 11) -> Graph:
     centroids = np.array([points[p].mean(0) for p in parts])
     n = len(centroids)
     links = np.repeat(np.arange(n)[:, None], DEGREE + 2, axis=1)
-    for low in range(0, n, _BATCH):
-        squared = _squared(centroids[low : low + _BATCH], centroids)
+    for low in range(0, n, _together(n)):
+        squared = _squared(centroids[low : low + _together(n)], centroids)
         pool = np.argsort(squared, axis=1, kind="stable")[:, : POOL + 1]
         for i, near in enumerate(pool.tolist(), start=low):
             chosen: list[int] = []
@@ -122,12 +137,15 @@ def fit_graph(points: np.ndarray, lists: int, seed: int = 11) -> Graph:
 
 def lists_of(points: np.ndarray, graph: Graph, replicas: int = REPLICAS, boundary: float = BOUNDARY) -> list[np.ndarray]:
     """The lists of each vector, nearest first: those within ``boundary`` of the nearest distance."""
-    found = []
-    for low in range(0, len(points), _BATCH):
-        distances = graph.near(points[low : low + _BATCH], boundary, 2 * replicas)
-        k = min(replicas, distances.shape[1])
-        best = np.argsort(distances, axis=1, kind="stable")[:, :k]
-        ahead = np.take_along_axis(distances, best, 1)
+    found, step = [], _together(len(graph.centroids))
+    for low in range(0, len(points), step):
+        distances = graph.near(points[low : low + step], boundary, 2 * replicas)
+        every, k = np.arange(len(distances)), min(replicas, distances.shape[1])
+        best, ahead = np.empty((len(distances), k), np.int64), np.empty((len(distances), k))
+        for i in range(k):
+            best[:, i] = distances.argmin(1)
+            ahead[:, i] = distances[every, best[:, i]]
+            distances[every, best[:, i]] = np.inf
         within = np.isfinite(ahead) & (ahead <= ahead[:, :1] * boundary)
         found += [b[w] for b, w in zip(best, within)]
     return found
@@ -198,8 +216,8 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
     """Index every row of ``prepared`` ``rows`` for searches of the ``top`` nearest.
 
     Centroids are fitted on a bounded sample (by hash, at most ``SAMPLE_ROWS`` rows), every row is then put into its
-    lists. Lists are packed into bins of about ``BIN_ROWS`` rows in tree order, so that a query meets few bins; a list
-    that is longer is dealt over bins of its own by a hash.
+    lists. Lists are packed into bins of about ``BIN_ROWS`` rows (fewer of long vectors) in tree order, so that a query
+    meets few bins; a list that is longer is dealt over bins of its own by a hash.
     """
     distinct = stored(vectors.distinct_rows(rows, top + 1))
     size, count = vectors.dimension(distinct), distinct.count()
@@ -234,13 +252,14 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
     each = assigned.select(F.posexplode("lists").alias("place", "list"))
     for row in each.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("own")).collect():
         sizes[row.list], own_rows[row.list] = row.n, row.own
-    bins = np.maximum(1, -(-sizes // BIN_ROWS))
-    first_bin, at, room = np.zeros(len(sizes), np.int64), 0, BIN_ROWS
+    most_rows = min(BIN_ROWS, max(1, BIN_VALUES // size))
+    bins = np.maximum(1, -(-sizes // most_rows))
+    first_bin, at, room = np.zeros(len(sizes), np.int64), 0, most_rows
     for i, n in enumerate(sizes.tolist()):
-        if n > room and room < BIN_ROWS:
-            at, room = at + 1, BIN_ROWS
+        if n > room and room < most_rows:
+            at, room = at + 1, most_rows
         first_bin[i] = at
-        at, room = (at + int(bins[i]), BIN_ROWS) if bins[i] > 1 else (at, room - n)
+        at, room = (at + int(bins[i]), most_rows) if bins[i] > 1 else (at, room - n)
     placed = assigned.select("vec_id", "first", "vector", "lists", F.posexplode("lists").alias("place", "list"))
     starts, counts = (F.array(*map(F.lit, x.tolist())) for x in (first_bin, bins))
     salt = F.pmod(F.xxhash64("vec_id"), F.get(counts, F.col("list")))
@@ -251,13 +270,16 @@ def build_index(rows: DataFrame, top: int = TOP, reached: float = REACHED) -> In
     return Index(placed, graph, ratio, first_bin, bins, own_rows, size, most, top)
 
 
+def _nth(query: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its query, which stand together."""
+    begins = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    return np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+
+
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
     """Positions of each query's ``top`` candidates, by score descending, then id."""
     order = np.lexsort((ids, -scores, query))
-    query = query[order]
-    begins = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
-    nth = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
-    return order[nth < top]
+    return order[_nth(query[order]) < top]
 
 
 class Bin:
@@ -270,7 +292,7 @@ class Bin:
         self.ids, self.lists = ids[order], lists[order]
         self.first = table.column("first").to_numpy(zero_copy_only=False)[order]
         self.rows = vectors.matrix(table.column("vector"), index_size)[order]
-        self.scaled = self.rows / longest
+        self.longest, self.scaled = longest, self.rows / longest
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
         earlier = table.column("earlier").to_pylist()
@@ -278,41 +300,56 @@ class Bin:
         for to, at in enumerate(order.tolist()):
             self.earlier[to, : len(earlier[at])] = earlier[at]
 
-    def _candidates(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]], lists: int):
-        """(query position, row): each query's best rows of all its lists here, ``top`` and some more, and all like the last."""
-        reads = np.zeros((len(queries), lists + 1), bool)  # the last column stands for no list
-        for i, chosen in enumerate(probed):
-            reads[i, chosen] = True
-        unit = queries / _norms(queries)[:, None]
+    def _candidates(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]] | np.ndarray, lists: int,
+                    least: np.ndarray | None = None):
+        """(query position, row): each query's best rows of all its lists here, ``top`` and some more, and all like the last.
+
+        ``probed`` names lists, or says of every list and of none whether it is read. Rows that score less than ``least``
+        are left out.
+        """
+        reads = probed
+        if not isinstance(probed, np.ndarray):
+            reads = np.zeros((len(queries), lists + 1), bool)  # the last column stands for no list
+            for i, chosen in enumerate(probed):
+                reads[i, chosen] = True
+        norms = _norms(queries)
+        unit = queries / norms[:, None]
         scores = np.full((len(queries), len(self.ids)), -np.inf)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(self.lists) != 0, [True]]))
         for low, high in zip(edges[:-1], edges[1:]):
             asking = np.flatnonzero(reads[:, self.lists[low]])
-            if len(asking):
+            if len(asking) == len(queries):
+                np.matmul(unit, self.scaled[low:high].T, out=scores[:, low:high])
+            elif len(asking):
                 scores[asking, low:high] = unit[asking] @ self.scaled[low:high].T
-        for earlier in self.earlier.T:
-            again = np.flatnonzero(earlier >= 0)
-            where, which = np.nonzero(reads[:, earlier[again]])
-            scores[where, again[which]] = -np.inf
+        again = reads[:, self.earlier[:, 0]]
+        for earlier in self.earlier.T[1:]:
+            again |= reads[:, earlier]
+        np.putmask(scores, again, -np.inf)
         own = np.searchsorted(self.sorted_ids, query_ids, "left"), np.searchsorted(self.sorted_ids, query_ids, "right")
-        for i, (low, high) in enumerate(zip(*own)):
-            for at in self.by_id[low:high]:
+        for i in np.flatnonzero(own[0] < own[1]).tolist():
+            for at in self.by_id[own[0][i] : own[1][i]]:
                 if self.first[at] and np.array_equal(queries[i], self.rows[at]):
                     scores[i, at] = -np.inf
-        keep = self.top + _MARGIN
-        least = np.full((len(queries), 1), -np.inf)
-        if keep < scores.shape[1]:
-            least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep:].min(1, keepdims=True) - _ALIKE
-        return np.nonzero((scores >= least) & (scores > -np.inf))
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]], lists: int):
+        keep, floor = self.top + _MARGIN, np.full(len(queries), -np.inf)
+        if least is not None:
+            floor = least / norms / self.longest - _ALIKE
+            floor[~np.isfinite(floor)] = -np.inf
+        many = np.flatnonzero(np.count_nonzero(scores >= floor[:, None], axis=1) > keep)
+        if len(many):
+            last = np.partition(scores[many], scores.shape[1] - keep, axis=1)[:, -keep]
+            floor[many] = np.maximum(floor[many], last - _ALIKE)
+        return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, probed: list[list[int]] | np.ndarray, lists: int,
+               least: np.ndarray | None = None):
         """(query position, vec_id, score) of the best rows in the probed lists of this bin.
 
         ``probed`` names all lists of a query: a vector in several of them is scored in the first alone.
         """
-        found = [self._candidates(queries[low : low + _ASKING], query_ids[low : low + _ASKING], probed[low : low + _ASKING], lists)
-                 for low in range(0, len(queries), _ASKING)]
-        who = np.concatenate([low * _ASKING + asking for low, (asking, _) in enumerate(found)])
+        parts = [slice(low, low + _ASKING) for low in range(0, len(queries), _ASKING)]
+        found = [self._candidates(queries[p], query_ids[p], probed[p], lists, None if least is None else least[p]) for p in parts]
+        who = np.concatenate([p.start + asking for p, (asking, _) in zip(parts, found)])
         row = np.concatenate([at for _, at in found])
         scores = np.empty(len(who))
         for low in range(0, len(who), 1 << 14):
@@ -322,6 +359,44 @@ class Bin:
         return who[best], self.ids[row[best]], scores[best]
 
 
+class Asked:
+    """Queries that one task serves, and the best rows of the bins they have met so far.
+
+    ``reads`` has a bit for each list, by query. What a query has found bounds what the next bins need to show.
+    """
+
+    def __init__(self, uids: np.ndarray, ids: np.ndarray, queries: np.ndarray, reads: np.ndarray, lists: int, top: int):
+        self.uids, self.ids, self.queries, self.reads, self.lists, self.top = uids, ids, queries, reads, lists, top
+        self.count = np.zeros(len(ids), np.int64)
+        self.found, self.scores = np.zeros((len(ids), top), np.int64), np.zeros((len(ids), top))
+
+    def meet(self, held: Bin) -> None:
+        for low in range(0, len(self.ids), _ASKING):
+            part = slice(low, low + _ASKING)
+            reads = np.unpackbits(self.reads[part], axis=1, count=self.lists + 1, bitorder="little").view(bool)
+            least = np.where(self.count[part] == self.top, self.scores[part, -1], -np.inf)
+            who, found, scores = held.search(self.queries[part], self.ids[part], reads, self.lists, least)
+            if not len(who):
+                continue
+            changed = low + np.unique(who)
+            before, nth = np.nonzero(np.arange(self.top) < self.count[changed, None])
+            who = np.concatenate([changed[before], low + who])
+            found = np.concatenate([self.found[changed[before], nth], found])
+            scores = np.concatenate([self.scores[changed[before], nth], scores])
+            best = _best(who, found, scores, self.top)
+            who, nth = who[best], _nth(who[best])
+            self.found[who, nth], self.scores[who, nth] = found[best], scores[best]
+            self.count[changed] = np.bincount(who - low, minlength=_ASKING)[changed - low]
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        """``(uid, query_id, vec_id, score)``."""
+        for low in range(0, len(self.ids), _BATCH):
+            who, nth = np.nonzero(np.arange(self.top) < self.count[low : low + _BATCH, None])
+            who += low
+            values = self.uids[who], self.ids[who], self.found[who, nth], self.scores[who, nth]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["uid", "query_id", "vec_id", "score"])
+
+
 def lists_to_read(points: np.ndarray, index: Index) -> np.ndarray:
     """Which lists each query reads: those within the ratio, and the nearest ones until they hold ``top`` other rows."""
     distances = index.graph.near(points, index.ratio, 2 * REPLICAS)
@@ -338,76 +413,97 @@ def lists_to_read(points: np.ndarray, index: Index) -> np.ndarray:
         distances[lacking] = np.sqrt(_squared(points[lacking], index.graph.centroids))  # the graph has shown too few
 
 
+def asking(batch: pa.RecordBatch, index: Index, together: int) -> Iterator[pa.RecordBatch]:
+    """``(uid, query_id, vector)`` with the lists that each query reads, one bit for each, and the groups of bins that hold them.
+
+    One row for each query, whatever the number of lists and bins.
+    """
+    groups = int((index.first_bin + index.bins).max() - 1) // together + 1
+    first, last = index.first_bin // together, (index.first_bin + index.bins - 1) // together
+    step = _together(len(index.graph.centroids))
+    for low in range(0, batch.num_rows, step):
+        part = batch.slice(low, step)
+        within = lists_to_read(_as_queries(vectors.matrix(part.column(2), index.size)), index)
+        who, chosen = np.nonzero(within)
+        edges = np.zeros((part.num_rows, groups + 1), np.int64)
+        np.add.at(edges, (who, first[chosen]), 1)
+        np.add.at(edges, (who, last[chosen] + 1), -1)
+        bits = np.packbits(np.pad(within, ((0, 0), (0, 1))), axis=1, bitorder="little")
+        where = [np.flatnonzero(x).astype(np.int32) for x in np.cumsum(edges, axis=1)]
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(where, pa.list_(pa.int32()))],
+            ["uid", "query_id", "vector", "reads", "groups"],
+        )
+
+
 def search(index: Index, queries: DataFrame) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest rows found for each of the ``prepared`` ``queries``.
 
     Of the rows with the query's own id and vector one is its own and is left out. Every query goes to the bins of
-    the lists within the fitted ratio, and of more until these hold ``top`` rows; a bin that very many queries ask is repeated, so that no task serves more
-    than ``BIN_QUERIES`` of them.
+    the lists within the fitted ratio, and of more until these hold ``top`` rows. A task reads the bins of a group one
+    after the other, for all queries that ask for them; what very many queries ask for is repeated, so that no task
+    serves more than ``BIN_QUERIES`` of them.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     if index.graph is None:
         return queries.sparkSession.createDataFrame([], schema)
-    graph, size, top, longest = index.graph, index.size, index.top, index.longest
-    first_bin, bins = index.first_bin, index.bins
+    size, top, longest, lists = index.size, index.top, index.longest, len(index.graph.centroids)
     plan = replace(index, rows=None)  # what tasks need of it
+    together = max(1, -(-int((index.first_bin + index.bins).max()) // MAX_GROUPS))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(low, _BATCH)
-                within = lists_to_read(_as_queries(vectors.matrix(part.column(2), size)), plan)
-                who, where, chosen = [], [], []
-                for i, row in enumerate(within):
-                    lists = np.flatnonzero(row)
-                    spread = [first_bin[j] + np.arange(bins[j]) for j in lists]
-                    wanted = np.unique(np.concatenate(spread))
-                    who += [i] * len(wanted)
-                    where += wanted.tolist()
-                    chosen += [lists.tolist()] * len(wanted)
-                taken = part.take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.int64()), *taken.columns, pa.array(chosen, pa.list_(pa.int32()))],
-                    ["bin", "uid", "query_id", "vector", "lists"],
-                )
-
-    asked = stored(queries.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "vector"))
-    probes = stored(asked.mapInArrow(probe, "bin long, uid long, query_id long, vector array<double>, lists array<int>"))
-    rows, probes = vectors.shared(index.rows, probes, "bin", BIN_QUERIES)
-    rows = rows.select(
-        "bin", "share", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("uid"), "vec_id", "first", "vector", "list",
-        F.col("earlier").alias("lists"),
-    )
+            yield from asking(batch, plan, together)
+
+    asked = queries.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "vector")
+    asked = stored(stored(asked).mapInArrow(
+        probe, "uid long, query_id long, vector array<double>, reads binary, groups array<int>"))
+    probes = asked.select(F.explode("groups").alias("group"), "uid", "query_id", "vector", "reads")
+    rows = index.rows.withColumn("group", F.expr(f"cast(bin div {together} as int)"))
+    rows, probes = vectors.shared(rows, probes, "group", min(BIN_QUERIES, max(1, BIN_VALUES // size)))
+    none = F.lit(None)
     wanting = probes.select(
-        "bin", "share", F.lit(1).alias("kind"), "uid", F.col("query_id").alias("vec_id"), F.lit(False).alias("first"), "vector",
-        F.lit(-1).alias("list"), "lists",
+        "group", "share", F.lit(-1).cast("long").alias("bin"), "uid", F.col("query_id").alias("vec_id"), F.lit(False).alias("first"),
+        "vector", F.lit(-1).alias("list"), none.cast("array<int>").alias("earlier"), "reads",
     )
-    lists = len(graph.centroids)
+    rows = rows.select(
+        "group", "share", "bin", F.lit(0).cast("long").alias("uid"), "vec_id", "first", "vector", "list", "earlier",
+        none.cast("binary").alias("reads"),
+    )
+
+    def served(parts: list[pa.RecordBatch]) -> Asked:
+        table = pa.Table.from_batches(parts)
+        reads = np.frombuffer(b"".join(table.column("reads").to_pylist()), np.uint8).reshape(len(table), -1)
+        ids, uids = table.column("vec_id").to_numpy(), table.column("uid").to_numpy()
+        return Asked(uids, ids, vectors.matrix(table.column("vector"), size), reads, lists, top)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, held = None, [], None
+        key, parts, here = None, [], None  # key: (group, share, bin) of the parts, which for queries is the bin -1
         for batch in batches:
-            keys = list(zip(batch.column("bin").to_pylist(), batch.column("share").to_pylist(), batch.column("kind").to_pylist()))
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("group", "share", "bin")]))
             edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
             for low, high in zip(edges[:-1], edges[1:]):
-                part, now = batch.slice(low, high - low), keys[low][:2]
+                now = keys[low]
                 if now != key:
-                    key, parts, held = now, [], None
-                if keys[low][2] == 0:
-                    parts.append(part.select(["vec_id", "first", "vector", "list", "lists"]))
-                    continue
-                if held is None:
-                    table = pa.Table.from_batches(parts).rename_columns(["vec_id", "first", "vector", "list", "earlier"])
-                    held, parts = Bin(size, longest, top, table), []
-                for at in range(0, part.num_rows, _BATCH):
-                    some = part.slice(at, _BATCH)
-                    ids, uids = some.column("vec_id").to_numpy(), some.column("uid").to_numpy()
-                    who, found, scores = held.search(
-                        vectors.matrix(some.column("vector"), size), ids, some.column("lists").to_pylist(), lists)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (uids[who], ids[who], found, scores)], ["uid", "query_id", "vec_id", "score"])
-
-    met = rows.union(wanting).repartition("bin", "share").sortWithinPartitions("bin", "share", "kind")
+                    here = ended(key, parts, here)
+                    if here is not None and now[:2] != key[:2]:
+                        yield from here.results()
+                    key, parts = now, []
+                parts.append(batch.slice(low, high - low))
+        here = ended(key, parts, here)
+        if here is not None:
+            yield from here.results()
+
+    def ended(key: tuple[int, int, int] | None, parts: list[pa.RecordBatch], here: Asked | None) -> Asked | None:
+        if key is None:
+            return None
+        if key[2] < 0:
+            return served(parts)
+        names = ["vec_id", "first", "vector", "list", "earlier"]
+        here.meet(Bin(size, longest, top, pa.Table.from_batches([part.select(names) for part in parts])))
+        return here
+
+    met = wanting.union(rows).repartition("group", "share").sortWithinPartitions("group", "share", "bin")
     found = met.mapInArrow(meet, "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

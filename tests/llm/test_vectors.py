@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -244,3 +245,58 @@ def test_the_ratio_is_fitted_from_the_lists_of_neighbours_alone(monkeypatch):
     monkeypatch.setattr(posting_lists, "lists_of", lambda p, g: looked.append(len(p)) or whole(p, g))
     assert np.isclose(posting_lists.fit_ratio(points, queries, own, graph, 7, 0.9), max(1, np.quantile(needed, 0.9)), rtol=1e-9)
     assert sum(looked) <= 7 * len(own)
+
+
+def test_a_search_through_the_graph_holds_few_distances():
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(8_192, 6))
+    graph = posting_lists.fit_graph(points, 4_096)
+    tracemalloc.start()
+    lists = posting_lists.lists_of(points[:600], graph)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    brute = np.sqrt(posting_lists._squared(points[:600], graph.centroids))
+    assert np.mean([x[0] == b for x, b in zip(lists, brute.argmin(1))]) > 0.95
+    assert most < 64 << 20  # 512 rows of distances, those not yet left, copies and orders of both: 100 MB
+
+
+def test_a_query_is_handed_over_once_for_a_group_of_bins(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(4_096, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph, lists = posting_lists.fit_graph(posting_lists._as_points(points, 1.0), 512), 512
+    plan = posting_lists.Index(None, graph, 3.0, np.arange(lists), np.ones(lists, int), np.full(lists, 8), 6, 1.0, 5)
+    queries = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(300)), pa.array(np.arange(300)), pa.array(points[:300].tolist(), pa.list_(pa.float64()))],
+        ["uid", "query_id", "vector"])
+    parts = list(posting_lists.asking(queries, plan, 16))
+    assert sum(p.num_rows for p in parts) == 300
+    assert sum(p.nbytes for p in parts) < 300 * (8 * 6 + lists // 8 + 4 * 32 + 64)  # not lists times bins
+    reads = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")[:lists].astype(bool)[None]
+                            for p in parts for x in p.column("reads").to_pylist()])
+    assert np.array_equal(reads, posting_lists.lists_to_read(posting_lists._as_queries(points[:300]), plan))
+    for row, groups in zip(reads, [g for p in parts for g in p.column("groups").to_pylist()]):
+        assert groups == np.unique(np.flatnonzero(row) // 16).tolist()
+
+
+def test_groups_of_bins_and_copies_of_rows_give_all_that_is_near(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(1_500, 8))
+    points[1_000:1_040] = points[:40]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(points)] + [(20, points[20].tolist(), 0), (40, points[40].tolist(), 0)]
+    monkeypatch.setattr(posting_lists, "LIST_ROWS", 16)
+    monkeypatch.setattr(posting_lists, "BIN_ROWS", 48)
+    monkeypatch.setattr(posting_lists, "MAX_GROUPS", 7)
+    monkeypatch.setattr(posting_lists, "BIN_QUERIES", 20)
+    monkeypatch.setattr(posting_lists, "fit_ratio", lambda *_: 100.0)  # every list is read
+    assert nearest(table_of(spark, rows)) == brute_nearest(rows)
+
+
+def test_bins_of_long_vectors_hold_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "BIN_VALUES", 8 * 50)
+    rng = np.random.default_rng(10)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    ready = posting_lists.prepared(table_of(spark, rows))
+    index = posting_lists.build_index(ready)
+    assert max(r["count"] for r in index.rows.groupBy("bin").count().collect()) <= 75  # 50 by a hash
+    assert recall(nearest(table_of(spark, rows)), brute_nearest(rows)) >= 0.9
