@@ -26,18 +26,25 @@ NO_LANGUAGE = "und"
 #: A candidate goes where a longer one that holds it has at least this percentage of its count.
 ABSORBED_PERCENT = 80
 SCORE_SCALE = 2_000_000
-#: Bound of the slots in which activations are kept, one byte for each and phrase length: 32 MB that tasks receive.
-MAX_SLOTS = 1 << 23
+#: Slots of phrases of each length for tables of up to 1 GB of text, and the bound beyond it: there are so many more that
+#: ``SLOT_BYTES`` of text or less come to each. A task holds a bit and half a bit for each slot: 190 MB at the bound.
+SLOTS, MAX_SLOTS, SLOT_BYTES = 1 << 23, 1 << 29, 128
+#: Beyond ``SLOTS``, by how many bits fewer slots phrases of each length have: pairs are most, for nearly all words are frequent.
+FEWER = {1: 3, 2: 0, 3: 1, 4: 2}
 
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 #: Words and phrases whose slots a task gathers before it counts them.
-_PENDING = 1_500_000
+_PENDING = 1_000_000
 #: Strings cut out of a block at once.
 _STRINGS = 1 << 14
 #: Rows of counts that are handed over at once.
 _ROWS = 1 << 16
 #: Slots whose counts stand in one row of the state.
 _SLOT_ROW = 1 << 15
+#: Phrases counted by themselves, and bytes of them, that a task gathers before it hands them over.
+_SPELLED, _SPELLED_BYTES = 1 << 18, 8 << 20
+#: They are dealt into one part for so many slots, but no fewer parts than this.
+_BUCKET_SLOTS, _BUCKETS = 1 << 18, 1 << 8
 _NEVER = 255
 _LANGUAGE_STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD, _BLANK, _STOP = 0, 1, 2
@@ -87,41 +94,89 @@ def _slices(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(found))
 
 
+class Reached:
+    """The first step after which each slot had counted the threshold, or ``_NEVER``.
+
+    A bit says whether a slot has; the steps of those that have stand in order, found by counting the bits before. Bits are
+    set where they are first asked for, so that the driver has none and tasks do not keep the places.
+    """
+
+    def __init__(self, slots: int, places: np.ndarray, steps: np.ndarray):
+        self.slots, self.places, self.steps, self.bits = slots, places, steps, None
+
+    def __reduce__(self):
+        """Tasks receive the slots that have reached the threshold, which are few, by their distances from each other."""
+        gaps = np.diff(self.places, prepend=np.int32(0))
+        wide = gaps >= 255
+        return _set, (self.slots, np.where(wide, 255, gaps).astype(np.uint8), gaps[wide], self.steps)
+
+    def with_more(self, places: np.ndarray, step: int) -> Reached:
+        places = np.concatenate([self.places, places])
+        order = np.argsort(places, kind="stable")
+        return Reached(self.slots, places[order], np.append(self.steps, np.full(len(places) - len(self.steps), step, np.uint8))[order])
+
+    def _set(self) -> None:
+        self.bits, self.before = np.zeros(-(-self.slots // 64), np.uint64), np.zeros(-(-self.slots // 64), np.int32)
+        for low in range(0, len(self.places), _ROWS):
+            some = self.places[low : low + _ROWS]
+            np.bitwise_or.at(self.bits, some >> 6, np.uint64(1) << (some & 63).astype(np.uint64))
+        np.cumsum(np.bitwise_count(self.bits[:-1]), out=self.before[1:])
+        self.places = None
+
+    def of(self, slot: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            self._set()
+        found = np.full(len(slot), _NEVER, np.int16)
+        row, bit = slot >> 6, (slot & 63).astype(np.uint64)
+        bits = self.bits[row]
+        at = np.flatnonzero((bits >> bit) & np.uint64(1))
+        below = bits[at] & ((np.uint64(1) << bit[at]) - np.uint64(1))
+        found[at] = self.steps[self.before[row[at]] + np.bitwise_count(below)]
+        return found
+
+
 class Scan:
     """What one scan of a shard counts at ``step``.
 
-    Every phrase has a slot by hash among the phrases of its length, and ``reached[m][slot]`` is the first step after
+    Every phrase has a slot by hash among the phrases of its length, and ``reached[m]`` tells the first step after
     which the slot had counted the threshold. Once the slots of both its subphrases have, a phrase is counted in its
     slot; once its own has, it is counted by itself, for one cycle. All this follows from the arrays alone, so each
     phrase sees every shard exactly once, and a slot has never counted less than any of its phrases.
     """
 
-    def __init__(self, step: int, shards: int, reached: dict[int, np.ndarray]):
-        self.step, self.shards, self.reached = step, shards, reached
+    def __init__(self, step: int, shards: int, reached: dict[int, Reached | np.ndarray]):
+        self.step, self.shards = step, shards
+        self.reached = {m: _sparse(r) for m, r in reached.items()}
         self.hasher = words.WordHasher()
         self.pending: dict[int, list[np.ndarray]] = {m: [] for m in reached}
         self.waiting = 0
+        slots = [r.slots for r in self.reached.values()]
+        self.buckets = min([*slots, max(_BUCKETS, max(slots) // _BUCKET_SLOTS)])
+        self.told: list[pa.Table] = []
 
     def __reduce__(self):
-        """Tasks receive the slots that have reached the threshold, not the arrays, which are nearly empty."""
-        sparse = {}
-        for m, array in self.reached.items():
-            places = np.flatnonzero(array != _NEVER)
-            sparse[m] = (len(array), places.astype(np.int32), array[places])
-        return _unpacked, (self.step, self.shards, sparse)
+        return Scan, (self.step, self.shards, self.reached)
 
     def batch(self, column: pa.Array, languages: list[str]) -> Iterator[pa.RecordBatch]:
-        text = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()),
-                                           pa.scalar("\n", pa.large_string()))
-        offsets, data = words.text_buffers(text)
+        """What is to be handed over of these texts, and of those before."""
         codes, names = pd.factorize(np.array(languages, dtype=object))
+        offsets, _ = words.text_buffers(column)
         for first, last in words.blocks(offsets, _BLOCK):
-            part = data[offsets[first] : offsets[last]]
+            some = pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), "")
+            ended = pc.binary_join_element_wise(some, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+            starts, part = words.text_buffers(ended)
             if last == first + 1 and len(part) > _BLOCK:
                 for chunk, end in _chunks(part):
                     yield from self._counts(chunk, np.zeros(1, np.int64), codes[first:last], names, end)
             else:
-                yield from self._counts(part, offsets[first:last] - offsets[first], codes[first:last], names, len(part))
+                yield from self._counts(part, starts[:-1], codes[first:last], names, len(part))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is left to be handed over at the end of a task."""
+        yield from map(_packed, self.flush())
+        if self.told:
+            yield _dealt(_combined(self.told))
+            self.told.clear()
 
     def _counts(self, data, row_starts, row_codes, names, end) -> Iterator[pa.RecordBatch]:
         kinds = _KIND[data]
@@ -148,25 +203,25 @@ class Scan:
         if self.step < self.shards:
             sizes = np.bincount(language[:own], minlength=len(names))
             seen = np.flatnonzero(sizes)
-            yield _rows(names[seen].tolist(), pa.array([""] * len(seen), pa.string()), 0, np.zeros(len(seen)), sizes[seen])
+            yield from self._tell(names, seen, pa.array([""] * len(seen), pa.string()), np.zeros(len(seen)), sizes[seen])
         language_hash = words.mixed(pd.util.hash_array(names.astype(object), categorize=False).astype(np.uint64)) * _LANGUAGE_STEP
         by_word = hashes[word]
         value = words.mixed(by_word + language_hash[language])
         at_words, since = np.arange(len(starts)), np.zeros(len(starts), np.int16)  # where phrases begin; from which step on
         for m in range(1, MAX_WORDS + 1):
-            slot = (value & np.uint64(len(self.reached[m]) - 1)).astype(np.int32)
-            reach = self.reached[m][slot].astype(np.int16)
+            slot = (value & np.uint64(self.reached[m].slots - 1)).astype(np.int32)
+            reach = self.reached[m].of(slot)
             mine = at_words < own
             hashed = mine & (reach >= self.step) & (self.step < since + self.shards)
             if hashed.any():
                 self.pending[m].append(slot[hashed])
                 self.waiting += len(self.pending[m][-1])
                 if self.waiting > _PENDING:
-                    yield from self.flush()
+                    yield from map(_packed, self.flush())
             began = np.maximum(reach + 1, since)
             exact = mine & (began <= self.step) & (self.step < began + self.shards)
             if exact.any():
-                yield self._spelled(m, at_words[exact], slot[exact], word, language, at, plain, names)
+                yield from self._spelled(m, at_words[exact], slot[exact], word, language, at, plain, names)
             if m == MAX_WORDS:
                 return
             # phrases of one word more, the slots of both of whose parts have reached the threshold
@@ -184,18 +239,21 @@ class Scan:
             at_words, since = following, both[following] + 1
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """Counts of the slots met since the last time; a task calls it at its end."""
+        """Counts of the slots met since the last time."""
         for m, met in self.pending.items():
             if met:
                 slots, counts = np.unique(np.concatenate(met), return_counts=True)
                 met.clear()
                 for low in range(0, len(slots), _ROWS):
                     some = slots[low : low + _ROWS]
-                    yield _rows([None] * len(some), pa.nulls(len(some), pa.string()), m, some, counts[low : low + _ROWS])
+                    nothing = pa.nulls(len(some), pa.string())
+                    kinds = (nothing, nothing, pa.array(np.full(len(some), m, np.int32)), pa.array(some),
+                             pa.array(counts[low : low + _ROWS].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays(list(kinds), ["lang", "phrase", "m", "slot", "n"])
         self.waiting = 0
 
-    def _spelled(self, m, counted, slot, word, language, at, plain, names) -> pa.RecordBatch:
-        """Counts of the phrases that begin at the words ``counted``, told apart by their words."""
+    def _spelled(self, m, counted, slot, word, language, at, plain, names) -> Iterator[pa.RecordBatch]:
+        """Count the phrases that begin at the words ``counted``, told apart by their words."""
         codes = language[counted].astype(np.int64)
         for i in range(m):
             codes, uniques = pd.factorize(codes * (int(word.max()) + 1) + word[counted + i])
@@ -203,21 +261,101 @@ class Scan:
         first[codes[::-1]] = np.arange(len(counted) - 1, -1, -1)
         begin = counted[first]
         text = _slices(at[begin], at[begin + m] - 1, plain).cast(pa.string())
-        return _rows(names[language[begin]].tolist(), text, m, slot[first], np.bincount(codes))
-
-
-def _unpacked(step: int, shards: int, sparse: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Scan:
-    reached = {}
-    for m, (slots, places, steps) in sparse.items():
-        reached[m] = np.full(slots, _NEVER, np.uint8)
-        reached[m][places] = steps
-    return Scan(step, shards, reached)
-
-
-def _rows(languages: list, phrases: pa.Array, m: int, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.array(languages, pa.string()), phrases, pa.array(np.full(len(counts), m, np.int32)),
-             pa.array(np.asarray(slots).astype(np.int32)), pa.array(counts.astype(np.int64)))
-    return pa.RecordBatch.from_arrays(list(kinds), ["lang", "phrase", "m", "slot", "n"])
+        yield from self._tell(names, language[begin], text, slot[first], np.bincount(codes))
+
+    def _tell(self, names: np.ndarray, codes: np.ndarray, phrases: pa.Array, slots: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Keep counts of phrases until there are many, add up those of the same phrase, and hand over what stays many."""
+        buckets = pa.array((slots.astype(np.int64) & (self.buckets - 1)).astype(np.int32))
+        langs = pa.array(names, pa.string()).take(pa.array(codes))
+        self.told.append(pa.table([langs, phrases, buckets, pa.array(counts.astype(np.int64))], ["lang", "phrase", "bucket", "n"]))
+        if sum(map(len, self.told)) > _SPELLED or sum(t.nbytes for t in self.told) > _SPELLED_BYTES:
+            together = _combined(self.told)
+            self.told = [together]
+            if len(together) > _SPELLED // 2 or together.nbytes > _SPELLED_BYTES // 2:
+                self.told.clear()
+                yield _dealt(together)
+                del together
+                pa.default_memory_pool().release_unused()
+
+
+def _set(slots: int, near: np.ndarray, wide: np.ndarray, steps: np.ndarray) -> Reached:
+    gaps = near.astype(np.int32)
+    gaps[near == 255] = wide
+    found = Reached(slots, np.cumsum(gaps, dtype=np.int32), steps)
+    found._set()
+    return found
+
+
+def _sparse(reached: Reached | np.ndarray) -> Reached:
+    if isinstance(reached, Reached):
+        return reached
+    places = np.flatnonzero(reached != _NEVER).astype(np.int32)
+    return Reached(len(reached), places, reached[places])
+
+
+def _combined(told: list[pa.Table]) -> pa.Table:
+    """One row for each phrase of a language."""
+    groups = pa.concat_tables(told).combine_chunks().group_by(["lang", "phrase"], use_threads=False)
+    found = groups.aggregate([("bucket", "max"), ("n", "sum")])
+    return found.rename_columns({"bucket_max": "bucket", "n_sum": "n"}).select(["lang", "phrase", "bucket", "n"])
+
+
+def _dealt(together: pa.Table) -> pa.RecordBatch:
+    """Phrases and their counts in ``_SCHEMA``, with 0 for ``m``: one row for each language and bucket."""
+    codes, names = pd.factorize(together.column("lang").to_numpy())
+    buckets = together.column("bucket").to_numpy()
+    order = np.lexsort((buckets, codes))
+    codes, buckets, counts = codes[order], buckets[order], together.column("n").to_numpy()[order]
+    phrases = together.column("phrase").combine_chunks().cast(pa.large_string()).take(pa.array(order))
+    line = pa.scalar("\n", pa.large_string())  # which no phrase holds
+    offsets, data = words.text_buffers(pc.binary_join_element_wise(phrases, pa.scalar("", pa.large_string()), line))
+    edges = np.flatnonzero((codes[1:] != codes[:-1]) | (buckets[1:] != buckets[:-1])) + 1
+    first, last = np.append(0, edges), np.append(edges, len(codes))
+    held = [np.int64(b - a).tobytes() + counts[a:b].tobytes() + data[offsets[a] : offsets[b]].tobytes()
+            for a, b in zip(first.tolist(), last.tolist())]
+    kinds = pa.array(names[codes[first]], pa.string()), pa.array(np.zeros(len(first), np.int32)), pa.array(buckets[first])
+    return pa.RecordBatch.from_arrays([*kinds, pa.array(held, pa.binary())], ["lang", "m", "slot", "held"])
+
+
+def _told(held: list[pa.BinaryScalar]) -> pa.Table:
+    """``(phrase, n)`` of rows that ``_dealt`` has made, summed by phrase."""
+    counts, texts = [], []
+    for each in held:
+        data = each.as_buffer()
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        counts.append(np.frombuffer(data, np.int64, n, 8))
+        texts.append(np.frombuffer(data, np.uint8, offset=8 + 8 * n))
+    text = np.concatenate(texts)
+    ends = np.flatnonzero(text == 0x0A)
+    offsets = np.append(0, ends - np.arange(len(ends)))
+    text = np.ascontiguousarray(text[text != 0x0A])
+    phrases = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
+    groups = pa.table({"phrase": phrases, "n": np.concatenate(counts)}).group_by("phrase", use_threads=False)
+    return groups.aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
+def _totals(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """``(lang, phrase, m, n)`` of the phrases of ``min_count`` or more, from rows ``(lang, slot, held)`` in order of the first
+    two; with 0 for ``m`` and no phrase, the words of a language."""
+    def rows(lang: str, held: list[pa.BinaryScalar]) -> pa.RecordBatch:
+        table = _told(held)
+        phrases, counts = table.column("phrase").combine_chunks(), table.column("n").to_numpy()
+        blanks = pc.count_substring(phrases, " ").to_numpy(zero_copy_only=False)
+        m = np.where(pc.equal(phrases, "").to_numpy(zero_copy_only=False), 0, blanks + 1).astype(np.int32)
+        some = np.flatnonzero((m == 0) | (counts >= min_count))
+        values = [pa.array([lang] * len(some), pa.string()), phrases.take(pa.array(some)).cast(pa.string()), pa.array(m[some]), pa.array(counts[some])]
+        return pa.RecordBatch.from_arrays(values, ["lang", "phrase", "m", "n"])
+
+    key, held = None, []
+    for batch in batches:
+        for at, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if now != key:
+                if held:
+                    yield rows(key[0], held)
+                key, held = now, []
+            held.append(batch.column(2)[at])
+    if held:
+        yield rows(key[0], held)
 
 
 def _held(counts: np.ndarray, places: np.ndarray) -> bytes:
@@ -232,21 +370,19 @@ def _add(sums: np.ndarray, held: pa.BinaryScalar) -> None:
     sums[np.frombuffer(data, np.uint16, n, 4 * n)] += np.frombuffer(data, np.uint32, n)
 
 
-_SCHEMA = "lang string, phrase string, m int, slot int, n long, held binary"
+_SCHEMA = "lang string, m int, slot int, held binary"
 _STATE = "m int, slot int, held binary, reached binary"
 
 
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """``batch`` of ``Scan`` in ``_SCHEMA``: counts of slots, which come in order, as one row for each ``_SLOT_ROW`` slots."""
-    if not batch.num_rows or batch.column(1).null_count < batch.num_rows:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], [*batch.schema.names, "held"])
+    """``batch`` of ``Scan.flush`` in ``_SCHEMA``: counts of slots, which come in order, as one row for each ``_SLOT_ROW`` slots."""
     slots, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy()
     rows, first = np.unique(slots // _SLOT_ROW, return_index=True)
     held = [_held(counts[a:b], slots[a:b] % _SLOT_ROW) for a, b in zip(first, [*first[1:], len(slots)])]
-    nothing = [pa.nulls(len(rows), pa.string())] * 2
+    m = np.full(len(rows), batch.column(2)[0].as_py(), np.int32)
     return pa.RecordBatch.from_arrays(
-        [*nothing, pa.array(np.full(len(rows), batch.column(2)[0].as_py(), np.int32)), pa.array(rows.astype(np.int32)),
-         pa.nulls(len(rows), pa.int64()), pa.array(held, pa.binary())], [*batch.schema.names, "held"])
+        [pa.nulls(len(rows), pa.string()), pa.array(m), pa.array(rows.astype(np.int32)), pa.array(held, pa.binary())],
+        ["lang", "m", "slot", "held"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
@@ -271,9 +407,11 @@ def _summed(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Re
 
 
 def _slots(texts: DataFrame, min_count: int) -> int:
-    """A power of two, eight times the number of phrases that can reach the threshold, if ``MAX_SLOTS`` allows it."""
+    """A power of two, eight times the number of phrases that can reach the threshold, if that is ``SLOTS`` at most; else so
+    many that rare phrases, which share slots, do not reach the threshold together."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    return min(MAX_SLOTS, max(1 << 12, 1 << int(8 * (size // 2 + 1) // min_count).bit_length()))
+    few = max(1 << 12, 1 << int(8 * (size // 2 + 1) // min_count).bit_length())
+    return max(min(SLOTS, few), min(MAX_SLOTS, 1 << int(size // SLOT_BYTES).bit_length()))
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -286,8 +424,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     when no phrase is active. A phrase is no more frequent than its parts or its slot, so none that reaches the
     threshold is missed, and what is counted by itself is counted exactly.
 
-    Slots bound what is kept of rare phrases, six bytes each, and what tasks receive: four byte arrays. Counts are summed
-    in tasks, then by phrase or, many slots in a row, by slot; phrases counted by themselves are added up at the end.
+    Slots bound what is kept of rare phrases, six bytes each; they grow with the text, or else rare phrases would fill
+    them together and all be counted by themselves. Tasks receive the slots that have reached the threshold. Counts are
+    summed in tasks, then, many slots in a row, by slot; phrases counted by themselves are added up at the end, many of a
+    language in a row.
     """
     if not 1 <= shards <= 60:
         raise ValueError("shards must be between 1 and 60")
@@ -297,25 +437,27 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     ).where("text is not null")
     texts = stored(dealt, by=["shard"])
     slots = _slots(texts, min_count)
-    reached = {m: np.full(slots, _NEVER, np.uint8) for m in range(1, MAX_WORDS + 1)}
+    none = np.zeros(0, np.int32)
+    reached = {m: Reached(max(min(slots, SLOTS), slots >> FEWER[m]), none, none.astype(np.uint8)) for m in range(1, MAX_WORDS + 1)}
     state, counted, last, step = None, [], -1, 0
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _summed(batches, min_count)
 
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _totals(batches, min_count)
+
     while step < shards or step <= last + shards:
         scan = Scan(step, shards, reached)
 
         def run(batches: Iterator[pa.RecordBatch], scan: Scan = scan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for found in scan.batch(batch.column(1), batch.column(0).to_pylist()):
-                    yield _packed(found)
-            for found in scan.flush():
-                yield _packed(found)
+                yield from scan.batch(batch.column(1), batch.column(0).to_pylist())
+            yield from scan.rest()
 
         found = stored(texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, _SCHEMA))
-        counted.append(stored(found.where("phrase is not null").groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n"))))
-        held = found.where("phrase is null").select("m", "slot", "held")
+        counted.append(stored(found.where("m = 0").select("lang", "slot", "held")))
+        held = found.where("m > 0").select("m", "slot", "held")
         if state is not None:  # slots that have reached the threshold need no more counts
             held = held.union(state.where("held is not null").select("m", "slot", "held"))
         merged = stored(held.repartition("m", "slot").sortWithinPartitions("m", "slot").mapInArrow(merge, _STATE))
@@ -325,15 +467,17 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
         state = merged
         fresh = state.where("reached is not null").select("m", "reached").toArrow()
         if fresh.num_rows:
-            reached = {m: array.copy() for m, array in reached.items()}
-            for m, places in zip(fresh.column("m").to_pylist(), fresh.column("reached").to_pylist()):
-                reached[m][np.frombuffer(places, np.int32)] = step
+            places = [np.frombuffer(x, np.int32) for x in fresh.column("reached").to_pylist()]
+            lengths = np.array(fresh.column("m").to_pylist())
+            for m in np.unique(lengths).tolist():
+                reached[m] = reached[m].with_more(np.concatenate([places[i] for i in np.flatnonzero(lengths == m)]), step)
             last = step
         step += 1
     discard(state)
-    total = reduce(DataFrame.unionByName, counted).groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n"))
-    frequent = stored(total.where((F.col("m") > 0) & (F.col("n") >= min_count)).select("lang", "phrase", "m", F.col("n").alias("f")))
-    sizes = stored(total.where("m = 0").select("lang", "n"))
+    spelled = reduce(DataFrame.unionByName, counted).repartition("lang", "slot").sortWithinPartitions("lang", "slot")
+    total = stored(spelled.mapInArrow(totals, "lang string, phrase string, m int, n long"))
+    frequent = total.where("m > 0").select("lang", "phrase", "m", F.col("n").alias("f"))
+    sizes = total.where("m = 0").select("lang", "n")
     for part in counted:
         discard(part)
     discard(texts)

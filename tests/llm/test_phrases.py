@@ -1,4 +1,5 @@
 import collections
+import pickle
 import random
 import re
 import tracemalloc
@@ -169,3 +170,47 @@ def test_counts_of_slots_are_summed_many_in_a_row():
         full += np.frombuffer(row["reached"] or b"", np.int32).tolist()
     counts = 2 * np.bincount(met, minlength=slots)
     assert full == [6] and np.array_equal(sums, np.where(counts < 8, counts, 0))
+
+
+def test_slots_grow_with_the_text(spark):
+    class Texts:
+        def __init__(self, size):
+            self.agg, self.first = lambda *_: self, lambda: [size]
+
+    for size in (2 << 30, 10 << 30, 50 << 30):  # with a fixed number, rare phrases fill every slot together
+        slots = phrases._slots(Texts(size), 30)
+        assert slots & (slots - 1) == 0 and 64 <= size / slots <= phrases.SLOT_BYTES
+    assert phrases._slots(Texts(1 << 60), 30) == phrases.MAX_SLOTS
+    assert phrases._slots(Texts(1 << 29), 30) == phrases.SLOTS and phrases._slots(Texts(100), 30) == 1 << 12
+
+
+@pytest.mark.parametrize("slots,share", [(1 << 16, 0.1), (1 << 16, 0.001), (1 << 12, 0), (64, 0.9)])
+def test_slots_that_have_reached_the_threshold_are_found_by_their_bits(slots, share):
+    rng = np.random.default_rng(2)
+    array = np.where(rng.random(slots) < share, rng.integers(0, 15, slots), phrases._NEVER).astype(np.uint8)
+    held = phrases._sparse(array)
+    sent = pickle.loads(pickle.dumps(held))
+    asked = rng.integers(0, slots, 5_000).astype(np.int32)
+    assert np.array_equal(held.of(asked), array[asked]) and np.array_equal(sent.of(asked), array[asked])
+    free = np.flatnonzero(array == phrases._NEVER)[:7].astype(np.int32)
+    array[free] = 20
+    assert np.array_equal(phrases._sparse(np.where(np.isin(np.arange(slots), free), phrases._NEVER, array)).with_more(free[::-1], 20).of(asked),
+                          array[asked])
+
+
+def test_phrases_counted_by_themselves_are_handed_over_many_in_a_row(monkeypatch):
+    monkeypatch.setattr(phrases, "_BLOCK", 4_000)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ein", "zwei", "drei", "vier", "Fünf"]) + str(rng.randrange(40)) for _ in range(100)) for _ in range(200)]
+    langs = [["en", "de"][i % 2] for i in range(200)]
+    scan = phrases.Scan(1, 1, {m: np.zeros(1 << 12, np.uint8) if m < 3 else np.full(1 << 12, phrases._NEVER, np.uint8) for m in range(1, 5)})
+    parts = [*scan.batch(phrases.pa.array(texts[:120]), langs[:120]), *scan.rest(), *scan.batch(phrases.pa.array(texts[120:]), langs[120:]), *scan.rest()]
+    told = [r for part in parts for r in part.to_pylist() if r["m"] == 0]
+    assert len(told) <= 2 * 2 * phrases._BUCKETS  # 400 words and 20,000 pairs
+    told.sort(key=lambda r: (r["lang"], r["slot"]))
+    batch = phrases.pa.RecordBatch.from_pylist([{k: r[k] for k in ("lang", "slot", "held")} for r in told])
+    found = [r for part in phrases._totals(iter([batch.slice(0, 5), batch.slice(5)]), 3) for r in part.to_pylist()]
+    counts, _ = brute_counts(list(zip(langs, texts)))
+    whole = {(r["lang"], tuple(r["phrase"].split(" "))): r["n"] for r in found}
+    assert len(whole) == len(found) and all(r["m"] == len(r["phrase"].split(" ")) for r in found)
+    assert whole == {k: n for k, n in counts.items() if len(k[1]) <= 2 and n >= 3}
